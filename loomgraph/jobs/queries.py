@@ -1,6 +1,305 @@
-def queries():
-    return {}
+"""The library's operators as queries on the given tables: conversations are turns, documents long turns, benchmark texts
+queries, labels relevance, events recalls. None of them leaves out rows."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loomgraph.functions import text as X
+from loomgraph.functions.vectors import cosine, hash_embedding, hash_embedding_builtin, unit
+from loomgraph.jobs.ingest import extracted, with_vectors
+from loomgraph.jobs.oracle import VOCABULARY, oracle_sql
+from loomgraph.jobs.retrieve import evaluate_profiles, gather, rank_pool
+from loomgraph.operators import evaluate, graph, lexical, rank, store, traverse
+from loomgraph.operators.extraction import explode_chunks, with_chunks, with_entities, with_relations
+from loomgraph.session import settled
+from loomgraph.vocabulary import PROFILES, Chunking, Retrieval
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+CHUNKS = Chunking(default_size=64, default_overlap=8, structured_size=48, structured_overlap=6)
+PARAMS = Retrieval(top_k=10, max_hops=2, beam_width=8, prune_threshold=0.2, recency_weight=0.1, importance_weight=0.1)
+NOW = "2026-04-01 00:00:00"
+GRAPH_WORDS = VOCABULARY(2)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as turns; a conversation begins an hour after the one before, a turn lasts 15 seconds."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    at = F.lit(1_770_595_200) + F.col("conv_id") * 3600 + F.col("turn") * 15
+    return _table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("conv-"), "conv_id").alias("conversation_id"), F.concat(F.lit("t"), "turn").alias("turn_id"), F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("text"), F.timestamp_seconds(at).alias("timestamp")
+    )
+
+
+def _uid_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns_of(spark, sf_dir).withColumn("turn_uid", graph.turn_uid())
+
+
+def _graph(spark: SparkSession, sf_dir: str, vectors: bool = True) -> graph.Graph:
+    return graph.build(settled(extracted(turns_of(spark, sf_dir), GRAPH_WORDS, CHUNKS, vectors=vectors)), GRAPH_WORDS)
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with entities and relations, and nothing else."""
+    return with_relations(with_entities(_uid_turns(spark, sf_dir), GRAPH_WORDS), GRAPH_WORDS)
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("conversation_id"))
+
+
+def text_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _uid_turns(spark, sf_dir).select("turn_uid", X.normalize_surface(F.col("text")).alias("normal"))
+    named = rows.withColumn("canonical", X.canonical_of(F.col("normal"), GRAPH_WORDS))
+    return named.select("turn_uid", "normal", "canonical", X.entity_id(F.col("canonical")).alias("entity_id"), X.entity_type(F.col("canonical"), GRAPH_WORDS).alias("entity_type"))
+
+
+def text_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uid_turns(spark, sf_dir).select("turn_uid", X.importance(F.col("text"), GRAPH_WORDS).alias("importance"), X.relation_type(F.col("text"), GRAPH_WORDS).alias("relation_type"))
+
+
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("turn_uid"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = explode_chunks(with_chunks(docs, CHUNKS))
+    return rows.select("turn_uid", "chunk_no", F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"), "chunk_profile", "chunk_size", "chunk_overlap")
+
+
+def _long_vectors(rows: DataFrame) -> DataFrame:
+    return rows.select("turn_uid", F.posexplode("v").alias("dim", "value")).select("turn_uid", "dim", (F.round(F.col("value"), 6) + F.lit(0.0)).alias("value")).where("value != 0")
+
+
+def embed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long_vectors(_uid_turns(spark, sf_dir).select("turn_uid", hash_embedding(F.col("text")).alias("v")))
+
+
+def embed_turns_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long_vectors(_uid_turns(spark, sf_dir).select("turn_uid", hash_embedding_builtin(F.col("text")).alias("v")))
+
+
+def embed_chunk_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long_vectors(with_vectors(with_chunks(_uid_turns(spark, sf_dir), CHUNKS)).select("turn_uid", F.col("embedding").alias("v")))
+
+
+def cosine_to_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors nearest to each vector whose id is divisible by 100: a stated query set against all rows."""
+    rows = settled(_table(spark, sf_dir, "embeddings").select("vec_id", unit(F.col("embedding").cast("array<double>")).alias("e")))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    near = rows.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("e")), 6).alias("likeness"))
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("likeness"), "vec_id"))).where("rank <= 5")
+
+
+def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_entities(_uid_turns(spark, sf_dir), VOCABULARY(3)).select("turn_uid", F.posexplode("entities").alias("place", "e"))
+    return rows.select("turn_uid", "place", "e.canonical_name", "e.surface", "e.entity_type", "e.confidence")
+
+
+def extract_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select("turn_uid", F.posexplode("relations").alias("place", "r")).select("turn_uid", "place", "r.source", "r.target", "r.relation_type", "r.confidence")
+
+
+def graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.build_entities(graph.mention_rows(_words(spark, sf_dir), GRAPH_WORDS)).select("entity_id", "canonical_name", "entity_type", F.array_join("aliases", "|").alias("aliases"))
+
+
+def graph_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.build_mentions(graph.mention_rows(_words(spark, sf_dir), GRAPH_WORDS))
+
+
+def _edges(df: DataFrame) -> DataFrame:
+    return df.select("source_entity_id", "target_entity_id", "relation_type", "weight", F.size("evidence_turn_ids").cast("long").alias("n_evidence"), F.md5(F.array_join("evidence_turn_ids", ",").cast("binary")).alias("evidence_md5"))
+
+
+def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(graph.build_relations(graph.relation_rows(_words(spark, sf_dir), GRAPH_WORDS)))
+
+
+def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.adjacency(graph.build_relations(graph.relation_rows(_words(spark, sf_dir), GRAPH_WORDS)), 40)
+    return edges.select("source_entity_id", "target_entity_id", "relation_type", "forward", "weight", "place", F.round("edge_score", 6).alias("edge_score"))
+
+
+def graph_merge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads that share turns: weights add up, evidence does not."""
+    rows = settled(graph.relation_rows(_words(spark, sf_dir), GRAPH_WORDS))
+    half = lambda k: graph.build_relations(rows.where(f"crc32(cast(turn_uid as binary)) % 3 != {k}"))
+    return _edges(graph.merge_relations(half(0), half(1)))
+
+
+def graph_merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = settled(graph.mention_rows(_words(spark, sf_dir), GRAPH_WORDS))
+    half = lambda k: graph.build_entities(rows.where(f"crc32(cast(turn_uid as binary)) % 3 != {k}"))
+    merged = graph.merge_entities(half(0), half(1))
+    return merged.select("entity_id", "canonical_name", "entity_type", F.array_join(F.array_sort("aliases"), "|").alias("aliases"))
+
+
+def skip_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _uid_turns(spark, sf_dir)
+    return graph.skip_stored(turns, turns.where("speaker = 'user'")).select("turn_uid", "speaker")
+
+
+def ingest_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = settled(_words(spark, sf_dir))
+    s = graph.ingest_statistics(words, with_chunks(words, CHUNKS))
+    kinds = [F.coalesce(F.element_at("by_relation", k), F.lit(0)).cast("long").alias(k.lower()) for k in ("COMPARES", "DEPENDS_ON", "IMPLEMENTS", "EXPLAINS", "RELATED_TO")]
+    profiles = [F.coalesce(F.element_at("by_profile", k), F.lit(0)).cast("long").alias(f"chunks_{k}") for k in ("default", "structured")]
+    return s.select("turns", "mentions", "relations", *kinds, *profiles, "avg_chunks", "max_chunks")
+
+
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _uid_turns(spark, sf_dir)
+    return graph.turns_of_conversations(turns, turns.select("conversation_id")).select("conversation_id", "turn_uid", "place", F.unix_seconds("timestamp").alias("at"))
+
+
+def query_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = settled(graph.build_entities(graph.mention_rows(_words(spark, sf_dir), GRAPH_WORDS)))
+    found = traverse.seeds(traverse.query_names(_questions(spark, sf_dir), GRAPH_WORDS), entities, PARAMS.seed_limit)
+    return found.select("query_id", "entity_id", "canonical_name", F.round("score", 6).alias("score"), "place")
+
+
+def _reach(spark: SparkSession, sf_dir: str) -> traverse.Reached:
+    words = settled(_words(spark, sf_dir))
+    entities = graph.build_entities(graph.mention_rows(words, GRAPH_WORDS))
+    relations = graph.build_relations(graph.relation_rows(words, GRAPH_WORDS))
+    start = traverse.seeds(traverse.query_names(_questions(spark, sf_dir), GRAPH_WORDS), entities, PARAMS.seed_limit)
+    return traverse.traverse(start, settled(graph.adjacency(relations, 40)), PARAMS)
+
+
+def beam_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws(">", F.transform("steps", lambda s: F.concat(s.relation_type, F.when(s.forward, F.lit("+")).otherwise(F.lit("-")), s.to_entity_id)))
+    return _reach(spark, sf_dir).entities.select("query_id", "entity_id", F.round("score", 6).alias("score"), path.alias("path"))
+
+
+def beam_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reach(spark, sf_dir).pruned
+
+
+def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.postings(_uid_turns(spark, sf_dir)).select("term", "turn_uid", "tf", F.col("len").cast("long").alias("len"))
+
+
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _uid_turns(spark, sf_dir)
+    found = lexical.search(_questions(spark, sf_dir), turns, lexical.postings(turns), 200)
+    return found.select("query_id", "turn_uid", F.round("lexical_raw", 6).alias("lexical_raw"))
+
+
+def _prepared(spark: SparkSession, sf_dir: str):
+    g = _graph(spark, sf_dir)
+    recalled = store.with_recall(g.turns, store.recall_state(_recalls(spark, sf_dir)))
+    return graph.Graph(settled(recalled), settled(g.entities), g.mentions, settled(g.relations)), _questions(spark, sf_dir)
+
+
+def _recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of recalls: each recalls the first turn of the conversation that has its user's number."""
+    return _table(spark, sf_dir, "events").select(F.concat(F.lit("conv-"), "user_id", F.lit(":t0")).alias("turn_uid"), (F.col("ts").cast("timestamp") + F.expr("interval 770 days")).alias("recalled_at"), F.col("event_id").alias("query_id"))
+
+
+def recall_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.recall_state(_recalls(spark, sf_dir)).select("turn_uid", "recall_count", F.unix_micros("last_recalled_at").alias("last_us"))
+
+
+def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of both kinds, with how many entities are matched in each."""
+    g, asked = _prepared(spark, sf_dir)
+    pool = gather(asked, g, PARAMS, GRAPH_WORDS)
+    n = pool.matched.groupBy("query_id", "turn_uid").agg(F.count("*").alias("n_matched"))
+    return pool.candidates.join(n, ["query_id", "turn_uid"], "left").select("query_id", "turn_uid", F.col("lexical_raw").isNotNull().alias("by_text"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
+
+
+def _ranked_columns(ranked: DataFrame) -> DataFrame:
+    return ranked.select("query_id", "turn_uid", "rank", "score", "graph_signal", "embedding_signal", "lexical_signal", "importance_component", "recency_component")
+
+
+def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph, text, vectors, importance and recency together."""
+    g, asked = _prepared(spark, sf_dir)
+    return _ranked_columns(rank_pool(gather(asked, g, PARAMS, GRAPH_WORDS), asked, g, PARAMS, _now()))
+
+
+def retrieve_graph_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, asked = _prepared(spark, sf_dir)
+    params = PROFILES["graph_only"].but(max_hops=2, beam_width=8, prune_threshold=0.2)
+    return _ranked_columns(rank_pool(gather(asked, g, params, GRAPH_WORDS), asked, g, params, _now()))
+
+
+def _length_scores(queries: list[str], texts: list[str]) -> list[float]:
+    return [len(q) / max(1, len(q) + len(t)) for q, t in zip(queries, texts, strict=True)]
+
+
+def retrieve_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reranked by a scorer that anyone can check: the query's share of both lengths."""
+    g, asked = _prepared(spark, sf_dir)
+    params = PARAMS.but(rerank=True, rerank_top_n=5)
+    ranked = rank_pool(gather(asked, g, params, GRAPH_WORDS), asked, g, params, _now(), _length_scores)
+    return ranked.select("query_id", "turn_uid", "rank", "score", "rerank_component")
+
+
+def retrieve_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each ranked turn rests on: matched entities, path steps, evidence."""
+    g, asked = _prepared(spark, sf_dir)
+    pool = gather(asked, g, PARAMS, GRAPH_WORDS)
+    told = rank.trace(settled(rank_pool(pool, asked, g, PARAMS, _now())), pool.matched, pool.reached.entities, g.relations, g.entities)
+    none = F.array().cast("array<string>")
+    return told.select(
+        "query_id", "turn_uid", "rank", F.array_join(F.coalesce("matched_entities", none), "|").alias("matched"), F.coalesce(F.size("path_summary"), F.lit(0)).alias("n_steps"),
+        F.size(F.coalesce("evidence_turn_ids", none)).alias("n_evidence"), F.md5(F.array_join(F.coalesce("evidence_turn_ids", none), ",").cast("binary")).alias("evidence_md5"),
+    )
+
+
+def subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Around the keywords: matching entities and their neighbours."""
+    words = settled(_words(spark, sf_dir))
+    names = spark.createDataFrame([(k,) for k in GRAPH_WORDS.keywords], "name string")
+    entities = graph.build_entities(graph.mention_rows(words, GRAPH_WORDS))
+    _, edges = graph.subgraph(names, entities, graph.build_relations(graph.relation_rows(words, GRAPH_WORDS)), 100)
+    return edges.select("name", "source", "target", "label")
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts as examples: relevant are turns that hold one of its words of ten letters or more."""
+    words = F.array_distinct(F.filter(X.search_terms(F.col("text")), lambda w: F.char_length(w) >= 10))
+    asked = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"), F.explode(words).alias("term"))
+    hits = asked.join(lexical.postings(_uid_turns(spark, sf_dir)).select("term", "turn_uid"), "term")
+    return hits.groupBy("item_id", "query").agg(F.array_sort(F.collect_set("turn_uid")).alias("relevant_turn_uids")).select(F.col("item_id").alias("example_id"), "query", F.lit(None).cast("string").alias("conversation_id"), "relevant_turn_uids")
+
+
+def evaluate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text ranking judged at three cut-offs."""
+    examples = settled(_examples(spark, sf_dir).withColumn("profile", F.lit("text")))
+    turns = _uid_turns(spark, sf_dir)
+    found = lexical.search(examples.select(F.col("example_id").alias("query_id"), "query"), turns, lexical.postings(turns), 10)
+    ranked = rank.top(found.withColumnRenamed("lexical_raw", "score"), 10).select(F.lit("text").alias("profile"), F.col("query_id").alias("example_id"), "rank", "turn_uid")
+    return evaluate.metrics(evaluate.judge(ranked, examples, [1, 5, 10]))
+
+
+def compare_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ranking profiles over the same candidates, against the graph's alone."""
+    examples = settled(_examples(spark, sf_dir))
+    g, _ = _prepared(spark, sf_dir)
+    profiles = {k: p.but(max_hops=2, beam_width=8, prune_threshold=0.2) for k, p in PROFILES.items()}
+    return evaluate_profiles(examples, g, profiles, [1, 5, 10], _now(), "graph_only", GRAPH_WORDS, _length_scores)
+
+
+def queries() -> dict[str, Query]:
+    found = (
+        text_names, text_importance, chunk_documents, embed_turns, embed_turns_builtin, embed_chunk_means, cosine_to_queries, extract_entities, extract_relations, graph_entities, graph_mentions,
+        graph_relations, graph_adjacency, graph_merge_relations, graph_merge_entities, skip_stored, ingest_statistics, conversation_turns, query_seeds, beam_traversal, beam_pruned, text_postings,
+        text_search, recall_state, candidate_pool, retrieve_hybrid, retrieve_graph_only, retrieve_reranked, retrieve_traced, subgraph_edges, evaluate_search, compare_profiles,
+    )
+    return {f.__name__: f for f in found}
+
+
+__all__ = ["oracle_sql", "queries"]
