@@ -5,7 +5,6 @@ Nothing here keeps state between queries. Everything that runs inside tasks work
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from loomgraph.session import settled, shared_dir
+
+__all__ = ["arrow_batches", "crc_mod", "map_batches", "mix64", "pick_sample", "segment_hashes", "settled", "shared_dir", "table", "texts_of", "word_hashes"]
+
 #: Rows of one Arrow batch that carries whole texts. With long texts a batch of this many rows stays a few MB.
 BATCH_ROWS = 1000
 #: Bytes of one Arrow batch (Spark cuts a batch at whichever limit comes first).
@@ -32,25 +35,6 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset (local tests), a new
-    temporary folder, which is then also set as the checkpoint folder."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(found)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else "file://" + found
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; a lost executor then loses none of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n`` (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
@@ -144,16 +128,16 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return segment_hashes(b, starts, ends), starts
 
 
-def pick_sample(df: DataFrame, by: str, per_class: int, max_chars: int, text: str = "text") -> list:
-    """At most ``per_class`` rows of each value of ``by``, whose texts have 1 to ``max_chars`` code points, in the order
-    of a hash of doc_id: the bounded sample that a classifier is fitted on. Two passes: the first moves ids only, the
-    second reads the texts of the ids chosen. Rows: (doc_id, text, class)."""
-    sized = df.where(F.col(by).isNotNull() & F.col("doc_id").isNotNull() & F.length(text).between(1, max_chars))
-    rank = F.row_number().over(W.partitionBy("_class").orderBy("_order", "doc_id"))
-    keys = sized.select("doc_id", F.col(by).alias("_class"), F.xxhash64("doc_id").alias("_order"))
-    ids = [(r[0],) for r in keys.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select("doc_id").collect()]
-    if not ids:
+def pick_sample(docs: DataFrame, classes: DataFrame, per_class: int, max_chars: int) -> list:
+    """At most ``per_class`` documents of each value of ``class`` in ``classes(doc_id, class)``, whose texts have 1 to
+    ``max_chars`` code points, in the order of a hash of doc_id: the bounded sample that a classifier is fitted on. The first
+    pass moves ids only, the second reads the texts of the ids chosen. Rows: (doc_id, text, class)."""
+    sized = docs.where(F.col("doc_id").isNotNull() & F.length("text").between(1, max_chars)).select("doc_id")
+    keys = sized.join(classes.where(F.col("class").isNotNull()).select("doc_id", "class"), "doc_id").withColumn("_order", F.xxhash64("doc_id"))
+    rank = F.row_number().over(W.partitionBy("class").orderBy("_order", "doc_id"))
+    found = keys.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select("doc_id", "class").collect()
+    if not found:
         return []
-    chosen = df.sparkSession.createDataFrame(sorted(set(ids)), "doc_id long")  # bounded: per_class ids of each class
-    rows = sized.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col(text).alias("text"), F.col(by).alias("class")).collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["text"], str(r["class"])))
+    chosen = docs.sparkSession.createDataFrame(sorted({(r[0], str(r[1])) for r in found}), "doc_id long, class string")  # bounded: per_class ids of each class
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "class").collect()
+    return sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["class"]))

@@ -417,8 +417,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4, seed: int = 11) -> Network
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_MAX_CHARS) -> Network:
     """A network fitted on a bounded sample of ``docs(doc_id, text)`` labelled by ``labels(doc_id, toxic)``."""
-    marked = docs.select("doc_id", "text").join(labels.where("toxic in (0, 1)").select("doc_id", "toxic"), "doc_id")
-    rows = pick_sample(marked, "toxic", per_class, max_chars)
+    rows = pick_sample(docs, labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").alias("class")), per_class, max_chars)
     return fit([(r["text"], int(r["class"])) for r in rows])
 
 
