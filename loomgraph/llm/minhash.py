@@ -6,7 +6,7 @@ that all coordinates of a shingle are one slice of a table. Bands of coordinates
 full sets.
 
 Documents with equal sets are one class, whose smallest doc_id goes through banding for all of them. Within a band's bucket no
-pairs are made up front: every member is compared with the bucket's first, which in a group of near copies joins them all.
+pairs are made up front: every member is compared with one of the bucket, another in each band, which joins most groups of near copies.
 Only buckets whose members are then still in different components are looked at again: if the pairs between their components
 are few (linear in the bucket's size) all of those are compared, else members in turn are compared with the rest until
 nothing is left to compare. So no candidate is dropped, and no step makes a number of rows that grows with the square of a
@@ -129,18 +129,19 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, comp) of every id in ``links(a, b)``; comp is the smallest id that it is linked with, over any number of steps."""
-    both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = settled(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("comp")))
+    both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("comp"))
     while True:
-        of_neighbour = label.select(F.col("id").alias("b"), F.col("comp").alias("theirs"))
-        low = both.join(of_neighbour, "b").groupBy(F.col("a").alias("id")).agg(F.min("theirs").alias("low"))
-        near = label.join(low, "id").select("id", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
+        label = settled(label.select("id", "comp"))
+        theirs = both.join(label.select(F.col("id").alias("b"), F.col("comp").alias("low")), "b").select(F.col("a").alias("id"), "low", F.lit(None).cast("long").alias("was"))
+        own = label.select("id", F.col("comp").alias("low"), F.col("comp").alias("was"))
+        near = theirs.unionByName(own).groupBy("id").agg(F.min("low").alias("comp"), F.max("was").alias("was"))
         # A shortcut: the label of one's label.
         ahead = label.select(F.col("id").alias("comp"), F.col("comp").alias("ahead"))
         moved = settled(near.join(ahead, "comp", "left").select("id", "was", F.least("comp", "ahead").alias("comp")))
-        label = moved.select("id", "comp")
         if not moved.where("was != comp").limit(1).count():
             return label
+        label = moved
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
@@ -148,50 +149,62 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR
     100 * |intersection| >= ``similar`` * |union| of their shingle sets; the smallest doc_id of a component is kept."""
     sketch = settled(sketches(docs, size))
     real = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
+    classes = settled(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")))
     firsts = real.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     rows = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("bucket")
-    members = settled(rows.join(shared, "bucket").distinct())
+    # Each bucket has an order of its own, so that its first member is another one in each band that a group shares.
+    members = settled(rows.join(shared, "bucket").withColumn("turn", F.xxhash64("bucket", "id")))
     sets = settled(_sets_of(docs, members.select("id").distinct(), size))
-    sized = members.select("bucket", "id", "n")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among ``pairs(a, na, b, nb)``; those whose sizes alone rule it out are not looked up."""
-        few = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar).select("a", "b").distinct()
+        few = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         with_a = few.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return with_b.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * similar).select("a", "b")
-
-    def against_first(open_buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Each bucket's first member after ``last``, and its pairs with the members after it that are not in its component
-        yet."""
-        after = sized.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")) if labels is not None else sized.withColumn("comp", F.col("id"))
-        after = after.join(open_buckets, "bucket").where("last is null or id > last")
-        first = after.groupBy("bucket").agg(F.min(F.struct("id", "n", "comp")).alias("p"))
-        pairs = after.join(first, "bucket").where("id > p.id and comp != p.comp").select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-        return pairs, first.select("bucket", F.col("p.id").alias("last"))
-
-    labels: DataFrame | None = None
-    pairs, last = against_first(members.select("bucket").distinct().withColumn("last", F.lit(None).cast("long")))
-    links = settled(verified(pairs))
+        return settled(with_b.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * similar).select("a", "b"))
+
+    def against_first(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of ``rest(bucket, turn, id, n, comp)`` each bucket's first member, and its pairs with those of other components."""
+        first = rest.groupBy("bucket").agg(F.min(F.struct("turn", "id", "n", "comp")).alias("p"))
+        pairs = rest.join(first, "bucket").where("comp != p.comp").select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+        return pairs, first.select("bucket", F.col("p.turn").alias("last"))
+
+    pairs, last = against_first(members.withColumn("comp", F.col("id")))
     last = settled(last)
+    labels = connected_components(verified(pairs))
     while True:
-        labels = connected_components(links)
-        here = sized.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(last, "bucket")
-        parts = here.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.count_if(F.col("id") > F.col("last")).alias("k_after"))
-        stats = parts.groupBy("bucket").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("comps"), F.sum("k_after").alias("rest"))
-        # With fewer than two members after the last one compared, every pair of the bucket has been looked at.
-        left = settled(stats.where("comps > 1 and rest > 1").select("bucket", ((F.col("m") * F.col("m") - F.col("squares")) / 2 <= PAIRS_PER_MEMBER * F.col("m")).alias("few")))
-        if not left.limit(1).count():
+        here = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(last, "bucket")
+        parts = here.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.count_if(F.col("turn") > F.col("last")).alias("after"))
+        stats = parts.groupBy("bucket").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("comps"), F.sum("after").alias("after"))
+        # With fewer than two members left after the one compared last, every pair of the bucket has been looked at.
+        few = (F.col("m") * F.col("m") - F.col("squares")) / 2 <= PAIRS_PER_MEMBER * F.col("m")
+        left = settled(stats.where("comps > 1 and after > 1").select("bucket", few.alias("few")))
+        kinds = {r["few"] for r in left.select("few").distinct().collect()}
+        if not kinds:
+            break
+        rest = settled(here.where(F.col("turn") > F.col("last")).join(left, "bucket").drop("last"))
+        found = None
+        if True in kinds:
+            x = rest.where("few")
+            y = x.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+            at_once = x.join(y, "bucket").where("comp != comp2 and id < id2").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("id2").alias("b"), F.col("n2").alias("nb"))
+            found = verified(at_once)
+        if False in kinds:
+            slow, last = against_first(rest.where("not few"))
+            last, linked = settled(last), verified(slow)
+            found = linked if found is None else found.unionByName(linked)
+        # New links join components, of which there are fewer than documents.
+        of = labels.select("id", "comp")
+        named = found.join(of.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        joined = settled(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct())
+        if joined.limit(1).count():
+            above = connected_components(joined).select(F.col("id").alias("old"), F.col("comp").alias("new"))
+            known = of.unionByName(joined.select(F.col("a").alias("id"), F.col("a").alias("comp"))).unionByName(joined.select(F.col("b").alias("id"), F.col("b").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
+            labels = settled(known.join(above, F.col("comp") == F.col("old"), "left").select("id", F.coalesce("new", "comp").alias("comp")))
+        if False not in kinds:
             break
-        rest = here.where("id > last").join(left, "bucket")
-        x, y = rest.where("few"), rest.where("few").select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        at_once = x.join(y, "bucket").where("comp != comp2 and id < id2").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("id2").alias("b"), F.col("n2").alias("nb"))
-        slow, moved = against_first(last.join(left.where("not few").select("bucket"), "bucket"))
-        links = settled(links.unionByName(verified(at_once.unionByName(slow))))
-        last = settled(moved)
     component = classes.join(labels, "id", "left").select("f1", "f2", F.coalesce("comp", "id").alias("_comp"))
     out = sketch.select("doc_id", "n_shingles", "f1", "f2").join(component, ["f1", "f2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_comp")).otherwise(F.col("doc_id"))
