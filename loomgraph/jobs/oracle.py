@@ -39,7 +39,7 @@ def _id(x: str) -> str:
 
 
 TURNS = """turns AS (SELECT 'conv-' || conv_id AS conversation_id, 't' || turn AS turn_id, 'conv-' || conv_id || ':t' || turn AS turn_uid, role AS speaker, coalesce(text, '') AS text,
-    1770595200 + conv_id * 3600 + turn * 15 AS at FROM conversations)"""
+    1770595200 + conv_id * 3600 + turn * 15 AS sec FROM conversations)"""
 
 
 def _entities(p: str, source: str, key: str, text: str, n: int) -> str:
@@ -72,11 +72,11 @@ CHAIN = (
     links AS (SELECT * FROM chain WHERE target IS NOT NULL AND source <> target),
     rel AS (SELECT DISTINCT id AS turn_uid, {_id('source')} AS s, {_id('target')} AS t, kind FROM links)"""
 )
-MENTION = ENT2 + f""", men AS (SELECT e.id AS turn_uid, {_id('name')} AS entity_id, name, surface, type, t.at, e.place FROM t_ent e JOIN turns t ON t.turn_uid = e.id)"""
+MENTION = ENT2 + f""", men AS (SELECT e.id AS turn_uid, {_id('name')} AS entity_id, name, surface, type, t.sec, e.place FROM t_ent e JOIN turns t ON t.turn_uid = e.id)"""
 
 
 def _entity_table(name: str, source: str) -> str:
-    return f"""{name}_form AS (SELECT entity_id, surface, min((at, turn_uid, place)) AS o, arg_min(name, (at, turn_uid, place)) AS name, arg_min(type, (at, turn_uid, place)) AS type FROM {source} GROUP BY ALL),
+    return f"""{name}_form AS (SELECT entity_id, surface, min((sec, turn_uid, place)) AS o, arg_min(name, (sec, turn_uid, place)) AS name, arg_min(type, (sec, turn_uid, place)) AS type FROM {source} GROUP BY ALL),
     {name} AS (SELECT entity_id, arg_min(name, o) AS canonical_name, arg_min(type, o) AS entity_type, list(surface ORDER BY o) AS aliases FROM {name}_form GROUP BY entity_id)"""
 
 
@@ -104,7 +104,7 @@ def _hop(i: int) -> str:
             CASE WHEN f.path = '' THEN '' ELSE f.path || '>' END || a.relation_type || CASE WHEN a.forward THEN '+' ELSE '-' END || a.target_entity_id AS path,
             list_append(f.edges, (CASE WHEN a.forward THEN a.source_entity_id ELSE a.target_entity_id END) || '|' || (CASE WHEN a.forward THEN a.target_entity_id ELSE a.source_entity_id END) || '|' || a.relation_type) AS edges
         FROM front{i - 1} f JOIN adj a ON a.source_entity_id = f.entity_id),
-    best{i} AS (SELECT * FROM path{i} WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id, entity_id ORDER BY score DESC, came, relation_type, forward DESC) = 1),
+    best{i} AS (SELECT * FROM path{i} WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id, entity_id ORDER BY score DESC, came, relation_type, forward DESC) = 1),
     front{i} AS (SELECT b.query_id, b.entity_id, b.score, b.path, b.edges FROM best{i} b LEFT JOIN reach{i - 1} r ON r.query_id = b.query_id AND r.entity_id = b.entity_id WHERE r.score IS NULL OR b.score > r.score
         QUALIFY row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, b.entity_id) <= 8),
     reach{i} AS (SELECT * FROM reach{i - 1} r WHERE NOT EXISTS (SELECT 1 FROM front{i} f WHERE f.query_id = r.query_id AND f.entity_id = r.entity_id) UNION ALL SELECT * FROM front{i})"""
@@ -118,7 +118,7 @@ REACH = (
     + ", "
     + _hop(2)
 )
-GRAPH = CHAIN + f""", men AS (SELECT e.id AS turn_uid, {_id('name')} AS entity_id, name, surface, type, t.at, e.place FROM t_ent e JOIN turns t ON t.turn_uid = e.id), """ + _entity_table("ent", "men") + ", " + EDGES + ", " + ADJ
+GRAPH = CHAIN + f""", men AS (SELECT e.id AS turn_uid, {_id('name')} AS entity_id, name, surface, type, t.sec, e.place FROM t_ent e JOIN turns t ON t.turn_uid = e.id), """ + _entity_table("ent", "men") + ", " + EDGES + ", " + ADJ
 POST = r"""terms AS (SELECT turn_uid, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS tl FROM turns),
     post AS (SELECT term, turn_uid, count(*) AS tf, any_value(n) AS len FROM (SELECT turn_uid, len(tl) AS n, unnest(tl) AS term FROM terms) GROUP BY term, turn_uid)"""
 
@@ -156,15 +156,15 @@ def _vectors(p: str, source: str, key: str, text: str) -> str:
 
 TURN_VECTORS = (
     _chunks("turns", "turn_uid") + ", ck AS (SELECT id, i, chunk FROM chunk), " + _vectors("ck", "ck", "id, i", "chunk")
-    + """, ck_n AS (SELECT id, count(*) AS n FROM ck GROUP BY id), mean0 AS (SELECT id, dim, sum(value) / any_value(n) AS v FROM ck_vec JOIN ck_n USING (id) GROUP BY id, dim),
-    mean_len AS (SELECT id, sqrt(sum(v * v)) AS l FROM mean0 GROUP BY id), mean AS (SELECT id, dim, CASE WHEN l <= 1e-9 THEN v ELSE v / l END AS value FROM mean0 JOIN mean_len USING (id))"""
+    + """, ck_n AS (SELECT id, count(*) AS n FROM ck GROUP BY id), mean0 AS (SELECT id, dim, sum(value ORDER BY i) / any_value(n) AS v FROM ck_vec JOIN ck_n USING (id) GROUP BY id, dim),
+    mean_len AS (SELECT id, sqrt(sum(v * v ORDER BY dim)) AS l FROM mean0 GROUP BY id), mean AS (SELECT id, dim, CASE WHEN l <= 1e-9 THEN v ELSE v / l END AS value FROM mean0 JOIN mean_len USING (id))"""
 )
 
 
 def _pool(hybrid: bool) -> str:
     """CTEs that end in cand(query_id, turn_uid, lexical_raw) and matched(query_id, turn_uid, entity_id)."""
     base = """mention AS (SELECT DISTINCT turn_uid, entity_id FROM men),
-    g0 AS (SELECT query_id, turn_uid, round(sum(score), 9) AS total FROM reach2 JOIN mention USING (entity_id) GROUP BY ALL),
+    g0 AS (SELECT query_id, turn_uid, round(sum(score ORDER BY entity_id), 9) AS total FROM reach2 JOIN mention USING (entity_id) GROUP BY ALL),
     g1 AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total DESC, turn_uid) <= 400),
     gm AS (SELECT query_id, turn_uid, entity_id FROM g1 JOIN reach2 USING (query_id) JOIN mention USING (turn_uid, entity_id)), """
     if not hybrid:
@@ -180,25 +180,25 @@ def _fused(hybrid: bool, g: float, e: float, x: float, importance: float, recenc
     """CTEs that end in fused(query_id, turn_uid, score, ...)."""
     imp = " + ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN {w}::DOUBLE ELSE 0 END" for p, w in _IMPORTANCE)
     return f"""{_pool(hybrid)}, {RECALL}, {TURN_VECTORS}, {_vectors('bq', 'benchmark', 'item_id', 'text')},
-    sig AS (SELECT query_id, turn_uid, least(1.0::DOUBLE, sum(coalesce(score, 0.0)) / count(*)) AS entity_score FROM matched LEFT JOIN reach2 USING (query_id, entity_id) GROUP BY ALL),
+    sig AS (SELECT query_id, turn_uid, least(1.0::DOUBLE, sum(coalesce(score, 0.0) ORDER BY entity_id) / count(*)) AS entity_score FROM matched LEFT JOIN reach2 USING (query_id, entity_id) GROUP BY ALL),
     steps AS (SELECT DISTINCT query_id, turn_uid, unnest(edges) AS e FROM matched JOIN reach2 USING (query_id, entity_id)),
     proof AS (SELECT s || '|' || t || '|' || kind AS e, unnest(evidence) AS turn_uid FROM edge),
     bonus AS (SELECT DISTINCT query_id, turn_uid FROM steps JOIN proof USING (e, turn_uid)),
-    sim AS (SELECT c.query_id, c.turn_uid, sum(m.value * q.value) AS cos FROM cand c JOIN mean m ON m.id = c.turn_uid JOIN bq_vec q ON q.item_id = c.query_id AND q.dim = m.dim GROUP BY ALL),
+    sim AS (SELECT c.query_id, c.turn_uid, sum(m.value * q.value ORDER BY m.dim) AS cos FROM cand c JOIN mean m ON m.id = c.turn_uid JOIN bq_vec q ON q.item_id = c.query_id AND q.dim = m.dim GROUP BY ALL),
     span AS (SELECT query_id, min(lexical_raw) AS lo, max(lexical_raw) AS hi FROM cand GROUP BY ALL),
     parts AS (
         SELECT c.query_id, c.turn_uid, coalesce(entity_score, 0.0) AS entity_score, CASE WHEN b.turn_uid IS NULL THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END AS bonus,
             CASE WHEN lexical_raw IS NULL THEN 0.0::DOUBLE WHEN hi - lo <= 1e-9 THEN CASE WHEN lexical_raw > 0 THEN 1.0 ELSE 0.0 END ELSE (lexical_raw - lo) / (hi - lo) END AS lex,
             greatest(0.0::DOUBLE, coalesce(cos, 0.0)) AS emb, {importance}::DOUBLE * least(1.0::DOUBLE, round({imp}, 6)) AS imp,
-            {recency}::DOUBLE * exp(-0.6931471805599453::DOUBLE * greatest(0.0, (1775001600000000 - coalesce(last_us, t.at * 1000000)) / 3.6e9::DOUBLE) / 72.0::DOUBLE) AS rec, t.text
+            {recency}::DOUBLE * exp(-0.6931471805599453::DOUBLE * greatest(0.0, (1775001600000000 - coalesce(last_us, t.sec * 1000000)) / 3.6e9::DOUBLE) / 72.0::DOUBLE) AS rec, t.text
         FROM cand c JOIN turns t ON t.turn_uid = c.turn_uid JOIN span USING (query_id) LEFT JOIN sig ON sig.query_id = c.query_id AND sig.turn_uid = c.turn_uid
         LEFT JOIN bonus b ON b.query_id = c.query_id AND b.turn_uid = c.turn_uid LEFT JOIN sim ON sim.query_id = c.query_id AND sim.turn_uid = c.turn_uid LEFT JOIN recall r ON r.turn_uid = c.turn_uid
     ),
     fused AS (SELECT query_id, turn_uid, text, least(1.0::DOUBLE, entity_score + bonus) AS gs, emb, lex, imp, rec, round({g}::DOUBLE * least(1.0::DOUBLE, entity_score + bonus) + {e}::DOUBLE * emb + {x}::DOUBLE * lex + imp + rec, 6) AS score FROM parts)"""
 
 
-TOP = """SELECT query_id, turn_uid, row_number() OVER w AS rank, score, round(gs, 6) AS graph_signal, round(emb, 6) AS embedding_signal, round(lex, 6) AS lexical_signal,
-    round(imp, 6) AS importance_component, round(rec, 6) AS recency_component FROM fused WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, turn_uid) QUALIFY row_number() OVER w <= 10"""
+TOP = """SELECT query_id, turn_uid, row_number() OVER w AS rank, round(score, 5) AS score, round(round(gs, 6), 4) AS graph_signal, round(round(emb, 6), 4) AS embedding_signal, round(round(lex, 6), 4) AS lexical_signal,
+    round(round(imp, 6), 4) AS importance_component, round(round(rec, 6), 4) AS recency_component FROM fused WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, turn_uid) QUALIFY row_number() OVER w <= 10"""
 HYBRID = _fused(True, 0.62, 0.23, 0.15, 0.1, 0.1)
 
 
@@ -233,10 +233,10 @@ ORACLE = {
         SELECT (SELECT count(*) FROM turns) AS turns, (SELECT count(*) FROM t_ent) AS mentions, count(*) AS relations, {', '.join(f"count(*) FILTER (kind = '{k}') AS {k.lower()}" for k in ('COMPARES', 'DEPENDS_ON', 'IMPLEMENTS', 'EXPLAINS', 'RELATED_TO'))},
             (SELECT count(*) FROM pc WHERE profile = 'default') AS chunks_default, (SELECT count(*) FROM pc WHERE profile = 'structured') AS chunks_structured,
             (SELECT round(sum(c)::DOUBLE / count(*), 3) FROM pc) AS avg_chunks, (SELECT max(c) FROM pc) AS max_chunks FROM rel""",
-    "conversation_turns": f"WITH {TURNS} SELECT conversation_id, turn_uid, row_number() OVER w AS place, at FROM turns WINDOW w AS (PARTITION BY conversation_id ORDER BY at, turn_id) QUALIFY row_number() OVER w <= 10000",
+    "conversation_turns": f"WITH {TURNS} SELECT conversation_id, turn_uid, row_number() OVER w AS place, sec AS at FROM turns WINDOW w AS (PARTITION BY conversation_id ORDER BY sec, turn_id) QUALIFY row_number() OVER w <= 10000",
     "query_seeds": f"WITH {MENTION}, {_entity_table('ent', 'men')}, {SEEDS} SELECT query_id, entity_id, canonical_name, round(score, 6) AS score, place FROM seed",
     "beam_traversal": f"WITH {GRAPH}, {REACH} SELECT query_id, entity_id, round(score, 6) AS score, path FROM reach2",
-    "beam_pruned": f"WITH {GRAPH}, {REACH} SELECT query_id, count(*) AS pruned FROM (SELECT query_id, score FROM path1 UNION ALL SELECT query_id, score FROM path2) WHERE score < 0.2 GROUP BY ALL",
+    "beam_pruned": f"WITH {GRAPH}, {REACH} SELECT query_id, count(*) AS pruned FROM (SELECT query_id, score FROM path1 UNION ALL SELECT query_id, score FROM path2) WHERE score < 0.3 GROUP BY ALL",
     "text_postings": f"WITH {TURNS}, {POST} SELECT term, turn_uid, tf, len FROM post",
     "text_search": f"WITH {TURNS}, {POST}, {_search(200)} SELECT query_id, turn_uid, round(lexical_raw, 6) AS lexical_raw FROM hits",
     "recall_state": f"WITH {RECALL} SELECT turn_uid, recall_count, last_us FROM recall",

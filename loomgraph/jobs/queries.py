@@ -22,7 +22,7 @@ from loomgraph.vocabulary import PROFILES, Chunking, Retrieval
 Query = Callable[[SparkSession, str], DataFrame]
 
 CHUNKS = Chunking(default_size=64, default_overlap=8, structured_size=48, structured_overlap=6)
-PARAMS = Retrieval(top_k=10, max_hops=2, beam_width=8, prune_threshold=0.2, recency_weight=0.1, importance_weight=0.1)
+PARAMS = Retrieval(top_k=10, max_hops=2, beam_width=8, prune_threshold=0.3, recency_weight=0.1, importance_weight=0.1)
 NOW = "2026-04-01 00:00:00"
 GRAPH_WORDS = VOCABULARY(2)
 
@@ -53,8 +53,8 @@ def _graph(spark: SparkSession, sf_dir: str, vectors: bool = True) -> graph.Grap
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with entities and relations, and nothing else."""
-    return with_relations(with_entities(_uid_turns(spark, sf_dir), GRAPH_WORDS), GRAPH_WORDS)
+    """Turns with entities and relations, found once and kept, as ingestion keeps them."""
+    return settled(with_relations(with_entities(_uid_turns(spark, sf_dir), GRAPH_WORDS), GRAPH_WORDS))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long_vectors(rows: DataFrame) -> DataFrame:
-    return rows.select("turn_uid", F.posexplode("v").alias("dim", "value")).select("turn_uid", "dim", (F.round(F.col("value"), 6) + F.lit(0.0)).alias("value")).where("value != 0")
+    return rows.select("turn_uid", F.posexplode_outer("v").alias("dim", "value")).select("turn_uid", "dim", (F.round(F.col("value"), 6) + F.lit(0.0)).alias("value")).where("value != 0")
 
 
 def embed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def cosine_to_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_entities(_uid_turns(spark, sf_dir), VOCABULARY(3)).select("turn_uid", F.posexplode("entities").alias("place", "e"))
+    rows = with_entities(_uid_turns(spark, sf_dir), VOCABULARY(3)).select("turn_uid", F.posexplode_outer("entities").alias("place", "e")).where("place is not null")
     return rows.select("turn_uid", "place", "e.canonical_name", "e.surface", "e.entity_type", "e.confidence")
 
 
@@ -151,7 +151,7 @@ def skip_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = settled(_words(spark, sf_dir))
+    words = _words(spark, sf_dir)
     s = graph.ingest_statistics(words, with_chunks(words, CHUNKS))
     kinds = [F.coalesce(F.element_at("by_relation", k), F.lit(0)).cast("long").alias(k.lower()) for k in ("COMPARES", "DEPENDS_ON", "IMPLEMENTS", "EXPLAINS", "RELATED_TO")]
     profiles = [F.coalesce(F.element_at("by_profile", k), F.lit(0)).cast("long").alias(f"chunks_{k}") for k in ("default", "structured")]
@@ -170,7 +170,7 @@ def query_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reach(spark: SparkSession, sf_dir: str) -> traverse.Reached:
-    words = settled(_words(spark, sf_dir))
+    words = _words(spark, sf_dir)
     entities = graph.build_entities(graph.mention_rows(words, GRAPH_WORDS))
     relations = graph.build_relations(graph.relation_rows(words, GRAPH_WORDS))
     start = traverse.seeds(traverse.query_names(_questions(spark, sf_dir), GRAPH_WORDS), entities, PARAMS.seed_limit)
@@ -220,7 +220,8 @@ def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked_columns(ranked: DataFrame) -> DataFrame:
-    return ranked.select("query_id", "turn_uid", "rank", "score", "graph_signal", "embedding_signal", "lexical_signal", "importance_component", "recency_component")
+    parts = ("graph_signal", "embedding_signal", "lexical_signal", "importance_component", "recency_component")
+    return ranked.select("query_id", "turn_uid", "rank", F.round("score", 5).alias("score"), *[F.round(c, 4).alias(c) for c in parts])
 
 
 def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +232,7 @@ def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieve_graph_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, asked = _prepared(spark, sf_dir)
-    params = PROFILES["graph_only"].but(max_hops=2, beam_width=8, prune_threshold=0.2)
+    params = PROFILES["graph_only"].but(max_hops=2, beam_width=8, prune_threshold=0.3)
     return _ranked_columns(rank_pool(gather(asked, g, params, GRAPH_WORDS), asked, g, params, _now()))
 
 
@@ -261,7 +262,7 @@ def retrieve_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Around the keywords: matching entities and their neighbours."""
-    words = settled(_words(spark, sf_dir))
+    words = _words(spark, sf_dir)
     names = spark.createDataFrame([(k,) for k in GRAPH_WORDS.keywords], "name string")
     entities = graph.build_entities(graph.mention_rows(words, GRAPH_WORDS))
     _, edges = graph.subgraph(names, entities, graph.build_relations(graph.relation_rows(words, GRAPH_WORDS)), 100)
@@ -271,7 +272,7 @@ def subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's texts as examples: relevant are turns that hold one of its words of ten letters or more."""
     words = F.array_distinct(F.filter(X.search_terms(F.col("text")), lambda w: F.char_length(w) >= 10))
-    asked = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"), F.explode(words).alias("term"))
+    asked = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"), F.explode_outer(words).alias("term"))
     hits = asked.join(lexical.postings(_uid_turns(spark, sf_dir)).select("term", "turn_uid"), "term")
     return hits.groupBy("item_id", "query").agg(F.array_sort(F.collect_set("turn_uid")).alias("relevant_turn_uids")).select(F.col("item_id").alias("example_id"), "query", F.lit(None).cast("string").alias("conversation_id"), "relevant_turn_uids")
 
@@ -289,7 +290,7 @@ def compare_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ranking profiles over the same candidates, against the graph's alone."""
     examples = settled(_examples(spark, sf_dir))
     g, _ = _prepared(spark, sf_dir)
-    profiles = {k: p.but(max_hops=2, beam_width=8, prune_threshold=0.2) for k, p in PROFILES.items()}
+    profiles = {k: p.but(max_hops=2, beam_width=8, prune_threshold=0.3) for k, p in PROFILES.items()}
     return evaluate_profiles(examples, g, profiles, [1, 5, 10], _now(), "graph_only", GRAPH_WORDS, _length_scores)
 
 

@@ -31,13 +31,19 @@ def with_chunks(turns: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
 
 def explode_chunks(chunked: DataFrame) -> DataFrame:
     """(turn_uid, chunk_no, chunk_text, chunk_profile, chunk_size, chunk_overlap), chunks numbered from 0."""
-    return chunked.select("turn_uid", "chunk_profile", "chunk_size", "chunk_overlap", F.posexplode("chunks").alias("chunk_no", "chunk_text"))
+    # Outer: the array is never empty, and a condition on it would have it computed a second time.
+    return chunked.select("turn_uid", "chunk_profile", "chunk_size", "chunk_overlap", F.posexplode_outer("chunks").alias("chunk_no", "chunk_text"))
 
 
 def _found(surfaces: Column, confidence: float, always: bool = False) -> Column:
     return F.transform(surfaces, lambda s: F.struct(s.alias("surface"), F.lit(confidence).alias("confidence"), F.lit(always).alias("always")))
 
 
+def _windows(tokens: Column, n: int) -> Column:
+    """All runs of ``n`` tokens (one shorter run, if there are not as many)."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tokens) - n)), lambda i: F.slice(tokens, i + 1, n))
+
+
 def with_entities(turns: DataFrame, vocabulary: Vocabulary = Vocabulary(), text: str = "text") -> DataFrame:
     """``turns`` with ``entities``: struct<canonical_name, surface, entity_type, confidence>, the surest first, then by name.
 
@@ -53,7 +59,7 @@ def with_entities(turns: DataFrame, vocabulary: Vocabulary = Vocabulary(), text:
     keywords = F.array(*[F.lit(k) for k in v.keywords]) if v.keywords else none
     grams = []
     for n in range(1, v.max_ngram + 1):
-        windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_tokens") - n)), lambda i, n=n: F.slice("_tokens", i + 1, n))
+        windows = _windows(F.col("_tokens"), n)
         near = F.filter(windows, lambda w: F.arrays_overlap(w, keywords))
         joined = F.filter(F.transform(near, lambda w: F.array_join(w, " ")), lambda g: F.char_length(g) >= v.min_length)
         grams.append(F.when(F.size("_tokens") >= n, joined).otherwise(none))

@@ -30,7 +30,8 @@ def turn_uid() -> Column:
 
 def mention_rows(extracted: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
     """A row for each entity of each turn, with the ordinal that tells which was first: time, turn, place in the turn."""
-    rows = extracted.select("turn_uid", "timestamp", F.posexplode("entities").alias("place", "e"))
+    # Outer, so that no condition on the array, and with it all of extraction, is evaluated a second time.
+    rows = extracted.select("turn_uid", "timestamp", F.posexplode_outer("entities").alias("place", "e")).where("place is not null")
     name = X.canonicalize(F.col("e.canonical_name"), vocabulary)
     named = rows.withColumn("canonical_name", name)
     return named.select(
@@ -57,7 +58,7 @@ def build_entities(rows: DataFrame) -> DataFrame:
 def relation_rows(extracted: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
     """(turn_uid, source_entity_id, target_entity_id, relation_type), each once for a turn, none from an entity to itself."""
     ids = F.transform("relations", lambda r: F.struct(X.entity_id(X.canonicalize(r.source, vocabulary)).alias("s"), X.entity_id(X.canonicalize(r.target, vocabulary)).alias("t"), r.relation_type.alias("relation_type")))
-    rows = extracted.select("turn_uid", F.explode(F.array_distinct(ids)).alias("r")).where("r.s != r.t")
+    rows = extracted.select("turn_uid", F.explode_outer(F.array_distinct(ids)).alias("r")).where("r.s != r.t")
     return rows.select("turn_uid", F.col("r.s").alias("source_entity_id"), F.col("r.t").alias("target_entity_id"), F.col("r.relation_type").alias("relation_type"))
 
 

@@ -14,7 +14,7 @@ K1, B = 1.2, 0.75
 def postings(turns: DataFrame) -> DataFrame:
     """(term, turn_uid, tf, len): how often a turn has a term, and how many terms it has."""
     terms = turns.select("turn_uid", search_terms(F.col("text")).alias("terms"))
-    return terms.select("turn_uid", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("term", "turn_uid", "len").agg(F.count("*").alias("tf"))
+    return terms.select("turn_uid", F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term", "turn_uid", "len").agg(F.count("*").alias("tf"))
 
 
 def search(queries: DataFrame, turns: DataFrame, index: DataFrame, limit: int) -> DataFrame:

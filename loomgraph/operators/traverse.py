@@ -28,7 +28,7 @@ def query_names(queries: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> Da
     found = with_entities(queries.select("query_id", "query"), vocabulary, text="query")
     names = F.transform("entities", lambda e: e.canonical_name)
     whole = F.array(X.canonicalize(F.col("query"), vocabulary))
-    return found.select("query_id", F.explode(F.when(F.size("entities") > 0, names).otherwise(whole)).alias("name")).distinct()
+    return found.select("query_id", F.explode_outer(F.when(F.size("entities") > 0, names).otherwise(whole)).alias("name")).distinct()
 
 
 def seeds(names: DataFrame, entities: DataFrame, limit: int, vectors: DataFrame | None = None) -> DataFrame:
