@@ -5,7 +5,9 @@ Nothing here keeps state between queries. Everything that runs inside tasks work
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from loomgraph.session import settled, shared_dir
 
-__all__ = ["arrow_batches", "crc_mod", "map_batches", "mix64", "pick_sample", "segment_hashes", "settled", "shared_dir", "table", "texts_of", "word_hashes"]
+__all__ = ["arrow_batches", "crc_mod", "map_batches", "mix64", "paused_gc", "pick_sample", "segment_hashes", "settled", "shared_dir", "table", "texts_of", "word_hashes"]
 
 #: Rows of one Arrow batch that carries whole texts. With long texts a batch of this many rows stays a few MB.
 BATCH_ROWS = 1000
@@ -29,10 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Keep Arrow batches small enough for executors with little memory beside the JVM."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+@contextmanager
+def paused_gc() -> Iterator[None]:
+    """No search for reference cycles while a block of texts is worked on: there are none, but millions of small objects."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.byte_bpe import _SIGNS, MergeReplay
-from loomgraph.llm.common import arrow_batches, settled, texts_of
+from loomgraph.llm.common import arrow_batches, paused_gc, settled, texts_of
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces that are packed together in one task.
 BLOCK = 16_384
 #: Distinct pieces of text that a worker remembers the ids of.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 
 # White space as Unicode has it; Python's own split also takes the four separators 1C to 1F, which tokenizers keep.
 _SPACE = re.compile("[ \t\n\r\x0b\x0c\x85\xa0  -     　]+")
@@ -97,23 +97,24 @@ class WordTokenizer:
             for w, e in zip(rest[at : at + 10_000], self.tokenizer.encode_batch_fast(rest[at : at + 10_000], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str], group: int = 1 << 22) -> Iterator[bytes]:
+    def encode(self, texts: list[str], group: int = 1 << 24) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text. Texts are taken in groups of about ``group`` characters."""
         lo = 0
         while lo < len(texts):
             hi, held, cut = lo, 0, []
-            while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= group):
-                t = texts[hi]
-                cut.append([w for w in _SPACE.split(t) if w] if _SEPARATORS.search(t) else t.split())
-                held += len(t)
-                hi += 1
-            words = set().union(*cut)
-            if len(self.known) > CACHE_WORDS:
-                self.known = {w: self.known[w] for w in words & self.known.keys()}
-            self._learn([w for w in words if w not in self.known])
-            known = self.known.__getitem__
-            for words_of in cut:
-                yield b"".join(map(known, words_of))
+            with paused_gc():
+                while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= group):
+                    t = texts[hi]
+                    cut.append([w for w in _SPACE.split(t) if w] if _SEPARATORS.search(t) else t.split())
+                    held += len(t)
+                    hi += 1
+                words = set().union(*cut)
+                if len(self.known) > CACHE_WORDS:
+                    self.known = {w: self.known[w] for w in words & self.known.keys()}
+                self._learn([w for w in words if w not in self.known])
+                known = self.known.__getitem__
+                done = [b"".join(map(known, words_of)) for words_of in cut]
+            yield from done
             lo = hi
 
 
@@ -126,7 +127,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True) -> DataFrame:
     """The pieces of each row's whole ``text``: doc_id, piece, start, length, ids_crc32 and, if asked for, the ``ids``. The
     tokenizer's file has to be at ``tokenizer_path`` wherever tasks run."""
-    arrow_batches(docs.sparkSession, rows=2500)
+    arrow_batches(docs.sparkSession, rows=5000, size=16 << 20)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     end = int(end_id).to_bytes(4, "little")
 
