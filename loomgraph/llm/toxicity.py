@@ -209,7 +209,8 @@ class Network:
         return grad, dx
 
     def score(self, logits: np.ndarray) -> np.ndarray:
-        return _sig(np.clip(self.scale * logits + self.shift, -30, 30)) if self.fitted else np.zeros(len(logits))
+        # Rounded, as the last digits of a product may differ from batch to batch.
+        return np.round(_sig(np.clip(self.scale * logits + self.shift, -30, 30)), 5) if self.fitted else np.zeros(len(logits))
 
 
 class Scorer:
@@ -237,6 +238,7 @@ class Scorer:
     def logits(self, texts: list[str], group: int = 200_000) -> np.ndarray:
         """The greatest logit of the windows of each text. Texts are taken in groups of about ``group`` words; a longer
         text is a group of its own and goes through in pieces that overlap by a window."""
+        group = max(1, group // STRIDE) * STRIDE  # so that a text has the same windows in one piece as in many
         out = np.full(len(texts), self.NOTHING)
         ids: list[np.ndarray] = []
         owner: list[int] = []
@@ -244,9 +246,9 @@ class Scorer:
         for i, text in enumerate(texts):
             words = text.replace("\x00", " ").split()
             for lo in range(0, len(words), group):
-                piece = words[lo : lo + group + WINDOW]
-                if lo and len(piece) <= WINDOW:
-                    break  # the piece before has read these words
+                piece = words[lo : lo + group + WINDOW - STRIDE]
+                if lo and len(piece) <= WINDOW - STRIDE:
+                    break  # the windows of the piece before have read these words
                 if held and held + len(piece) > group:
                     self._flush(ids, owner, out)
                     ids, owner, held = [], [], 0
