@@ -8,8 +8,8 @@ full sets.
 Documents with equal sets are one class, whose smallest doc_id goes through banding for all of them. Within a band's bucket no
 pairs are made up front: every member is compared with one of the bucket, another in each band, which joins most groups of near copies.
 Only buckets whose members are then still in different components are looked at again: if the pairs between their components
-are few (linear in the bucket's size) all of those are compared, else members in turn are compared with the rest until
-nothing is left to compare. So no candidate is dropped, and no step makes a number of rows that grows with the square of a
+are at most a fixed number for each member, all of those are compared, each in the first bucket that both share; else members
+in turn are compared with the rest until nothing is left to compare. So no candidate is dropped, and no step makes a number of rows that grows with the square of a
 group. Components are found by spreading the smallest id along links with shortcuts, as joins.
 
 Defined results: null, empty and wordless texts have the empty set and are linked with nothing (their component is their own
@@ -36,7 +36,7 @@ UNIVERSE_BITS = 20
 #: Ids that are broadcast at most (8 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Pairs between components of a bucket, for each of its members, that are compared at once.
-PAIRS_PER_MEMBER = 32
+PAIRS_PER_MEMBER = 1024
 
 _ODD = np.uint64(0xD1342543DE82EF95)
 
@@ -187,9 +187,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR
         rest = settled(here.where(F.col("turn") > F.col("last")).join(left, "bucket").drop("last"))
         found = None
         if True in kinds:
-            x = rest.where("few")
-            y = x.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            at_once = x.join(y, "bucket").where("comp != comp2 and id < id2").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("id2").alias("b"), F.col("n2").alias("nb"))
+            # A pair that shares many buckets is made in the first of them only.
+            x = rest.where("few").join(sketch.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), "id")
+            y = x.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("bands").alias("bands2"))
+            sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * similar
+            once = x.join(y, "bucket").where((F.col("comp") != F.col("comp2")) & (F.col("id") < F.col("id2")) & sized & (F.array_min(F.array_intersect("bands", "bands2")) == F.col("bucket")))
+            at_once = once.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("id2").alias("b"), F.col("n2").alias("nb"))
             found = verified(at_once)
         if False in kinds:
             slow, last = against_first(rest.where("not few"))
