@@ -263,7 +263,7 @@ ORACLE = {
         near AS (SELECT name, sp, a.* FROM cap JOIN (SELECT * FROM adj_all WHERE place <= 100) a ON a.source_entity_id = cap.entity_id WHERE a.place <= most),
         once AS (SELECT name, source_entity_id AS source, target_entity_id AS target, relation_type AS label, min((sp, place)) AS o FROM near GROUP BY ALL)
         SELECT name, source, target, label FROM once QUALIFY row_number() OVER (PARTITION BY name ORDER BY o, target, label) <= 100""",
-    "evaluate_search": rf"""WITH {TURNS}, {POST}, words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark), relevant AS (SELECT DISTINCT item_id, turn_uid FROM words JOIN post USING (term) WHERE length(term) >= 10),
+    "evaluate_search": rf"""WITH {TURNS}, {POST}, words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark), relevant AS (SELECT DISTINCT item_id, turn_uid FROM words JOIN post USING (term) WHERE length(term) >= 7),
         {_search(10)}, ranked AS (SELECT query_id AS item_id, turn_uid, row_number() OVER (PARTITION BY query_id ORDER BY lexical_raw DESC, turn_uid) AS rank FROM hits),
         n AS (SELECT item_id, count(*) AS n FROM relevant GROUP BY ALL), k(k) AS (VALUES (1), (5), (10)),
         j AS (SELECT r.item_id, k, any_value(n) AS n, count(*) FILTER (rank <= k) AS found, min(rank) AS best, sum(CASE WHEN rank <= k THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END) AS dcg FROM relevant r JOIN n USING (item_id) CROSS JOIN k LEFT JOIN ranked USING (item_id, turn_uid) GROUP BY ALL)

@@ -270,8 +270,8 @@ def subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's texts as examples: relevant are turns that hold one of its words of ten letters or more."""
-    words = F.array_distinct(F.filter(X.search_terms(F.col("text")), lambda w: F.char_length(w) >= 10))
+    """The benchmark's texts as examples: relevant are turns that hold one of its words of seven letters or more."""
+    words = F.array_distinct(F.filter(X.search_terms(F.col("text")), lambda w: F.char_length(w) >= 7))
     asked = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"), F.explode_outer(words).alias("term"))
     hits = asked.join(lexical.postings(_uid_turns(spark, sf_dir)).select("term", "turn_uid"), "term")
     return hits.groupBy("item_id", "query").agg(F.array_sort(F.collect_set("turn_uid")).alias("relevant_turn_uids")).select(F.col("item_id").alias("example_id"), "query", F.lit(None).cast("string").alias("conversation_id"), "relevant_turn_uids")
