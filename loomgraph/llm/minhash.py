@@ -81,18 +81,26 @@ class Circulant:
             out[first:last] = np.minimum(out[first:last], np.minimum.reduceat(self.circle[at[lo:hi]], cut, axis=0))
         return out
 
-    def bands(self, sets: list[np.ndarray]) -> np.ndarray:
-        sig = self.signatures(sets).reshape(len(sets), BANDS, ROWS).astype(np.uint64)
-        h = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD + np.zeros((len(sets), 1), np.uint64)
+    @staticmethod
+    def bands(signatures: np.ndarray) -> np.ndarray:
+        sig = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+        h = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD + np.zeros((len(sig), 1), np.uint64)
         for r in range(ROWS):
             h = mix64((h ^ sig[:, :, r]) * _ODD)
         return h.view(np.int64)
 
 
+def least_agreement(similar: int) -> int:
+    """How many coordinates of linked sets agree, but for a chance of some 2 in 100 million."""
+    k, j = BANDS * ROWS, similar / 100
+    return int(k * j - 5.5 * (k * j * (1 - j)) ** 0.5)
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, bands): the set's size, 128 bits that stand for the set, and its band hashes."""
+    """(doc_id, n_shingles, f1, f2, bands, coordinates): the set's size, 128 bits that stand for the set, its band hashes, and
+    the low bytes of its signature."""
     arrow_batches(docs.sparkSession)
-    names = ["doc_id", "n_shingles", "f1", "f2", "bands"]
+    names = ["doc_id", "n_shingles", "f1", "f2", "bands", "coordinates"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = Circulant()
@@ -102,13 +110,14 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             f1 = np.array([np.sum(mix64(s)) for s in sets], np.uint64)
             f2 = np.array([np.sum(mix64(s * _ODD)) for s in sets], np.uint64)
             full = np.flatnonzero(n)
-            values = circulant.bands([sets[i] for i in full])
-            ends = np.cumsum(np.concatenate([[0], (n > 0) * BANDS]))
+            signatures = circulant.signatures([sets[i] for i in full])
+            ends = np.cumsum(np.concatenate([[0], n > 0]))
             arrays = [batch.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))]
-            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.ravel())))
+            for values in (circulant.bands(signatures), signatures.astype(np.uint8).view(np.int8)):
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends * values.shape[1], pa.int32()), pa.array(values.ravel())))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("doc_id", F.col("text").alias("_llm_text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.select("doc_id", F.col("text").alias("_llm_text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, coordinates array<tinyint>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -188,10 +197,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR
         found = None
         if True in kinds:
             # A pair that shares many buckets is made in the first of them only.
-            x = rest.where("few").join(sketch.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), "id")
-            y = x.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("bands").alias("bands2"))
+            # Nor is it, if its signatures agree far less (5.5 standard deviations) than those of linked sets do.
+            x = rest.where("few").join(sketch.select(F.col("doc_id").alias("id"), "bands", "coordinates").dropDuplicates(["id"]), "id")
+            y = x.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("bands").alias("bands2"), F.col("coordinates").alias("coordinates2"))
+            agree = F.size(F.filter(F.zip_with("coordinates", "coordinates2", lambda p, q: p == q), lambda same: same))
             sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * similar
-            once = x.join(y, "bucket").where((F.col("comp") != F.col("comp2")) & (F.col("id") < F.col("id2")) & sized & (F.array_min(F.array_intersect("bands", "bands2")) == F.col("bucket")))
+            once = x.join(y, "bucket").where((F.col("comp") != F.col("comp2")) & (F.col("id") < F.col("id2")) & sized & (F.array_min(F.array_intersect("bands", "bands2")) == F.col("bucket")) & (agree >= least_agreement(similar)))
             at_once = once.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("id2").alias("b"), F.col("n2").alias("nb"))
             found = verified(at_once)
         if False in kinds:
