@@ -371,6 +371,19 @@ def test_html(spark):
     assert html_extract.extract(nothing, html_extract.infer_wrappers(nothing)).count() == 0
 
 
+def extracted(spark, htmls):
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extract.extract(pages, html_extract.infer_wrappers(pages)).collect()}
+
+
+def test_html_static_slots_are_counted_over_all_pages(spark):
+    quote = lambda i: f"<blockquote>Quote {i}</blockquote>" if i % 20 == 7 else ""
+    got = extracted(spark, [f"<div><p>First {i}</p><p>Second {i}</p>{quote(i)}</div><h6>All rights reserved</h6>" for i in range(60)])
+    assert got == {i: f"First {i}\nSecond {i}" + (f"\nQuote {i}" if quote(i) else "") for i in range(60)}
+    # What few pages share, and copies of one page, are not static.
+    assert set(extracted(spark, ["<p>Same</p><div>text</div>"] * 9).values()) == {"Same\ntext"}
+
+
 def test_wrapper_is_union_free():
     w = html_extract.infer(["<ul><li>a</li></ul><p>x</p>", "<ul><li>a</li><li>b</li></ul><h2>t</h2><p>y</p><p>z</p>"])
     kinds = {n[0] for n in w.nodes if isinstance(n, tuple)}
