@@ -384,6 +384,25 @@ def test_html_static_slots_are_counted_over_all_pages(spark):
     assert set(extracted(spark, ["<p>Same</p><div>text</div>"] * 9).values()) == {"Same\ntext"}
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<div class="layout has-sidebar"><article><p>A</p></article></div>', "A"),
+        ('<div class="no-sidebar content"><p>A</p></div>', "A"),
+        ('<div class="page-with-header"><article>A</article></div>', "A"),
+        ('<div class="layout sidebar"><article>A</article></div>', "A"),
+        ('<div class="header"><nav>N</nav><main>A</main></div>', "A"),
+        ('<div role="navigation"><article>N</article></div><p>A</p>', "A"),
+        ('<article>A<div class="related"><article>R</article></div></article><div class="sidebar"><article>S</article></div>', "A"),
+        *((f'<article><div class="{c}">A</div>B</article>', "A\nB") for c in ("entry-header", "page-header", "side-by-side", "share-price", "form-factor", "note alert", "header")),
+        *((f'<article><div class="x {c}">A</div>B</article>', "B") for c in ("ad", "ad-slot", "Comments", "comment-list", "related-posts", "share-buttons", "site-footer", "newsletter")),
+        *((f'<div id="{c}">A</div><p>B</p>', "B") for c in ("cookie-notice", "site-header", "main-menu", "sidebar", "search-form", "footer_1")),
+    ],
+)
+def test_html_class_words(html, want):
+    assert html_extract.main_text(html, html_extract.Wrapper()) == want
+
+
 def test_wrapper_is_union_free():
     w = html_extract.infer(["<ul><li>a</li></ul><p>x</p>", "<ul><li>a</li><li>b</li></ul><h2>t</h2><p>y</p><p>z</p>"])
     kinds = {n[0] for n in w.nodes if isinstance(n, tuple)}
