@@ -384,6 +384,17 @@ def test_html_static_slots_are_counted_over_all_pages(spark):
     assert set(extracted(spark, ["<p>Same</p><div>text</div>"] * 9).values()) == {"Same\ntext"}
 
 
+def test_html_wrapper_drops_static_slots_of_articles(spark):
+    news = lambda i: f"<div>News of day {i}</div>" if i % 3 else ""
+    line = lambda i: "<div>Get our letter</div>" if i % 2 else "<section>Follow us</section>"
+    body = lambda i: "".join(f"<p>Text {i} {k}</p>" for k in range(1 + i % 4))
+    got = extracted(spark, [f"<article><h5>Read with care</h5><h1>Title {i}</h1>{news(i)}{body(i)}{line(i)}</article>" for i in range(48)])
+    for i, text in got.items():
+        assert text == "\n".join(filter(None, [f"Title {i}", news(i)[5:-6], *(f"Text {i} {k}" for k in range(1 + i % 4))]))
+    # Too few pages to tell.
+    assert set(extracted(spark, [f"<article><h1>Title</h1><p>Text {i}</p></article>" for i in range(7)]).values()) == {f"Title\nText {i}" for i in range(7)}
+
+
 @pytest.mark.parametrize(
     "html, want",
     [
