@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import arrow_batches, map_batches, pick_sample, texts_of
 from loomgraph.llm.lang_id import _BLANKS, ngram_buckets
 
-WINDOW, STRIDE = 16, 12
+WINDOW, STRIDE = 16, 4
 BITS = 16
 GRAMS = (3, 4, 5)
 WORD_DIM = CHAR_DIM = 8

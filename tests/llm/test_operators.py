@@ -64,6 +64,13 @@ def test_language_id(spark):
     assert np.allclose(model.raw(data), model.raw(data, step=97))
 
 
+def test_any_thirteen_words_lie_whole_in_a_window():
+    for n in range(1, 120):
+        starts = toxicity.window_starts(n)
+        phrase = min(n, 13)
+        assert all(any(s <= at and at + phrase <= s + toxicity.WINDOW for s in starts) for at in range(n - phrase + 1))
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     bad = ["moron", "idiot", "scum"]
