@@ -200,8 +200,20 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
             f = fill[giver]
             own = bins[giver]
             room = free[[at[b] for b in item_bin]] if len(item) else np.zeros(0, np.int64)
-            gives = [((i,), size[i]) for i in own]
-            gives += [((own[x], own[y]), size[own[x]] + size[own[y]]) for x in range(len(own)) for y in range(x + 1, len(own))] if len(own) <= 64 else []
+            # What is given counts by its length alone, so the first two pieces of a length and the first pair of a sum do for all.
+            seen: dict[int, int] = {}
+            first_two = []
+            for i in own:
+                seen[size[i]] = seen.get(size[i], 0) + 1
+                if seen[size[i]] <= 2:
+                    first_two.append(i)
+            ones: dict[int, tuple[int, ...]] = {}
+            twos: dict[int, tuple[int, ...]] = {}
+            for x, i in enumerate(first_two):
+                ones.setdefault(size[i], (i,))
+                for j in first_two[x + 1 :]:
+                    twos.setdefault(size[i] + size[j], (i, j))
+            gives = [(which, s) for found in (ones, twos) for s, which in found.items()]
             for which, s in gives:
                 if len(which) == 1:
                     k = np.where(free >= s, free, capacity + 1).argmin()

@@ -151,6 +151,14 @@ def test_word_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_packing_exchanges_two_for_one_from_bins_of_many_pieces():
+    # No piece of the first bin fits elsewhere, nor goes for a smaller one; but two of 3 go for one of 4.
+    lengths = np.array([3] * 66 + [394, 4] * 100, np.int64)
+    bins = packing.improve([list(range(66)), *([k, k + 1] for k in range(66, 266, 2))], lengths, 400)
+    fills = [int(lengths[b].sum()) for b in bins]
+    assert sorted(i for b in bins for i in b) == list(range(266)) and max(fills) == 400 and fills.count(400) == 33
+
+
 def test_packing(spark):
     values = texts() + ["one two three four five six " * 900]
     docs = table(spark, values, extra=True)
