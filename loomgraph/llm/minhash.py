@@ -8,7 +8,8 @@ full sets.
 Documents with equal sets are one class, whose smallest doc_id goes through banding for all of them. Within a band's bucket no
 pairs are made up front: every member is compared with one of the bucket, another in each band, which joins most groups of near copies.
 Only buckets whose members are then still in different components are looked at again: if the pairs between their components
-are at most a fixed number for each member, all of those are compared, each in the first bucket that both share; else members
+are at most a fixed number for each member, all of those (and none within a component) are compared, each in the first bucket
+that both share; else members
 in turn are compared with the rest until nothing is left to compare. So no candidate is dropped, and no step makes a number of rows that grows with the square of a
 group. Components are found by spreading the smallest id along links with shortcuts, as joins.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import arrow_batches, mix64, settled, word_hashes
@@ -37,6 +38,8 @@ UNIVERSE_BITS = 20
 BROADCAST_IDS = 1_000_000
 #: Pairs between components of a bucket, for each of its members, that are compared at once.
 PAIRS_PER_MEMBER = 1024
+#: Members of a component that meet others in one task.
+PART = 4096
 
 _ODD = np.uint64(0xD1342543DE82EF95)
 
@@ -153,6 +156,22 @@ def connected_components(links: DataFrame) -> DataFrame:
         label = moved
 
 
+def across(rest: DataFrame, likely: Column) -> DataFrame:
+    """Pairs of ``rest(bucket, id, comp, ...)`` in one bucket and different components that are ``likely``; the columns of one
+    of the two have a 2 behind their names. Pairs within a component are not visited: members alone in theirs are joined with
+    each other, and larger components are met as one row each before their members are, in parts of PART members or so."""
+    sizes = settled(rest.groupBy("bucket", "comp").agg(F.count("*").alias("k")))
+    x = rest.join(sizes, ["bucket", "comp"]).withColumn("parts", F.ceil(F.col("k") / PART))
+    y = x.select("bucket", *[F.col(c).alias(f"{c}2") for c in x.columns if c != "bucket"]).withColumn("part2", F.pmod(F.xxhash64("id2"), F.col("parts2")))
+    alone = x.where("k = 1").join(y.where("k2 = 1"), "bucket").where((F.col("id") < F.col("id2")) & likely)
+    large = sizes.where("k > 1").select("bucket", F.col("comp").alias("comp2"), F.col("k").alias("_k2"))
+    # Of two components the members of the smaller one look for those of the larger one.
+    looking = x.join(large, "bucket").where("k < _k2 or k = _k2 and comp < comp2")
+    looking = looking.withColumn("part2", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_k2") / PART) - 1))).drop("_k2")
+    met = looking.join(y.where("k2 > 1"), ["bucket", "comp2", "part2"]).where(likely)
+    return alone.select("bucket", "id", "n", "id2", "n2").unionByName(met.select("bucket", "id", "n", "id2", "n2"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``: documents are linked where
     100 * |intersection| >= ``similar`` * |union| of their shingle sets; the smallest doc_id of a component is kept."""
@@ -196,15 +215,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR
         rest = settled(here.where(F.col("turn") > F.col("last")).join(left, "bucket").drop("last"))
         found = None
         if True in kinds:
+            x = rest.where("few").join(sketch.select(F.col("doc_id").alias("id"), "bands", "coordinates").dropDuplicates(["id"]), "id")
             # A pair that shares many buckets is made in the first of them only.
             # Nor is it, if its signatures agree far less (5.5 standard deviations) than those of linked sets do.
-            x = rest.where("few").join(sketch.select(F.col("doc_id").alias("id"), "bands", "coordinates").dropDuplicates(["id"]), "id")
-            y = x.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("bands").alias("bands2"), F.col("coordinates").alias("coordinates2"))
             agree = F.size(F.filter(F.zip_with("coordinates", "coordinates2", lambda p, q: p == q), lambda same: same))
             sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * similar
-            once = x.join(y, "bucket").where((F.col("comp") != F.col("comp2")) & (F.col("id") < F.col("id2")) & sized & (F.array_min(F.array_intersect("bands", "bands2")) == F.col("bucket")) & (agree >= least_agreement(similar)))
-            at_once = once.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("id2").alias("b"), F.col("n2").alias("nb"))
-            found = verified(at_once)
+            likely = sized & (F.array_min(F.array_intersect("bands", "bands2")) == F.col("bucket")) & (agree >= least_agreement(similar))
+            found = verified(across(x, likely).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("id2").alias("b"), F.col("n2").alias("nb")))
         if False in kinds:
             slow, last = against_first(rest.where("not few"))
             last, linked = settled(last), verified(slow)

@@ -294,6 +294,16 @@ def test_near_duplicates_one_pair_at_a_time(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2).collect()} == dict(enumerate(comp))
 
 
+def test_pairs_within_a_component_are_not_visited(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 16)
+    comps = [0] * 50 + [50] * 7 + list(range(57, 62))
+    rest = spark.createDataFrame([(b, i, 1, c) for b in (1, 2) for i, c in enumerate(comps)], "bucket long, id long, n long, comp long")
+    apart = F.when(F.col("comp") == F.col("comp2"), F.raise_error(F.lit("a pair within a component"))).otherwise(F.lit(True))
+    visited = minhash.across(rest, apart).collect()
+    want = {(b, i, j) for b in (1, 2) for i in range(62) for j in range(i) if comps[i] != comps[j]}
+    assert sorted((r["bucket"], max(r["id"], r["id2"]), min(r["id"], r["id2"])) for r in visited) == sorted(want)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
