@@ -5,13 +5,13 @@ hash over a fixed universe, the second gives values there, and coordinate k look
 that all coordinates of a shingle are one slice of a table. Bands of coordinates make candidates; links are confirmed on
 full sets.
 
-Documents with equal sets are one class, whose smallest doc_id goes through banding for all of them. Within a band's bucket no
-pairs are made up front: every member is compared with one of the bucket, another in each band, which joins most groups of near copies.
-Only buckets whose members are then still in different components are looked at again: if the pairs between their components
-are at most a fixed number for each member, all of those (and none within a component) are compared, each in the first bucket
-that both share; else members
-in turn are compared with the rest until nothing is left to compare. So no candidate is dropped, and no step makes a number of rows that grows with the square of a
-group. Components are found by spreading the smallest id along links with shortcuts, as joins.
+Documents with equal sets are one class, whose smallest doc_id goes through banding for all of them. Every member of a band's
+bucket is compared with one of its members, another in each band; that joins most groups of near copies, with one pair for
+each member. Buckets whose other members are then still in different components are compared in full, but never as rows of
+pairs: those with the same largest component form a group, the members outside of that component are dealt into blocks of
+bounded size, and so is the component. A task gets the sets of two blocks, counts all intersections at once, and returns no
+more than the links that join components there. Pairs within a component are not looked at, and no candidate is dropped.
+Components are found by spreading the smallest id along links with shortcuts, as joins.
 
 Defined results: null, empty and wordless texts have the empty set and are linked with nothing (their component is their own
 id); fewer words than a shingle make one shingle of all of them; very long texts are ordinary; repeated rows get the same
@@ -36,10 +36,12 @@ BANDS, ROWS = 40, 6
 UNIVERSE_BITS = 20
 #: Ids that are broadcast at most (8 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Pairs between components of a bucket, for each of its members, that are compared at once.
-PAIRS_PER_MEMBER = 1024
-#: Members of a component that meet others in one task.
-PART = 4096
+#: Sets, and shingles of all of them (but for a single larger set), in one block.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
+#: Rows of buckets with the same largest component that make one group; beyond that each bucket is a group.
+GROUP_ROWS = 100_000
+#: Cells of the tables of members by shingles that a comparison holds at a time.
+TABLE_CELLS = 1 << 22
 
 _ODD = np.uint64(0xD1342543DE82EF95)
 
@@ -93,17 +95,10 @@ class Circulant:
         return h.view(np.int64)
 
 
-def least_agreement(similar: int) -> int:
-    """How many coordinates of linked sets agree, but for a chance of some 2 in 100 million."""
-    k, j = BANDS * ROWS, similar / 100
-    return int(k * j - 5.5 * (k * j * (1 - j)) ** 0.5)
-
-
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, bands, coordinates): the set's size, 128 bits that stand for the set, its band hashes, and
-    the low bytes of its signature."""
+    """(doc_id, n_shingles, f1, f2, bands): the set's size, 128 bits that stand for the set, and its band hashes."""
     arrow_batches(docs.sparkSession)
-    names = ["doc_id", "n_shingles", "f1", "f2", "bands", "coordinates"]
+    names = ["doc_id", "n_shingles", "f1", "f2", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = Circulant()
@@ -113,14 +108,13 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             f1 = np.array([np.sum(mix64(s)) for s in sets], np.uint64)
             f2 = np.array([np.sum(mix64(s * _ODD)) for s in sets], np.uint64)
             full = np.flatnonzero(n)
-            signatures = circulant.signatures([sets[i] for i in full])
-            ends = np.cumsum(np.concatenate([[0], n > 0]))
+            bands = circulant.bands(circulant.signatures([sets[i] for i in full]))
+            ends = np.cumsum(np.concatenate([[0], n > 0])) * BANDS
             arrays = [batch.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))]
-            for values in (circulant.bands(signatures), signatures.astype(np.uint8).view(np.int8)):
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends * values.shape[1], pa.int32()), pa.array(values.ravel())))
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.ravel())))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("doc_id", F.col("text").alias("_llm_text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, coordinates array<tinyint>")
+    return docs.select("doc_id", F.col("text").alias("_llm_text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -142,9 +136,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, comp) of every id in ``links(a, b)``; comp is the smallest id that it is linked with, over any number of steps."""
     both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("comp"))
+    label = settled(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("comp")))
     while True:
-        label = settled(label.select("id", "comp"))
         theirs = both.join(label.select(F.col("id").alias("b"), F.col("comp").alias("low")), "b").select(F.col("a").alias("id"), "low", F.lit(None).cast("long").alias("was"))
         own = label.select("id", F.col("comp").alias("low"), F.col("comp").alias("was"))
         near = theirs.unionByName(own).groupBy("id").agg(F.min("low").alias("comp"), F.max("was").alias("was"))
@@ -152,24 +145,96 @@ def connected_components(links: DataFrame) -> DataFrame:
         ahead = label.select(F.col("id").alias("comp"), F.col("comp").alias("ahead"))
         moved = settled(near.join(ahead, "comp", "left").select("id", "was", F.least("comp", "ahead").alias("comp")))
         if not moved.where("was != comp").limit(1).count():
-            return label
+            return label.select("id", "comp")
         label = moved
 
 
-def across(rest: DataFrame, likely: Column) -> DataFrame:
-    """Pairs of ``rest(bucket, id, comp, ...)`` in one bucket and different components that are ``likely``; the columns of one
-    of the two have a 2 behind their names. Pairs within a component are not visited: members alone in theirs are joined with
-    each other, and larger components are met as one row each before their members are, in parts of PART members or so."""
-    sizes = settled(rest.groupBy("bucket", "comp").agg(F.count("*").alias("k")))
-    x = rest.join(sizes, ["bucket", "comp"]).withColumn("parts", F.ceil(F.col("k") / PART))
-    y = x.select("bucket", *[F.col(c).alias(f"{c}2") for c in x.columns if c != "bucket"]).withColumn("part2", F.pmod(F.xxhash64("id2"), F.col("parts2")))
-    alone = x.where("k = 1").join(y.where("k2 = 1"), "bucket").where((F.col("id") < F.col("id2")) & likely)
-    large = sizes.where("k > 1").select("bucket", F.col("comp").alias("comp2"), F.col("k").alias("_k2"))
-    # Of two components the members of the smaller one look for those of the larger one.
-    looking = x.join(large, "bucket").where("k < _k2 or k = _k2 and comp < comp2")
-    looking = looking.withColumn("part2", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_k2") / PART) - 1))).drop("_k2")
-    met = looking.join(y.where("k2 > 1"), ["bucket", "comp2", "part2"]).where(likely)
-    return alone.select("bucket", "id", "n", "id2", "n2").unionByName(met.select("bucket", "id", "n", "id2", "n2"))
+def joined_components(comp: np.ndarray, right: np.ndarray, within: bool, values: np.ndarray, begins: np.ndarray, similar: int) -> list[tuple[int, int]]:
+    """Of sets ``values[begins[i] : begins[i + 1]]`` in components ``comp``: pairs of components that a link joins, no more than
+    it takes to join them. Compared are the sets on the right with those on the left, and ``within`` with each other too."""
+    size = np.diff(begins)
+    rows, cols = (np.arange(len(comp)) if within else np.flatnonzero(~right)), np.flatnonzero(right)
+    may = (comp[rows][:, None] != comp[cols]) & (np.minimum(size[rows][:, None], size[cols]) * 100 >= np.maximum(size[rows][:, None], size[cols]) * similar)
+    if not may.any():
+        return []
+    # Only sets that may be linked with any by their sizes, and only shingles that two sets have.
+    rows, cols, may = rows[may.any(axis=1)], cols[may.any(axis=0)], may[may.any(axis=1)][:, may.any(axis=0)]
+    used = np.zeros(len(comp), bool)
+    used[rows] = used[cols] = True
+    owner = np.repeat(np.arange(len(comp)), size)
+    owner, values = owner[used[owner]], values[used[owner]]
+    _, code, times = np.unique(values, return_inverse=True, return_counts=True)
+    owner, code = owner[times[code] > 1], code[times[code] > 1]
+    _, code = np.unique(code, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    common = np.zeros(may.shape, np.float32)
+    width = max(64, TABLE_CELLS // max(1, int(used.sum())))
+    place = np.cumsum(used) - 1
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        first, last = np.searchsorted(code, [lo, lo + width])
+        has = np.zeros((int(used.sum()), min(width, int(code[-1]) + 1 - lo)), np.float32)
+        has[place[owner[first:last]], code[first:last] - lo] = 1
+        common += has[place[rows]] @ has[place[cols]].T
+    both = common.astype(np.int64)
+    x, y = np.nonzero(may & (both * 100 >= (size[rows][:, None] + size[cols] - both) * similar))
+    pairs = np.unique(np.sort(np.stack([comp[rows[x]], comp[cols[y]]], axis=1), axis=1), axis=0).tolist()
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in above:
+            c = above[c]
+        return c
+
+    found = []
+    for a, b in pairs:
+        p, q = sorted((top(a), top(b)))
+        if p != q:
+            above[q] = p
+            found.append((a, b))
+    return found
+
+
+def _blocks_compared(rest: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b): links between components of ``rest(bucket, id, n, comp)`` that join all those which a link between members of
+    one bucket joins."""
+    parts = rest.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    open_ = parts.groupBy("bucket").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("top")).where("comps > 1")
+    dealt = settled(rest.join(open_.select("bucket", "top"), "bucket"))
+    # Members of buckets whose largest component is the same meet in one group, so that one that they share is not compared in each.
+    rows_of = dealt.groupBy("top").agg(F.count("*").alias("rows"))
+    grouped = dealt.join(rows_of, "top").select("top", F.when(F.col("rows") > GROUP_ROWS, F.col("bucket")).otherwise(F.lit(0)).alias("part"), "id", "n", "comp").distinct()
+    grouped = settled(grouped.withColumn("inner", F.col("comp") == F.col("top")))
+
+    def blocks(inner: bool) -> Column:
+        mine = F.col("inner") if inner else ~F.col("inner")
+        return F.greatest(F.lit(1), F.ceil(F.count_if(mine) / BLOCK_SETS), F.ceil(F.sum(F.when(mine, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
+
+    shape = grouped.groupBy("top", "part").agg(blocks(True).alias("inner_blocks"), blocks(False).alias("blocks"))
+    placed = grouped.join(shape, ["top", "part"])
+    at = F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("inner_blocks")).otherwise(F.col("blocks"))).cast("int")
+    placed = placed.withColumn("at", at)
+    # Cells (0, x, y): block x of the component with block y of the others; (1, x, y): blocks x < y of the others.
+    cell = lambda kind, x, y, right: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), F.lit(right).alias("right"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    met = F.transform(upto(F.col("blocks")), lambda y: cell(0, F.col("at"), y, False))
+    own = F.transform(upto(F.col("inner_blocks")), lambda x: cell(0, x, F.col("at"), True))
+    before = F.transform(F.filter(upto(F.col("blocks")), lambda x: x < F.col("at")), lambda x: cell(1, x, F.col("at"), True))
+    behind = F.transform(F.filter(upto(F.col("blocks")), lambda y: y > F.col("at")), lambda y: cell(1, F.col("at"), y, False))
+    cells = placed.select("top", "part", "id", "comp", F.explode(F.when(F.col("inner"), met).otherwise(F.concat(own, before, behind))).alias("c"))
+    rows = cells.join(sets, "id").select("top", "part", "c.kind", "c.x", "c.y", "c.right", "comp", "set")
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        held = table.column("set").combine_chunks()
+        begins = held.offsets.to_numpy().astype(np.int64)
+        values = held.values.to_numpy(zero_copy_only=False)[begins[0] : begins[-1]]
+        # The first block of the component has the others of each block meet each other.
+        within = table.column("kind")[0].as_py() == 0 and table.column("x")[0].as_py() == 0
+        found = joined_components(table.column("comp").to_numpy(), table.column("right").to_numpy(), within, values, begins - begins[0], similar)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("top", "part", "kind", "x", "y").applyInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
@@ -180,62 +245,25 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR
     classes = settled(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")))
     firsts = real.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     rows = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("bucket")
     # Each bucket has an order of its own, so that its first member is another one in each band that a group shares.
-    members = settled(rows.join(shared, "bucket").withColumn("turn", F.xxhash64("bucket", "id")))
+    turn = F.xxhash64("bucket", "id")
+    first = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("id", turn).alias("first"), F.min_by("n", turn).alias("first_n")).where("low != high")
+    members = settled(rows.join(first.drop("low", "high"), "bucket"))
     sets = settled(_sets_of(docs, members.select("id").distinct(), size))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among ``pairs(a, na, b, nb)``; those whose sizes alone rule it out are not looked up."""
-        few = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        with_a = few.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-        with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return settled(with_b.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * similar).select("a", "b"))
-
-    def against_first(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of ``rest(bucket, turn, id, n, comp)`` each bucket's first member, and its pairs with those of other components."""
-        first = rest.groupBy("bucket").agg(F.min(F.struct("turn", "id", "n", "comp")).alias("p"))
-        pairs = rest.join(first, "bucket").where("comp != p.comp").select(F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-        return pairs, first.select("bucket", F.col("p.turn").alias("last"))
-
-    pairs, last = against_first(members.withColumn("comp", F.col("id")))
-    last = settled(last)
-    labels = connected_components(verified(pairs))
-    while True:
-        here = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(last, "bucket")
-        parts = here.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.count_if(F.col("turn") > F.col("last")).alias("after"))
-        stats = parts.groupBy("bucket").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("comps"), F.sum("after").alias("after"))
-        # With fewer than two members left after the one compared last, every pair of the bucket has been looked at.
-        few = (F.col("m") * F.col("m") - F.col("squares")) / 2 <= PAIRS_PER_MEMBER * F.col("m")
-        left = settled(stats.where("comps > 1 and after > 1").select("bucket", few.alias("few")))
-        kinds = {r["few"] for r in left.select("few").distinct().collect()}
-        if not kinds:
-            break
-        rest = settled(here.where(F.col("turn") > F.col("last")).join(left, "bucket").drop("last"))
-        found = None
-        if True in kinds:
-            x = rest.where("few").join(sketch.select(F.col("doc_id").alias("id"), "bands", "coordinates").dropDuplicates(["id"]), "id")
-            # A pair that shares many buckets is made in the first of them only.
-            # Nor is it, if its signatures agree far less (5.5 standard deviations) than those of linked sets do.
-            agree = F.size(F.filter(F.zip_with("coordinates", "coordinates2", lambda p, q: p == q), lambda same: same))
-            sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * similar
-            likely = sized & (F.array_min(F.array_intersect("bands", "bands2")) == F.col("bucket")) & (agree >= least_agreement(similar))
-            found = verified(across(x, likely).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("id2").alias("b"), F.col("n2").alias("nb")))
-        if False in kinds:
-            slow, last = against_first(rest.where("not few"))
-            last, linked = settled(last), verified(slow)
-            found = linked if found is None else found.unionByName(linked)
-        # New links join components, of which there are fewer than documents.
-        of = labels.select("id", "comp")
-        named = found.join(of.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        joined = settled(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct())
-        if joined.limit(1).count():
-            above = connected_components(joined).select(F.col("id").alias("old"), F.col("comp").alias("new"))
-            known = of.unionByName(joined.select(F.col("a").alias("id"), F.col("a").alias("comp"))).unionByName(joined.select(F.col("b").alias("id"), F.col("b").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
-            labels = settled(known.join(above, F.col("comp") == F.col("old"), "left").select("id", F.coalesce("new", "comp").alias("comp")))
-        if False not in kinds:
-            break
+    rest = members.where("id != first")
+    # Pairs whose sizes alone rule a link out are not looked up.
+    pairs = rest.where(F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * similar).select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    labels = connected_components(with_b.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * similar).select("a", "b"))
+    named = rest.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    joined = settled(_blocks_compared(named, sets, similar).distinct())
+    # Those links join components, of which there are fewer than documents.
+    alone = joined.select(F.col("a").alias("id")).unionByName(joined.select(F.col("b").alias("id"))).distinct().select("id", F.col("id").alias("comp"))
+    known = labels.unionByName(alone).groupBy("id").agg(F.min("comp").alias("comp"))
+    above = connected_components(joined).select(F.col("id").alias("comp"), F.col("comp").alias("above"))
+    labels = known.join(above, "comp", "left").select("id", F.coalesce("above", "comp").alias("comp"))
     component = classes.join(labels, "id", "left").select("f1", "f2", F.coalesce("comp", "id").alias("_comp"))
     out = sketch.select("doc_id", "n_shingles", "f1", "f2").join(component, ["f1", "f2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_comp")).otherwise(F.col("doc_id"))

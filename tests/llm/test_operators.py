@@ -278,30 +278,62 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_near_duplicates_one_pair_at_a_time(spark, monkeypatch):
-    """The way of large buckets, whose members are compared in turn, finds the same."""
+@pytest.mark.parametrize("block, group", [(512, 100_000), (3, 100_000), (5, 0)])
+def test_near_duplicates_in_blocks(spark, monkeypatch, block, group):
+    """Short near copies, of which many that share a bucket are no link: however they are dealt, the components are the same."""
     rng = random.Random(7)
     base = [f"w{i}" for i in range(40)]
     values = []
-    for _ in range(14):
+    for _ in range(60):
         w = list(base)
-        for _ in range(rng.randint(1, 4)):
+        for _ in range(rng.randint(1, 5)):
             w[rng.randrange(40)] = f"x{rng.randrange(1000)}"
         values.append(" ".join(w))
-    monkeypatch.setattr(minhash, "PAIRS_PER_MEMBER", 0)
+    monkeypatch.setattr(minhash, "BLOCK_SETS", block)
+    monkeypatch.setattr(minhash, "GROUP_ROWS", group)
     _, comp = brute_components(values, 2)
     df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2).collect()} == dict(enumerate(comp))
 
 
-def test_pairs_within_a_component_are_not_visited(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "PART", 16)
-    comps = [0] * 50 + [50] * 7 + list(range(57, 62))
-    rest = spark.createDataFrame([(b, i, 1, c) for b in (1, 2) for i, c in enumerate(comps)], "bucket long, id long, n long, comp long")
-    apart = F.when(F.col("comp") == F.col("comp2"), F.raise_error(F.lit("a pair within a component"))).otherwise(F.lit(True))
-    visited = minhash.across(rest, apart).collect()
-    want = {(b, i, j) for b in (1, 2) for i in range(62) for j in range(i) if comps[i] != comps[j]}
-    assert sorted((r["bucket"], max(r["id"], r["id2"]), min(r["id"], r["id2"])) for r in visited) == sorted(want)
+def test_two_thousand_short_near_copies(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(30)]
+    values = []
+    for _ in range(2000):
+        w = list(base)
+        for k in rng.sample(range(30), rng.randint(1, 4)):
+            w[k] = f"x{rng.randrange(10**6)}"
+        values.append(" ".join(w))
+    sets = [frozenset(zip(v.split(), v.split()[1:])) for v in values]
+    holders = defaultdict(list)
+    for i, own in enumerate(sets):
+        for x in own:
+            holders[x].append(i)
+    comp = list(range(2000))
+
+    def top(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i in range(2000):
+        for j, both in zip(*np.unique([j for x in sets[i] for j in holders[x] if j > i] or [i], return_counts=True)):
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and top(i) != top(j):
+                a, b = sorted((top(i), top(j)))
+                comp[b] = a
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2).collect()}
+    assert got == {i: top(i) for i in range(2000)} and len(set(got.values())) > 20
+
+
+def test_joined_components():
+    sets = [[1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [2, 3, 4, 5, 6], [10, 11], [10, 11], [1, 2, 3, 4, 6]]
+    values, begins = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    comp, right = np.array([7, 7, 1, 3, 4, 5]), np.array([False, False, True, True, True, True])
+    assert minhash.joined_components(comp, right, False, values, begins, 80) == [(1, 7), (5, 7)]
+    assert minhash.joined_components(comp, right, True, values, begins, 80) == [(1, 7), (3, 4), (5, 7)]
+    assert minhash.joined_components(comp, right, True, values, begins, 100) == [(3, 4)]
 
 
 def test_signatures_estimate_similarity():
