@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import arrow_batches, map_batches, texts_of
+from loomgraph.llm.common import arrow_batches, map_batches, texts_of, worker_table
 
 #: Pieces of text, and pre-tokens, that a task remembers; beyond that it forgets all of them.
 CACHE_PIECES = 700_000
@@ -226,12 +225,6 @@ class Codec:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, np.int32).tolist()))
 
 
-@lru_cache(maxsize=1)
-def _codec(ranks_path: str, pattern: str) -> Codec:
-    """One codec for each Python worker, so that what one task has learnt serves the next."""
-    return Codec(read_ranks(ranks_path), pattern)
-
-
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of each row, with ``ids array<int>`` of the whole ``text`` and ``decoded binary``, the bytes that
     those ids decode to. The file of ranks has to be at ``ranks_path`` wherever tasks run."""
@@ -239,8 +232,10 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str
     source = docs.select(*keep, F.col("text").alias("_llm_text"))
     schema = docs.select(*keep).schema.simpleString()[7:-1] + ",ids array<int>,decoded binary"
 
+    table = ("byte_bpe", ranks_path, pattern)
+
     def make():
-        codec = _codec(ranks_path, pattern)
+        codec = worker_table(table, lambda: Codec(read_ranks(ranks_path), pattern))  # what one task has learnt serves the next
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = codec.encode(texts_of(batch.column("_llm_text")))
@@ -252,4 +247,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str
 
         return work
 
-    return map_batches(source, make, schema)
+    return map_batches(source, make, schema, table)

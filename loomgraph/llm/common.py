@@ -5,8 +5,9 @@ Nothing here keeps state between queries. Everything that runs inside tasks work
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from loomgraph.session import settled, shared_dir
 
-__all__ = ["arrow_batches", "crc_mod", "map_batches", "mix64", "paused_gc", "pick_sample", "segment_hashes", "settled", "shared_dir", "table", "texts_of", "word_hashes"]
+__all__ = ["arrow_batches", "crc_mod", "lean", "map_batches", "mix64", "paused_gc", "pick_sample", "segment_hashes", "settled", "shared_dir", "table", "texts_of", "word_hashes", "worker_table"]
 
 #: Rows of one Arrow batch that carries whole texts. With long texts a batch of this many rows stays a few MB.
 BATCH_ROWS = 1000
@@ -49,12 +50,47 @@ def paused_gc() -> Iterator[None]:
             gc.enable()
 
 
+_HELD: dict[Hashable, object] = {}
+
+
+def worker_table(key: Hashable, make: Callable[[], object]):
+    """What this Python worker keeps from task to task under ``key``; it keeps one such thing, and drops it for the next."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def _drop_tables(but: Hashable) -> None:
+    for key in [k for k in _HELD if k != but]:
+        del _HELD[key]
+
+
+def _release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], table: Hashable = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for Python workers that live on beside an executor's heap, through stages of other operators: before it, a table
+    kept under another key than ``table`` is dropped; after it, free memory goes back to the system."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_tables(table)
+        yield from run(batches)
+        _release_memory()
+
+    return task
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n`` (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str, table: Hashable = None) -> DataFrame:
     """``mapInArrow`` with a per-task set-up: ``make()`` runs once in each task and gives the function for its batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +99,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if batch.num_rows:
                 yield work(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run, table), schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -142,14 +178,25 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return segment_hashes(b, starts, ends), starts
 
 
-def pick_sample(docs: DataFrame, classes: DataFrame, per_class: int, max_chars: int) -> list:
-    """At most ``per_class`` documents of each value of ``class`` in ``classes(doc_id, class)``, whose texts have 1 to
-    ``max_chars`` code points, in the order of a hash of doc_id: the bounded sample that a classifier is fitted on. The first
-    pass moves ids only, the second reads the texts of the ids chosen. Rows: (doc_id, text, class)."""
-    sized = docs.where(F.col("doc_id").isNotNull() & F.length("text").between(1, max_chars)).select("doc_id")
-    keys = sized.join(classes.where(F.col("class").isNotNull()).select("doc_id", "class"), "doc_id").withColumn("_order", F.xxhash64("doc_id"))
+#: Parts of a class that are ranked apart before the class as a whole.
+SAMPLE_PARTS = 64
+
+
+def pick_sample(docs: DataFrame, classes: DataFrame | None, per_class: int, max_chars: int) -> list:
+    """At most ``per_class`` documents of each value of ``class`` in ``classes(doc_id, class)``, or without that of the column
+    ``class`` of ``docs``, whose texts have 1 to ``max_chars`` code points, in the order of a hash of doc_id: the bounded sample
+    that a classifier is fitted on. The first pass moves ids only: each class is ranked in SAMPLE_PARTS parts, then what is left
+    of them. The second reads the texts of the ids chosen. Rows: (doc_id, text, class)."""
+    sized = docs.where(F.col("doc_id").isNotNull() & F.length("text").between(1, max_chars))
+    if classes is None:
+        keys = sized.where(F.col("class").isNotNull()).select("doc_id", "class")
+    else:
+        keys = sized.select("doc_id").join(classes.where(F.col("class").isNotNull()).select("doc_id", "class"), "doc_id")
+    keys = keys.withColumn("_order", F.xxhash64("doc_id")).withColumn("_part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLE_PARTS)))
+    in_part = F.row_number().over(W.partitionBy("class", "_part").orderBy("_order", "doc_id"))
+    few = keys.withColumn("_rank", in_part).where(F.col("_rank") <= per_class)
     rank = F.row_number().over(W.partitionBy("class").orderBy("_order", "doc_id"))
-    found = keys.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select("doc_id", "class").collect()
+    found = few.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select("doc_id", "class").collect()
     if not found:
         return []
     chosen = docs.sparkSession.createDataFrame(sorted({(r[0], str(r[1])) for r in found}), "doc_id long, class string")  # bounded: per_class ids of each class

@@ -196,7 +196,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed: i
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_chars: int = SAMPLE_MAX_CHARS) -> LanguageModel:
     """A model fitted on a bounded sample of the labelled rows of ``docs(doc_id, text, lang)``."""
-    rows = pick_sample(docs, docs.select("doc_id", F.col("lang").alias("class")), per_language, max_chars)
+    rows = pick_sample(docs.select("doc_id", "text", F.col("lang").alias("class")), None, per_language, max_chars)
     return fit([(r["text"], r["class"]) for r in rows])
 
 

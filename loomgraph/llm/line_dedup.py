@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import arrow_batches, settled
+from loomgraph.llm.common import arrow_batches, lean, settled
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -87,11 +87,11 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     rows = settled(keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"), "doc_id", "pos"))
     arrow_batches(spark, rows=20_000)
     order = ["h1", "h2", F.col("doc_id").desc(), "pos"]
-    marked = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _mark(it, min_docs), "kind int, h1 long, h2 long, doc_id long, pos int"))
+    marked = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(lambda it: _mark(it, min_docs)), "kind int, h1 long, h2 long, doc_id long, pos int"))
     summary = marked.where(F.col("kind") == _SEEN).groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"), F.count_distinct("doc_id").alias("n"))
     late = marked.where(F.col("kind") == _OPEN).join(summary.where(F.col("n") >= min_docs), ["h1", "h2"]).where("doc_id != keeper")
     drops = marked.where(F.col("kind") == _DROP).select("doc_id", "pos").unionByName(late.select("doc_id", "pos"))
-    return drops.groupBy("doc_id").agg(F.collect_list("pos").alias("places")).mapInArrow(_bitmap, "doc_id long, keep binary, n_dropped long")
+    return drops.groupBy("doc_id").agg(F.collect_list("pos").alias("places")).mapInArrow(lean(_bitmap), "doc_id long, keep binary, n_dropped long")
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, counts: bool = False) -> DataFrame:
@@ -125,4 +125,4 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, counts: bool = False) -> Dat
                 names += ["n_lines", "n_dropped"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import arrow_batches, texts_of
+from loomgraph.llm.common import arrow_batches, lean, texts_of
 
 FRAME = 576
 HOP = 288
@@ -115,4 +115,4 @@ def media_columns(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
             arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *rows[6]]))))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, names=[*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias("_llm_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_llm_text")).mapInArrow(lean(run), schema)

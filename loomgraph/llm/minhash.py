@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import arrow_batches, mix64, settled, word_hashes
+from loomgraph.llm.common import arrow_batches, lean, mix64, settled, word_hashes
 
 SHINGLE = 5
 SIMILAR = 80  # per cent
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.ravel())))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("doc_id", F.col("text").alias("_llm_text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.select("doc_id", F.col("text").alias("_llm_text")).mapInArrow(lean(run), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["id", "set"])
 
     # A repeated row must not double the pairs it is in.
-    return chosen.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+    return chosen.mapInArrow(lean(run), "id long, set array<long>").dropDuplicates(["id"])
 
 
 def connected_components(links: DataFrame) -> DataFrame:

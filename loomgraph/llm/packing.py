@@ -18,7 +18,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 from unicodedata import is_normalized
 
@@ -29,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.byte_bpe import _SIGNS, MergeReplay
-from loomgraph.llm.common import arrow_batches, paused_gc, settled, texts_of
+from loomgraph.llm.common import arrow_batches, lean, paused_gc, settled, texts_of, worker_table
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces that are packed together in one task.
 BLOCK = 16_384
 #: Distinct pieces of text that a worker remembers the ids of.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 600_000
 
 # White space as Unicode has it; Python's own split also takes the four separators 1C to 1F, which tokenizers keep.
 _SPACE = re.compile("[ \t\n\r\x0b\x0c\x85\xa0  -     　]+")
@@ -118,21 +117,16 @@ class WordTokenizer:
             lo = hi
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker, so that what one task has learnt serves the next."""
-    return WordTokenizer(path)
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True) -> DataFrame:
     """The pieces of each row's whole ``text``: doc_id, piece, start, length, ids_crc32 and, if asked for, the ``ids``. The
     tokenizer's file has to be at ``tokenizer_path`` wherever tasks run."""
     arrow_batches(docs.sparkSession, rows=5000, size=16 << 20)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     end = int(end_id).to_bytes(4, "little")
+    table = ("word_tokenizer", tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = worker_table(table, lambda: WordTokenizer(tokenizer_path))  # what one task has learnt serves the next
         for batch in batches:
             doc, number, start, length, crc, own = [], [], [], [], [], []
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(texts_of(batch.column("_llm_text"))), strict=True):
@@ -152,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *own]))))
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("doc_id", F.col("text").alias("_llm_text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").alias("_llm_text")).mapInArrow(lean(run, table), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -37,7 +37,7 @@ HIDDEN = 8
 SAMPLE_PER_CLASS = 1200
 SAMPLE_MAX_CHARS = 12_000
 #: Word forms that a task remembers; beyond that it forgets all and starts again.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _NONE = 1 << BITS
 #: Words with a row of their own: the most frequent of the sample, in at least so many of its documents.
 KNOWN_WORDS, KNOWN_LEAST = 20_000, 5
