@@ -1,10 +1,11 @@
-"""Best-fit packing of tokenised documents, improved by swaps between underfull bins.
+"""Best-fit packing of tokenised documents by swap-based local search.
 
 A document's ids (and the id that ends it) are cut only where they exceed a sequence. Pieces are dealt by a hash into blocks
-of bounded size; each block is packed on its own by best fit in decreasing order, and then by local search: the emptiest bin
-gives its pieces away by moves, one-for-one and two-for-one exchanges into underfull bins, each of which raises the sum of
-squared fills, until it is empty or no exchange helps. Bins that stay underfull are broken up, and their pieces packed
-together in a second round, so that blocks cost hardly more sequences than one great block would.
+of bounded size. A block starts plainly: each piece, in the order of ids, goes into the fullest bin that has room. Then local
+search empties bins: the emptiest underfull bin gives its pieces away, by moves into other underfull bins, exchanges of one of
+its pieces for a smaller one there, or of two of its pieces for one. Every step raises the sum of squared fills, so the search
+ends: when no bin can be emptied any more, or there are as few as the tokens need. Bins that stay underfull are broken up, and
+their pieces packed together in a second round, so that blocks cost hardly more sequences than one great block would.
 
 Defined results: null and empty texts are the end id alone; a piece as long as a sequence has one to itself; repeated rows
 (the same doc_id twice) are packed as separate documents; an empty table gives an empty result; other columns are not looked
@@ -17,6 +18,7 @@ import json
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 from unicodedata import is_normalized
@@ -33,9 +35,11 @@ from loomgraph.llm.common import arrow_batches, lean, paused_gc, settled, texts_
 CAPACITY = 4096
 END_ID = 1
 #: Pieces that are packed together in one task.
-BLOCK = 16_384
+BLOCK = 4096
 #: Distinct pieces of text that a worker remembers the ids of.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
+#: Characters of texts that are encoded together.
+GROUP_CHARS = 1 << 24
 
 # White space as Unicode has it; Python's own split also takes the four separators 1C to 1F, which tokenizers keep.
 _SPACE = re.compile("[ \t\n\r\x0b\x0c\x85\xa0  -     　]+")
@@ -52,17 +56,21 @@ def _byte_signs() -> list[str]:
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space and never joins across it: each distinct run of visible
-    characters is encoded once, most of them together by merge replay, the others by the library."""
+    characters is encoded once, most of them together by merge replay, the others by the library. Texts that hold one of the
+    vocabulary's special tokens are encoded by the library as a whole, as that looks for those before anything else."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.cache_words = cache_words
         self.known: dict[str, bytes] = {}
         self.replay = None
         conf = json.loads(Path(path).read_text(encoding="utf-8"))
+        added = conf.get("added_tokens") or []
+        # One that is looked for in the normalised text could be anywhere.
+        self.special = [""] if any(t["normalized"] for t in added) else [t["content"] for t in added]
         model, suffix = conf["model"], conf["model"].get("end_of_word_suffix")
         kinds = {x["type"] for x in (conf.get("normalizer") or {}).get("normalizers", [])}
         if model["type"] == "BPE" and suffix and "Lowercase" in kinds and self.encode_one("a" + _SIGNS) == self.encode_one("a") + self.encode_one(_SIGNS):
@@ -96,8 +104,11 @@ class WordTokenizer:
             for w, e in zip(rest[at : at + 10_000], self.tokenizer.encode_batch_fast(rest[at : at + 10_000], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str], group: int = 1 << 24) -> Iterator[bytes]:
+    def encode(self, texts: list[str], group: int = GROUP_CHARS) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text. Texts are taken in groups of about ``group`` characters."""
+        whole = {i: self.encode_one(t) for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        if whole:
+            texts = ["" if i in whole else t for i, t in enumerate(texts)]
         lo = 0
         while lo < len(texts):
             hi, held, cut = lo, 0, []
@@ -108,28 +119,29 @@ class WordTokenizer:
                     held += len(t)
                     hi += 1
                 words = set().union(*cut)
-                if len(self.known) > CACHE_WORDS:
+                if len(self.known) > self.cache_words:
                     self.known = {w: self.known[w] for w in words & self.known.keys()}
                 self._learn([w for w in words if w not in self.known])
                 known = self.known.__getitem__
                 done = [b"".join(map(known, words_of)) for words_of in cut]
-            yield from done
+            yield from (whole.get(i, ids) for i, ids in enumerate(done, lo)) if whole else done
             lo = hi
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True, cache_words: int = CACHE_WORDS, group: int = GROUP_CHARS) -> DataFrame:
     """The pieces of each row's whole ``text``: doc_id, piece, start, length, ids_crc32 and, if asked for, the ``ids``. The
-    tokenizer's file has to be at ``tokenizer_path`` wherever tasks run."""
-    arrow_batches(docs.sparkSession, rows=5000, size=16 << 20)
+    tokenizer's file has to be at ``tokenizer_path`` wherever tasks run. A worker needs some 12 bytes for each character of a
+    ``group``, and 200 for each word of its table: the results do not depend on either."""
+    arrow_batches(docs.sparkSession, rows=5000, size=min(16 << 20, group))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     end = int(end_id).to_bytes(4, "little")
-    table = ("word_tokenizer", tokenizer_path)
+    table = ("word_tokenizer", tokenizer_path, cache_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = worker_table(table, lambda: WordTokenizer(tokenizer_path))  # what one task has learnt serves the next
+        tokenizer = worker_table(table, lambda: WordTokenizer(tokenizer_path, cache_words))  # what one task has learnt serves the next
         for batch in batches:
             doc, number, start, length, crc, own = [], [], [], [], [], []
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(texts_of(batch.column("_llm_text"))), strict=True):
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(texts_of(batch.column("_llm_text")), group), strict=True):
                 data += end
                 for k in range(0, len(data), 4 * capacity):
                     part = data[k : k + 4 * capacity]
@@ -150,12 +162,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of places of ``lengths``: longest first, each into the fullest bin that has room."""
+    """Bins of places of ``lengths``: in the order given, each into the fullest bin that has room."""
     room: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by what they have left
     has = 0  # bit r is set where room[r] isn't empty
     bins: list[list[int]] = []
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        need = int(lengths[i])
+    for i, need in enumerate(lengths.tolist()):
         fits = has >> need
         if fits:
             left = need + (fits & -fits).bit_length() - 1
@@ -173,86 +184,127 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search. The emptiest bin gives pieces away, each time by the step that raises the sum of squared fills most:
-    a move into an underfull bin, one of its pieces for a smaller one there, or two of its pieces for one. Every step raises
-    that sum, so the search ends. A bin that is stuck is left; one that is empty goes."""
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    under = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: (fill[b], b))
-    total = sum(fill)
-    while len(under) > 1 and len(bins) - sum(not b for b in bins) > -(-total // capacity):
-        giver = under.pop(0)
-        at = {b: k for k, b in enumerate(under)}
-        free = np.array([capacity - fill[b] for b in under])
-        item = [i for b in under for i in bins[b]]
-        item_bin = np.array([b for b in under for _ in bins[b]])
-        item_size = lengths[item] if item else np.zeros(0, np.int64)
-        item = np.array(item, np.int64)
-        while bins[giver]:
-            best, step = 0, None
-            f = fill[giver]
-            own = bins[giver]
-            room = free[[at[b] for b in item_bin]] if len(item) else np.zeros(0, np.int64)
-            # What is given counts by its length alone, so the first two pieces of a length and the first pair of a sum do for all.
-            seen: dict[int, int] = {}
-            first_two = []
-            for i in own:
-                seen[size[i]] = seen.get(size[i], 0) + 1
-                if seen[size[i]] <= 2:
-                    first_two.append(i)
-            ones: dict[int, tuple[int, ...]] = {}
-            twos: dict[int, tuple[int, ...]] = {}
-            for x, i in enumerate(first_two):
-                ones.setdefault(size[i], (i,))
-                for j in first_two[x + 1 :]:
-                    twos.setdefault(size[i] + size[j], (i, j))
-            gives = [(which, s) for found in (ones, twos) for s, which in found.items()]
-            for which, s in gives:
-                if len(which) == 1:
-                    k = np.where(free >= s, free, capacity + 1).argmin()
-                    if free[k] >= s:
-                        b = under[k]
-                        gain = (fill[b] + s) ** 2 - fill[b] ** 2 + (f - s) ** 2 - f * f
-                        if gain > best:
-                            best, step = gain, (which, None, b)
-                if len(item):
-                    delta = s - item_size
-                    ok = (delta > 0) & (delta <= room)
-                    if ok.any():
-                        there = capacity - room
-                        gains = np.where(ok, 2 * delta * (there - f + delta), -1)
-                        k = int(gains.argmax())
-                        if gains[k] > best:
-                            best, step = int(gains[k]), (which, k, int(item_bin[k]))
-            if step is None:
+class LocalSearch:
+    """Steps that raise the sum of squared fills of ``bins`` (places of ``lengths``) until bins empty."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.bins, self.lengths, self.size, self.capacity = bins, lengths, lengths.tolist(), capacity
+        self.fill = [sum(self.size[i] for i in b) for b in bins]
+        self.steps: Counter[str] = Counter()
+        self.of = np.empty(len(lengths), np.int64)  # the bin of each piece, and what that has left; 0 in the bin that gives
+        self.room = np.empty(len(lengths), np.int64)
+        self.at: list[set[int]] = [set() for _ in range(capacity + 1)]  # bins by what they have left
+        self.has = 0  # bit r is set where at[r] isn't empty
+        for b, own in enumerate(bins):
+            self.of[own] = b
+            self._enter(b)
+
+    def _leave(self, b: int) -> None:
+        left = self.capacity - self.fill[b]
+        self.at[left].discard(b)
+        if not self.at[left]:
+            self.has &= ~(1 << left)
+
+    def _enter(self, b: int) -> None:
+        left = self.capacity - self.fill[b]
+        self.room[self.bins[b]] = left
+        if left and self.bins[b]:
+            self.at[left].add(b)
+            self.has |= 1 << left
+
+    def _exchange(self, giver: int, given: tuple[int, ...], b: int, back: int | None, kind: str) -> None:
+        self._leave(b)
+        for i in given:
+            self.bins[giver].remove(i)
+            self.bins[b].append(i)
+            self.of[i] = b
+        moved = sum(self.size[i] for i in given)
+        if back is not None:
+            self.bins[b].remove(back)
+            self.bins[giver].append(back)
+            self.of[back] = giver
+            self.room[back] = 0
+            moved -= self.size[back]
+        self.fill[giver] -= moved
+        self.fill[b] += moved
+        self._enter(b)
+        self.steps[kind] += 1
+
+    def _move(self, giver: int) -> bool:
+        """The longest piece that fits into a bin fuller than the giver is without it goes into the fullest such bin."""
+        for i in sorted(self.bins[giver], key=lambda i: (-self.size[i], i)):
+            if fits := self.has >> self.size[i]:
+                left = self.size[i] + (fits & -fits).bit_length() - 1
+                if self.capacity - left > self.fill[giver] - self.size[i]:
+                    self._exchange(giver, (i,), min(self.at[left]), None, "move")
+                    return True
+        return False
+
+    def _swap(self, giver: int, others: np.ndarray, gives: dict[int, tuple[int, ...]], kind: str) -> tuple[int, ...]:
+        """The exchange of one of ``gives`` (by their length) for a smaller one of ``others`` that raises the sum most."""
+        room, theirs = self.room[others], self.lengths[others]
+        ahead = self.capacity - room - self.fill[giver]
+        best, found = 0, None
+        for s, given in gives.items():
+            delta = s - theirs
+            gain = np.where((delta > 0) & (delta <= room), delta * (ahead + delta), 0)
+            k = int(gain.argmax())
+            if gain[k] > best:
+                best, found = int(gain[k]), (given, int(others[k]))
+        if not found:
+            return ()
+        given, back = found
+        self._exchange(giver, given, int(self.of[back]), back, kind)
+        return given
+
+    def _give(self, giver: int) -> None:
+        own = self.bins[giver]
+        self._leave(giver)
+        self.room[own] = 0
+        others = np.zeros(0, np.int64)
+        looked = False
+        while own:
+            if self._move(giver):
+                continue
+            if not looked:
+                others, looked = np.flatnonzero(self.room > 0), True
+            if not len(others):
                 break
-            which, k, b = step
-            for i in which:
-                bins[giver].remove(i)
-                bins[b].append(i)
-            moved = sum(size[i] for i in which)
-            if k is not None:
-                back = int(item[k])
-                bins[b].remove(back)
-                bins[giver].append(back)
-                moved -= size[back]
-                keep = np.arange(len(item)) != k
-                item, item_bin, item_size = item[keep], item_bin[keep], item_size[keep]
-            item = np.concatenate([item, which]).astype(np.int64)
-            item_bin = np.concatenate([item_bin, [b] * len(which)]).astype(np.int64)
-            item_size = np.concatenate([item_size, [size[i] for i in which]]).astype(np.int64)
-            fill[giver] -= moved
-            fill[b] += moved
-            free[at[b]] -= moved
-        under = [b for b in under if fill[b] < capacity]
-        under.sort(key=lambda b: (fill[b], b))
-    return [b for b in bins if b]
+            # What is given counts by its length alone, so one piece of a length and one pair of a sum do for all.
+            ones = {self.size[i]: (i,) for i in own}
+            given = self._swap(giver, others, ones, "one_for_one")
+            if not given:
+                seen: Counter[int] = Counter()
+                some = [i for i in own if (seen.update([self.size[i]]), seen[self.size[i]] <= 2)[1]]
+                twos: dict[int, tuple[int, ...]] = {}
+                for x, i in enumerate(some):
+                    for j in some[x + 1 :]:
+                        twos.setdefault(self.size[i] + self.size[j], (i, j))
+                given = self._swap(giver, others, twos, "two_for_one")
+            if not given:
+                break
+            others = np.concatenate([others, given]).astype(np.int64)
+        self._enter(giver)
+
+    def run(self) -> list[list[int]]:
+        least = -(-sum(self.size) // self.capacity)
+        count = sum(map(bool, self.bins))
+        emptied = True
+        while emptied and count > least:
+            emptied = False
+            for giver in sorted((b for b, own in enumerate(self.bins) if own and self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b)):
+                if count <= least:
+                    break
+                if self.fill[giver] < self.capacity:
+                    self._give(giver)
+                    if not self.bins[giver]:
+                        count, emptied = count - 1, True
+        return [b for b in self.bins if b]
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each length: its bin, its offset there, and the bin's fill."""
-    bins = improve(best_fit(lengths, capacity), lengths, capacity)
+    bins = LocalSearch(best_fit(lengths, capacity), lengths, capacity).run()
     where, offset, filled = (np.zeros(len(lengths), np.int64) for _ in range(3))
     for b, own in enumerate(bins):
         ends = np.cumsum(lengths[own])
@@ -265,7 +317,7 @@ def _packed(rows: DataFrame, blocks: int, capacity: int, base: int) -> DataFrame
     of one round from another's."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["doc_id", "piece", "length", "ids_crc32"], kind="stable")
         where, pdf["offset"], pdf["_fill"] = pack(pdf["length"].to_numpy(np.int64), capacity)
         pdf["sequence_id"] = (pdf["_block"].to_numpy(np.int64) * 2 + base) * (1 << 24) + where
         return pdf.drop(columns="_block")
@@ -289,3 +341,12 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -
     left = again.count()
     second = _packed(again, max(1, -(-left // block)), capacity, 1)
     return first.where(~loose).unionByName(second).select(*columns, "sequence_id", "offset")
+
+
+def pack_whole(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+    """As ``pack_pieces``, for ``rows`` with long columns (the ids): only what packing reads goes through its tasks; the places
+    it gives are joined to the rows afterwards."""
+    columns = rows.columns
+    kept = settled(rows.withColumn("_llm_row", F.monotonically_increasing_id()))
+    placed = pack_pieces(kept.select("doc_id", "piece", "length", "ids_crc32", "_llm_row"), capacity, block)
+    return kept.join(placed.select("_llm_row", "sequence_id", "offset"), "_llm_row").select(*columns, "sequence_id", "offset")

@@ -143,20 +143,21 @@ def test_word_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.WORD_BPE_PATH)
-    t.encode_special_tokens = True
     rng = random.Random(4)
     parts = ["a", "aa", "b", "'s", " ", "\n", "\x1c", "\x85", "é", "É", "中", "1", "!!", "🙂", "́", "the", "Σ", "İ", "ΑΣ", "<|endoftext|>", "word,", "Ｗ"]
     values = [x or "" for x in texts()] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
-    for x, ids in zip(values, packing.WordTokenizer(queries.WORD_BPE_PATH).encode(values), strict=True):
+    values += ["hello <|endoftext|> world", "A<|startoftext|>b <|ENDOFTEXT|>", "<|endoftext|><|endoftext|>", " <|endoftext|>\n"]
+    for x, ids in zip(values, packing.WordTokenizer(queries.WORD_BPE_PATH).encode(values, group=500), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
 def test_packing_exchanges_two_for_one_from_bins_of_many_pieces():
     # No piece of the first bin fits elsewhere, nor goes for a smaller one; but two of 3 go for one of 4.
     lengths = np.array([3] * 66 + [394, 4] * 100, np.int64)
-    bins = packing.improve([list(range(66)), *([k, k + 1] for k in range(66, 266, 2))], lengths, 400)
+    search = packing.LocalSearch([list(range(66)), *([k, k + 1] for k in range(66, 266, 2))], lengths, 400)
+    bins = search.run()
     fills = [int(lengths[b].sum()) for b in bins]
-    assert sorted(i for b in bins for i in b) == list(range(266)) and max(fills) == 400 and fills.count(400) == 33
+    assert sorted(i for b in bins for i in b) == list(range(266)) and max(fills) == 400 and fills.count(400) >= 33 and search.steps["two_for_one"]
 
 
 def test_packing(spark):
@@ -185,12 +186,40 @@ def test_packing(spark):
     assert packing.pack_pieces(packing.pieces(empty(spark), queries.WORD_BPE_PATH, ids=False)).count() == 0
 
 
-def test_local_search_only_helps():
-    for seed in range(5):
-        lengths = np.random.default_rng(seed).integers(1, 60, 300)
-        first = packing.best_fit(lengths, 100)
-        better = packing.improve([list(b) for b in first], lengths, 100)
-        assert len(better) <= len(first) and sorted(i for b in better for i in b) == list(range(300)) and all(lengths[b].sum() <= 100 for b in better)
+def test_local_search_is_what_packs():
+    """From a plain start, every kind of step occurs, and the search comes within one in a thousand sequences (and one) of the bound."""
+    steps = defaultdict(int)
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        for lengths in (np.clip(rng.lognormal(6, 1, 1500), 1, 4096).astype(np.int64), rng.integers(700, 1700, 1000), rng.integers(1, 60, 300)):
+            capacity = 4096 if lengths.max() > 100 else 100
+            first = packing.best_fit(lengths, capacity)
+            search = packing.LocalSearch([list(b) for b in first], lengths, capacity)
+            better = search.run()
+            assert sorted(i for b in better for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= capacity for b in better)
+            bound = -(-int(lengths.sum()) // capacity)
+            assert len(better) <= bound * 1.001 + 1 and len(better) <= len(first)
+            for k, n in search.steps.items():
+                steps[k] += n
+            if lengths.min() >= 700:
+                assert len(first) > 1.05 * bound
+    assert min(steps[k] for k in ("move", "one_for_one", "two_for_one")) > 0
+
+
+@pytest.mark.parametrize("without", ["_move", "one_for_one", "two_for_one"])
+def test_each_kind_of_step_is_needed(monkeypatch, without):
+    lengths = np.random.default_rng(0).integers(900, 2100, 600)
+
+    def packed():
+        return len(packing.LocalSearch(packing.best_fit(lengths, 4096), lengths, 4096).run())
+
+    whole = packed()
+    if without == "_move":
+        monkeypatch.setattr(packing.LocalSearch, "_move", lambda self, giver: False)
+    else:
+        swap = packing.LocalSearch._swap
+        monkeypatch.setattr(packing.LocalSearch, "_swap", lambda self, giver, others, gives, kind: () if kind == without else swap(self, giver, others, gives, kind))
+    assert packed() > whole
 
 
 def test_line_dedup(spark):
