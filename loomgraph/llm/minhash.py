@@ -40,6 +40,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
 #: Rows of buckets with the same largest component that make one group; beyond that each bucket is a group.
 GROUP_ROWS = 100_000
+#: Parts that a key is split into where a row of its own is joined to many.
+SALTS = 64
 #: Cells of the tables of members by shingles that a comparison holds at a time.
 TABLE_CELLS = 1 << 22
 
@@ -134,7 +136,21 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(id, comp) of every id in ``links(a, b)``; comp is the smallest id that it is linked with, over any number of steps."""
+    """(id, comp) of every id in ``links(a, b)``; comp is the smallest id that it is linked with, over any number of steps.
+    First each id takes the smallest of its neighbours, and of what that has taken; what is then linked are few ids for a
+    group of copies, over which the smallest spreads."""
+    links = settled(links.select("a", "b"))
+    near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("near"))
+    near = settled(near)
+    taken = settled(near.join(near.select(F.col("id").alias("near"), F.col("near").alias("next")), "near").select("id", F.col("next").alias("to")))
+    of_a, of_b = taken.select(F.col("id").alias("a"), F.col("to").alias("ta")), taken.select(F.col("id").alias("b"), F.col("to").alias("tb"))
+    left = links.join(of_a, "a").select("ta", "b").distinct().join(of_b, "b").where("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
+    spread = _spread(left.distinct()).select(F.col("id").alias("to"), "comp")
+    return taken.join(spread, "to", "left").select("id", F.coalesce("comp", "to").alias("comp"))
+
+
+def _spread(links: DataFrame) -> DataFrame:
+    """What ``connected_components`` gives, link by link."""
     both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = settled(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("comp")))
     while True:
@@ -195,6 +211,12 @@ def joined_components(comp: np.ndarray, right: np.ndarray, within: bool, values:
     return found
 
 
+def _with_own(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``one``, which has a row for each of the ``keys``. A key of many rows is met in many tasks."""
+    salted = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def _blocks_compared(rest: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """(a, b): links between components of ``rest(bucket, id, n, comp)`` that join all those which a link between members of
     one bucket joins."""
@@ -203,7 +225,7 @@ def _blocks_compared(rest: DataFrame, sets: DataFrame, similar: int) -> DataFram
     dealt = settled(rest.join(open_.select("bucket", "top"), "bucket"))
     # Members of buckets whose largest component is the same meet in one group, so that one that they share is not compared in each.
     rows_of = dealt.groupBy("top").agg(F.count("*").alias("rows"))
-    grouped = dealt.join(rows_of, "top").select("top", F.when(F.col("rows") > GROUP_ROWS, F.col("bucket")).otherwise(F.lit(0)).alias("part"), "id", "n", "comp").distinct()
+    grouped = _with_own(dealt, rows_of, ["top"]).select("top", F.when(F.col("rows") > GROUP_ROWS, F.col("bucket")).otherwise(F.lit(0)).alias("part"), "id", "n", "comp").distinct()
     grouped = settled(grouped.withColumn("inner", F.col("comp") == F.col("top")))
 
     def blocks(inner: bool) -> Column:
@@ -211,7 +233,7 @@ def _blocks_compared(rest: DataFrame, sets: DataFrame, similar: int) -> DataFram
         return F.greatest(F.lit(1), F.ceil(F.count_if(mine) / BLOCK_SETS), F.ceil(F.sum(F.when(mine, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
 
     shape = grouped.groupBy("top", "part").agg(blocks(True).alias("inner_blocks"), blocks(False).alias("blocks"))
-    placed = grouped.join(shape, ["top", "part"])
+    placed = _with_own(grouped, shape, ["top", "part"])
     at = F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("inner_blocks")).otherwise(F.col("blocks"))).cast("int")
     placed = placed.withColumn("at", at)
     # Cells (0, x, y): block x of the component with block y of the others; (1, x, y): blocks x < y of the others.
