@@ -35,8 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
-    return packing.pack_pieces(packing.pieces(docs, WORD_BPE_PATH, ids=False))
+    """The pieces of all documents with their ids, packed into sequences. Workers share an executor with the stages before, so
+    they take less text at a time and remember fewer words than by themselves."""
+    return packing.pack_whole(packing.pieces(docs, WORD_BPE_PATH, cache_words=300_000, group=1 << 22))
 
 
 STAGES = [
