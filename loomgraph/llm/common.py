@@ -178,25 +178,23 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return segment_hashes(b, starts, ends), starts
 
 
-#: Parts of a class that are ranked apart before the class as a whole.
-SAMPLE_PARTS = 64
+#: Parts that each class is dealt into by a hash, so that no task ranks a whole class.
+SAMPLE_PARTS = 16
 
 
 def pick_sample(docs: DataFrame, classes: DataFrame | None, per_class: int, max_chars: int) -> list:
-    """At most ``per_class`` documents of each value of ``class`` in ``classes(doc_id, class)``, or without that of the column
-    ``class`` of ``docs``, whose texts have 1 to ``max_chars`` code points, in the order of a hash of doc_id: the bounded sample
-    that a classifier is fitted on. The first pass moves ids only: each class is ranked in SAMPLE_PARTS parts, then what is left
-    of them. The second reads the texts of the ids chosen. Rows: (doc_id, text, class)."""
+    """At most ``per_class`` documents (rounded up to SAMPLE_PARTS) of each value of ``class`` in ``classes(doc_id, class)``, or
+    without that of the column ``class`` of ``docs``, whose texts have 1 to ``max_chars`` code points: the bounded sample that a
+    classifier is fitted on. Each part of a class gives its share, in the order of a hash of doc_id. The first pass moves ids
+    only, the second reads the texts of the ids chosen. Rows: (doc_id, text, class)."""
     sized = docs.where(F.col("doc_id").isNotNull() & F.length("text").between(1, max_chars))
     if classes is None:
         keys = sized.where(F.col("class").isNotNull()).select("doc_id", "class")
     else:
         keys = sized.select("doc_id").join(classes.where(F.col("class").isNotNull()).select("doc_id", "class"), "doc_id")
     keys = keys.withColumn("_order", F.xxhash64("doc_id")).withColumn("_part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLE_PARTS)))
-    in_part = F.row_number().over(W.partitionBy("class", "_part").orderBy("_order", "doc_id"))
-    few = keys.withColumn("_rank", in_part).where(F.col("_rank") <= per_class)
-    rank = F.row_number().over(W.partitionBy("class").orderBy("_order", "doc_id"))
-    found = few.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select("doc_id", "class").collect()
+    rank = F.row_number().over(W.partitionBy("class", "_part").orderBy("_order", "doc_id"))
+    found = keys.withColumn("_rank", rank).where(F.col("_rank") <= -(-per_class // SAMPLE_PARTS)).select("doc_id", "class").collect()
     if not found:
         return []
     chosen = docs.sparkSession.createDataFrame(sorted({(r[0], str(r[1])) for r in found}), "doc_id long, class string")  # bounded: per_class ids of each class

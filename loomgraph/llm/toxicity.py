@@ -37,7 +37,7 @@ HIDDEN = 8
 SAMPLE_PER_CLASS = 1200
 SAMPLE_MAX_CHARS = 12_000
 #: Word forms that a task remembers; beyond that it forgets all and starts again.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 _NONE = 1 << BITS
 #: Words with a row of their own: the most frequent of the sample, in at least so many of its documents.
 KNOWN_WORDS, KNOWN_LEAST = 20_000, 5
@@ -219,14 +219,14 @@ class Scorer:
     #: The logit of a text without words.
     NOTHING = -8.0
 
-    def __init__(self, net: Network, step: int = 2048):
-        self.net, self.step = net, step
+    def __init__(self, net: Network, step: int = 2048, cache_words: int = CACHE_WORDS):
+        self.net, self.step, self.cache_words = net, step, cache_words
         self.at: dict[str, int] = {}
         self.g = np.zeros((1, 6 * HIDDEN), np.float32)
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > CACHE_WORDS and self.at:
+        if len(self.at) + len(new) > self.cache_words and self.at:
             self.at, self.g, new = {}, self.g[:1], list(words)
         if new:
             parts = [self.g]
@@ -443,13 +443,14 @@ def score(docs: DataFrame, net: Network, keep: list[str] = ("doc_id",)) -> DataF
     return map_batches(source, make, schema)
 
 
-def filter_clean(docs: DataFrame, net: Network) -> DataFrame:
-    """The rows of ``docs`` scored under 0.5, with all their columns and nothing else."""
+def filter_clean(docs: DataFrame, net: Network, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """The rows of ``docs`` scored under 0.5, with all their columns and nothing else. A worker needs some 350 bytes for each
+    word that it remembers; scores do not depend on how many."""
     arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared.value, cache_words=cache_words)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             return batch.filter(pa.array(scorer.net.score(scorer.logits(texts_of(batch.column("text")))) < 0.5))

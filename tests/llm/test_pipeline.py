@@ -12,7 +12,7 @@ def test_stages(spark, tmp_path):
     rng = random.Random(1)
     words = {k: [a + b for a in s for b in s] for k, s in {"en": ["the", "of", "ing", "at", "re"], "de": ["ung", "sch", "der", "ei", "lich"]}.items()}
 
-    def text(lang, n=40):
+    def text(lang, n=100):
         return " ".join(rng.choice(words[lang]) for _ in range(n))
 
     rows, labels = [], []
@@ -43,3 +43,26 @@ def test_stages(spark, tmp_path):
     assert 200 not in seen[3] and seen[2] - seen[3] == {200}
     assert seen[4] == seen[3]
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows and columns of clashing names."""
+    clash = ["score", "piece", "keep", "bucket", "comp"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    rng = random.Random(2)
+    body = lambda words: " ".join(rng.choice(words) + rng.choice("abcdef") for _ in range(60))
+    rows = [(i, body(["the", "of", "ing"] if i % 2 else ["ung", "sch", "der"]), "en" if i % 2 else "de", "s", 1, *clash) for i in range(40)]
+    rows += rows[-3:] + [(50, None, None, None, None, *clash), (51, "", "en", "s", 0, *clash)]
+    for k, own in enumerate(([], rows)):
+        folder = str(tmp_path / f"t{k}")
+        spark.createDataFrame(own, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(r[0], 1, int(r[0] % 5 == 0)) for r in own], "doc_id long, quality int, toxic int").limit(0 if k else 100).write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for j, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            if name != "best_fit_packing":
+                assert out.schema.names == docs.schema.names
+            out.write.parquet(f"{folder}/s{j}")
+            docs = spark.read.parquet(f"{folder}/s{j}")
+        got = docs.select("doc_id", "ids", "length").collect()
+        assert len({r["doc_id"] for r in got}) == (40 if k else 0) and len(got) == (43 if k else 0) and all(len(r["ids"]) == r["length"] for r in got)
