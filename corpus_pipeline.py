@@ -1,6 +1,14 @@
 """From raw documents to packed training sequences, in five stages, each written as Parquet and read again as the next one's
 documents: toxic documents go, documents of no known language go, lines that many documents share go, near duplicates go, and
-what is left is packed."""
+what is left is packed.
+
+Executors live through all stages, and their heaps stay as large as the largest stage made them, so workers remember fewer words
+and take less text at a time than the operators have them do by themselves; results do not depend on that.
+
+Each stage is defined as its operator is: null, empty and very long texts, ties and repeated rows (each is judged like its
+equals; near-dedup keeps all rows of the doc_id that stays), extra columns, whatever their names, up to the last stage, and
+empty tables, which give empty results.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +24,7 @@ from loomgraph.llm.queries import WORD_BPE_PATH
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network, fitted on the labelled ones, scores under 0.5."""
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.filter_clean(docs, net)
+    return toxicity.filter_clean(docs, net, cache_words=100_000)
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their ids, packed into sequences. Workers share an executor with the stages before, so
-    they take less text at a time and remember fewer words than by themselves."""
-    return packing.pack_whole(packing.pieces(docs, WORD_BPE_PATH, cache_words=300_000, group=1 << 22))
+    """The pieces of all documents with their ids, packed into sequences."""
+    return packing.pack_whole(packing.pieces(docs, WORD_BPE_PATH, cache_words=100_000, group=1 << 20))
 
 
 STAGES = [
