@@ -41,7 +41,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
 #: Rows of buckets with the same largest component that make one group; beyond that each bucket is a group.
 GROUP_ROWS = 100_000
 #: Parts that a key is split into where a row of its own is joined to many.
-SALTS = 64
+SALTS = 16
 #: Cells of the tables of members by shingles that a comparison holds at a time.
 TABLE_CELLS = 1 << 22
 
@@ -212,9 +212,10 @@ def joined_components(comp: np.ndarray, right: np.ndarray, within: bool, values:
 
 
 def _with_own(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with the columns of ``one``, which has a row for each of the ``keys``. A key of many rows is met in many tasks."""
+    """``rows`` with the columns of ``one``, which has a row for each of the ``keys``. A key of many rows is met in many
+    tasks; neither side is broadcast, as both grow with the input."""
     salted = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def _blocks_compared(rest: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
