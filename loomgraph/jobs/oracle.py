@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from loomgraph.vocabulary import Vocabulary
+from loomgraph.vocabulary import Retrieval, Vocabulary
 
 _KEYWORDS = ("the", "with", "from", "nicht", "avec", "para", "and", "der", "les")
 _PHRASES = ("of the", "and the", "in the", "nicht die", "dans un", "the and")
 _SYNONYMS = {"ofthe": "of the", "the and": "and the"}
 _RELATIONS = (("COMPARES", ("than", "als ")), ("DEPENDS_ON", ("with", "avec")), ("IMPLEMENTS", ("from", "para")), ("EXPLAINS", ("that", "nicht")))
 _TYPES = (("algorithm", ("with", "avec")), ("technology", ("nicht", "from")))
+_SHIPPED = Retrieval()
+#: The threshold of the query that counts pruned paths.
+PRUNING = 0.5
 _IMPORTANCE = (("this|cette", 0.45), ("with|nicht", 0.35), ("from|avec", 0.30))
 
 
@@ -21,6 +24,11 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _r6(x: str) -> str:
+    """Rounded to six places as Spark rounds: the number's shortest decimal form, half up."""
+    return f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), 6)::DOUBLE"
+
+
 def _normal(x: str) -> str:
     return rf"""trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[`''"“”’]', '', 'g'), '[^a-z0-9가-힣\-\s_/+]', ' ', 'g'), '\s+', ' ', 'g'))"""
 
@@ -84,7 +92,7 @@ EDGES = "edge AS (SELECT s, t, kind, count(*)::DOUBLE AS weight, list(turn_uid O
 PRIOR = "CASE relation_type WHEN 'EXPLAINS' THEN 1.0::DOUBLE WHEN 'DEPENDS_ON' THEN 0.95 WHEN 'IMPLEMENTS' THEN 0.92 WHEN 'COMPARES' THEN 0.82 WHEN 'RELATED_TO' THEN 0.70 ELSE 0.65 END"
 ADJ = f"""both_ways AS (SELECT s AS source_entity_id, t AS target_entity_id, kind AS relation_type, weight, true AS forward FROM edge UNION ALL SELECT t, s, kind, weight, false FROM edge),
     adj_all AS (SELECT *, row_number() OVER (PARTITION BY source_entity_id ORDER BY weight DESC, target_entity_id, relation_type, forward DESC) AS place FROM both_ways),
-    adj AS (SELECT *, least(1.2::DOUBLE, {PRIOR} * (1.0::DOUBLE + 0.08::DOUBLE * (weight - 1.0))) AS edge_score FROM adj_all WHERE place <= 40)"""
+    adj AS (SELECT *, least(1.2::DOUBLE, {PRIOR} * (1.0::DOUBLE + 0.08::DOUBLE * (weight - 1.0))) AS edge_score FROM adj_all WHERE place <= {max(40, 2 * _SHIPPED.beam_width)})"""
 QNAMES = (
     _entities("q", "benchmark", "item_id", "text", 2)
     + f""", q_names AS (SELECT DISTINCT item_id AS query_id, coalesce(name, {_canonical(_normal('text'))}) AS name FROM benchmark b LEFT JOIN q_ent ON q_ent.id = b.item_id)"""
@@ -99,25 +107,24 @@ SEEDS = (
 )
 
 
-def _hop(i: int) -> str:
+def _hop(i: int, prune: float, beam: int) -> str:
     return f"""path{i} AS (SELECT query_id, a.target_entity_id AS entity_id, f.score * a.edge_score * 0.85::DOUBLE AS score, a.source_entity_id AS came, a.relation_type, a.forward,
             CASE WHEN f.path = '' THEN '' ELSE f.path || '>' END || a.relation_type || CASE WHEN a.forward THEN '+' ELSE '-' END || a.target_entity_id AS path,
             list_append(f.edges, (CASE WHEN a.forward THEN a.source_entity_id ELSE a.target_entity_id END) || '|' || (CASE WHEN a.forward THEN a.target_entity_id ELSE a.source_entity_id END) || '|' || a.relation_type) AS edges
         FROM front{i - 1} f JOIN adj a ON a.source_entity_id = f.entity_id),
-    best{i} AS (SELECT * FROM path{i} WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id, entity_id ORDER BY score DESC, came, relation_type, forward DESC) = 1),
+    best{i} AS (SELECT * FROM path{i} WHERE score >= {prune} QUALIFY row_number() OVER (PARTITION BY query_id, entity_id ORDER BY score DESC, came, relation_type, forward DESC) = 1),
     front{i} AS (SELECT b.query_id, b.entity_id, b.score, b.path, b.edges FROM best{i} b LEFT JOIN reach{i - 1} r ON r.query_id = b.query_id AND r.entity_id = b.entity_id WHERE r.score IS NULL OR b.score > r.score
-        QUALIFY row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, b.entity_id) <= 8),
+        QUALIFY row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, b.entity_id) <= {beam}),
     reach{i} AS (SELECT * FROM reach{i - 1} r WHERE NOT EXISTS (SELECT 1 FROM front{i} f WHERE f.query_id = r.query_id AND f.entity_id = r.entity_id) UNION ALL SELECT * FROM front{i})"""
 
 
-REACH = (
-    SEEDS
-    + """, reach0 AS (SELECT query_id, entity_id, greatest(0.01::DOUBLE, score) AS score, '' AS path, []::VARCHAR[] AS edges FROM seed),
-    front0 AS (SELECT * FROM reach0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) <= 8), """
-    + _hop(1)
-    + ", "
-    + _hop(2)
-)
+def _reach(prune: float = _SHIPPED.prune_threshold, beam: int = _SHIPPED.beam_width) -> str:
+    """CTEs that end in reach2(query_id, entity_id, score, path, edges)."""
+    return f"""{SEEDS}, reach0 AS (SELECT query_id, entity_id, greatest(0.01::DOUBLE, score) AS score, '' AS path, []::VARCHAR[] AS edges FROM seed),
+    front0 AS (SELECT * FROM reach0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) <= {beam}), {_hop(1, prune, beam)}, {_hop(2, prune, beam)}"""
+
+
+REACH = _reach()
 GRAPH = CHAIN + f""", men AS (SELECT e.id AS turn_uid, {_id('name')} AS entity_id, name, surface, type, t.sec, e.place FROM t_ent e JOIN turns t ON t.turn_uid = e.id), """ + _entity_table("ent", "men") + ", " + EDGES + ", " + ADJ
 POST = r"""terms AS (SELECT turn_uid, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS tl FROM turns),
     post AS (SELECT term, turn_uid, count(*) AS tf, any_value(n) AS len FROM (SELECT turn_uid, len(tl) AS n, unnest(tl) AS term FROM terms) GROUP BY term, turn_uid)"""
@@ -194,11 +201,11 @@ def _fused(hybrid: bool, g: float, e: float, x: float, importance: float, recenc
         FROM cand c JOIN turns t ON t.turn_uid = c.turn_uid JOIN span USING (query_id) LEFT JOIN sig ON sig.query_id = c.query_id AND sig.turn_uid = c.turn_uid
         LEFT JOIN bonus b ON b.query_id = c.query_id AND b.turn_uid = c.turn_uid LEFT JOIN sim ON sim.query_id = c.query_id AND sim.turn_uid = c.turn_uid LEFT JOIN recall r ON r.turn_uid = c.turn_uid
     ),
-    fused AS (SELECT query_id, turn_uid, text, least(1.0::DOUBLE, entity_score + bonus) AS gs, emb, lex, imp, rec, round({g}::DOUBLE * least(1.0::DOUBLE, entity_score + bonus) + {e}::DOUBLE * emb + {x}::DOUBLE * lex + imp + rec, 6) AS score FROM parts)"""
+    fused AS (SELECT query_id, turn_uid, text, least(1.0::DOUBLE, entity_score + bonus) AS gs, emb, lex, imp, rec, {_r6(f'({g}::DOUBLE * least(1.0::DOUBLE, entity_score + bonus) + {e}::DOUBLE * emb + {x}::DOUBLE * lex + imp + rec)')} AS score FROM parts)"""
 
 
-TOP = """SELECT query_id, turn_uid, row_number() OVER w AS rank, round(score, 5) AS score, round(round(gs, 6), 4) AS graph_signal, round(round(emb, 6), 4) AS embedding_signal, round(round(lex, 6), 4) AS lexical_signal,
-    round(round(imp, 6), 4) AS importance_component, round(round(rec, 6), 4) AS recency_component FROM fused WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, turn_uid) QUALIFY row_number() OVER w <= 10"""
+TOP = f"""SELECT query_id, turn_uid, row_number() OVER w AS rank, score, {_r6('gs')} AS graph_signal, {_r6('emb')} AS embedding_signal, {_r6('lex')} AS lexical_signal,
+    {_r6('imp')} AS importance_component, {_r6('rec')} AS recency_component FROM fused WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, turn_uid) QUALIFY row_number() OVER w <= 10"""
 HYBRID = _fused(True, 0.62, 0.23, 0.15, 0.1, 0.1)
 
 
@@ -206,6 +213,7 @@ def _edges_out(source: str) -> str:
     return f"SELECT s AS source_entity_id, t AS target_entity_id, kind AS relation_type, weight, len(evidence) AS n_evidence, md5(array_to_string(evidence, ',')) AS evidence_md5 FROM {source}"
 
 
+_RERANKED = f"({_SHIPPED.rerank_weight}::DOUBLE * CASE WHEN hi - lo <= 1e-9 THEN CASE WHEN raw > 0 THEN 1.0 ELSE 0.0 END ELSE (raw - lo) / (hi - lo) END)"
 _CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(turn_uid) + 1), lambda i: ascii(turn_uid[i])::BIGINT)), lambda a, c: list_reduce(list_prepend(xor(a, c), list_transform(range(8), lambda k: k)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
 HALVES = f"crc AS (SELECT turn_uid, xor({_CRC}, 4294967295) % 3 AS m FROM turns)"
 
@@ -223,7 +231,7 @@ ORACLE = {
     "graph_entities": f"WITH {MENTION}, {_entity_table('ent', 'men')} SELECT entity_id, canonical_name, entity_type, array_to_string(aliases, '|') AS aliases FROM ent",
     "graph_mentions": f"WITH {MENTION} SELECT DISTINCT turn_uid, entity_id FROM men",
     "graph_relations": f"WITH {CHAIN}, {EDGES} {_edges_out('edge')}",
-    "graph_adjacency": f"WITH {CHAIN}, {EDGES}, {ADJ} SELECT source_entity_id, target_entity_id, relation_type, forward, weight, place, round(edge_score, 6) AS edge_score FROM adj",
+    "graph_adjacency": f"WITH {CHAIN}, {EDGES}, {ADJ} SELECT source_entity_id, target_entity_id, relation_type, forward, weight, place, round(edge_score, 6) AS edge_score FROM adj WHERE place <= 40",
     "graph_merge_relations": f"WITH {CHAIN}, {HALVES}, twice AS (SELECT s, t, kind, sum(CASE WHEN m = 2 THEN 2 ELSE 1 END)::DOUBLE AS weight, list(turn_uid ORDER BY turn_uid) AS evidence FROM rel JOIN crc USING (turn_uid) GROUP BY ALL) {_edges_out('twice')}",
     "graph_merge_entities": f"""WITH {MENTION}, {HALVES}, ma AS (SELECT men.* FROM men JOIN crc USING (turn_uid) WHERE m <> 0), mb AS (SELECT men.* FROM men JOIN crc USING (turn_uid) WHERE m <> 1), {_entity_table('ea', 'ma')}, {_entity_table('eb', 'mb')}
         SELECT coalesce(ea.entity_id, eb.entity_id) AS entity_id, coalesce(ea.canonical_name, eb.canonical_name) AS canonical_name, coalesce(ea.entity_type, eb.entity_type) AS entity_type,
@@ -236,7 +244,8 @@ ORACLE = {
     "conversation_turns": f"WITH {TURNS} SELECT conversation_id, turn_uid, row_number() OVER w AS place, sec AS at FROM turns WINDOW w AS (PARTITION BY conversation_id ORDER BY sec, turn_id) QUALIFY row_number() OVER w <= 10000",
     "query_seeds": f"WITH {MENTION}, {_entity_table('ent', 'men')}, {SEEDS} SELECT query_id, entity_id, canonical_name, round(score, 6) AS score, place FROM seed",
     "beam_traversal": f"WITH {GRAPH}, {REACH} SELECT query_id, entity_id, round(score, 6) AS score, path FROM reach2",
-    "beam_pruned": f"WITH {GRAPH}, {REACH} SELECT query_id, count(*) AS pruned FROM (SELECT query_id, score FROM path1 UNION ALL SELECT query_id, score FROM path2) WHERE score < 0.3 GROUP BY ALL",
+    "beam_pruned": f"""WITH {GRAPH}, {_reach(prune=PRUNING)}, fell AS (SELECT query_id FROM path1 WHERE score < {PRUNING} UNION ALL SELECT query_id FROM path2 WHERE score < {PRUNING})
+        SELECT item_id AS query_id, count(f.query_id) AS pruned FROM benchmark LEFT JOIN fell f ON f.query_id = item_id GROUP BY ALL""",
     "text_postings": f"WITH {TURNS}, {POST} SELECT term, turn_uid, tf, len FROM post",
     "text_search": f"WITH {TURNS}, {POST}, {_search(200)} SELECT query_id, turn_uid, round(lexical_raw, 6) AS lexical_raw FROM hits",
     "recall_state": f"WITH {RECALL} SELECT turn_uid, recall_count, last_us FROM recall",
@@ -246,8 +255,8 @@ ORACLE = {
     "retrieve_reranked": f"""WITH {GRAPH}, {REACH}, {HYBRID}, place AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, turn_uid) AS p FROM fused),
         raw AS (SELECT query_id, turn_uid, length(b.text)::DOUBLE / greatest(1, length(b.text) + length(place.text)) AS raw FROM place JOIN benchmark b ON b.item_id = query_id WHERE p <= 5),
         mm AS (SELECT query_id, min(raw) AS lo, max(raw) AS hi FROM raw GROUP BY ALL),
-        done AS (SELECT p.query_id, p.turn_uid, p <= 5 AS head, coalesce(round(0.2::DOUBLE * CASE WHEN hi - lo <= 1e-9 THEN CASE WHEN raw > 0 THEN 1.0 ELSE 0.0 END ELSE (raw - lo) / (hi - lo) END, 6), 0.0) AS rerank_component, p.score FROM place p LEFT JOIN raw USING (query_id, turn_uid) JOIN mm USING (query_id)),
-        added AS (SELECT *, round(score + rerank_component, 6) AS total FROM done)
+        done AS (SELECT p.query_id, p.turn_uid, p <= 5 AS head, coalesce({_r6(_RERANKED)}, 0.0) AS rerank_component, p.score FROM place p LEFT JOIN raw USING (query_id, turn_uid) JOIN mm USING (query_id)),
+        added AS (SELECT *, {_r6('(score + rerank_component)')} AS total FROM done)
         SELECT query_id, turn_uid, row_number() OVER w AS rank, total AS score, rerank_component FROM added WINDOW w AS (PARTITION BY query_id ORDER BY head DESC, total DESC, turn_uid) QUALIFY row_number() OVER w <= 10""",
     "retrieve_traced": f"""WITH {GRAPH}, {REACH}, {HYBRID}, top AS ({TOP}), nm AS (SELECT query_id, turn_uid, list_sort(list(DISTINCT canonical_name)) AS names FROM top JOIN matched USING (query_id, turn_uid) JOIN ent USING (entity_id) GROUP BY ALL),
         st AS (SELECT query_id, turn_uid, path, edges FROM top JOIN matched USING (query_id, turn_uid) JOIN reach2 USING (query_id, entity_id)),
@@ -270,6 +279,27 @@ ORACLE = {
         SELECT 'text' AS profile, k, count(*) AS examples, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, round(avg(found::DOUBLE / n), 6) AS recall,
             round(avg(dcg / list_sum(list_transform(range(1, least(n, k) + 1), lambda i: 1.0::DOUBLE / log2(i + 1)))), 6) AS ndcg, round(avg(CASE WHEN found > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit FROM j GROUP BY k""",
 }
+_WEIGHTS = "('lexical_only', 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('embedding_only', 0.0, 1.0, 0.0), ('hybrid', 0.62, 0.23, 0.15), ('hybrid_rerank', 0.62, 0.23, 0.15)"
+ORACLE["compare_profiles"] = rf"""WITH {GRAPH}, {REACH}, {_fused(True, 0.62, 0.23, 0.15, 0.0, 0.0)}, words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark),
+    relevant AS (SELECT DISTINCT item_id, turn_uid FROM words JOIN post USING (term) WHERE length(term) >= 7), n AS (SELECT item_id, count(*) AS n FROM relevant GROUP BY ALL),
+    alone AS (SELECT query_id, turn_uid, least(1.0::DOUBLE, sum(score ORDER BY entity_id) / count(*)) AS entity_score FROM gm JOIN reach2 USING (query_id, entity_id) GROUP BY ALL),
+    scored AS (
+        SELECT 'graph_only' AS profile, query_id, turn_uid, {_r6('least(1.0::DOUBLE, entity_score + CASE WHEN b.turn_uid IS NULL THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END)')} AS score, NULL AS text FROM alone LEFT JOIN bonus b USING (query_id, turn_uid)
+        UNION ALL SELECT p.profile, query_id, turn_uid, {_r6('(p.g * gs + p.e * emb + p.x * lex)')}, text FROM fused CROSS JOIN (VALUES {_WEIGHTS}) p(profile, g, e, x)
+    ),
+    seated AS (SELECT *, row_number() OVER (PARTITION BY profile, query_id ORDER BY score DESC, turn_uid) AS p FROM scored),
+    raw AS (SELECT query_id, turn_uid, length(b.text)::DOUBLE / greatest(1, length(b.text) + length(seated.text)) AS raw FROM seated JOIN benchmark b ON b.item_id = query_id WHERE profile = 'hybrid_rerank' AND p <= {_SHIPPED.rerank_top_n}),
+    mm AS (SELECT query_id, min(raw) AS lo, max(raw) AS hi FROM raw GROUP BY ALL),
+    added AS (SELECT profile, query_id, turn_uid, 0 AS tail, score AS total FROM seated WHERE profile <> 'hybrid_rerank'
+        UNION ALL SELECT profile, query_id, turn_uid, CASE WHEN raw IS NULL THEN 1 ELSE 0 END, {_r6('(score + coalesce(' + _r6(_RERANKED) + ', 0.0))')}
+        FROM seated LEFT JOIN raw USING (query_id, turn_uid) LEFT JOIN mm USING (query_id) WHERE profile = 'hybrid_rerank'),
+    ranked AS (SELECT profile, query_id AS item_id, turn_uid, row_number() OVER w AS rank FROM added WINDOW w AS (PARTITION BY profile, query_id ORDER BY tail, total DESC, turn_uid) QUALIFY row_number() OVER w <= 10),
+    k(k) AS (VALUES (1), (5), (10)), profiles AS (SELECT DISTINCT unnest(['graph_only', 'lexical_only', 'embedding_only', 'hybrid', 'hybrid_rerank']) AS profile),
+    j AS (SELECT profile, r.item_id, k, any_value(n) AS n, count(*) FILTER (rank <= k) AS found, min(rank) AS best, sum(CASE WHEN rank <= k THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END) AS dcg
+        FROM profiles CROSS JOIN relevant r JOIN n USING (item_id) CROSS JOIN k LEFT JOIN ranked USING (profile, item_id, turn_uid) GROUP BY ALL),
+    m AS (SELECT profile, k, count(*) AS examples, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, round(avg(found::DOUBLE / n), 6) AS recall,
+        round(avg(dcg / list_sum(list_transform(range(1, least(n, k) + 1), lambda i: 1.0::DOUBLE / log2(i + 1)))), 6) AS ndcg, round(avg(CASE WHEN found > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit FROM j GROUP BY profile, k)
+    SELECT m.*, round(m.mrr - b.mrr, 6) AS delta_mrr, round(m.recall - b.recall, 6) AS delta_recall FROM m JOIN m b ON b.k = m.k AND b.profile = 'graph_only'"""
 ORACLE["embed_turns_builtin"] = ORACLE["embed_turns"]
 
 

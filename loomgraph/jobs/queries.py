@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as X
 from loomgraph.functions.vectors import cosine, hash_embedding, hash_embedding_builtin, unit
 from loomgraph.jobs.ingest import extracted, with_vectors
-from loomgraph.jobs.oracle import VOCABULARY, oracle_sql
+from loomgraph.jobs.oracle import PRUNING, VOCABULARY, oracle_sql
 from loomgraph.jobs.retrieve import evaluate_profiles, gather, rank_pool
 from loomgraph.operators import evaluate, graph, lexical, rank, store, traverse
 from loomgraph.operators.extraction import explode_chunks, with_chunks, with_entities, with_relations
@@ -22,7 +22,8 @@ from loomgraph.vocabulary import PROFILES, Chunking, Retrieval
 Query = Callable[[SparkSession, str], DataFrame]
 
 CHUNKS = Chunking(default_size=64, default_overlap=8, structured_size=48, structured_overlap=6)
-PARAMS = Retrieval(top_k=10, max_hops=2, beam_width=8, prune_threshold=0.3, recency_weight=0.1, importance_weight=0.1)
+#: What the library ships, but that importance and recency count as well.
+PARAMS = Retrieval(recency_weight=0.1, importance_weight=0.1)
 NOW = "2026-04-01 00:00:00"
 GRAPH_WORDS = VOCABULARY(2)
 
@@ -169,12 +170,12 @@ def query_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "entity_id", "canonical_name", F.round("score", 6).alias("score"), "place")
 
 
-def _reach(spark: SparkSession, sf_dir: str) -> traverse.Reached:
+def _reach(spark: SparkSession, sf_dir: str, params: Retrieval = PARAMS) -> traverse.Reached:
     words = _words(spark, sf_dir)
     entities = graph.build_entities(graph.mention_rows(words, GRAPH_WORDS))
     relations = graph.build_relations(graph.relation_rows(words, GRAPH_WORDS))
-    start = traverse.seeds(traverse.query_names(_questions(spark, sf_dir), GRAPH_WORDS), entities, PARAMS.seed_limit)
-    return traverse.traverse(start, settled(graph.adjacency(relations, 40)), PARAMS)
+    start = traverse.seeds(traverse.query_names(_questions(spark, sf_dir), GRAPH_WORDS), entities, params.seed_limit)
+    return traverse.traverse(start, settled(graph.adjacency(relations, max(40, 2 * params.beam_width))), params)
 
 
 def beam_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +184,9 @@ def beam_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def beam_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reach(spark, sf_dir).pruned
+    """Paths under the threshold for every query, 0 for those without; the threshold is one that many paths of these tables miss."""
+    pruned = _reach(spark, sf_dir, PARAMS.but(prune_threshold=PRUNING)).pruned
+    return _questions(spark, sf_dir).select("query_id").join(pruned, "query_id", "left").select("query_id", F.coalesce("pruned", F.lit(0)).alias("pruned"))
 
 
 def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +224,7 @@ def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked_columns(ranked: DataFrame) -> DataFrame:
     parts = ("graph_signal", "embedding_signal", "lexical_signal", "importance_component", "recency_component")
-    return ranked.select("query_id", "turn_uid", "rank", F.round("score", 5).alias("score"), *[F.round(c, 4).alias(c) for c in parts])
+    return ranked.select("query_id", "turn_uid", "rank", "score", *parts)
 
 
 def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +235,7 @@ def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieve_graph_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, asked = _prepared(spark, sf_dir)
-    params = PROFILES["graph_only"].but(max_hops=2, beam_width=8, prune_threshold=0.3)
+    params = PROFILES["graph_only"]
     return _ranked_columns(rank_pool(gather(asked, g, params, GRAPH_WORDS), asked, g, params, _now()))
 
 
@@ -290,8 +293,7 @@ def compare_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ranking profiles over the same candidates, against the graph's alone."""
     examples = settled(_examples(spark, sf_dir))
     g, _ = _prepared(spark, sf_dir)
-    profiles = {k: p.but(max_hops=2, beam_width=8, prune_threshold=0.3) for k, p in PROFILES.items()}
-    return evaluate_profiles(examples, g, profiles, [1, 5, 10], _now(), "graph_only", GRAPH_WORDS, _length_scores)
+    return evaluate_profiles(examples, g, PROFILES, [1, 5, 10], _now(), "graph_only", GRAPH_WORDS, _length_scores)
 
 
 def queries() -> dict[str, Query]:

@@ -24,7 +24,9 @@ def min_max(value: Column, window: W) -> Column:
 
 
 def in_conversation(rows: DataFrame, queries: DataFrame, turns: DataFrame) -> DataFrame:
-    """Only turns of the conversation that a query is confined to, if it is."""
+    """Only turns of the conversation that a query is confined to, if it is. Without such a query the turns are not read."""
+    if not queries.where("conversation_id is not null").limit(1).count():
+        return rows
     asked = queries.select("query_id", F.col("conversation_id").alias("_only"))
     return rows.join(asked, "query_id").join(turns.select("turn_uid", "conversation_id"), "turn_uid").where("_only is null or _only = conversation_id").drop("_only", "conversation_id")
 
@@ -32,11 +34,14 @@ def in_conversation(rows: DataFrame, queries: DataFrame, turns: DataFrame) -> Da
 def graph_candidates(reached: DataFrame, mentions: DataFrame, queries: DataFrame, turns: DataFrame, limit: int) -> DataFrame:
     """(query_id, turn_uid, entity_id) of the turns that mention reached entities: of each query the ``limit`` turns with the
     greatest sum of path scores. Only ids move."""
-    hits = in_conversation(reached.select("query_id", "entity_id", "score").join(mentions, "entity_id"), queries, turns)
-    grouped = hits.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("entity_id", "score"))).alias("found"))
-    total = grouped.withColumn("sum", F.round(F.aggregate("found", F.lit(0.0), lambda a, x: a + x.score), 9))
+    # Whole numbers of 10**-12 add up to the same in any order, and before the shuffle.
+    scored = reached.select("query_id", "entity_id", F.round(F.col("score") * 1e12).cast("long").alias("units"))
+    total = scored.join(mentions, "entity_id").groupBy(*KEYS).agg(F.sum("units").alias("units"))
+    total = in_conversation(total, queries, turns).withColumn("sum", F.round(F.col("units") / 1e12, 9))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sum"), "turn_uid"))
-    return total.withColumn("place", rank).where(F.col("place") <= limit).select(*KEYS, F.explode("found.entity_id").alias("entity_id"))
+    best = total.withColumn("place", rank).where(F.col("place") <= limit).select(*KEYS)
+    # What is matched is looked up for the turns that are left.
+    return best.join(mentions, "turn_uid").join(reached.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_semi").select(*KEYS, "entity_id")
 
 
 def merge_candidates(graph: DataFrame, lexical: DataFrame | None, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:

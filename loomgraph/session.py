@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset (local tests), a new
-    temporary folder, which is then also set as the checkpoint folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset and Spark runs in one process
+    (local tests), a new temporary folder, which is then also set as the checkpoint folder."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
     elif sc.getCheckpointDir() is None:
