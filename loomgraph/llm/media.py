@@ -2,8 +2,9 @@
 
 The bytes of a text, padded to whole frames, are stored without loss as 8-bit mono samples by the ``wave`` module, and read
 back from the stored file. A short-time Fourier transform over the samples gives a spectrum for each hop; the strongest
-frequencies of each spectrum are its peaks; each peak is paired with the peaks of the next few hops. A pair's code holds both
-frequencies and their distance in time, and goes with the hop where it begins, as landmark fingerprints of audio do.
+frequencies of each spectrum are its peaks; each peak is paired with the weaker ones of its own hop and with the peaks of the
+next few. A pair's code holds both frequencies and their distance in time, and goes with the hop where it begins, as landmark
+fingerprints of audio do; so a text of a single frame has one, too.
 
 Defined results: null and empty texts are one frame of padding; long texts are stored and transformed whole, the spectra in
 steps of bounded size; equal texts give equal files, codes and features; an empty table gives an empty result; other columns
@@ -75,16 +76,16 @@ def spectral_peaks(samples: np.ndarray) -> np.ndarray:
 
 
 def landmarks(peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Times (hops) and codes of all pairs of a peak with those of the next FAN hops."""
-    times, codes = [], []
+    """Times (hops) and codes of all pairs of a peak with the weaker ones of its hop, and with those of the next FAN hops."""
+    a, b = np.triu_indices(peaks.shape[1], 1)
+    own = peaks[:, a].astype(np.int64) << 16 | peaks[:, b].astype(np.int64) << 4
+    times, codes = [np.repeat(np.arange(len(peaks), dtype=np.int32), own.shape[1])], [own.ravel()]
     for gap in range(1, FAN + 1):
         if len(peaks) > gap:
             a, b = peaks[:-gap, :, None].astype(np.int64), peaks[gap:, None, :].astype(np.int64)
             code = (a << 16 | b << 4 | gap).reshape(len(peaks) - gap, -1)
             codes.append(code.ravel())
             times.append(np.repeat(np.arange(len(code), dtype=np.int32), code.shape[1]))
-    if not codes:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     times, codes = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((codes, times))
     return times[order], codes[order]

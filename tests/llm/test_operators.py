@@ -263,7 +263,7 @@ def test_media(spark):
         back = media.read_wav(bytes(r["media"]))
         assert back[: len(data)] == data and set(back[len(data) :]) <= {255} and len(back) % 576 == 0 and len(back) >= 576 and len(back) - len(data) <= 576
         assert r["payload_sha256"] == hashlib.sha256(back).hexdigest() and r["tail_crc32"] == zlib.crc32(back[-32:]) and r["n_bytes"] == len(data)
-        assert list(r["times"]) == sorted(r["times"]) and len(r["times"]) == len(r["codes"])
+        assert list(r["times"]) == sorted(r["times"]) and len(r["times"]) == len(r["codes"]) > 0  # texts of one frame as well
         assert seen.setdefault(data, (r["media"], r["codes"])) == (r["media"], r["codes"])
     assert media.media_columns(empty(spark)).count() == 0
     tone = (np.sin(2 * np.pi * 40 * np.arange(5760) / 576) * 100 + 128).astype(np.uint8)
@@ -500,6 +500,25 @@ def test_html_class_words(html, want):
     assert html_extract.main_text(html, html_extract.Wrapper()) == want
 
 
+def test_html_long_groups_repeat():
+    """Items of many blocks are one repeated group, however long; a page with another number of them matches."""
+    item = "".join(f"<h{k}>a</h{k}><p>b</p><dl><dt>c<dd>d</dl>" for k in range(2, 6))
+    w = html_extract.infer([f"<section>{item * 2}</section>", f"<section>{item * 3}</section>"])
+    assert any(n[0] == "+" and len(n[1]) > 30 for n in w.nodes if isinstance(n, tuple))
+    assert w.covers(html_extract.read_page(f"<section>{item * 7}</section>")[0])
+
+
+def test_html_without_its_wrapper_the_text_differs():
+    """On a host without any element or class that tells, the wrapper's places part the frame from the text."""
+    page = lambda i: f"<div><div>Home</div><div>Shop</div></div><div><h2>Title {i}</h2>" + "".join(f"<p>Text {i} {k}</p>" for k in range(1 + i % 3)) + "</div><div>Imprint</div>"
+    w = html_extract.infer([page(i) for i in range(6)])
+    tokens, slots = html_extract.read_page(page(7))
+    places = w.places(tokens)
+    static = frozenset(p for p, s in zip(places, slots) if s.text in ("Home", "Shop", "Imprint"))
+    assert html_extract.main_text(page(7), w, static) == "Title 7\nText 7 0\nText 7 1"
+    assert html_extract.main_text(page(7), html_extract.Wrapper(), static) == "Home\nShop\nTitle 7\nText 7 0\nText 7 1\nImprint"
+
+
 def test_wrapper_is_union_free():
     w = html_extract.infer(["<ul><li>a</li></ul><p>x</p>", "<ul><li>a</li><li>b</li></ul><h2>t</h2><p>y</p><p>z</p>"])
     kinds = {n[0] for n in w.nodes if isinstance(n, tuple)}
