@@ -66,6 +66,28 @@ def hash_embedding(text: Column, dim: int = DIM) -> Column:
     return embed(embedding_tokens(text))
 
 
+def chunk_mean_embedding(chunks: Column, dim: int = 64) -> Column:
+    """Mean of the hashed vectors of an array of chunks, at unit length, where the row is: nothing is exploded or shuffled."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(tokens: pd.Series) -> pd.Series:
+        rows = [[list(t) for t in ts] if ts is not None else [] for ts in tokens]
+        vectors = np.asarray(hash_vectors([t for ts in rows for t in ts], dim), float).reshape(-1, dim)
+        out, at = [], 0
+        for ts in rows:
+            mean = vectors[at : at + len(ts)].sum(axis=0) / max(1, len(ts))
+            at += len(ts)
+            norm = float(np.sqrt((mean * mean).sum()))
+            out.append(mean if norm <= TINY else mean / norm)
+        return pd.Series(out)
+
+    return embed(F.transform(chunks, embedding_tokens))
+
+
+#: What model families want before a query and before a document.
+PREFIXES = {"plain": ("", ""), "e5": ("query: ", "passage: ")}
+
+
 def model_embedding(df: DataFrame, column: str, out: str, embed: Callable[[list[str]], list[list[float]]], prefix: str = "") -> DataFrame:
     """``df`` with the vectors that the user's batch function gives for ``prefix`` + text, at unit length."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])

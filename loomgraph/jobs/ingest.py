@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.functions.vectors import hash_embedding, mean_vector
-from loomgraph.operators.extraction import explode_chunks, with_chunks, with_entities, with_relations
+from loomgraph.functions.vectors import chunk_mean_embedding
+from loomgraph.operators.extraction import with_chunks, with_entities, with_relations
 from loomgraph.operators.graph import Graph, build, skip_stored, turn_uid
 from loomgraph.session import settled
 from loomgraph.vocabulary import Chunking, Vocabulary
@@ -15,11 +15,7 @@ from loomgraph.vocabulary import Chunking, Vocabulary
 
 def with_vectors(chunked: DataFrame, dim: int = 64) -> DataFrame:
     """``chunked`` with ``embedding``, the mean of its chunks' vectors."""
-    if "turn_uid" not in chunked.columns:
-        raise ValueError("turns need a turn_uid")
-    vectors = explode_chunks(chunked).withColumn("v", hash_embedding(F.col("chunk_text"), dim))
-    means = vectors.groupBy("turn_uid").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "v"))), lambda c: c.v).alias("vs")).select("turn_uid", mean_vector(F.col("vs")).alias("embedding"))
-    return chunked.join(means, "turn_uid", "left")
+    return chunked.withColumn("embedding", chunk_mean_embedding(F.col("chunks"), dim))
 
 
 def extracted(turns: DataFrame, vocabulary: Vocabulary = Vocabulary(), chunking: Chunking = Chunking(), now: Column | None = None, vectors: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.vectors import hash_embedding
-from loomgraph.operators import evaluate, lexical, rank
+from loomgraph.operators import evaluate, lexical, rank, store
 from loomgraph.operators.graph import Graph, adjacency
 from loomgraph.operators.traverse import Reached, query_names, seeds, traverse
 from loomgraph.session import settled
@@ -52,32 +53,72 @@ def rank_pool(pool: Pool, queries: DataFrame, graph: Graph, params: Retrieval, n
     return rank.top(scored, params.top_k)
 
 
-def retrieve(queries: DataFrame, graph: Graph, now: Column, params: Retrieval = Retrieval(), vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None) -> DataFrame:
-    """Ranked turns with their trace, texts and times; these are fetched for ranked turns only."""
+def retrieve(queries: DataFrame, graph: Graph, now: Column, params: Retrieval = Retrieval(), vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None, recalls: str | None = None) -> DataFrame:
+    """Ranked turns with their trace, texts and times, which are fetched for ranked turns only, and the parameters ``applied``.
+    With ``recalls`` the ranked turns are appended to the recall log of that path."""
     pool = gather(queries, graph, params, vocabulary)
     ranked = settled(rank_pool(pool, queries, graph, params, now, scorer))
+    if recalls:
+        store.recall_log(ranked, now).write.mode("append").parquet(recalls)
     told = rank.trace(ranked, pool.matched, pool.reached.entities, graph.relations, graph.entities)
+    told = told.withColumn("applied", F.create_map(*[F.lit(str(x)) for p in params.applied().items() for x in p]))
     return told.join(graph.turns.select("turn_uid", "conversation_id", "turn_id", "speaker", "text", "timestamp", "chunk_profile", "chunk_count"), "turn_uid")
 
 
-def evaluate_profiles(examples: DataFrame, graph: Graph, profiles: dict[str, Retrieval], ks: list[int], now: Column, baseline: str, vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None) -> DataFrame:
+#: Sets of parameters that examples of one evaluation may bring of their own.
+MOST_REQUESTS = 100
+
+
+def typed(request: dict[str, str]) -> dict:
+    """Parameters as they are named in a request, from their text."""
+    kinds = {k: type(v) for k, v in vars(Retrieval()).items()}
+    unknown = set(request) - set(kinds)
+    if unknown:
+        raise ValueError(f"no such parameters: {', '.join(sorted(unknown))}")
+    return {k: v.strip().lower() in ("true", "1") if kinds[k] is bool else kinds[k](v) for k, v in request.items() if v is not None}
+
+
+def run_profiles(examples: DataFrame, graph: Graph, profiles: dict[str, Retrieval], ks: list[int], now: Column, vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None, common: dict | None = None, example_last: bool = True) -> DataFrame:
+    """(profile, example_id, rank, turn_uid, params) of each profile over ``examples(example_id, query, conversation_id)``, which
+    may bring parameters of their own in ``request map<string,string>``. Profiles that differ in weights only share their candidates."""
+    most = max(evaluate.cutoffs(ks))
+    keyed = examples.withColumn("_request", F.to_json("request") if "request" in examples.columns else F.lit(None).cast("string"))
+    own = [r[0] for r in keyed.select("_request").distinct().limit(MOST_REQUESTS + 1).collect()]
+    if len(own) > MOST_REQUESTS:
+        raise ValueError(f"more than {MOST_REQUESTS} sets of parameters among the examples")
+    out: DataFrame | None = None
+    for request in sorted(own, key=lambda x: x or ""):
+        queries = keyed.where(F.col("_request").eqNullSafe(F.lit(request))).select(F.col("example_id").alias("query_id"), "query", "conversation_id")
+        pools: dict[tuple, Pool] = {}
+        for name, profile in profiles.items():
+            params = evaluate.parameters(profile, common, typed(json.loads(request)) if request else None, example_last).but(top_k=most)
+            shape = (params.hybrid, params.max_hops, params.beam_width, params.seed_limit, params.prune_threshold)
+            if shape not in pools:
+                pools[shape] = gather(queries, graph, params, vocabulary)
+            ranked = rank_pool(pools[shape], queries, graph, params, now, scorer)
+            rows = ranked.select(F.lit(name).alias("profile"), F.col("query_id").alias("example_id"), "rank", "turn_uid", F.lit(json.dumps(params.applied(), sort_keys=True)).alias("params"))
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        none = examples.select(F.lit("").alias("profile"), "example_id", F.lit(0).alias("rank"), F.lit("").alias("turn_uid"), F.lit("").alias("params"))
+        return none.limit(0)
+    return settled(out)
+
+
+def with_profiles(examples: DataFrame, profiles: dict[str, Retrieval]) -> DataFrame:
+    """Each example once for each profile."""
+    return examples.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in profiles])))
+
+
+def evaluate_profiles(
+    examples: DataFrame, graph: Graph, profiles: dict[str, Retrieval], ks: list[int], now: Column, baseline: str, vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None,
+    common: dict | None = None, example_last: bool = True,
+) -> DataFrame:
     """Metrics of each profile over ``examples(example_id, query, conversation_id, relevant_turn_uids)``, compared with the
-    baseline. Profiles that differ in weights only share their candidates."""
+    baseline. Parameters of all examples, and of an example, override a profile's (with ``example_last``)."""
     if baseline not in profiles:
         raise ValueError(f"no such profile: {baseline}")
-    ks = evaluate.cutoffs(ks)
-    queries = examples.select(F.col("example_id").alias("query_id"), "query", "conversation_id")
-    pools: dict[tuple, Pool] = {}
-    judged: DataFrame | None = None
-    for name, profile in profiles.items():
-        params = profile.but(top_k=max(ks))
-        shape = (params.hybrid, params.max_hops, params.beam_width, params.prune_threshold, params.top_k)
-        if shape not in pools:
-            pools[shape] = gather(queries, graph, params, vocabulary)
-        ranked = rank_pool(pools[shape], queries, graph, params, now, scorer)
-        rows = ranked.select(F.lit(name).alias("profile"), F.col("query_id").alias("example_id"), "rank", "turn_uid")
-        part = evaluate.judge(rows, examples.withColumn("profile", F.lit(name)), ks)
-        judged = part if judged is None else judged.unionByName(part)
+    ranked = run_profiles(examples, graph, profiles, ks, now, vocabulary, scorer, common, example_last)
+    judged = evaluate.judge(ranked, with_profiles(examples, profiles), evaluate.cutoffs(ks))
     return evaluate.compare(settled(evaluate.metrics(judged)), baseline)
 
 

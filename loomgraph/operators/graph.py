@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.session import settled
 from loomgraph.vocabulary import OTHER_PRIOR, PRIORS, Vocabulary
 
 
@@ -164,13 +165,16 @@ def match_names(names: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
     """(name, entity_id, canonical_name, exact) of the entities of which the name or an alias contains ``name``, in any case;
     for each name the first ``limit``: exact ones, then the shortest, then by id.
 
-    A name is looked up by three letters in a row of it (or all of it, if shorter) among those of all aliases, and compared
-    in full then; so this is an equi-join, which needs neither side to be small."""
+    A name is looked up by the rarest three letters in a row that it has (or all of it, if shorter) among those of all aliases,
+    and compared in full then; so this is an equi-join, which needs neither side to be small."""
     low = F.lower(F.col("name"))
-    keyed = names.select("name").distinct().withColumn("key", F.substring(low, 1, 3))
+    own = names.select("name").distinct().withColumn("key", F.explode(F.when(F.char_length(low) > 3, F.array_distinct(_grams(low, 3))).otherwise(F.array(low))))
     forms = entities.select("entity_id", "canonical_name", F.explode(F.array_union(F.array("canonical_name"), "aliases")).alias("form")).withColumn("form", F.lower("form")).distinct()
     keys = F.array_distinct(F.concat(F.array(F.lit("")), _grams(F.col("form"), 1), _grams(F.col("form"), 2), _grams(F.col("form"), 3)))
-    hits = forms.withColumn("key", F.explode(keys)).join(keyed, "key").where(F.contains(F.col("form"), low)).select("name", "entity_id", "canonical_name").distinct()
+    found = settled(forms.withColumn("key", F.explode(keys)).join(own.select("key").distinct(), "key", "left_semi"))
+    counts = found.groupBy("key").agg(F.count("*").alias("n"))
+    keyed = own.join(counts, "key", "left").groupBy("name").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    hits = found.join(keyed, "key").where(F.contains(F.col("form"), low)).select("name", "entity_id", "canonical_name").distinct()
     exact = hits.withColumn("exact", F.col("name") == F.col("canonical_name"))
     rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("exact"), F.char_length("canonical_name"), "entity_id"))
     return exact.withColumn("place", rank).where(F.col("place") <= limit)

@@ -37,13 +37,16 @@ class Loaded:
 def _lines(spark: SparkSession, path: str | list[str], tree: bool = False) -> DataFrame:
     """(file, line, value): all physical lines, numbered from 1 within their file, blank ones included.
 
-    The number comes from a key that grows along a file (block start, then row within the read), so a file may be read in
-    many pieces. Numbering sorts by file, not over all files."""
+    A file may be read in many pieces: rows are numbered within theirs, and the pieces before it are counted. Only those counts
+    are ordered by file, no lines."""
     reader = spark.read.option("recursiveFileLookup", tree)
     if tree:
         reader = reader.option("pathGlobFilter", "*.jsonl")
     raw = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
-    return raw.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy("block", "row")))
+    pieces = raw.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    pieces = pieces.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return raw.join(pieces, ["file", "block"]).select("file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line"), "value")
 
 
 def _string(v: Column, name: str) -> Column:
@@ -53,9 +56,16 @@ def _string(v: Column, name: str) -> Column:
 def read_turns(spark: SparkSession, path: str | list[str]) -> Loaded:
     """Turns from JSON lines: five non-empty strings, of which the timestamp is ISO 8601. Blank lines are skipped, further
     fields ignored; anything else is rejected with its reason."""
-    lines = _lines(spark, path).withColumn("body", strip(F.col("value"))).where("body != ''").withColumn("v", F.try_parse_json("body"))
+    judged = judge_turns(_lines(spark, path), ["file", "line"])
+    return Loaded(judged.where("reason is null").drop("file", "line", "value", "reason"), judged.where("reason is not null").select("file", "line", "reason"))
+
+
+def judge_turns(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """The turns that ``lines(value, ...)`` hold, with the columns ``keep``, the line's ``value``, and the ``reason`` why a line is
+    none. Works on streams as well."""
+    lines = lines.withColumn("body", strip(F.col("value"))).where("body != ''").withColumn("v", F.try_parse_json("body"))
     fields = {name: _string(F.col("v"), name) for name in TURN_FIELDS}
-    parsed = lines.select("file", "line", "v", *[f.alias(n) for n, f in fields.items()]).withColumn("at", F.try_to_timestamp("timestamp"))
+    parsed = lines.select(*keep, "value", "v", *[f.alias(n) for n, f in fields.items()]).withColumn("at", F.try_to_timestamp("timestamp"))
     missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in TURN_FIELDS]))
     empty = F.array_compact(F.array(*[F.when(F.col(n) == "", F.lit(n)) for n in TURN_FIELDS]))
     reason = (
@@ -64,9 +74,7 @@ def read_turns(spark: SparkSession, path: str | list[str]) -> Loaded:
         .when(F.size(empty) > 0, F.concat(F.lit("empty "), F.array_join(empty, ", ")))
         .when(F.col("at").isNull(), F.lit("timestamp is not ISO 8601"))
     )
-    judged = parsed.withColumn("reason", reason)
-    valid = judged.where("reason is null").select("conversation_id", "turn_id", "speaker", "text", F.col("at").alias("timestamp"))
-    return Loaded(valid, judged.where("reason is not null").select("file", "line", "reason"))
+    return parsed.select(*keep, "value", "conversation_id", "turn_id", "speaker", "text", F.col("at").alias("timestamp"), reason.alias("reason"))
 
 
 def read_session_history(spark: SparkSession, path: str | list[str]) -> DataFrame:

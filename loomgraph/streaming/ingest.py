@@ -8,22 +8,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.jobs.ingest import ingest
 from loomgraph.operators.store import commit_merge, current_version, read_graph
-from loomgraph.sources.turns import TURNS
+from loomgraph.session import settled
+from loomgraph.sources.turns import judge_turns
 from loomgraph.vocabulary import Chunking, Vocabulary
 
 
 def stream_turns(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Turns from JSON files as they arrive in a folder."""
-    return spark.readStream.schema(TURNS).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    """Turns from files of JSON lines as they arrive in a folder, judged as ``read_turns`` judges them: file, value, the turn's
+    columns, and the ``reason`` where a line is no turn."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    return judge_turns(lines.select(F.col("_metadata.file_path").alias("file"), "value"), ["file"])
 
 
 def stream_ingest(turns: DataFrame, base: str, checkpoint: str, vocabulary: Vocabulary = Vocabulary(), chunking: Chunking = Chunking()) -> StreamingQuery:
-    """Merge each micro-batch into the graph under ``base``: turns that are stored are skipped, and a batch that is tried again
-    after a failure counts once."""
+    """Merge each micro-batch of ``stream_turns`` into the graph under ``base``: turns that are stored are skipped, lines that are
+    no turns go to ``base``/rejects with their reason, and a batch that is tried again after a failure counts once."""
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        whole = batch.where("conversation_id != '' and turn_id != '' and speaker != '' and text != '' and timestamp is not null")
+        batch = settled(batch)
+        batch.where("reason is not null").select("file", "value", "reason").write.mode("overwrite").parquet(f"{base}/rejects/batch={batch_id}")
+        whole = batch.where("reason is null").select("conversation_id", "turn_id", "speaker", "text", "timestamp")
         now = current_version(spark, base)
         stored = read_graph(spark, f"{base}/v{now}").turns if now else None
         commit_merge(spark, base, ingest(whole, vocabulary, chunking, stored), batch_id)
