@@ -84,8 +84,17 @@ def chunk_mean_embedding(chunks: Column, dim: int = 64) -> Column:
     return embed(F.transform(chunks, embedding_tokens))
 
 
-#: What model families want before a query and before a document.
-PREFIXES = {"plain": ("", ""), "e5": ("query: ", "passage: ")}
+#: What known models want before a query and before a document.
+PREFIXES = {
+    "nlpai-lab/kure-v1": ("query: ", "passage: "),
+    "dragonkue/bge-m3-ko": ("Represent this sentence for searching relevant passages: ", ""),
+}
+
+
+def prefixes(model: str, query: str | None = None, document: str | None = None) -> tuple[str, str]:
+    """Prefixes of a model's queries and documents: those given, else those known for it, else none."""
+    known = PREFIXES.get(model.strip().lower(), ("", ""))
+    return known[0] if query is None else query, known[1] if document is None else document
 
 
 def model_embedding(df: DataFrame, column: str, out: str, embed: Callable[[list[str]], list[list[float]]], prefix: str = "") -> DataFrame:

@@ -300,6 +300,32 @@ ORACLE["compare_profiles"] = rf"""WITH {GRAPH}, {REACH}, {_fused(True, 0.62, 0.2
     m AS (SELECT profile, k, count(*) AS examples, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, round(avg(found::DOUBLE / n), 6) AS recall,
         round(avg(dcg / list_sum(list_transform(range(1, least(n, k) + 1), lambda i: 1.0::DOUBLE / log2(i + 1)))), 6) AS ndcg, round(avg(CASE WHEN found > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit FROM j GROUP BY profile, k)
     SELECT m.*, round(m.mrr - b.mrr, 6) AS delta_mrr, round(m.recall - b.recall, 6) AS delta_recall FROM m JOIN m b ON b.k = m.k AND b.profile = 'graph_only'"""
+_RELEVANT = r"""words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark), relevant AS (SELECT DISTINCT item_id, turn_uid FROM words JOIN post USING (term) WHERE length(term) >= 7)"""
+ORACLE["graph_merge_turns"] = f"""WITH {TURNS}, {RECALL} SELECT t.turn_uid, speaker, md5(text || '!') AS text_md5, CASE WHEN speaker = 'user' THEN coalesce(recall_count, 0) ELSE 0 END AS recall_count FROM turns t LEFT JOIN recall r ON r.turn_uid = t.turn_uid"""
+ORACLE["graph_rebuild"] = ORACLE["graph_relations"]
+ORACLE["graph_lookups"] = f"""WITH {MENTION}, {_entity_table('ent', 'men')}, {QNAMES}, uid AS (SELECT DISTINCT 'conv-' || user_id || ':t0' AS turn_uid FROM events)
+    SELECT 'entity' AS kind, entity_id AS id, canonical_name AS what FROM ent WHERE entity_id IN (SELECT {_id('name')} FROM q_names) UNION ALL SELECT 'turn', turn_uid, speaker FROM turns JOIN uid USING (turn_uid) UNION ALL SELECT 'exists', turn_uid, '' FROM turns JOIN uid USING (turn_uid)"""
+_EDGES_SQL = ORACLE["subgraph_edges"]
+ORACLE["subgraph_nodes"] = _EDGES_SQL[: _EDGES_SQL.rindex("SELECT name, source")].rstrip() + """, out AS (SELECT name, source, target, label FROM once QUALIFY row_number() OVER (PARTITION BY name ORDER BY o, target, label) <= 100),
+    node AS (SELECT name, entity_id AS id, 1.0::DOUBLE AS score FROM few UNION ALL SELECT name, target, 0.6 FROM out) SELECT name, id, max(score) AS score, any_value(canonical_name) AS label, any_value(entity_type) AS kind FROM node JOIN ent ON ent.entity_id = node.id GROUP BY name, id"""
+ORACLE["recall_feedback"] = f"""WITH {TURNS}, {POST}, {_search(10)}, log AS (SELECT turn_uid, 1775001600000000 AS us FROM hits UNION ALL SELECT 'conv-' || user_id || ':t0', epoch_us(ts + INTERVAL 770 DAY) FROM events), n AS (SELECT turn_uid, count(*) AS c, max(us) AS last_us FROM log GROUP BY ALL)
+    SELECT t.turn_uid, coalesce(c, 0) AS recall_count, last_us FROM turns t LEFT JOIN n ON n.turn_uid = t.turn_uid"""
+ORACLE["eval_examples"] = """WITH l AS (SELECT * FROM labels), kept AS (SELECT item_id AS example_id, text AS query, 1770000000 + item_id * 86400 AS created FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM l)
+    UNION ALL SELECT doc_id, 'document ' || doc_id, 1770000000 + coalesce(item_id, doc_id + 1000) * 86400 FROM l LEFT JOIN benchmark ON item_id = doc_id)
+    SELECT example_id, md5(query) AS query_md5, created FROM kept WHERE example_id NOT IN (SELECT doc_id FROM l WHERE toxic = 1)"""
+_ONE_HOP = f"""{SEEDS}, reach0 AS (SELECT query_id, entity_id, greatest(0.01::DOUBLE, score) AS score, '' AS path, []::VARCHAR[] AS edges FROM seed),
+    front0 AS (SELECT * FROM reach0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) <= {_SHIPPED.beam_width}), {_hop(1, _SHIPPED.prune_threshold, _SHIPPED.beam_width)}, reach2 AS (SELECT * FROM reach1)"""
+ORACLE["evaluate_details"] = f"""WITH {GRAPH}, {_ONE_HOP}, {_fused(False, 1.0, 0.0, 0.0, 0.0, 0.0)}, {POST}, {_RELEVANT}, n AS (SELECT item_id, count(*) AS n FROM relevant GROUP BY ALL),
+    top AS (SELECT query_id, turn_uid, row_number() OVER w AS rank FROM fused WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, turn_uid) QUALIFY row_number() OVER w <= 10)
+    SELECT 'graph_only' AS profile, item_id AS example_id, any_value(n) AS n_relevant, coalesce(string_agg(turn_uid, ',' ORDER BY rank), '') AS ranked FROM n LEFT JOIN top ON query_id = item_id GROUP BY item_id"""
+ORACLE["files_turns"] = f"""WITH {TURNS} SELECT '' AS reason, turn_uid, speaker, md5(text) AS text_md5, sec AS at FROM turns WHERE speaker <> 'system' AND text <> ''
+    UNION ALL SELECT CASE WHEN speaker = 'system' THEN 'missing text' ELSE 'empty text' END AS r, '', '', '', count(*) FROM turns WHERE speaker = 'system' OR text = '' GROUP BY r"""
+_STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+ORACLE["files_sessions"] = rf"""WITH k AS (SELECT *, {_STRIPPED} AS body FROM conversations WHERE role = 'user') SELECT 'codex:s' || conv_id AS conversation_id, 'turn-' || printf('%06d', row_number() OVER (PARTITION BY conv_id ORDER BY turn)) AS turn_id, md5(body) AS text_md5, conv_id * 1000 + turn AS at FROM k WHERE body <> ''"""
+ORACLE["files_events"] = rf"""WITH k AS (SELECT *, {_STRIPPED} AS body FROM conversations WHERE role IN ('user', 'assistant')), t AS (SELECT *, CASE WHEN role = 'user' THEN body WHEN coalesce(body, '') = '' THEN '[tool_use] grep' ELSE body || chr(10) || '[tool_use] grep' END AS said FROM k)
+    SELECT 'claude:s' || conv_id AS conversation_id, 'u-' || conv_id || '-' || turn AS turn_id, role AS speaker, md5(said) AS text_md5 FROM t WHERE said <> ''"""
+ORACLE["files_examples"] = rf"""WITH {TURNS}, {POST}, {_RELEVANT} SELECT '' AS reason, md5(regexp_replace(b.text, '^\s+|\s+$', '', 'g')) AS query_md5, string_agg(r.turn_uid, ',' ORDER BY r.turn_uid) AS relevant, 1 AS n FROM relevant r JOIN benchmark b USING (item_id) GROUP BY item_id, b.text
+    UNION ALL SELECT 'no relevant turns', '', '', count(*) FROM benchmark"""
 ORACLE["embed_turns_builtin"] = ORACLE["embed_turns"]
 
 

@@ -3,6 +3,7 @@ queries, labels relevance, events recalls. None of them leaves out rows."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.functions.vectors import cosine, hash_embedding, hash_embedding_builtin, unit
-from loomgraph.jobs.ingest import extracted, with_vectors
+from loomgraph.jobs.ingest import extracted, rebuild, with_vectors
 from loomgraph.jobs.oracle import PRUNING, VOCABULARY, oracle_sql
-from loomgraph.jobs.retrieve import evaluate_profiles, gather, rank_pool
+from loomgraph.jobs.retrieve import evaluate_profiles, gather, rank_pool, run_profiles, with_profiles
 from loomgraph.operators import evaluate, graph, lexical, rank, store, traverse
 from loomgraph.operators.extraction import explode_chunks, with_chunks, with_entities, with_relations
-from loomgraph.session import settled
+from loomgraph.session import settled, shared_dir, spread
+from loomgraph.sources.turns import read_event_logs, read_examples, read_session_history, read_turns
 from loomgraph.vocabulary import PROFILES, Chunking, Retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +31,7 @@ GRAPH_WORDS = VOCABULARY(2)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _now():
@@ -202,7 +204,7 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prepared(spark: SparkSession, sf_dir: str):
     g = _graph(spark, sf_dir)
     recalled = store.with_recall(g.turns, store.recall_state(_recalls(spark, sf_dir)))
-    return graph.Graph(settled(recalled), settled(g.entities), g.mentions, settled(g.relations)), _questions(spark, sf_dir)
+    return graph.Graph(settled(recalled), settled(g.entities), settled(g.mentions), settled(g.relations)), _questions(spark, sf_dir)
 
 
 def _recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,11 +298,121 @@ def compare_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate_profiles(examples, g, PROFILES, [1, 5, 10], _now(), "graph_only", GRAPH_WORDS, _length_scores)
 
 
+def graph_merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns are stored, with their recalls; then all turns come in once more, with another text."""
+    turns = _uid_turns(spark, sf_dir).withColumns({"recall_count": F.lit(0).cast("bigint"), "last_recalled_at": F.lit(None).cast("timestamp")})
+    old = store.with_recall(turns.where("speaker = 'user'"), store.recall_state(_recalls(spark, sf_dir)))
+    merged = graph.merge_turns(old, turns.withColumn("text", F.concat(F.col("text"), F.lit("!"))))
+    return merged.select("turn_uid", "speaker", F.md5(F.col("text").cast("binary")).alias("text_md5"), "recall_count")
+
+
+def graph_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all stored conversations, found anew."""
+    stored = _uid_turns(spark, sf_dir)
+    return _edges(rebuild(stored.select("conversation_id"), stored, GRAPH_WORDS, CHUNKS).relations)
+
+
+def graph_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities and turns by id, and which ids exist: asked for are those of the benchmark's names and of the recall log."""
+    words = _words(spark, sf_dir)
+    entities = settled(graph.build_entities(graph.mention_rows(words, GRAPH_WORDS)))
+    names = traverse.query_names(_questions(spark, sf_dir), GRAPH_WORDS).select(X.entity_id(F.col("name")).alias("entity_id"))
+    uids = _recalls(spark, sf_dir).select("turn_uid")
+    found = graph.entities_by_id(entities, names).select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), F.col("canonical_name").alias("what"))
+    turns = graph.turns_by_uid(words, uids).select(F.lit("turn").alias("kind"), F.col("turn_uid").alias("id"), F.col("speaker").alias("what"))
+    there = graph.stored_uids(uids, words).select(F.lit("exists").alias("kind"), F.col("turn_uid").alias("id"), F.lit("").alias("what"))
+    return found.unionByName(turns).unionByName(there)
+
+
+def subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, sf_dir)
+    names = spark.createDataFrame([(k,) for k in GRAPH_WORDS.keywords], "name string")
+    entities = settled(graph.build_entities(graph.mention_rows(words, GRAPH_WORDS)))
+    nodes, _ = graph.subgraph(names, entities, graph.build_relations(graph.relation_rows(words, GRAPH_WORDS)), 100)
+    return nodes.select("name", "id", "score", "label", "kind")
+
+
+def recall_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall counts after all queries have recalled the turns that full text ranks first."""
+    turns = _uid_turns(spark, sf_dir)
+    ranked = lexical.search(_questions(spark, sf_dir), turns, lexical.postings(turns), 10)
+    log = store.recall_log(ranked, _now()).unionByName(_recalls(spark, sf_dir).select("turn_uid", "recalled_at", (-F.col("query_id") - 1).alias("query_id")))
+    return store.with_recall(turns.select("turn_uid"), store.recall_state(log)).select("turn_uid", "recall_count", F.unix_micros("last_recalled_at").alias("last_us"))
+
+
+def eval_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples kept over time: benchmark items are stored, labelled documents' ids take some over with another text and add
+    new ones, toxic ones are deleted."""
+    at = lambda day: (F.lit(1_770_000_000) + day * 86_400).cast("timestamp")
+    old = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("example_id"), F.col("text").alias("query"), at(F.col("item_id")).alias("created_at"))
+    labels = _table(spark, sf_dir, "labels")
+    new = labels.select(F.col("doc_id").alias("example_id"), F.concat(F.lit("document "), "doc_id").alias("query"), at(F.col("doc_id") + 1000).alias("created_at"))
+    kept = evaluate.delete_examples(evaluate.upsert_examples(old, new), labels.where("toxic = 1").select(F.col("doc_id").alias("example_id")))
+    return kept.select("example_id", F.md5(F.col("query").cast("binary")).alias("query_md5"), F.unix_seconds("created_at").alias("created"))
+
+
+def evaluate_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each example's ranking was, beside what is relevant, under its own number of hits: the graph's profile, in which
+    every example asks for one hop."""
+    examples = settled(_examples(spark, sf_dir).withColumn("request", F.create_map(F.lit("max_hops"), F.lit("1"))))
+    g, _ = _prepared(spark, sf_dir)
+    profiles = {"graph_only": PROFILES["graph_only"]}
+    ranked = run_profiles(examples, g, profiles, [10], _now(), GRAPH_WORDS)
+    told = evaluate.ranked_lists(ranked, with_profiles(examples, profiles))
+    return told.select("profile", "example_id", F.size("relevant_turn_uids").cast("long").alias("n_relevant"), F.array_join("ranked_turn_uids", ",").alias("ranked"))
+
+
+def _json_lines(spark: SparkSession, rows: DataFrame, kind: str) -> str:
+    """``rows(value)`` as text files in the shared folder."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    rows.select("value").write.text(path)
+    return path
+
+
+def files_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSON lines and read back; those of the system lack their text and are rejected."""
+    turns = turns_of(spark, sf_dir).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    whole = F.to_json(F.struct("conversation_id", "turn_id", "speaker", "text", "timestamp"))
+    value = F.when(F.col("speaker") == "system", F.to_json(F.struct("conversation_id", "turn_id", "speaker", "timestamp"))).otherwise(whole)
+    loaded = read_turns(spark, _json_lines(spark, turns.select(value.alias("value")), "turns"))
+    valid = loaded.valid.select(F.lit("").alias("reason"), F.concat_ws(":", "conversation_id", "turn_id").alias("turn_uid"), "speaker", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.unix_seconds("timestamp").alias("at"))
+    rejects = loaded.rejects.groupBy("reason").agg(F.count("*").alias("at")).select("reason", F.lit("").alias("turn_uid"), F.lit("").alias("speaker"), F.lit("").alias("text_md5"), "at")
+    return valid.unionByName(rejects)
+
+
+def files_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns as a history of prompts, in one file of many pieces, numbered within their sessions."""
+    rows = _table(spark, sf_dir, "conversations").where("role = 'user'").orderBy("conv_id", "turn").coalesce(1)
+    value = F.to_json(F.struct(F.concat(F.lit("s"), "conv_id").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ts"), F.col("text")))
+    read = read_session_history(spark, _json_lines(spark, rows.select(value.alias("value")), "sessions"))
+    return read.select("conversation_id", "turn_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.unix_seconds("timestamp").alias("at"))
+
+
+def files_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as event logs: an assistant's content is a list of parts, a system's event is of no kind that is read."""
+    turns = _table(spark, sf_dir, "conversations")
+    parts = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("name")), F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("grep").alias("name")))
+    common = [F.col("role").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.concat_ws("-", F.lit("u"), "conv_id", "turn").alias("uuid")]
+    value = F.when(F.col("role") == "assistant", F.to_json(F.struct(*common, F.struct("role", parts.alias("content")).alias("message")))).otherwise(F.to_json(F.struct(*common, F.struct("role", F.col("text").alias("content")).alias("message"))))
+    read = read_event_logs(spark, _json_lines(spark, turns.select(value.alias("value")), "events"), _now(), pattern="part-*")
+    return read.select("conversation_id", "turn_id", "speaker", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def files_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation examples written as JSON lines and read back; those without relevant turns are rejected."""
+    known = _examples(spark, sf_dir).select("query", "relevant_turn_uids")
+    none = _questions(spark, sf_dir).select("query", F.array().cast("array<string>").alias("relevant_turn_uids"))
+    loaded = read_examples(spark, _json_lines(spark, known.unionByName(none).select(F.to_json(F.struct("query", F.col("relevant_turn_uids").alias("expected_turn_uids"))).alias("value")), "examples"))
+    valid = loaded.valid.select(F.lit("").alias("reason"), F.md5(F.col("query").cast("binary")).alias("query_md5"), F.array_join(F.array_sort("relevant_turn_uids"), ",").alias("relevant"), F.lit(1).cast("long").alias("n"))
+    return valid.unionByName(loaded.rejects.groupBy("reason").agg(F.count("*").alias("n")).select("reason", F.lit("").alias("query_md5"), F.lit("").alias("relevant"), "n"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         text_names, text_importance, chunk_documents, embed_turns, embed_turns_builtin, embed_chunk_means, cosine_to_queries, extract_entities, extract_relations, graph_entities, graph_mentions,
         graph_relations, graph_adjacency, graph_merge_relations, graph_merge_entities, skip_stored, ingest_statistics, conversation_turns, query_seeds, beam_traversal, beam_pruned, text_postings,
         text_search, recall_state, candidate_pool, retrieve_hybrid, retrieve_graph_only, retrieve_reranked, retrieve_traced, subgraph_edges, evaluate_search, compare_profiles,
+        graph_merge_turns, graph_rebuild, graph_lookups, subgraph_nodes, recall_feedback, eval_examples, evaluate_details, files_turns, files_sessions, files_events, files_examples,
     )
     return {f.__name__: f for f in found}
 

@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found if "://" in found or found.startswith("file:") else "file://" + found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer pieces than there are: a table of one small file has one. Large tables stay
+    as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder; a lost executor then loses none of it."""
     shared_dir(df.sparkSession)

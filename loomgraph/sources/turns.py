@@ -34,14 +34,14 @@ class Loaded:
         return self.valid
 
 
-def _lines(spark: SparkSession, path: str | list[str], tree: bool = False) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], tree: str | None = None) -> DataFrame:
     """(file, line, value): all physical lines, numbered from 1 within their file, blank ones included.
 
     A file may be read in many pieces: rows are numbered within theirs, and the pieces before it are counted. Only those counts
     are ordered by file, no lines."""
-    reader = spark.read.option("recursiveFileLookup", tree)
+    reader = spark.read
     if tree:
-        reader = reader.option("pathGlobFilter", "*.jsonl")
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", tree)
     raw = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
     pieces = raw.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
@@ -110,10 +110,10 @@ def message_text(content: Column) -> Column:
     return F.when(text != "", text)
 
 
-def read_event_logs(spark: SparkSession, root: str, now: Column, max_files: int | None = None) -> DataFrame:
-    """Turns from a tree of event logs (``**/*.jsonl``): user and assistant events with text. A turn is named by the event's
+def read_event_logs(spark: SparkSession, root: str, now: Column, max_files: int | None = None, pattern: str = "*.jsonl") -> DataFrame:
+    """Turns from a tree of event logs (files named by ``pattern``, at any depth): user and assistant events with text. A turn is named by the event's
     uuid, or its line; its conversation by the session, or the file; without a timestamp it gets ``now``."""
-    rows = _lines(spark, root, tree=True)
+    rows = _lines(spark, root, tree=pattern)
     if max_files is not None:
         first = rows.select("file").distinct().orderBy("file").limit(max(0, max_files))
         rows = rows.join(F.broadcast(first), "file", "left_semi")  # at most max_files rows
