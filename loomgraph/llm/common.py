@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from loomgraph.session import settled, shared_dir
+from loomgraph.session import settled, shared_dir, spread
 
 __all__ = ["arrow_batches", "crc_mod", "lean", "map_batches", "mix64", "paused_gc", "pick_sample", "segment_hashes", "settled", "shared_dir", "table", "texts_of", "word_hashes", "worker_table"]
 
@@ -28,8 +28,8 @@ BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data set, read by Spark so that any file system Spark knows will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data set, read by Spark so that any file system Spark knows will do; a small one over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
