@@ -231,6 +231,7 @@ ORACLE = {
     "graph_entities": f"WITH {MENTION}, {_entity_table('ent', 'men')} SELECT entity_id, canonical_name, entity_type, array_to_string(aliases, '|') AS aliases FROM ent",
     "graph_mentions": f"WITH {MENTION} SELECT DISTINCT turn_uid, entity_id FROM men",
     "graph_relations": f"WITH {CHAIN}, {EDGES} {_edges_out('edge')}",
+    "graph_evidence": f"WITH {CHAIN} SELECT DISTINCT s AS source_entity_id, t AS target_entity_id, kind AS relation_type, turn_uid FROM rel",
     "graph_adjacency": f"WITH {CHAIN}, {EDGES}, {ADJ} SELECT source_entity_id, target_entity_id, relation_type, forward, weight, place, round(edge_score, 6) AS edge_score FROM adj WHERE place <= 40",
     "graph_merge_relations": f"WITH {CHAIN}, {HALVES}, twice AS (SELECT s, t, kind, sum(CASE WHEN m = 2 THEN 2 ELSE 1 END)::DOUBLE AS weight, list(turn_uid ORDER BY turn_uid) AS evidence FROM rel JOIN crc USING (turn_uid) GROUP BY ALL) {_edges_out('twice')}",
     "graph_merge_entities": f"""WITH {MENTION}, {HALVES}, ma AS (SELECT men.* FROM men JOIN crc USING (turn_uid) WHERE m <> 0), mb AS (SELECT men.* FROM men JOIN crc USING (turn_uid) WHERE m <> 1), {_entity_table('ea', 'ma')}, {_entity_table('eb', 'mb')}

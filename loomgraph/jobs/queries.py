@@ -11,12 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.functions.vectors import cosine, hash_embedding, hash_embedding_builtin, unit
+from loomgraph.functions.vectors import hash_embedding, hash_embedding_builtin, unit
 from loomgraph.jobs.ingest import extracted, rebuild, with_vectors
 from loomgraph.jobs.oracle import PRUNING, VOCABULARY, oracle_sql
 from loomgraph.jobs.retrieve import evaluate_profiles, gather, rank_pool, run_profiles, with_profiles
 from loomgraph.operators import evaluate, graph, lexical, rank, store, traverse
 from loomgraph.operators.extraction import explode_chunks, with_chunks, with_entities, with_relations
+from loomgraph.operators.nearest import nearest
 from loomgraph.session import settled, shared_dir, spread
 from loomgraph.sources.turns import read_event_logs, read_examples, read_session_history, read_turns
 from loomgraph.vocabulary import PROFILES, Chunking, Retrieval
@@ -100,8 +101,7 @@ def cosine_to_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors nearest to each vector whose id is divisible by 100: a stated query set against all rows."""
     rows = settled(_table(spark, sf_dir, "embeddings").select("vec_id", unit(F.col("embedding").cast("array<double>")).alias("e")))
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    near = rows.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("e")), 6).alias("likeness"))
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("likeness"), "vec_id"))).where("rank <= 5")
+    return nearest(asked, rows, 5).select("query_id", "vec_id", "likeness", "rank")
 
 
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,12 +121,18 @@ def graph_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build_mentions(graph.mention_rows(_words(spark, sf_dir), GRAPH_WORDS))
 
 
-def _edges(df: DataFrame) -> DataFrame:
-    return df.select("source_entity_id", "target_entity_id", "relation_type", "weight", F.size("evidence_turn_ids").cast("long").alias("n_evidence"), F.md5(F.array_join("evidence_turn_ids", ",").cast("binary")).alias("evidence_md5"))
+def _edges(relations: DataFrame, evidence: DataFrame) -> DataFrame:
+    return graph.with_evidence(relations, evidence).select("source_entity_id", "target_entity_id", "relation_type", "weight", F.size("evidence_turn_ids").cast("long").alias("n_evidence"), F.md5(F.array_join("evidence_turn_ids", ",").cast("binary")).alias("evidence_md5"))
 
 
 def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(graph.build_relations(graph.relation_rows(_words(spark, sf_dir), GRAPH_WORDS)))
+    rows = graph.relation_rows(_words(spark, sf_dir), GRAPH_WORDS)
+    return _edges(graph.build_relations(rows), graph.build_evidence(rows))
+
+
+def graph_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each edge's turns, as rows."""
+    return graph.build_evidence(graph.relation_rows(_words(spark, sf_dir), GRAPH_WORDS))
 
 
 def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +143,9 @@ def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_merge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads that share turns: weights add up, evidence does not."""
     rows = settled(graph.relation_rows(_words(spark, sf_dir), GRAPH_WORDS))
-    half = lambda k: graph.build_relations(rows.where(f"crc32(cast(turn_uid as binary)) % 3 != {k}"))
-    return _edges(graph.merge_relations(half(0), half(1)))
+    first, second = (rows.where(f"crc32(cast(turn_uid as binary)) % 3 != {k}") for k in (0, 1))
+    evidence = graph.merge_evidence(graph.build_evidence(first), graph.build_evidence(second))
+    return _edges(graph.merge_relations(graph.build_relations(first), graph.build_relations(second)), evidence)
 
 
 def graph_merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +211,7 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prepared(spark: SparkSession, sf_dir: str):
     g = _graph(spark, sf_dir)
     recalled = store.with_recall(g.turns, store.recall_state(_recalls(spark, sf_dir)))
-    return graph.Graph(settled(recalled), settled(g.entities), settled(g.mentions), settled(g.relations)), _questions(spark, sf_dir)
+    return graph.Graph(settled(recalled), settled(g.entities), settled(g.mentions), settled(g.relations), settled(g.evidence)), _questions(spark, sf_dir)
 
 
 def _recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +264,7 @@ def retrieve_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each ranked turn rests on: matched entities, path steps, evidence."""
     g, asked = _prepared(spark, sf_dir)
     pool = gather(asked, g, PARAMS, GRAPH_WORDS)
-    told = rank.trace(settled(rank_pool(pool, asked, g, PARAMS, _now())), pool.matched, pool.reached.entities, g.relations, g.entities)
+    told = rank.trace(settled(rank_pool(pool, asked, g, PARAMS, _now())), pool.matched, pool.reached.entities, g.evidence, g.entities)
     none = F.array().cast("array<string>")
     return told.select(
         "query_id", "turn_uid", "rank", F.array_join(F.coalesce("matched_entities", none), "|").alias("matched"), F.coalesce(F.size("path_summary"), F.lit(0)).alias("n_steps"),
@@ -309,7 +316,8 @@ def graph_merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of all stored conversations, found anew."""
     stored = _uid_turns(spark, sf_dir)
-    return _edges(rebuild(stored.select("conversation_id"), stored, GRAPH_WORDS, CHUNKS).relations)
+    again = rebuild(stored.select("conversation_id"), stored, GRAPH_WORDS, CHUNKS)
+    return _edges(again.relations, again.evidence)
 
 
 def graph_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,7 +420,7 @@ def queries() -> dict[str, Query]:
         text_names, text_importance, chunk_documents, embed_turns, embed_turns_builtin, embed_chunk_means, cosine_to_queries, extract_entities, extract_relations, graph_entities, graph_mentions,
         graph_relations, graph_adjacency, graph_merge_relations, graph_merge_entities, skip_stored, ingest_statistics, conversation_turns, query_seeds, beam_traversal, beam_pruned, text_postings,
         text_search, recall_state, candidate_pool, retrieve_hybrid, retrieve_graph_only, retrieve_reranked, retrieve_traced, subgraph_edges, evaluate_search, compare_profiles,
-        graph_merge_turns, graph_rebuild, graph_lookups, subgraph_nodes, recall_feedback, eval_examples, evaluate_details, files_turns, files_sessions, files_events, files_examples,
+        graph_evidence, graph_merge_turns, graph_rebuild, graph_lookups, subgraph_nodes, recall_feedback, eval_examples, evaluate_details, files_turns, files_sessions, files_events, files_examples,
     )
     return {f.__name__: f for f in found}
 

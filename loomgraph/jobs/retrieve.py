@@ -46,7 +46,7 @@ def gather(queries: DataFrame, graph: Graph, params: Retrieval = Retrieval(), vo
 
 def rank_pool(pool: Pool, queries: DataFrame, graph: Graph, params: Retrieval, now: Column, scorer: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
     """The ``top_k`` turns of each query, with the parts of their scores."""
-    scored = rank.fuse(pool.candidates, pool.matched, pool.reached.entities, graph.relations, graph.turns, pool.vectors, params, now)
+    scored = rank.fuse(pool.candidates, pool.matched, pool.reached.entities, graph.evidence, graph.turns, pool.vectors, params, now)
     if params.rerank:
         scored = rank.rerank(scored, queries, graph.turns, params, scorer)
         return rank.top(scored, params.top_k, F.col("head")).drop("head")
@@ -60,7 +60,7 @@ def retrieve(queries: DataFrame, graph: Graph, now: Column, params: Retrieval =
     ranked = settled(rank_pool(pool, queries, graph, params, now, scorer))
     if recalls:
         store.recall_log(ranked, now).write.mode("append").parquet(recalls)
-    told = rank.trace(ranked, pool.matched, pool.reached.entities, graph.relations, graph.entities)
+    told = rank.trace(ranked, pool.matched, pool.reached.entities, graph.evidence, graph.entities)
     told = told.withColumn("applied", F.create_map(*[F.lit(str(x)) for p in params.applied().items() for x in p]))
     return told.join(graph.turns.select("turn_uid", "conversation_id", "turn_id", "speaker", "text", "timestamp", "chunk_profile", "chunk_count"), "turn_uid")
 

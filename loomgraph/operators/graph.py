@@ -1,7 +1,9 @@
 """The entity graph: building it from turns with entities and relations, merging it with a stored one, and looking at it.
 
 Tables: ``entities(entity_id, canonical_name, entity_type, description, aliases, embedding)``, ``mentions(turn_uid,
-entity_id)``, ``relations(source_entity_id, target_entity_id, relation_type, weight, evidence_turn_ids)`` and the turns.
+entity_id)``, ``relations(source_entity_id, target_entity_id, relation_type, weight)``, ``evidence(source_entity_id,
+target_entity_id, relation_type, turn_uid)`` with a row for each turn that an edge rests on, and the turns. An edge that most
+turns name is thus many small rows, never one large one; ``with_evidence`` gathers them for output.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ class Graph:
     entities: DataFrame
     mentions: DataFrame
     relations: DataFrame
+    evidence: DataFrame
 
 
 def turn_uid() -> Column:
@@ -67,16 +70,25 @@ EDGE = ("source_entity_id", "target_entity_id", "relation_type")
 
 
 def build_relations(rows: DataFrame) -> DataFrame:
-    """Edges: weight is the number of times that turns named them, evidence the distinct turns. Times are counted for each
-    turn first."""
-    by_turn = rows.groupBy(*EDGE, "turn_uid").agg(F.count("*").alias("times"))
-    return by_turn.groupBy(*EDGE).agg(F.sum("times").cast("double").alias("weight"), F.array_sort(F.collect_list("turn_uid")).alias("evidence_turn_ids"))
+    """Edges: weight is the number of times that turns named them. Counted in part before the shuffle."""
+    return rows.groupBy(*EDGE).agg(F.count("*").cast("double").alias("weight"))
+
+
+def build_evidence(rows: DataFrame) -> DataFrame:
+    """The distinct turns that each edge rests on, as rows."""
+    return rows.select(*EDGE, "turn_uid").distinct()
+
+
+def with_evidence(relations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Edges with their turns as the array ``evidence_turn_ids``, sorted. For output of chosen edges: an array is one row."""
+    gathered = evidence.groupBy(*EDGE).agg(F.array_sort(F.collect_list("turn_uid")).alias("evidence_turn_ids"))
+    return relations.join(gathered, list(EDGE), "left").withColumn("evidence_turn_ids", F.coalesce("evidence_turn_ids", F.array().cast("array<string>")))
 
 
 def build(extracted: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> Graph:
     """The graph of turns with entities and relations."""
-    rows = mention_rows(extracted, vocabulary)
-    return Graph(extracted.drop("entities", "relations"), build_entities(rows), build_mentions(rows), build_relations(relation_rows(extracted, vocabulary)))
+    rows, links = mention_rows(extracted, vocabulary), relation_rows(extracted, vocabulary)
+    return Graph(extracted.drop("entities", "relations"), build_entities(rows), build_mentions(rows), build_relations(links), build_evidence(links))
 
 
 def skip_stored(turns: DataFrame, stored: DataFrame) -> DataFrame:
@@ -108,18 +120,24 @@ def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def merge_relations(old: DataFrame, new: DataFrame, idempotent: bool = False) -> DataFrame:
-    """Weights add up, evidence is joined. Turns that are loaded twice weigh twice, unless ``idempotent``: then the weight is
-    the number of distinct turns."""
-    n = new.select(*EDGE, F.col("weight").alias("n_weight"), F.col("evidence_turn_ids").alias("n_evidence"))
-    none = F.array().cast("array<string>")
-    evidence = F.array_sort(F.array_union(F.coalesce("evidence_turn_ids", none), F.coalesce("n_evidence", none)))
-    merged = old.join(n, list(EDGE), "full").select(*EDGE, (F.coalesce("weight", F.lit(0.0)) + F.coalesce("n_weight", F.lit(0.0))).alias("weight"), evidence.alias("evidence_turn_ids"))
-    return merged.withColumn("weight", F.size("evidence_turn_ids").cast("double")) if idempotent else merged
+def merge_relations(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Weights add up: turns that are loaded twice weigh twice."""
+    return old.select(*EDGE, "weight").unionByName(new.select(*EDGE, "weight")).groupBy(*EDGE).agg(F.sum("weight").alias("weight"))
+
+
+def merge_evidence(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.unionByName(new).distinct()
 
 
 def merge(old: Graph, new: Graph, idempotent: bool = False) -> Graph:
-    return Graph(merge_turns(old.turns, new.turns), merge_entities(old.entities, new.entities), old.mentions.unionByName(new.mentions).distinct(), merge_relations(old.relations, new.relations, idempotent))
+    """Both graphs as one. With ``idempotent`` an edge weighs as many as its distinct turns, however often they were loaded."""
+    evidence = merge_evidence(old.evidence, new.evidence)
+    relations = build_relations(evidence) if idempotent else merge_relations(old.relations, new.relations)
+    return Graph(merge_turns(old.turns, new.turns), merge_entities(old.entities, new.entities), merge_mentions(old.mentions, new.mentions), relations, evidence)
+
+
+def merge_mentions(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.unionByName(new).distinct()
 
 
 def adjacency(relations: DataFrame, cap: int) -> DataFrame:

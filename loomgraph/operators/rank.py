@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import recency
 from loomgraph.functions.vectors import cosine
+from loomgraph.operators.graph import EDGE
 from loomgraph.vocabulary import Retrieval
 
 KEYS = ["query_id", "turn_uid"]
@@ -54,24 +55,19 @@ def merge_candidates(graph: DataFrame, lexical: DataFrame | None, mentions: Data
     return turns.join(lexical, KEYS, "full"), matched
 
 
-def relation_evidence(relations: DataFrame) -> DataFrame:
-    """(source, target, type, turn_uid), a row for each turn that an edge rests on."""
-    return relations.select("source_entity_id", "target_entity_id", "relation_type", F.explode("evidence_turn_ids").alias("evidence"))
-
-
 def _edge(step: str) -> list[Column]:
     s = lambda f: F.col(f"{step}.{f}")
     return [F.when(s("forward"), s("from_entity_id")).otherwise(s("to_entity_id")).alias("source_entity_id"), F.when(s("forward"), s("to_entity_id")).otherwise(s("from_entity_id")).alias("target_entity_id"), s("relation_type").alias("relation_type")]
 
 
-def fuse(candidates: DataFrame, matched: DataFrame, reached: DataFrame, relations: DataFrame, turns: DataFrame, vectors: DataFrame, params: Retrieval, now: Column) -> DataFrame:
+def fuse(candidates: DataFrame, matched: DataFrame, reached: DataFrame, evidence: DataFrame, turns: DataFrame, vectors: DataFrame, params: Retrieval, now: Column) -> DataFrame:
     """Scores of all candidates, each with its parts. ``turns``: turn_uid, timestamp, embedding, importance_score and
     last_recalled_at; ``vectors``: query_id, vector."""
     paths = matched.join(reached, ["query_id", "entity_id"], "left")
     signal = paths.groupBy(*KEYS).agg(F.count("*").alias("n_ids"), F.sort_array(F.collect_list(F.struct("entity_id", F.coalesce("score", F.lit(0.0)).alias("score")))).alias("found"))
     signal = signal.withColumn("entity_score", F.least(F.lit(1.0), F.aggregate("found", F.lit(0.0), lambda a, x: a + x.score) / F.col("n_ids")))
     edges = paths.select(*KEYS, F.explode("steps").alias("step")).select(*KEYS, *_edge("step")).distinct()
-    proven = edges.join(relation_evidence(relations), ["source_entity_id", "target_entity_id", "relation_type"]).where("evidence = turn_uid").select(*KEYS).distinct().withColumn("bonus", F.lit(0.1))
+    proven = edges.join(evidence, [*EDGE, "turn_uid"], "left_semi").select(*KEYS).distinct().withColumn("bonus", F.lit(0.1))
     narrow = turns.select("turn_uid", "timestamp", "embedding", "importance_score", "last_recalled_at")
     rows = candidates.join(signal.drop("found", "n_ids"), KEYS, "left").join(proven, KEYS, "left").join(narrow, "turn_uid").join(vectors, "query_id")
     # Full-text scores are set in relation to each other among full-text candidates only.
@@ -118,18 +114,18 @@ def rerank(scored: DataFrame, queries: DataFrame, turns: DataFrame, params: Retr
     return joined.withColumn("score", F.round(F.col("score") + F.col("rerank_component"), 6))
 
 
-def trace(ranked: DataFrame, matched: DataFrame, reached: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
+def trace(ranked: DataFrame, matched: DataFrame, reached: DataFrame, evidence: DataFrame, entities: DataFrame) -> DataFrame:
     """For each ranked row: matched_entities, path_summary (the first four steps of each path, each edge once, eight at most)
     and evidence_turn_ids (of all steps). Names and evidence are looked up for ranked rows only."""
     here = ranked.select(*KEYS).join(matched, KEYS).join(entities.select("entity_id", "canonical_name"), "entity_id")
     names = here.groupBy(*KEYS).agg(F.sort_array(F.collect_set("canonical_name")).alias("matched_entities"))
     steps = here.join(reached.select("query_id", "entity_id", "steps"), ["query_id", "entity_id"]).select(*KEYS, "entity_id", F.posexplode("steps").alias("place", "step"))
-    edges = steps.select(*KEYS, *_edge("step")).distinct().join(relation_evidence(relations), ["source_entity_id", "target_entity_id", "relation_type"])
-    evidence = edges.groupBy(*KEYS).agg(F.sort_array(F.collect_set("evidence")).alias("evidence_turn_ids"))
+    edges = steps.select(*KEYS, *_edge("step")).distinct().join(evidence.withColumnRenamed("turn_uid", "evidence"), list(EDGE))
+    rests = edges.groupBy(*KEYS).agg(F.sort_array(F.collect_set("evidence")).alias("evidence_turn_ids"))
     first = steps.where("place < 4").groupBy(*KEYS, F.col("step.from_entity_id").alias("from_entity_id"), F.col("step.to_entity_id").alias("to_entity_id"), F.col("step.relation_type").alias("relation_type")).agg(F.min(F.struct("entity_id", "place")).alias("at"))
     nth = F.row_number().over(W.partitionBy(*KEYS).orderBy("at", "from_entity_id", "to_entity_id", "relation_type"))
     few = first.withColumn("n", nth).where("n <= 8")
     named = few.join(entities.select(F.col("entity_id").alias("from_entity_id"), F.col("canonical_name").alias("from_entity_name")), "from_entity_id").join(entities.select(F.col("entity_id").alias("to_entity_id"), F.col("canonical_name").alias("to_entity_name")), "to_entity_id")
     step = F.struct("n", "from_entity_id", "from_entity_name", "to_entity_id", "to_entity_name", "relation_type")
     summary = named.groupBy(*KEYS).agg(F.transform(F.sort_array(F.collect_list(step)), lambda s: s.dropFields("n")).alias("path_summary"))
-    return ranked.join(names, KEYS, "left").join(summary, KEYS, "left").join(evidence, KEYS, "left")
+    return ranked.join(names, KEYS, "left").join(summary, KEYS, "left").join(rests, KEYS, "left")

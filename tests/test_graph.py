@@ -1,11 +1,12 @@
 """Graph build, merges, retrieval and evaluation on a handful of turns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.jobs.ingest import ingest
 from loomgraph.jobs.retrieve import retrieve
-from loomgraph.operators import evaluate, graph, rank, store, traverse
+from loomgraph.operators import evaluate, graph, nearest, rank, store, traverse
 from loomgraph.vocabulary import Chunking, Retrieval
 
 TURNS = [
@@ -20,12 +21,12 @@ TURNS = [
 def built(spark):
     df = spark.createDataFrame(TURNS, "conversation_id string, turn_id string, speaker string, text string, timestamp string").withColumn("timestamp", F.to_timestamp("timestamp"))
     g = ingest(df, chunking=Chunking(default_size=8, default_overlap=2))
-    return graph.Graph(*[getattr(g, n).cache() for n in ("turns", "entities", "mentions", "relations")])
+    return graph.Graph(*[getattr(g, n).cache() for n in store.NAMES])
 
 
 def test_invariants(built):
     mentions = {(r[0], r[1]) for r in built.mentions.collect()}
-    for r in built.relations.collect():
+    for r in graph.with_evidence(built.relations, built.evidence).collect():
         assert r["weight"] == len(r["evidence_turn_ids"]) >= 1
         for uid in r["evidence_turn_ids"]:
             assert (uid, r["source_entity_id"]) in mentions and (uid, r["target_entity_id"]) in mentions
@@ -35,9 +36,9 @@ def test_invariants(built):
 def test_merge_twice(built):
     again = graph.merge(built, built)
     weights = {(r[0], r[1], r[2]): r["weight"] for r in built.relations.collect()}
-    for r in again.relations.collect():
+    for r in graph.with_evidence(again.relations, again.evidence).collect():
         assert r["weight"] == 2 * weights[r[0], r[1], r[2]] and len(r["evidence_turn_ids"]) == weights[r[0], r[1], r[2]]
-    for r in graph.merge_relations(built.relations, built.relations, idempotent=True).collect():
+    for r in graph.merge(built, built, idempotent=True).relations.collect():
         assert r["weight"] == weights[r[0], r[1], r[2]]
     assert again.entities.count() == built.entities.count() and again.turns.count() == len(TURNS)
 
@@ -50,6 +51,58 @@ def test_store_counts_a_batch_once(spark, built, tmp_path):
     assert store.read_graph(spark, f"{base}/v1").turns.count() == len(TURNS)
 
 
+def _rows(df):
+    return sorted(str(r.asDict()) for r in df.select(sorted(df.columns)).collect())
+
+
+@pytest.mark.parametrize("idempotent", [False, True])
+def test_store_merges_touched_buckets_only(spark, built, tmp_path, idempotent):
+    base = str(tmp_path / "g")
+    uids = F.col("conversation_id") == "conv-1"
+    turns = built.turns.where(uids).select("conversation_id", "turn_id", "speaker", "text", "timestamp")
+    part = ingest(turns, chunking=Chunking(default_size=8, default_overlap=2))
+    store.commit_merge(spark, base, built, 1, buckets=16)
+    store.commit_merge(spark, base, part, 2, idempotent)
+    stored, whole = store.read_graph(spark, f"{base}/v2"), graph.merge(built, part, idempotent)
+    for name in store.NAMES:
+        assert _rows(getattr(stored, name)) == _rows(getattr(whole, name)), name
+    folders = {(r["name"], r["folder"]) for r in store.manifest(spark, f"{base}/v2") if r["bucket"] >= 0}
+    assert ("turns", "v1") in folders and ("turns", "") in folders  # conv-2 stays where it was
+    nothing = graph.Graph(*[getattr(built, n).limit(0) for n in store.NAMES])
+    assert store.commit_merge(spark, base, nothing, 3) == 3
+    assert _rows(store.read_graph(spark, f"{base}/v3").evidence) == _rows(stored.evidence)
+    assert store.stored_conversation(spark, f"{base}/v3", "conv-2").count() == 1 and store.stored_conversation(spark, f"{base}/v3", "none").count() == 0
+
+
+def test_store_of_nothing(spark, built, tmp_path):
+    nothing = graph.Graph(*[getattr(built, n).limit(0) for n in store.NAMES])
+    store.commit_merge(spark, str(tmp_path / "g"), nothing)
+    assert store.read_graph(spark, f"{tmp_path}/g/v1").relations.columns == built.relations.columns
+
+
+def test_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(300, 8))
+    vectors[100:200] = vectors[100]  # a third are copies: ties go by id
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(300, None), (301, [1.0]), (302, [])], "vec_id long, e array<double>")
+    asked = rows.where("vec_id % 30 = 0 or vec_id > 299").selectExpr("vec_id query_id", "e q")
+    expected = {}
+    for q in [*range(0, 300, 30)]:
+        likeness = np.concatenate([np.round(vectors @ vectors[q], 6), np.zeros(3)])
+        expected[q] = [i for i in np.lexsort([np.arange(303), -likeness]) if i != q][:7]
+    expected |= {q: [*range(7)] for q in (300, 301, 302)}
+    monkeypatch.setattr(nearest, "VECTORS", 40)
+    monkeypatch.setattr(nearest, "QUERIES", 4)
+    for small in (nearest.SMALL, 0):  # sent to all tasks, and joined
+        monkeypatch.setattr(nearest, "SMALL", small)
+        got = {}
+        for r in nearest.nearest(asked, rows, 7).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == expected
+    assert nearest.nearest(asked.limit(0), rows, 7).count() == nearest.nearest(asked, rows.limit(0), 7).count() == 0
+
+
 def test_traversal_can_improve_a_seed(spark):
     start = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.1)], "query_id int, entity_id string, score double")
     edges = spark.createDataFrame([("a", "b", "EXPLAINS", True, 1, 1.2), ("b", "c", "EXPLAINS", True, 1, 1.0)], "source_entity_id string, target_entity_id string, relation_type string, forward boolean, place int, edge_score double")
