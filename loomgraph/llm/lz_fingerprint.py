@@ -21,17 +21,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import arrow_batches, mix64, segment_hashes
 
 #: Values in a fingerprint.
 KEPT = 96
+#: Bytes of text in a partition, about.
+PART_BYTES = 128 << 20
 
 
 def parse(codes: list[int], tree: dict[int, int], node: int = 0) -> tuple[list[int], int]:
@@ -113,18 +116,27 @@ def _closed(ends: np.ndarray, n: int) -> np.ndarray:
     return ends if not n or (len(ends) and ends[-1] == n) else np.append(ends, n)
 
 
+def _ids(values: list[int]) -> Column:
+    """A fixed array of ids, as one value of the plan however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def with_neighbours(docs: DataFrame, partitions: int) -> DataFrame:
     """(part, copy, doc_id, text) partitioned and sorted by doc_id from the largest; the first row of each partition, and for
     the last partition the first row of all, is there once more at the end of the partition before, marked ``copy``."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     steps = [(i + 1) / partitions for i in range(partitions - 1)]
-    row = docs.select(F.percentile_approx("doc_id", F.lit(steps) if steps else F.lit([0.5]), 100_000).alias("at"), F.max("doc_id").alias("top")).first()
+    row = docs.select(F.percentile_approx("doc_id", F.lit(steps) if steps else F.lit([0.5]), max(100_000, 20 * partitions)).alias("at"), F.max("doc_id").alias("top")).first()
     bounds = sorted(set(row["at"] or []) - {row["top"]}, reverse=True) if steps else []
     n = len(bounds) + 1
-    # Partition k has the ids from bounds[k - 1] (included, from above) down to bounds[k] (left out).
-    part = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda b: b >= F.coalesce(F.col("doc_id"), F.lit(-(2**63)))))
-    first = F.when(F.col("doc_id").isNull() & F.lit(row["top"] is not None), F.lit(False)).otherwise(F.col("doc_id").eqNullSafe(F.lit(row["top"])) | (F.col("doc_id").isin(bounds) if bounds else F.lit(False)))
-    dealt = source.withColumn("part", part.cast("int"))
+    # Partition k has the ids from bounds[k - 1] (included, from above) down to bounds[k] (left out). An id is looked up among every
+    # width-th bound first, then among those up to the next.
+    width = max(1, math.isqrt(len(bounds)))
+    doc_id = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    whole = F.size(F.filter(_ids(bounds[width - 1 :: width]), lambda b: b >= doc_id)) * width
+    dealt = source.withColumn("whole", whole).withColumn("part", F.col("whole") + F.size(F.filter(F.slice(_ids(bounds), F.col("whole") + 1, F.lit(width)), lambda b: b >= doc_id))).drop("whole")
+    at_bound = F.coalesce(F.get(_ids(bounds), F.col("part") - 1) == F.col("doc_id"), F.lit(False))
+    first = F.when(F.col("doc_id").isNull() & F.lit(row["top"] is not None), F.lit(False)).otherwise(F.col("doc_id").eqNullSafe(F.lit(row["top"])) | at_bound)
     back = F.when(F.col("part") == 0, F.lit(n - 1)).otherwise(F.col("part") - 1).cast("int")
     own, copy = F.struct(F.col("part").alias("part"), F.lit(False).alias("copy")), F.struct(back.alias("part"), F.lit(True).alias("copy"))
     both = dealt.withColumn("to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own)))).select("to.part", "to.copy", "doc_id", "text")
@@ -134,11 +146,13 @@ def with_neighbours(docs: DataFrame, partitions: int) -> DataFrame:
 def compare_neighbours(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """For each document: n_chars, its fingerprint; of its text with the last third replaced by the beginning of the next
     document (from the largest doc_id down; after the last the first): edited_sha256 and edited_fingerprint; and the likeness
-    of its fingerprint to that one, near_edited, and to the next document's, near_next. ``partitions`` should leave some ten
-    MB of text to each; unset, it is Spark's number of shuffle partitions."""
+    of its fingerprint to that one, near_edited, and to the next document's, near_next. Unset, there are
+    as many ``partitions`` as Spark has shuffle partitions, or more, so that each has PART_BYTES of text."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    partitions = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not partitions:
+        size = docs.select(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+        partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
 

@@ -376,7 +376,7 @@ def test_signatures_estimate_similarity():
 def test_lz_fingerprint(spark):
     values = texts()
     docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").withColumn("part", F.lit("clash")).withColumn("copy", F.lit(1))
-    for partitions in (1, 5):
+    for partitions in (1, 5, 17):
         got = {r["doc_id"]: r for r in lz_fingerprint.compare_neighbours(docs, partitions).collect()}
         assert len(got) == len(values)
         n = len(values)
@@ -396,6 +396,20 @@ def test_lz_fingerprint(spark):
     assert lz_fingerprint.compare_neighbours(table(spark, values), 4).count() == len(values) + 2
 
 
+def test_lz_partitions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i * 7 - 300, "some text") for i in range(200)] + [(None, "x")], "doc_id long, text string")
+    dealt = lz_fingerprint.with_neighbours(docs, 30).collect()
+    own = sorted(((r["part"], r["doc_id"]) for r in dealt if not r["copy"] and r["doc_id"] is not None), key=lambda x: -x[1])
+    assert [p for p, _ in own] == sorted(p for p, _ in own) and len({p for p, _ in own}) == 30
+    heads = {p: d for p, d in reversed(own)}  # the first of each part, once more at the end of the part before
+    assert {(r["part"], r["doc_id"]) for r in dealt if r["copy"]} == {((p - 1) % 30, d) for p, d in heads.items()}
+    monkeypatch.setattr(lz_fingerprint, "PART_BYTES", 100)
+    asked = []
+    dealing = lz_fingerprint.with_neighbours
+    monkeypatch.setattr(lz_fingerprint, "with_neighbours", lambda d, n: asked.append(n) or dealing(d, n))
+    assert lz_fingerprint.compare_neighbours(docs).count() == 201 and asked == [19]
+
+
 def test_phrases():
     text = "abababababab"
     ends, _ = lz_fingerprint.parse([ord(c) for c in text], {})
