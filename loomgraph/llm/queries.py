@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import byte_bpe, html_extract, lang_id, line_dedup, lz_fingerprint, media, minhash, packing, toxicity, warc
+from loomgraph.llm import byte_bpe, collocations, html_extract, lang_id, line_dedup, lz_fingerprint, media, minhash, packing, top_k, toxicity, warc, whitening
 from loomgraph.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,8 +79,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, files, folder, payload=False).drop("url")
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"), least=100, share=100, most=2000)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_language_id, op2_html_extraction, op3_toxicity, op4_byte_bpe, op5_best_fit_packing, op6_line_dedup, op7_media_columns, op8_minhash_dedup, op9_lz_fingerprint, op10_warc)
+    found = (
+        op1_language_id, op2_html_extraction, op3_toxicity, op4_byte_bpe, op5_best_fit_packing, op6_line_dedup, op7_media_columns, op8_minhash_dedup, op9_lz_fingerprint, op10_warc,
+        op11_exact_top_k, op12_collocations, op13_whitening,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -121,6 +138,28 @@ ORACLE = {
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM d JOIN f USING (hex)
     """,
+    "op11_exact_top_k": """
+        WITH v AS (SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.place, q.vec_id AS query_id, c.vec_id, CASE WHEN len(c.e) = 0 THEN 0 ELSE list_inner_product(q.e, c.e) END::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.place <> c.place AND len(q.e) = len(c.e))
+        SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY place ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+    """,
+    "op12_collocations": f"""
+        WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM piece),
+        n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+        g AS ({' UNION ALL '.join(f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k} - 1], ' '))) AS phrase FROM w WHERE len(ws) >= {k}" for k in range(1, 6))}),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        cut AS (SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS c, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+        part AS (SELECT *, array_to_string(ws[1:c], ' ') AS lp, array_to_string(ws[c + 1:k], ' ') AS rp FROM cut),
+        s AS (SELECT part.lang, part.k, part.phrase, a, c, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM part JOIN n USING (lang) JOIN f x ON x.lang = part.lang AND x.phrase = lp JOIN f y ON y.lang = part.lang AND y.phrase = rp),
+        low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        inner_ AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT DISTINCT lang, k, phrase, a, ws, unnest(range(2, k)) AS j FROM cut)) GROUP BY ALL)
+        SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+        WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000
+    """.replace("\\\\", "\\"),
 }
 
 
