@@ -40,6 +40,8 @@ OTHER = "und"
 SEGMENT = 4 << 20
 #: Rows of a sketch, the fewest and the most cells of a row, cells that travel together, and bytes of text for each cell.
 ROWS, FEWEST, MOST, PART, BYTES_A_CELL = 2, 1 << 25, 1 << 27, 1 << 20, 32
+#: Rows of phrases that a task holds before it adds them up.
+HELD = 1 << 20
 #: Copies of each part of a phrase, and of each language's total, that joins with phrases are dealt over.
 SALTS = 16
 
@@ -246,14 +248,20 @@ def frequent_phrases(texts: DataFrame, least: int, width: int | None = None) ->
     shared = spark.sparkContext.broadcast(merged_bits(texts, width, least))  # 32 MB at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for words, names in segments(batch):
                 names = np.array(names, object)
                 totals = np.bincount(words.lang, minlength=len(names))
                 there = np.flatnonzero(totals)
-                yield _rows(names[there], 0, pa.array([""] * len(there)), totals[there])
-                for k, at, n in survivors(words, shared.value):
-                    yield _rows(names[words.lang[at]], k, words.phrases(at, k), n)
+                held.append(_rows(names[there], 0, pa.array([""] * len(there)), totals[there]))
+                held += [_rows(names[words.lang[at]], k, words.phrases(at, k), n) for k, at, n in survivors(words, shared.value)]
+                if sum(len(x) for x in held) > HELD:
+                    held = _added(held)
+                    if sum(len(x) for x in held) > HELD // 2:
+                        yield from held
+                        held = []
+        yield from _added(held)
 
     counted = texts.mapInArrow(lean(count), "lang string, words int, phrase string, f long")
     return counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
@@ -263,6 +271,14 @@ def _rows(langs: np.ndarray, k: int, phrases: pa.Array, n: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.full(len(n), k, np.int32)), phrases.cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "f"])
 
 
+def _added(rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """The rows with those of one phrase as one."""
+    if not rows:
+        return []
+    keys = ["lang", "words", "phrase"]
+    return pa.Table.from_batches(rows).group_by(keys, use_threads=False).aggregate([("f", "sum")]).select([*keys, "f_sum"]).rename_columns([*keys, "f"]).to_batches()
+
+
 def _salted(df: DataFrame) -> DataFrame:
     """Each row once for every salt."""
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
