@@ -36,8 +36,8 @@ from loomgraph.llm.common import arrow_batches, lean, mix64, segment_hashes, set
 
 MOST_WORDS = 5
 OTHER = "und"
-#: Bytes of text worked on at a time.
-SEGMENT = 4 << 20
+#: Bytes of text worked on at a time, and in a task, about.
+SEGMENT, TASK = 4 << 20, 128 << 20
 #: Rows of a sketch, the fewest and the most cells of a row, cells that travel together, and bytes of text for each cell.
 ROWS, FEWEST, MOST, PART, BYTES_A_CELL = 2, 1 << 25, 1 << 27, 1 << 20, 32
 #: Rows of phrases that a task holds before it adds them up.
@@ -243,9 +243,10 @@ def frequent_phrases(texts: DataFrame, least: int, width: int | None = None) ->
     spark = texts.sparkSession
     arrow_batches(spark)
     texts = texts.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    if width is None:
-        width = sketch_width(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])
-    shared = spark.sparkContext.broadcast(merged_bits(texts, width, least))  # 32 MB at most
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    # Large tasks: each hands on a sketch, and a row for every frequent phrase that it meets.
+    texts = texts.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK)))
+    shared = spark.sparkContext.broadcast(merged_bits(texts, width or sketch_width(size), least))  # 32 MB at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
