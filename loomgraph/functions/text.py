@@ -82,9 +82,8 @@ def search_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def recency(anchor: Column, now: Column, half_life_hours: float) -> Column:
-    """1 at the anchor, one half after each half-life. ``now`` is given, never the clock."""
-    if half_life_hours <= 0:
-        return F.lit(1.0)
+def recency(anchor: Column, now: Column, half_life_hours: Column | float) -> Column:
+    """1 at the anchor, one half after each half-life; 1 always without one. ``now`` is given, never the clock."""
+    half = half_life_hours if isinstance(half_life_hours, Column) else F.lit(float(half_life_hours))
     hours = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(anchor)) / F.lit(3.6e9))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(-F.lit(0.6931471805599453) * hours / F.lit(float(half_life_hours)))))
+    return F.when(half <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(-F.lit(0.6931471805599453) * hours / half))))

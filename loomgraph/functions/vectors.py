@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -97,21 +98,68 @@ def prefixes(model: str, query: str | None = None, document: str | None = None)
     return known[0] if query is None else query, known[1] if document is None else document
 
 
-def model_embedding(df: DataFrame, column: str, out: str, embed: Callable[[list[str]], list[list[float]]], prefix: str = "") -> DataFrame:
-    """``df`` with the vectors that the user's batch function gives for ``prefix`` + text, at unit length."""
+def _unit_rows(v: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((v * v).sum(axis=-1, keepdims=True))
+    return np.where(norm <= TINY, v, v / np.maximum(norm, TINY))
+
+
+def model_embedding(df: DataFrame, column: str, out: str, embed: Callable[[list[str]], list[list[float]]], prefix: str = "", size: int = 64) -> DataFrame:
+    """``df`` with the vectors that the user's batch function gives for ``prefix`` + text, ``size`` texts at a time, at unit
+    length. For a column of lists of texts it is the mean of a list's vectors (those as long as the first), at unit length; an
+    empty list has an empty vector."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    lists = isinstance(df.schema[column].dataType, T.ArrayType)
+
+    def vectors(texts: list[str]) -> list[np.ndarray]:
+        return [_unit_rows(np.asarray(v, float)) for i in range(0, len(texts), size) for v in embed([prefix + t for t in texts[i : i + size]])]
+
+    def mean(vs: list[np.ndarray]) -> np.ndarray:
+        same = [v for v in vs if len(v) == len(vs[0])]
+        return _unit_rows(np.sum(same, axis=0) / len(same)) if same else np.zeros(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = np.asarray(embed([prefix + (t or "") for t in batch.column(column).to_pylist()]), float).reshape(batch.num_rows, -1)
-                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-                v = np.where(norm <= TINY, v, v / np.maximum(norm, TINY))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(v), pa.list_(pa.float64()))], names=[*batch.schema.names, out])
+                values = batch.column(column).to_pylist()
+                groups = [[t or "" for t in v or []] for v in values] if lists else [[v or ""] for v in values]
+                flat, at, found = vectors([t for g in groups for t in g]), 0, []
+                for g in groups:
+                    found.append(mean(flat[at : at + len(g)]) if lists else flat[at])
+                    at += len(g)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
 
+@dataclass(frozen=True)
+class Embedder:
+    """How texts become vectors: by a batch function of the user's own, with a model's prefixes, or without one by hashed
+    tokens. The function is shipped to the workers, and may load its model there."""
+
+    embed: Callable[[list[str]], list[list[float]]] | None = None
+    dim: int = DIM
+    query_prefix: str = ""
+    document_prefix: str = ""
+
+    @classmethod
+    def of_model(cls, model: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], query: str | None = None, document: str | None = None, fallback: bool = False, dim: int = DIM) -> Embedder:
+        """The embedder of a model that ``load`` gives the function of; where that fails hashed tokens, if ``fallback`` says so."""
+        try:
+            found = load()
+        except Exception as e:
+            if not fallback:
+                raise RuntimeError(f"the model {model} could not be loaded: {e}") from e
+            return cls(dim=dim)
+        return cls(found, dim, *prefixes(model, query, document))
+
+    def of_queries(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        return df.withColumn(out, hash_embedding(F.col(column), self.dim)) if self.embed is None else model_embedding(df, column, out, self.embed, self.query_prefix)
+
+    def of_chunks(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        """The mean of the vectors of each row's array of texts."""
+        return df.withColumn(out, chunk_mean_embedding(F.col(column), self.dim)) if self.embed is None else model_embedding(df, column, out, self.embed, self.document_prefix)
+
+
 def mean_vector(vectors: Column) -> Column:
     """Mean of an array of vectors over those as long as the first, at unit length."""
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.vectors import hash_embedding
-from loomgraph.operators import evaluate, lexical, rank, store
+from loomgraph.functions.vectors import Embedder
+from loomgraph.operators import evaluate, lexical, rank, store, text_index
 from loomgraph.operators.graph import Graph, adjacency
+from loomgraph.operators.settings import KINDS, Settings, applied, as_settings, resolved, settings_of
+from loomgraph.operators.text_index import TextIndex
 from loomgraph.operators.traverse import Reached, query_names, seeds, traverse
 from loomgraph.session import settled
 from loomgraph.vocabulary import Retrieval, Vocabulary
@@ -26,82 +27,99 @@ class Pool:
     candidates: DataFrame
     matched: DataFrame
     vectors: DataFrame
-
-
-def gather(queries: DataFrame, graph: Graph, params: Retrieval = Retrieval(), vocabulary: Vocabulary = Vocabulary(), index: DataFrame | None = None) -> Pool:
-    """Candidates of ``queries(query_id, query, conversation_id)``. ``index``: postings of the graph's turns, if there are
-    any already."""
-    params.check()
-    start = settled(seeds(query_names(queries, vocabulary), graph.entities, params.seed_limit))
-    reached = traverse(start, adjacency(graph.relations, max(40, 2 * params.beam_width)), params)
-    found = rank.graph_candidates(reached.entities, graph.mentions, queries, graph.turns, max(400, 40 * params.top_k))
-    texts = None
-    if params.hybrid:
-        index = lexical.postings(graph.turns) if index is None else index
-        texts = rank.in_conversation(lexical.search(queries, graph.turns, index, max(200, 40 * params.top_k)), queries, graph.turns)
+    settings: Settings
+
+
+def gather(
+    queries: DataFrame, graph: Graph, params: Retrieval = Retrieval(), vocabulary: Vocabulary = Vocabulary(), index: DataFrame | TextIndex | None = None, embedder: Embedder = Embedder(),
+    entity_vectors: bool = False,
+) -> Pool:
+    """Candidates of ``queries(query_id, query, conversation_id)``. Columns named as parameters are a query's own; all queries are
+    worked on together nevertheless. ``index``: postings of the graph's turns, or a stored index of them. With ``entity_vectors``
+    the likeness of a query to the entities' vectors counts in seeds and paths."""
+    settings = settings_of(queries, params)
+    vectors = settled(embedder.of_queries(queries.select("query_id", "query"), "query", "vector").select("query_id", "vector"))
+    start = settled(seeds(query_names(queries, vocabulary), graph.entities, settings.limit("seed_limit"), vectors if entity_vectors else None))
+    adjacent = settled(adjacency(graph.relations, max(40, 2 * settings.highest("beam_width"))))
+    reached = traverse(start, adjacent, settings, vectors if entity_vectors else None, graph.entities if entity_vectors else None)
+    found = rank.graph_candidates(reached.entities, graph.mentions, queries, graph.turns, settings.limit("top_k", 400, 40))
+    texts, asking = None, settings.asked_for(queries, "hybrid")
+    if asking is not None:
+        most = settings.limit("top_k", 200, 40)
+        if isinstance(index, TextIndex):
+            hits = text_index.search(index, asking, most)[0]
+        else:
+            hits = lexical.search(asking, graph.turns, lexical.postings(graph.turns) if index is None else index, most)
+        texts = rank.in_conversation(hits, queries, graph.turns)
     candidates, matched = rank.merge_candidates(found, texts, graph.mentions)
-    vectors = queries.select("query_id", hash_embedding(F.col("query")).alias("vector"))
-    return Pool(reached, start, settled(candidates), settled(matched), vectors)
+    return Pool(reached, start, settled(candidates), settled(matched), vectors, settings)
 
 
-def rank_pool(pool: Pool, queries: DataFrame, graph: Graph, params: Retrieval, now: Column, scorer: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
-    """The ``top_k`` turns of each query, with the parts of their scores."""
-    scored = rank.fuse(pool.candidates, pool.matched, pool.reached.entities, graph.evidence, graph.turns, pool.vectors, params, now)
-    if params.rerank:
-        scored = rank.rerank(scored, queries, graph.turns, params, scorer)
-        return rank.top(scored, params.top_k, F.col("head")).drop("head")
-    return rank.top(scored, params.top_k)
+def rank_pool(pool: Pool, queries: DataFrame, graph: Graph, params: Retrieval | Settings | None, now: Column, scorer: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
+    """The ``top_k`` turns of each query, with the parts of their scores; without ``params`` by the settings of the pool."""
+    settings = pool.settings if params is None else as_settings(params)
+    scored = rank.fuse(pool.candidates, pool.matched, pool.reached.entities, graph.evidence, graph.turns, pool.vectors, settings, now)
+    most = settings.limit("top_k")
+    if settings.highest("rerank"):
+        return rank.top(rank.rerank(scored, queries, graph.turns, settings, scorer), most, F.col("head")).drop("head")
+    return rank.top(scored, most)
 
 
-def retrieve(queries: DataFrame, graph: Graph, now: Column, params: Retrieval = Retrieval(), vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None, recalls: str | None = None) -> DataFrame:
+def retrieve(
+    queries: DataFrame, graph: Graph, now: Column, params: Retrieval = Retrieval(), vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None, recalls: str | None = None,
+    index: DataFrame | TextIndex | None = None, embedder: Embedder = Embedder(), entity_vectors: bool = False,
+) -> DataFrame:
     """Ranked turns with their trace, texts and times, which are fetched for ranked turns only, and the parameters ``applied``.
-    With ``recalls`` the ranked turns are appended to the recall log of that path."""
-    pool = gather(queries, graph, params, vocabulary)
-    ranked = settled(rank_pool(pool, queries, graph, params, now, scorer))
+    Queries may bring parameters of their own as columns. With ``recalls`` the ranked turns are appended to the recall log of that
+    path. A query that finds nothing has no rows."""
+    pool = gather(queries, graph, params, vocabulary, index, embedder, entity_vectors)
+    ranked = settled(rank_pool(pool, queries, graph, None, now, scorer))
     if recalls:
         store.recall_log(ranked, now).write.mode("append").parquet(recalls)
     told = rank.trace(ranked, pool.matched, pool.reached.entities, graph.evidence, graph.entities)
-    told = told.withColumn("applied", F.create_map(*[F.lit(str(x)) for p in params.applied().items() for x in p]))
+    told = pool.settings.onto(told, *KINDS).withColumn("applied", applied()).drop(*[f"_{n}" for n in KINDS])
     return told.join(graph.turns.select("turn_uid", "conversation_id", "turn_id", "speaker", "text", "timestamp", "chunk_profile", "chunk_count"), "turn_uid")
 
 
-#: Sets of parameters that examples of one evaluation may bring of their own.
-MOST_REQUESTS = 100
+#: What candidates depend on; profiles that differ in other parameters share them.
+SHAPE = ("max_hops", "beam_width", "seed_limit", "prune_threshold", "top_k")
 
 
-def typed(request: dict[str, str]) -> dict:
-    """Parameters as they are named in a request, from their text."""
-    kinds = {k: type(v) for k, v in vars(Retrieval()).items()}
-    unknown = set(request) - set(kinds)
-    if unknown:
-        raise ValueError(f"no such parameters: {', '.join(sorted(unknown))}")
-    return {k: v.strip().lower() in ("true", "1") if kinds[k] is bool else kinds[k](v) for k, v in request.items() if v is not None}
-
+def run_profiles(
+    examples: DataFrame, graph: Graph, profiles: dict[str, Retrieval], ks: list[int], now: Column, vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None, common: dict | None = None,
+    example_last: bool = True, index: DataFrame | TextIndex | None = None, embedder: Embedder = Embedder(), entity_vectors: bool = False,
+) -> DataFrame:
+    """(profile, example_id, rank, turn_uid, applied) of each profile over ``examples(example_id, query, conversation_id)``, which
+    may bring parameters of their own in ``request map<string,string>``, as many different ones as there are examples.
 
-def run_profiles(examples: DataFrame, graph: Graph, profiles: dict[str, Retrieval], ks: list[int], now: Column, vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None, common: dict | None = None, example_last: bool = True) -> DataFrame:
-    """(profile, example_id, rank, turn_uid, params) of each profile over ``examples(example_id, query, conversation_id)``, which
-    may bring parameters of their own in ``request map<string,string>``. Profiles that differ in weights only share their candidates."""
+    All profiles and examples are one batch: each of their rows is a query with its parameters as columns. Candidates are looked
+    for once for each example and each different shape of search, and shared by the profiles that differ in weights."""
     most = max(evaluate.cutoffs(ks))
-    keyed = examples.withColumn("_request", F.to_json("request") if "request" in examples.columns else F.lit(None).cast("string"))
-    own = [r[0] for r in keyed.select("_request").distinct().limit(MOST_REQUESTS + 1).collect()]
-    if len(own) > MOST_REQUESTS:
-        raise ValueError(f"more than {MOST_REQUESTS} sets of parameters among the examples")
-    out: DataFrame | None = None
-    for request in sorted(own, key=lambda x: x or ""):
-        queries = keyed.where(F.col("_request").eqNullSafe(F.lit(request))).select(F.col("example_id").alias("query_id"), "query", "conversation_id")
-        pools: dict[tuple, Pool] = {}
-        for name, profile in profiles.items():
-            params = evaluate.parameters(profile, common, typed(json.loads(request)) if request else None, example_last).but(top_k=most)
-            shape = (params.hybrid, params.max_hops, params.beam_width, params.seed_limit, params.prune_threshold)
-            if shape not in pools:
-                pools[shape] = gather(queries, graph, params, vocabulary)
-            ranked = rank_pool(pools[shape], queries, graph, params, now, scorer)
-            rows = ranked.select(F.lit(name).alias("profile"), F.col("query_id").alias("example_id"), "rank", "turn_uid", F.lit(json.dumps(params.applied(), sort_keys=True)).alias("params"))
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        none = examples.select(F.lit("").alias("profile"), "example_id", F.lit(0).alias("rank"), F.lit("").alias("turn_uid"), F.lit("").alias("params"))
-        return none.limit(0)
-    return settled(out)
+    request = F.col("request") if "request" in examples.columns else F.lit(None)
+    kind = dict(examples.dtypes)["example_id"]
+    rows = examples.select("example_id", "query", "conversation_id", F.coalesce(request.cast("map<string,string>"), F.create_map().cast("map<string,string>")).alias("request"))
+    wanted = resolved(with_profiles(rows, profiles), profiles, common, example_last).withColumn("top_k", F.lit(most)).drop("request")
+    mark = lambda *names: F.to_json(F.struct(*names))
+    wanted = settled(wanted.withColumns({"query_id": mark("profile", "example_id"), "shape_id": mark("example_id", *SHAPE)}))
+    asked = wanted.groupBy(F.col("shape_id").alias("query_id"), "query", "conversation_id", *SHAPE).agg(F.max("hybrid").alias("hybrid"))
+    pool = gather(settled(asked), graph, Retrieval(top_k=most), vocabulary, index, embedder, entity_vectors)
+
+    def own(df: DataFrame) -> DataFrame:
+        """Rows of a shape for each row of profile and example that uses it."""
+        return df.withColumnRenamed("query_id", "shape_id").join(wanted.select("shape_id", "query_id", "hybrid"), "shape_id")
+
+    # Without full text only what the graph has found counts, by the entities that were reached.
+    candidates = own(pool.candidates).where("hybrid or by_graph")
+    lexical_raw = F.when(F.col("hybrid"), F.col("lexical_raw"))
+    candidates = candidates.select("query_id", "turn_uid", lexical_raw.alias("lexical_raw"))
+    matched = own(pool.matched).where("hybrid or from_graph").select("query_id", "turn_uid", "entity_id")
+    reached = Reached(own(pool.reached.entities).drop("shape_id", "hybrid"), pool.reached.pruned)
+    queries = wanted.select("query_id", "query", "conversation_id", *KINDS)
+    settings = settings_of(queries, Retrieval())
+    whole = Pool(reached, pool.seeds, settled(candidates), settled(matched), own(pool.vectors).drop("shape_id", "hybrid"), settings)
+    ranked = settings.onto(rank_pool(whole, queries, graph, None, now, scorer).select("query_id", "rank", "turn_uid"), *KINDS)
+    named = ranked.join(wanted.select("query_id", "profile", F.col("example_id").cast(kind)), "query_id")
+    return settled(named.select("profile", "example_id", "rank", "turn_uid", applied().alias("applied")))
 
 
 def with_profiles(examples: DataFrame, profiles: dict[str, Retrieval]) -> DataFrame:
@@ -111,13 +129,13 @@ def with_profiles(examples: DataFrame, profiles: dict[str, Retrieval]) -> DataFr
 
 def evaluate_profiles(
     examples: DataFrame, graph: Graph, profiles: dict[str, Retrieval], ks: list[int], now: Column, baseline: str, vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None,
-    common: dict | None = None, example_last: bool = True,
+    common: dict | None = None, example_last: bool = True, index: DataFrame | TextIndex | None = None, embedder: Embedder = Embedder(), entity_vectors: bool = False,
 ) -> DataFrame:
     """Metrics of each profile over ``examples(example_id, query, conversation_id, relevant_turn_uids)``, compared with the
     baseline. Parameters of all examples, and of an example, override a profile's (with ``example_last``)."""
     if baseline not in profiles:
         raise ValueError(f"no such profile: {baseline}")
-    ranked = run_profiles(examples, graph, profiles, ks, now, vocabulary, scorer, common, example_last)
+    ranked = run_profiles(examples, graph, profiles, ks, now, vocabulary, scorer, common, example_last, index, embedder, entity_vectors)
     judged = evaluate.judge(ranked, with_profiles(examples, profiles), evaluate.cutoffs(ks))
     return evaluate.compare(settled(evaluate.metrics(judged)), baseline)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.functions.vectors import unit
 from loomgraph.session import settled
 from loomgraph.vocabulary import OTHER_PRIOR, PRIORS, Vocabulary
 
@@ -85,10 +86,38 @@ def with_evidence(relations: DataFrame, evidence: DataFrame) -> DataFrame:
     return relations.join(gathered, list(EDGE), "left").withColumn("evidence_turn_ids", F.coalesce("evidence_turn_ids", F.array().cast("array<string>")))
 
 
-def build(extracted: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> Graph:
-    """The graph of turns with entities and relations."""
+def build(extracted: DataFrame, vocabulary: Vocabulary = Vocabulary(), entity_vectors: bool = False) -> Graph:
+    """The graph of turns with entities and relations; with ``entity_vectors`` the entities have vectors."""
     rows, links = mention_rows(extracted, vocabulary), relation_rows(extracted, vocabulary)
-    return Graph(extracted.drop("entities", "relations"), build_entities(rows), build_mentions(rows), build_relations(links), build_evidence(links))
+    entities, mentions = build_entities(rows), build_mentions(rows)
+    if entity_vectors:
+        entities = with_entity_vectors(entities, entity_sums(mentions, extracted))
+    return Graph(extracted.drop("entities", "relations"), entities, mentions, build_relations(links), build_evidence(links))
+
+
+#: Entries of vectors are added up as whole numbers of this part of 1, so that sums are the same in any order of turns and loads.
+UNITS = 1 << 32
+
+
+def entity_sums(mentions: DataFrame, turns: DataFrame) -> DataFrame:
+    """(entity_id, embedding_sum, embedding_count): the sum of the vectors of the turns that mention an entity. Sums are made in
+    part before the shuffle, so that an entity of most turns is no hot row. Where vectors have different lengths, those of the
+    commonest count (of two, the longer)."""
+    rows = mentions.join(turns.select("turn_uid", "embedding").where(F.size("embedding") > 0), "turn_uid")
+    parts = rows.select("entity_id", F.size("embedding").alias("d"), F.posexplode("embedding").alias("dim", "x"))
+    sums = parts.groupBy("entity_id", "d", "dim").agg(F.sum(F.round(F.col("x") * UNITS).cast("long")).alias("s"), F.count("*").alias("n"))
+    whole = sums.groupBy("entity_id", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda p: p.s).alias("embedding_sum"), F.max("n").alias("embedding_count"))
+    return whole.groupBy("entity_id").agg(F.max_by(F.struct("embedding_sum", "embedding_count"), F.struct("embedding_count", "d")).alias("v")).select("entity_id", "v.*")
+
+
+def with_entity_vectors(entities: DataFrame, sums: DataFrame) -> DataFrame:
+    """Entities with their sums, and the mean at unit length as ``embedding``."""
+    return _vectors_of(entities.drop("embedding").join(sums, "entity_id", "left"))
+
+
+def _vectors_of(entities: DataFrame) -> DataFrame:
+    whole = F.coalesce("embedding_sum", F.array().cast("array<long>"))
+    return entities.withColumns({"embedding_sum": whole, "embedding_count": F.coalesce("embedding_count", F.lit(0).cast("long"))}).withColumn("embedding", unit(F.transform("embedding_sum", lambda x: x.cast("double"))))
 
 
 def skip_stored(turns: DataFrame, stored: DataFrame) -> DataFrame:
@@ -113,11 +142,19 @@ def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """Aliases of both, the old ones first; type and name of the old; a description where there was none."""
     n = new.select("entity_id", *[F.col(c).alias(f"n_{c}") for c in new.columns if c != "entity_id"])
     none = F.array().cast("array<string>")
-    return old.join(n, "entity_id", "full").select(
+    merged = [
         "entity_id", F.coalesce("canonical_name", "n_canonical_name").alias("canonical_name"), F.coalesce("entity_type", "n_entity_type").alias("entity_type"),
         F.coalesce(F.when(F.col("description") != "", F.col("description")), "n_description", F.lit("")).alias("description"),
-        F.array_union(F.coalesce("aliases", none), F.coalesce("n_aliases", none)).alias("aliases"), F.coalesce("embedding", "n_embedding").alias("embedding"),
-    )
+        F.array_union(F.coalesce("aliases", none), F.coalesce("n_aliases", none)).alias("aliases"),
+    ]
+    if "embedding_sum" not in old.columns or "embedding_sum" not in new.columns:
+        return old.join(n, "entity_id", "full").select(*merged, F.coalesce("embedding", "n_embedding").alias("embedding"))
+    # Sums of one length add up; of two lengths the one of more turns stays.
+    a, b, m, k = F.coalesce("embedding_sum", F.array().cast("array<long>")), F.coalesce("n_embedding_sum", F.array().cast("array<long>")), F.coalesce("embedding_count", F.lit(0)), F.coalesce("n_embedding_count", F.lit(0))
+    alike = F.size(a) == F.size(b)
+    added = F.when(alike, F.zip_with(a, b, lambda x, y: x + y)).when(m >= k, a).otherwise(b)
+    counted = F.when(alike, m + k).otherwise(F.greatest(m, k)).cast("long")
+    return _vectors_of(old.join(n, "entity_id", "full").select(*merged, added.alias("embedding_sum"), counted.alias("embedding_count")))
 
 
 def merge_relations(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import search_terms
+from loomgraph.operators.settings import first_of_each
 
 K1, B = 1.2, 0.75
 
@@ -17,8 +17,9 @@ def postings(turns: DataFrame) -> DataFrame:
     return terms.select("turn_uid", F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term", "turn_uid", "len").agg(F.count("*").alias("tf"))
 
 
-def search(queries: DataFrame, turns: DataFrame, index: DataFrame, limit: int) -> DataFrame:
-    """(query_id, turn_uid, lexical_raw) of the ``limit`` turns with the highest BM25 scores of each ``queries(query_id, query)``.
+def search(queries: DataFrame, turns: DataFrame, index: DataFrame, limit: int | DataFrame) -> DataFrame:
+    """(query_id, turn_uid, lexical_raw) of the ``limit`` turns with the highest BM25 scores of each ``queries(query_id, query)``;
+    a query may have a limit of its own, in (query_id, most).
     A turn needs one of the query's terms; scores are rounded to 9 places, and turn_uid breaks ties. Terms are joined by
     themselves, so only the postings of terms that are asked for move."""
     asked = queries.select("query_id", F.explode(F.array_distinct(search_terms(F.col("query")))).alias("term"))
@@ -30,5 +31,4 @@ def search(queries: DataFrame, turns: DataFrame, index: DataFrame, limit: int) -
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     hits = asked.join(idf, "term").join(used, "term").withColumn("w", weight)
     scored = hits.groupBy("query_id", "turn_uid").agg(F.round(F.sum("w"), 9).alias("lexical_raw"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("lexical_raw"), "turn_uid"))
-    return scored.withColumn("place", rank).where(F.col("place") <= limit).drop("place")
+    return first_of_each(scored, [F.desc("lexical_raw"), "turn_uid"], limit).drop("place")

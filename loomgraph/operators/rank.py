@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import recency
 from loomgraph.functions.vectors import cosine
 from loomgraph.operators.graph import EDGE
+from loomgraph.operators.settings import Settings, as_settings, first_of_each, weights
 from loomgraph.vocabulary import Retrieval
 
 KEYS = ["query_id", "turn_uid"]
@@ -32,27 +33,28 @@ def in_conversation(rows: DataFrame, queries: DataFrame, turns: DataFrame) -> Da
     return rows.join(asked, "query_id").join(turns.select("turn_uid", "conversation_id"), "turn_uid").where("_only is null or _only = conversation_id").drop("_only", "conversation_id")
 
 
-def graph_candidates(reached: DataFrame, mentions: DataFrame, queries: DataFrame, turns: DataFrame, limit: int) -> DataFrame:
+def graph_candidates(reached: DataFrame, mentions: DataFrame, queries: DataFrame, turns: DataFrame, limit: int | DataFrame) -> DataFrame:
     """(query_id, turn_uid, entity_id) of the turns that mention reached entities: of each query the ``limit`` turns with the
     greatest sum of path scores. Only ids move."""
     # Whole numbers of 10**-12 add up to the same in any order, and before the shuffle.
     scored = reached.select("query_id", "entity_id", F.round(F.col("score") * 1e12).cast("long").alias("units"))
     total = scored.join(mentions, "entity_id").groupBy(*KEYS).agg(F.sum("units").alias("units"))
     total = in_conversation(total, queries, turns).withColumn("sum", F.round(F.col("units") / 1e12, 9))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sum"), "turn_uid"))
-    best = total.withColumn("place", rank).where(F.col("place") <= limit).select(*KEYS)
+    best = first_of_each(total, [F.desc("sum"), "turn_uid"], limit).select(*KEYS)
     # What is matched is looked up for the turns that are left.
     return best.join(mentions, "turn_uid").join(reached.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_semi").select(*KEYS, "entity_id")
 
 
 def merge_candidates(graph: DataFrame, lexical: DataFrame | None, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All candidates (query_id, turn_uid, lexical_raw), and the entities matched in each: those reached for one from the graph,
-    all that it mentions for one from full text, both for one that is both."""
-    turns = graph.select(*KEYS).distinct()
+    """All candidates (query_id, turn_uid, lexical_raw, by_graph), and the entities matched in each: those reached for one from the
+    graph (from_graph), all that it mentions for one from full text, both for one that is both."""
+    turns = graph.select(*KEYS).distinct().withColumn("by_graph", F.lit(True))
+    reached = graph.select(*KEYS, "entity_id", F.lit(True).alias("from_graph"))
     if lexical is None:
-        return turns.withColumn("lexical_raw", F.lit(None).cast("double")), graph
-    matched = graph.unionByName(lexical.select(*KEYS).join(mentions, "turn_uid").select(*KEYS, "entity_id")).distinct()
-    return turns.join(lexical, KEYS, "full"), matched
+        return turns.withColumn("lexical_raw", F.lit(None).cast("double")), reached
+    said = lexical.select(*KEYS).join(mentions, "turn_uid").select(*KEYS, "entity_id", F.lit(False).alias("from_graph"))
+    matched = reached.unionByName(said).groupBy(*KEYS, "entity_id").agg(F.max("from_graph").alias("from_graph"))
+    return turns.join(lexical, KEYS, "full").withColumn("by_graph", F.coalesce("by_graph", F.lit(False))), matched
 
 
 def _edge(step: str) -> list[Column]:
@@ -60,46 +62,49 @@ def _edge(step: str) -> list[Column]:
     return [F.when(s("forward"), s("from_entity_id")).otherwise(s("to_entity_id")).alias("source_entity_id"), F.when(s("forward"), s("to_entity_id")).otherwise(s("from_entity_id")).alias("target_entity_id"), s("relation_type").alias("relation_type")]
 
 
-def fuse(candidates: DataFrame, matched: DataFrame, reached: DataFrame, evidence: DataFrame, turns: DataFrame, vectors: DataFrame, params: Retrieval, now: Column) -> DataFrame:
+def fuse(candidates: DataFrame, matched: DataFrame, reached: DataFrame, evidence: DataFrame, turns: DataFrame, vectors: DataFrame, params: Retrieval | Settings, now: Column) -> DataFrame:
     """Scores of all candidates, each with its parts. ``turns``: turn_uid, timestamp, embedding, importance_score and
     last_recalled_at; ``vectors``: query_id, vector."""
-    paths = matched.join(reached, ["query_id", "entity_id"], "left")
+    paths = matched.select(*KEYS, "entity_id").join(reached, ["query_id", "entity_id"], "left")
     signal = paths.groupBy(*KEYS).agg(F.count("*").alias("n_ids"), F.sort_array(F.collect_list(F.struct("entity_id", F.coalesce("score", F.lit(0.0)).alias("score")))).alias("found"))
     signal = signal.withColumn("entity_score", F.least(F.lit(1.0), F.aggregate("found", F.lit(0.0), lambda a, x: a + x.score) / F.col("n_ids")))
     edges = paths.select(*KEYS, F.explode("steps").alias("step")).select(*KEYS, *_edge("step")).distinct()
     proven = edges.join(evidence, [*EDGE, "turn_uid"], "left_semi").select(*KEYS).distinct().withColumn("bonus", F.lit(0.1))
     narrow = turns.select("turn_uid", "timestamp", "embedding", "importance_score", "last_recalled_at")
-    rows = candidates.join(signal.drop("found", "n_ids"), KEYS, "left").join(proven, KEYS, "left").join(narrow, "turn_uid").join(vectors, "query_id")
+    rows = candidates.select(*KEYS, "lexical_raw").join(signal.drop("found", "n_ids"), KEYS, "left").join(proven, KEYS, "left").join(narrow, "turn_uid").join(vectors, "query_id")
     # Full-text scores are set in relation to each other among full-text candidates only.
     lexical = F.when(F.col("lexical_raw").isNotNull(), min_max(F.col("lexical_raw"), W.partitionBy("query_id"))).otherwise(F.lit(0.0))
-    g, e, x = params.weights()
+    g, e, x = weights()
+    rows = as_settings(params).onto(rows, "graph_weight", "embedding_weight", "lexical_weight", "importance_weight", "recency_weight", "half_life_hours")
+    own = ["g", "e", "x"]
     rows = rows.select(
         *KEYS, F.coalesce("entity_score", F.lit(0.0)).alias("entity_score"), F.coalesce("bonus", F.lit(0.0)).alias("evidence_bonus"), lexical.alias("lexical_signal"),
         F.coalesce("lexical_raw", F.lit(0.0)).alias("lexical_raw_score"), F.greatest(F.lit(0.0), cosine(F.col("vector"), F.col("embedding"))).alias("embedding_signal"),
-        (F.lit(params.importance_weight) * F.coalesce("importance_score", F.lit(0.0))).alias("importance_component"),
-        (F.lit(params.recency_weight) * recency(F.coalesce("last_recalled_at", "timestamp"), now, params.half_life_hours)).alias("recency_component"),
+        (F.col("_importance_weight") * F.coalesce("importance_score", F.lit(0.0))).alias("importance_component"),
+        (F.col("_recency_weight") * recency(F.coalesce("last_recalled_at", "timestamp"), now, F.col("_half_life_hours"))).alias("recency_component"), g.alias("g"), e.alias("e"), x.alias("x"),
     )
     rows = rows.withColumn("graph_signal", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("entity_score") + F.col("evidence_bonus"))))
-    rows = rows.withColumn("fusion_score", F.lit(g) * F.col("graph_signal") + F.lit(e) * F.col("embedding_signal") + F.lit(x) * F.col("lexical_signal"))
+    rows = rows.withColumn("fusion_score", F.col("g") * F.col("graph_signal") + F.col("e") * F.col("embedding_signal") + F.col("x") * F.col("lexical_signal"))
     final = F.col("fusion_score") + F.col("importance_component") + F.col("recency_component")
-    rounded = [F.round(c, 6).alias(c) for c in rows.columns if c not in KEYS]
+    rounded = [F.round(c, 6).alias(c) for c in rows.columns if c not in KEYS + own]
     return rows.withColumn("score", F.round(final, 6)).select(*KEYS, *rounded, "score", F.lit(0.0).alias("rerank_component"))
 
 
-def top(scored: DataFrame, k: int, head: Column | None = None) -> DataFrame:
-    """The ``k`` best of each query as ``rank`` 1 and on; turn_uid breaks ties. Rows of ``head`` come before others."""
-    order = [F.desc("score"), F.col("turn_uid")]
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*([head.desc()] if head is not None else []), *order))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def top(scored: DataFrame, k: int | DataFrame, head: Column | None = None) -> DataFrame:
+    """The ``k`` best of each query (a number of its own in (query_id, most)) as ``rank`` 1 and on; turn_uid breaks ties. Rows of
+    ``head`` come before others."""
+    return first_of_each(scored, [*([head.desc()] if head is not None else []), F.desc("score"), F.col("turn_uid")], k, "rank")
 
 
-def rerank(scored: DataFrame, queries: DataFrame, turns: DataFrame, params: Retrieval, score: Callable[[list[str], list[str]], list[float]] | None) -> DataFrame:
+def rerank(scored: DataFrame, queries: DataFrame, turns: DataFrame, params: Retrieval | Settings, score: Callable[[list[str], list[str]], list[float]] | None) -> DataFrame:
     """Add to the ``rerank_top_n`` best of each query what ``score(queries, texts)`` thinks of them, and order them anew; the
     others stay behind. Without a function nothing changes but the column ``head``."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "turn_uid"))
-    placed = scored.withColumn("head", place <= params.rerank_top_n)
+    settings = as_settings(params)
+    wanted = F.col("_rerank") | F.lit(settings.rows is None)  # who is asked to rerank with one set for all does
+    placed = settings.onto(scored, "rerank", "rerank_top_n", "rerank_weight").withColumn("head", wanted & (place <= F.col("_rerank_top_n"))).drop("_rerank", "_rerank_top_n")
     if score is None:
-        return placed
+        return placed.drop("_rerank_weight")
     texts = placed.where("head").select(*KEYS).join(queries.select("query_id", "query"), "query_id").join(turns.select("turn_uid", "text"), "turn_uid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,16 +113,16 @@ def rerank(scored: DataFrame, queries: DataFrame, turns: DataFrame, params: Retr
 
     kinds = dict(scored.dtypes)
     raw = texts.mapInPandas(run, f"query_id {kinds['query_id']}, turn_uid string, raw double")
-    weight = min(1.0, max(0.0, params.rerank_weight))
-    judged = raw.withColumn("rerank_component", F.round(F.lit(weight) * min_max(F.col("raw"), W.partitionBy("query_id")), 6)).drop("raw")
-    joined = placed.drop("rerank_component").join(judged, KEYS, "left").withColumn("rerank_component", F.coalesce("rerank_component", F.lit(0.0)))
+    judged = raw.withColumn("share", min_max(F.col("raw"), W.partitionBy("query_id"))).drop("raw")
+    weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_rerank_weight")))
+    joined = placed.drop("rerank_component").join(judged, KEYS, "left").withColumn("rerank_component", F.coalesce(F.round(weight * F.col("share"), 6), F.lit(0.0))).drop("_rerank_weight", "share")
     return joined.withColumn("score", F.round(F.col("score") + F.col("rerank_component"), 6))
 
 
 def trace(ranked: DataFrame, matched: DataFrame, reached: DataFrame, evidence: DataFrame, entities: DataFrame) -> DataFrame:
     """For each ranked row: matched_entities, path_summary (the first four steps of each path, each edge once, eight at most)
     and evidence_turn_ids (of all steps). Names and evidence are looked up for ranked rows only."""
-    here = ranked.select(*KEYS).join(matched, KEYS).join(entities.select("entity_id", "canonical_name"), "entity_id")
+    here = ranked.select(*KEYS).join(matched.select(*KEYS, "entity_id"), KEYS).join(entities.select("entity_id", "canonical_name"), "entity_id")
     names = here.groupBy(*KEYS).agg(F.sort_array(F.collect_set("canonical_name")).alias("matched_entities"))
     steps = here.join(reached.select("query_id", "entity_id", "steps"), ["query_id", "entity_id"]).select(*KEYS, "entity_id", F.posexplode("steps").alias("place", "step"))
     edges = steps.select(*KEYS, *_edge("step")).distinct().join(evidence.withColumnRenamed("turn_uid", "evidence"), list(EDGE))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import search_terms
 from loomgraph.operators.lexical import B, K1
+from loomgraph.operators.settings import first_of_each
 from loomgraph.session import settled
 
 #: Turns of a shard and postings of a block; buckets that terms are stored in; queries that are answered together.
@@ -246,10 +247,12 @@ class Shard:
         return at, value, read, postings
 
 
-def search(index: TextIndex, queries: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+def search(index: TextIndex, queries: DataFrame, limit: int | DataFrame) -> tuple[DataFrame, DataFrame]:
     """(query_id, turn_uid, lexical_raw) of the ``limit`` turns with the highest BM25 scores of each ``queries(query_id, query)``,
-    and (query_id, read, postings): how many postings were read for it, of how many that its terms have."""
+    and (query_id, read, postings): how many postings were read for it, of how many that its terms have. A query may have a limit
+    of its own, in (query_id, most)."""
     spark = index.spark
+    highest = limit if isinstance(limit, int) else limit.agg(F.coalesce(F.max("most"), F.lit(0))).first()[0]
     kind = dict(queries.dtypes)["query_id"]
     docs, average = index.statistics()
     asked = settled(queries.select("query_id", F.explode(F.array_distinct(search_terms(F.coalesce("query", F.lit(""))))).alias("term")))
@@ -285,7 +288,7 @@ def search(index: TextIndex, queries: DataFrame, limit: int) -> tuple[DataFrame,
                 own.setdefault(x["query_id"], []).append((x["term"], x["idf"]))
             segment, number = key[0].as_py(), key[1].as_py()
             for query, terms in own.items():
-                places, scores, read, postings = shard.best([t for t, _ in terms], [i for _, i in terms], limit)
+                places, scores, read, postings = shard.best([t for t, _ in terms], [i for _, i in terms], highest)
                 query = query if kind == "bigint" else str(query)
                 rows.append((query, segment, number, -1, 0.0, read, postings))
                 rows += [(query, segment, number, int(p), float(s), 0, 0) for p, s in zip(places, scores, strict=True)]
@@ -295,8 +298,7 @@ def search(index: TextIndex, queries: DataFrame, limit: int) -> tuple[DataFrame,
     found = settled(sent.groupBy(*keys).cogroup(there.unionByName(gone).groupBy(*keys)).applyInArrow(lambda key, left, right: answer(key, right, left), kinds).withColumn("query_id", F.col("query_id").cast(kind)))
     reading = found.where("place < 0").groupBy("query_id").agg(F.sum("read").alias("read"), F.sum("postings").alias("postings"))
     # The first of every shard by score; what ties for the last place is cut by uid.
-    near = found.where("place >= 0").withColumn("_nth", F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("_nth") <= limit)
+    near = found.where("place >= 0").withColumn("_nth", F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("_nth") <= highest)
     named = near.join(index.table("docs", _DOCS).select("segment", "shard", "place", "turn_uid"), ["segment", "shard", "place"])
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "turn_uid"))
-    hits = named.withColumn("_nth", rank).where(F.col("_nth") <= limit).select("query_id", "turn_uid", F.col("score").alias("lexical_raw"))
+    hits = first_of_each(named, [F.desc("score"), "turn_uid"], limit).select("query_id", "turn_uid", F.col("score").alias("lexical_raw"))
     return hits, reading

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from loomgraph.functions import text as X
 from loomgraph.functions.vectors import cosine
 from loomgraph.operators.extraction import with_entities
 from loomgraph.operators.graph import match_names
+from loomgraph.operators.settings import Settings, as_settings, first_of_each
 from loomgraph.session import settled
 from loomgraph.vocabulary import Retrieval, Vocabulary
 
@@ -31,17 +32,22 @@ def query_names(queries: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> Da
     return found.select("query_id", F.explode_outer(F.when(F.size("entities") > 0, names).otherwise(whole)).alias("name")).distinct()
 
 
-def seeds(names: DataFrame, entities: DataFrame, limit: int, vectors: DataFrame | None = None) -> DataFrame:
-    """(query_id, entity_id, canonical_name, score) of the ``limit`` best matches of each query's names. With ``vectors``
-    (query_id, vector) the likeness to the entity's embedding has a part in the score."""
+def likeness(a: str, b: str) -> Column:
+    """The part of 1 that two vectors are alike, at 9 places, so that equal sums in another order are ties."""
+    return F.greatest(F.lit(0.0), F.round(cosine(F.col(a), F.col(b)), 9))
+
+
+def seeds(names: DataFrame, entities: DataFrame, limit: int | DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """(query_id, entity_id, canonical_name, score) of the ``limit`` best matches of each query's names; a query may have a limit
+    of its own, in (query_id, most). With ``vectors`` (query_id, vector) the likeness to the entity's embedding has a part in the
+    score."""
     hits = names.join(match_names(names, entities, NAME_LIMIT), "name")
     base = F.lit(0.85) * F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(0.8))
     if vectors is not None:
         hits = hits.join(vectors, "query_id").join(entities.select("entity_id", "embedding"), "entity_id")
-        base = base + F.lit(0.15) * F.greatest(F.lit(0.0), cosine(F.col("vector"), F.col("embedding")))
+        base = base + F.lit(0.15) * likeness("vector", "embedding")
     best = hits.groupBy("query_id", "entity_id", "canonical_name").agg(F.max(base).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "entity_id"))
-    return best.withColumn("place", rank).where(F.col("place") <= limit)
+    return first_of_each(best, [F.desc("score"), "entity_id"], limit)
 
 
 @dataclass
@@ -50,35 +56,39 @@ class Reached:
     pruned: DataFrame  # query_id, pruned
 
 
-def traverse(start: DataFrame, adjacent: DataFrame, params: Retrieval = Retrieval(), vectors: DataFrame | None = None, embeddings: DataFrame | None = None) -> Reached:
+def traverse(start: DataFrame, adjacent: DataFrame, params: Retrieval | Settings = Retrieval(), vectors: DataFrame | None = None, embeddings: DataFrame | None = None) -> Reached:
     """Follow edges from each query's seeds. A hop keeps, of the paths over the threshold, the best one to each entity, if it
     beats the best so far, and of these the ``beam_width`` best: they alone count as reached, and go on. An edge may raise a
-    score, so an entity can be reached anew, and better, by a longer path."""
+    score, so an entity can be reached anew, and better, by a longer path. Width, threshold and hops may be each query's own: they
+    go with its rows, and a query that has made its hops has no frontier any more. With ``vectors`` (query_id, vector) and
+    ``embeddings`` (entity_id, embedding) the likeness of the target has a part in the score."""
+    settings = as_settings(params)
+    own = ["_beam_width", "_prune_threshold", "_max_hops"]
     by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
     reached = settled(start.select("query_id", "entity_id", F.greatest(F.lit(0.01), F.col("score")).alias("score"), F.array().cast(STEPS).alias("steps")))
-    frontier = reached.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= params.beam_width).drop("n")
-    edges = adjacent.where(F.col("place") <= max(40, 2 * params.beam_width)).select(F.col("source_entity_id").alias("entity_id"), "target_entity_id", "relation_type", "forward", "edge_score")
+    frontier = settings.onto(reached, "beam_width", "prune_threshold", "max_hops").withColumn("n", F.row_number().over(by_score)).where("n <= _beam_width").drop("n")
+    edges = adjacent.select(F.col("source_entity_id").alias("entity_id"), "target_entity_id", "relation_type", "forward", "edge_score", F.col("place").alias("edge_place"))
     dropped: list[DataFrame] = []
-    for _ in range(params.max_hops):
-        paths = frontier.join(edges, "entity_id")
-        likeness = F.lit(0.85)
+    for hop in range(settings.highest("max_hops")):
+        paths = frontier.where(F.col("_max_hops") > hop).join(edges, "entity_id").where("edge_place <= greatest(40, 2 * _beam_width)")
+        alike = F.lit(0.85)
         if vectors is not None and embeddings is not None:
             target = embeddings.select(F.col("entity_id").alias("target_entity_id"), "embedding")
             paths = paths.join(vectors, "query_id").join(target, "target_entity_id", "left")
-            likeness = F.lit(0.85) + F.lit(0.15) * F.greatest(F.lit(0.0), cosine(F.col("vector"), F.col("embedding")))
+            alike = F.lit(0.85) + F.lit(0.15) * likeness("vector", "embedding")
         step = F.struct(F.col("entity_id").alias("from_entity_id"), F.col("target_entity_id").alias("to_entity_id"), "relation_type", "forward")
-        paths = paths.select("query_id", "target_entity_id", (F.col("score") * F.col("edge_score") * likeness).alias("score"), "steps", step.alias("step"))
-        kept = F.col("score") >= params.prune_threshold
+        paths = paths.select("query_id", "target_entity_id", (F.col("score") * F.col("edge_score") * alike).alias("score"), "steps", step.alias("step"), *own)
+        kept = F.col("score") >= F.col("_prune_threshold")
         dropped.append(paths.where(~kept).groupBy("query_id").agg(F.count("*").alias("pruned")))
         one = W.partitionBy("query_id", "target_entity_id").orderBy(F.desc("score"), "step.from_entity_id", "step.relation_type", F.desc("step.forward"))
         best = paths.where(kept).withColumn("n", F.row_number().over(one)).where("n = 1")
-        best = best.select("query_id", F.col("target_entity_id").alias("entity_id"), "score", F.concat("steps", F.array("step")).alias("steps"))
+        best = best.select("query_id", F.col("target_entity_id").alias("entity_id"), "score", F.concat("steps", F.array("step")).alias("steps"), *own)
         before = reached.select("query_id", "entity_id", F.col("score").alias("before"))
         better = best.join(before, ["query_id", "entity_id"], "left").where("before is null or score > before").drop("before")
-        frontier = settled(better.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= params.beam_width).drop("n"))
+        frontier = settled(better.withColumn("n", F.row_number().over(by_score)).where("n <= _beam_width").drop("n"))
         if not frontier.limit(1).count():
             break
-        reached = settled(reached.join(frontier.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti").unionByName(frontier))
+        reached = settled(reached.join(frontier.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti").unionByName(frontier.drop(*own)))
     pruned = dropped[0]
     for more in dropped[1:]:
         pruned = pruned.unionByName(more)

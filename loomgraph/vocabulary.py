@@ -75,6 +75,10 @@ class Chunking:
         return min(size, max(8, self.max_size)), max(0, min(overlap, size - 1))
 
 
+#: What a request may ask for.
+RANGES = (("top_k", 1, 50), ("max_hops", 1, 6), ("beam_width", 1, 1000), ("rerank_top_n", 1, 1000))
+
+
 @dataclass(frozen=True)
 class Retrieval:
     """Parameters of a batch of queries. ``check`` holds the ranges that a request may use."""
@@ -96,8 +100,7 @@ class Retrieval:
     rerank_weight: float = 0.20
 
     def check(self) -> Retrieval:
-        ranges = (("top_k", 1, 50), ("max_hops", 1, 6), ("beam_width", 1, 1000), ("rerank_top_n", 1, 1000))
-        for name, low, high in ranges:
+        for name, low, high in RANGES:
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} is {getattr(self, name)}, not from {low} to {high}")
         return self
