@@ -328,6 +328,53 @@ ORACLE["files_events"] = rf"""WITH k AS (SELECT *, {_STRIPPED} AS body FROM conv
 ORACLE["files_examples"] = rf"""WITH {TURNS}, {POST}, {_RELEVANT} SELECT '' AS reason, md5(regexp_replace(b.text, '^\s+|\s+$', '', 'g')) AS query_md5, string_agg(r.turn_uid, ',' ORDER BY r.turn_uid) AS relevant, 1 AS n FROM relevant r JOIN benchmark b USING (item_id) GROUP BY item_id, b.text
     UNION ALL SELECT 'no relevant turns', '', '', count(*) FROM benchmark"""
 ORACLE["embed_turns_builtin"] = ORACLE["embed_turns"]
+ORACLE["text_search_index"] = ORACLE["text_search"]
+ORACLE["text_index_postings"] = ORACLE["text_postings"]
+ORACLE["retrieve_indexed"] = ORACLE["retrieve_hybrid"]
+
+
+def _own_hop(i: int) -> str:
+    """A hop in which each query of own(query_id, hops, beam, prune) has its own width, threshold and number of hops."""
+    hop = _hop(i, -1, 0)
+    hop = hop.replace("JOIN adj a ON a.source_entity_id = f.entity_id)", f"JOIN own o ON o.query_id = f.query_id AND o.hops >= {i} JOIN adj a ON a.source_entity_id = f.entity_id AND a.place <= greatest(40, 2 * o.beam))")
+    hop = hop.replace("SELECT query_id, a.target", "SELECT f.query_id, a.target").replace(f"SELECT * FROM path{i} WHERE score >= -1", f"SELECT path{i}.* FROM path{i} JOIN own USING (query_id) WHERE score >= prune")
+    return hop.replace("WHERE r.score IS NULL", "JOIN own o ON o.query_id = b.query_id WHERE r.score IS NULL").replace("<= 0)", "<= o.beam)")
+
+
+_OWN = f"""own AS (SELECT item_id AS query_id, [1, 2][item_id % 2 + 1] AS hops, [4, 8, 24][item_id % 3 + 1] AS beam, [0.05::DOUBLE, 0.3, 0.45, 0.6, 0.1][item_id % 5 + 1] AS prune, [0.0::DOUBLE, 0.1, 0.2, 0.3][item_id % 4 + 1] AS importance FROM benchmark),
+    {SEEDS}, reach0 AS (SELECT query_id, entity_id, greatest(0.01::DOUBLE, score) AS score, '' AS path, []::VARCHAR[] AS edges FROM seed),
+    front0 AS (SELECT r.* FROM reach0 r JOIN own USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) <= beam), {_own_hop(1)}, {_own_hop(2)}"""
+ORACLE["evaluate_requests"] = f"""WITH {GRAPH}, {_OWN}, {_fused(False, 1.0, 0.0, 0.0, "[0.0::DOUBLE, 0.1, 0.2, 0.3][c.query_id % 4 + 1]", 0.0)},
+    top AS (SELECT query_id, turn_uid, row_number() OVER w AS rank FROM fused WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, turn_uid) QUALIFY row_number() OVER w <= 10)
+    SELECT 'graph_only' AS profile, query_id AS example_id, rank, turn_uid, hops AS max_hops, beam AS beam_width, prune AS prune_threshold, importance AS importance_weight FROM top JOIN own USING (query_id)"""
+
+# Vectors of entities: sums of turns' vectors in whole numbers of 2**-32.
+_ENTITY_VECTORS = f"""{TURN_VECTORS}, mention AS (SELECT DISTINCT turn_uid, entity_id FROM men),
+    ev_sum AS (SELECT entity_id, dim, sum(round(value * 4294967296.0::DOUBLE) * times)::DOUBLE AS s FROM mention JOIN mean ON mean.id = mention.turn_uid JOIN often USING (turn_uid) GROUP BY ALL),
+    ev_n AS (SELECT entity_id, sum(times) AS n FROM mention JOIN often USING (turn_uid) GROUP BY ALL),
+    ev_len AS (SELECT entity_id, sqrt(sum(s * s ORDER BY dim)) AS l FROM ev_sum GROUP BY ALL), ev AS (SELECT entity_id, dim, CASE WHEN l <= 1e-9 THEN s ELSE s / l END AS value FROM ev_sum JOIN ev_len USING (entity_id))"""
+ORACLE["graph_entity_vectors"] = f"""WITH {MENTION}, {HALVES}, often AS (SELECT turn_uid, CASE WHEN m = 2 THEN 2 ELSE 1 END AS times FROM crc), {_ENTITY_VECTORS}
+    SELECT entity_id, n::BIGINT AS n, dim, round(value, 6) AS value FROM ev JOIN ev_n USING (entity_id) WHERE round(value, 6) <> 0"""
+_LIKE = f"""often AS (SELECT turn_uid, 1 AS times FROM turns), {_ENTITY_VECTORS}, {_vectors('bq', 'benchmark', 'item_id', 'text')},
+    alike AS (SELECT item_id AS query_id, entity_id, greatest(0.0::DOUBLE, round(sum(q.value * e.value ORDER BY dim), 9)) AS alike FROM bq_vec q JOIN ev e USING (dim) GROUP BY ALL)"""
+_LIKE_SEEDS = SEEDS.replace(
+    "max(0.85::DOUBLE * CASE WHEN exact THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END) AS score FROM q_names JOIN few USING (name)",
+    "max(0.85::DOUBLE * CASE WHEN exact THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END + 0.15::DOUBLE * coalesce(alike, 0.0)) AS score FROM q_names JOIN few USING (name) LEFT JOIN alike USING (query_id, entity_id)",
+)
+
+
+def _like_hop(i: int) -> str:
+    hop = _hop(i, _SHIPPED.prune_threshold, _SHIPPED.beam_width).replace("a.edge_score * 0.85::DOUBLE", "a.edge_score * (0.85::DOUBLE + 0.15::DOUBLE * coalesce(alike, 0.0))")
+    return hop.replace("SELECT query_id, a.target", "SELECT f.query_id, a.target").replace("ON a.source_entity_id = f.entity_id)", "ON a.source_entity_id = f.entity_id LEFT JOIN alike k ON k.query_id = f.query_id AND k.entity_id = a.target_entity_id)")
+
+
+ORACLE["seeds_by_vectors"] = f"WITH {GRAPH}, {_LIKE}, {_LIKE_SEEDS} SELECT query_id, entity_id, canonical_name, round(score, 6) AS score, place FROM seed"
+ORACLE["beam_by_vectors"] = f"""WITH {GRAPH}, {_LIKE}, {_LIKE_SEEDS}, reach0 AS (SELECT query_id, entity_id, greatest(0.01::DOUBLE, score) AS score, '' AS path, []::VARCHAR[] AS edges FROM seed),
+    front0 AS (SELECT * FROM reach0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) <= {_SHIPPED.beam_width}), {_like_hop(1)}, {_like_hop(2)} SELECT query_id, entity_id, round(score, 6) AS score, path FROM reach2"""
+ORACLE["embed_model"] = f"""WITH {TURNS}, {_chunks("turns", "turn_uid")}, lt AS (SELECT id, i, 'passage: ' || chunk AS t, unnest(range(26)) AS dim FROM chunk),
+    ln AS (SELECT id, i, dim, (length(t) - length(replace(t, chr((97 + dim)::INT), '')))::DOUBLE AS v FROM lt), ll AS (SELECT id, i, sqrt(sum(v * v)) AS l FROM ln GROUP BY ALL),
+    lu AS (SELECT id, i, dim, CASE WHEN l <= 1e-9 THEN v ELSE v / l END AS v FROM ln JOIN ll USING (id, i)), lm AS (SELECT id, dim, sum(v ORDER BY i) / count(*) AS v FROM lu GROUP BY ALL),
+    lz AS (SELECT id, sqrt(sum(v * v ORDER BY dim)) AS l FROM lm GROUP BY ALL) SELECT id AS turn_uid, dim, round(CASE WHEN l <= 1e-9 THEN v ELSE v / l END, 6) AS value FROM lm JOIN lz USING (id) WHERE round(CASE WHEN l <= 1e-9 THEN v ELSE v / l END, 6) <> 0"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,11 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.functions.vectors import hash_embedding, hash_embedding_builtin, unit
+from loomgraph.functions.vectors import Embedder, hash_embedding, hash_embedding_builtin, unit
 from loomgraph.jobs.ingest import extracted, rebuild, with_vectors
 from loomgraph.jobs.oracle import PRUNING, VOCABULARY, oracle_sql
 from loomgraph.jobs.retrieve import evaluate_profiles, gather, rank_pool, run_profiles, with_profiles
-from loomgraph.operators import evaluate, graph, lexical, rank, store, traverse
+from loomgraph.operators import evaluate, graph, lexical, rank, store, text_index, traverse
 from loomgraph.operators.extraction import explode_chunks, with_chunks, with_entities, with_relations
 from loomgraph.operators.nearest import nearest
 from loomgraph.session import settled, shared_dir, spread
@@ -370,6 +370,90 @@ def evaluate_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("profile", "example_id", F.size("relevant_turn_uids").cast("long").alias("n_relevant"), F.array_join("ranked_turn_uids", ",").alias("ranked"))
 
 
+def evaluate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every example with hops, width, threshold and weights of its own, all in one batch: what was ranked, and what was applied."""
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("example_id") % len(values) + 1).cast("int"))
+    request = F.create_map(
+        F.lit("max_hops"), of(["1", "2"]), F.lit("beam_width"), of(["4", "8", "24"]), F.lit("prune_threshold"), of(["0.05", "0.3", "0.45", "0.6", "0.1"]),
+        F.lit("importance_weight"), of(["0.0", "0.1", "0.2", "0.3"]),
+    )
+    g, asked = _prepared(spark, sf_dir)
+    examples = asked.withColumnRenamed("query_id", "example_id").withColumn("request", request)
+    ranked = run_profiles(examples, g, {"graph_only": PROFILES["graph_only"]}, [10], _now(), GRAPH_WORDS)
+    shown = [F.element_at("applied", n).cast(kind).alias(n) for n, kind in (("max_hops", "int"), ("beam_width", "int"), ("prune_threshold", "double"), ("importance_weight", "double"))]
+    return ranked.select("profile", "example_id", "rank", "turn_uid", *shown)
+
+
+def text_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text search in a stored index that grew in three loads: users' turns, then all others together with a third of the
+    users' turns anew, whose first texts were other ones; then it is compacted and takes the first turns of conversations again."""
+    return _indexed(spark, sf_dir, lambda index, turns: text_index.search(index, _questions(spark, sf_dir), 200)[0].select("query_id", "turn_uid", F.round("lexical_raw", 6).alias("lexical_raw")))
+
+
+def text_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All live postings of such an index."""
+    return _indexed(spark, sf_dir, lambda index, turns: text_index.live_postings(index).select("term", "turn_uid", F.col("tf").cast("long").alias("tf"), F.col("len").cast("long").alias("len")))
+
+
+def _indexed(spark: SparkSession, sf_dir: str, use: Callable[[text_index.TextIndex, DataFrame], DataFrame]) -> DataFrame:
+    turns = settled(_uid_turns(spark, sf_dir))
+    index = text_index.TextIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    third = F.expr("crc32(cast(turn_uid as binary)) % 3 = 0")
+    first = settled(turns.where("speaker = 'user'").withColumn("text", F.when(third, F.concat(F.lit("the zebra "), "text")).otherwise(F.col("text"))))
+    text_index.add(index, first)
+    text_index.add(index, turns.where((F.col("speaker") != "user") | third), first)
+    text_index.compact(index)
+    text_index.add(index, turns.where("turn_id = 't0'"), turns)
+    return use(index, turns)
+
+
+def retrieve_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``retrieve_hybrid`` with full text from a stored index."""
+    g, asked = _prepared(spark, sf_dir)
+    index = text_index.TextIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    text_index.add(index, g.turns.select("turn_uid", "text"))
+    return _ranked_columns(rank_pool(gather(asked, g, PARAMS, GRAPH_WORDS, index), asked, g, PARAMS, _now()))
+
+
+def graph_entity_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of entities after two loads that share turns: sums and counts add up, as weights of edges do."""
+    rows = settled(extracted(turns_of(spark, sf_dir), GRAPH_WORDS, CHUNKS))
+    half = lambda k: graph.build(rows.where(f"crc32(cast(turn_uid as binary)) % 3 != {k}"), GRAPH_WORDS, entity_vectors=True).entities
+    merged = graph.merge_entities(half(0), half(1))
+    parts = merged.select("entity_id", F.col("embedding_count").alias("n"), F.posexplode("embedding").alias("dim", "value"))
+    return parts.select("entity_id", "n", "dim", (F.round("value", 6) + F.lit(0.0)).alias("value")).where("value != 0")
+
+
+def _by_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, traverse.Reached]:
+    g = graph.build(settled(extracted(turns_of(spark, sf_dir), GRAPH_WORDS, CHUNKS)), GRAPH_WORDS, entity_vectors=True)
+    entities = settled(g.entities)
+    asked = _questions(spark, sf_dir)
+    vectors = settled(Embedder().of_queries(asked, "query", "vector").select("query_id", "vector"))
+    start = settled(traverse.seeds(traverse.query_names(asked, GRAPH_WORDS), entities, PARAMS.seed_limit, vectors))
+    return start, traverse.traverse(start, settled(graph.adjacency(g.relations, max(40, 2 * PARAMS.beam_width))), PARAMS, vectors, entities)
+
+
+def seeds_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds, chosen also by the likeness of queries to the entities' vectors."""
+    return _by_vectors(spark, sf_dir)[0].select("query_id", "entity_id", "canonical_name", F.round("score", 6).alias("score"), "place")
+
+
+def beam_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traversal in which the likeness to each target's vector counts."""
+    path = F.concat_ws(">", F.transform("steps", lambda s: F.concat(s.relation_type, F.when(s.forward, F.lit("+")).otherwise(F.lit("-")), s.to_entity_id)))
+    return _by_vectors(spark, sf_dir)[1].entities.select("query_id", "entity_id", F.round("score", 6).alias("score"), path.alias("path"))
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    return [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+def embed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by a model of the user's own, with its prefix: here one that counts letters, which anyone can check."""
+    embedder = Embedder.of_model("nlpai-lab/KURE-v1", lambda: _letters)
+    return _long_vectors(with_vectors(with_chunks(_uid_turns(spark, sf_dir), CHUNKS), embedder).select("turn_uid", F.col("embedding").alias("v")))
+
+
 def _json_lines(spark: SparkSession, rows: DataFrame, kind: str) -> str:
     """``rows(value)`` as text files in the shared folder."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
@@ -420,7 +504,8 @@ def queries() -> dict[str, Query]:
         text_names, text_importance, chunk_documents, embed_turns, embed_turns_builtin, embed_chunk_means, cosine_to_queries, extract_entities, extract_relations, graph_entities, graph_mentions,
         graph_relations, graph_adjacency, graph_merge_relations, graph_merge_entities, skip_stored, ingest_statistics, conversation_turns, query_seeds, beam_traversal, beam_pruned, text_postings,
         text_search, recall_state, candidate_pool, retrieve_hybrid, retrieve_graph_only, retrieve_reranked, retrieve_traced, subgraph_edges, evaluate_search, compare_profiles,
-        graph_evidence, graph_merge_turns, graph_rebuild, graph_lookups, subgraph_nodes, recall_feedback, eval_examples, evaluate_details, files_turns, files_sessions, files_events, files_examples,
+        graph_evidence, graph_merge_turns, graph_rebuild, graph_lookups, subgraph_nodes, recall_feedback, eval_examples, evaluate_details, evaluate_requests,
+        text_search_index, text_index_postings, retrieve_indexed, graph_entity_vectors, seeds_by_vectors, beam_by_vectors, embed_model, files_turns, files_sessions, files_events, files_examples,
     )
     return {f.__name__: f for f in found}
 
