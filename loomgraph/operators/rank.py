@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from loomgraph.functions.text import recency
 from loomgraph.functions.vectors import cosine
 from loomgraph.operators.graph import EDGE
 from loomgraph.operators.settings import Settings, as_settings, first_of_each, weights
+from loomgraph.session import settled
 from loomgraph.vocabulary import Retrieval
 
 KEYS = ["query_id", "turn_uid"]
@@ -33,16 +36,85 @@ def in_conversation(rows: DataFrame, queries: DataFrame, turns: DataFrame) -> Da
     return rows.join(asked, "query_id").join(turns.select("turn_uid", "conversation_id"), "turn_uid").where("_only is null or _only = conversation_id").drop("_only", "conversation_id")
 
 
+#: Queries that are answered together, mentions of a bucket about, and copies of the reached entities that mentions are joined by.
+GROUP, BUCKET, SALTS = 1024, 1 << 20, 16
+
+
+def best_turns(lists: dict[str, np.ndarray], scores: list[tuple[str, int]], turns: int, allowed: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(turns, sums in 10**-9, how many turns were built) of the ``limit`` turns with the highest sums among ``turns``, numbered in
+    the order of their uids. ``lists``: the turns of each entity; ``scores``: entities with their scores in 10**-12.
+
+    Entities are taken from the highest score down. Once the ``limit``-th best sum cannot be reached by all scores that are left, a
+    turn that no entity has named so far is out, and is not built: the lists left only add to turns that are there."""
+    own = sorted(((score, e) for e, score in scores if e in lists), key=lambda x: (-x[0], x[1]))
+    left = np.cumsum([s for s, _ in own][::-1])[::-1] if own else []
+    sums, there, closed = np.zeros(turns, np.int64), np.zeros(turns, bool), False
+    for i, (score, e) in enumerate(own):
+        at = lists[e]
+        if not closed and limit and np.count_nonzero(there) >= limit:
+            found = sums[there]
+            closed = np.partition(found, len(found) - limit)[len(found) - limit] // 1000 > (left[i] + 500) // 1000
+        if closed:
+            sums[at[there[at]]] += score
+        else:
+            at = at if allowed is None else at[allowed[at]]
+            there[at] = True
+            sums[at] += score
+    at = np.flatnonzero(there)
+    value = (sums[at] + 500) // 1000
+    first = np.argsort(-value, kind="stable")[:limit]
+    return at[first], value[first], len(at)
+
+
 def graph_candidates(reached: DataFrame, mentions: DataFrame, queries: DataFrame, turns: DataFrame, limit: int | DataFrame) -> DataFrame:
     """(query_id, turn_uid, entity_id) of the turns that mention reached entities: of each query the ``limit`` turns with the
-    greatest sum of path scores. Only ids move."""
-    # Whole numbers of 10**-12 add up to the same in any order, and before the shuffle.
-    scored = reached.select("query_id", "entity_id", F.round(F.col("score") * 1e12).cast("long").alias("units"))
-    total = scored.join(mentions, "entity_id").groupBy(*KEYS).agg(F.sum("units").alias("units"))
-    total = in_conversation(total, queries, turns).withColumn("sum", F.round(F.col("units") / 1e12, 9))
-    best = first_of_each(total, [F.desc("sum"), "turn_uid"], limit).select(*KEYS)
+    greatest sum of path scores (at 9 places; ties by uid).
+
+    Mentions are dealt into buckets by turn, so that an entity of most turns is spread over all of them, and every turn's sum is
+    complete in one. A bucket gives each query's best turns; pairs of query and turn never become rows otherwise."""
+    spark = reached.sparkSession
+    # Whole numbers of 10**-12 add up to the same in any order.
+    scored = settled(reached.select("query_id", "entity_id", F.round(F.col("score") * 1e12).cast("long").alias("units")))
+    confined = bool(queries.where("conversation_id is not null").limit(1).count())
+    kind = dict(reached.dtypes)["query_id"]
+    spread = scored.select("entity_id").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = mentions.withColumn("salt", F.pmod(F.xxhash64("turn_uid"), F.lit(SALTS)).cast("int")).join(spread, ["entity_id", "salt"], "left_semi")
+    if confined:
+        named = named.join(turns.select("turn_uid", "conversation_id"), "turn_uid")
+    named = settled(named.select("turn_uid", "entity_id", (F.col("conversation_id") if confined else F.lit(None).cast("string")).alias("conversation_id")))
+    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-named.count() // BUCKET))
+    groups = max(1, -(-queries.count() // GROUP))
+    limits = queries.select("query_id", "conversation_id", F.lit(limit).alias("most")) if isinstance(limit, int) else queries.select("query_id", "conversation_id").join(limit, "query_id")
+    asked = scored.groupBy("query_id").agg(F.collect_list(F.struct("entity_id", "units")).alias("reached")).join(limits, "query_id")  # a query reaches some ten entities a hop
+    packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group")).agg(F.collect_list(F.struct(F.to_json(F.struct("query_id")).alias("key"), "reached", "conversation_id", "most")).alias("asked"))
+    sent = packed.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    dealt = named.withColumn("bucket", F.pmod(F.xxhash64(F.lit(7), "turn_uid"), F.lit(buckets)).cast("int")).withColumn("group", each)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            uids = left.column("turn_uid").to_numpy()
+            order, number = np.unique(uids.astype(object), return_inverse=True)
+            by_entity = left.column("entity_id").combine_chunks().dictionary_encode()
+            codes = by_entity.indices.to_numpy()
+            at = np.argsort(codes, kind="stable")
+            cuts = np.searchsorted(codes[at], np.arange(len(by_entity.dictionary) + 1))
+            lists = {e: np.unique(number[at[cuts[i] : cuts[i + 1]]]) for i, e in enumerate(by_entity.dictionary.to_pylist())}
+            conversation = np.empty(len(order), object)
+            conversation[number] = left.column("conversation_id").to_numpy()
+            for q in right.column("asked")[0].as_py():
+                allowed = conversation == q["conversation_id"] if q["conversation_id"] is not None else None
+                found, sums, _ = best_turns(lists, [(x["entity_id"], x["units"]) for x in q["reached"]], len(order), allowed, q["most"])
+                rows += [(q["key"], order[t], int(s)) for t, s in zip(found, sums, strict=True)]
+        kinds = [("key", pa.string()), ("turn_uid", pa.string()), ("sum", pa.int64())]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+    near = dealt.groupBy("bucket", "group").cogroup(sent.groupBy("bucket", "group")).applyInArrow(answer, "key string, turn_uid string, sum long")
+    near = near.withColumn("query_id", F.from_json("key", f"query_id {kind}")["query_id"])
+    best = settled(first_of_each(near, [F.desc("sum"), "turn_uid"], limit).select(*KEYS))
     # What is matched is looked up for the turns that are left.
-    return best.join(mentions, "turn_uid").join(reached.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_semi").select(*KEYS, "entity_id")
+    return best.join(named.select("turn_uid", "entity_id"), "turn_uid").join(scored.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_semi").select(*KEYS, "entity_id")
 
 
 def merge_candidates(graph: DataFrame, lexical: DataFrame | None, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
