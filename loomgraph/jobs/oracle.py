@@ -236,7 +236,7 @@ ORACLE = {
     "graph_merge_relations": f"WITH {CHAIN}, {HALVES}, twice AS (SELECT s, t, kind, sum(CASE WHEN m = 2 THEN 2 ELSE 1 END)::DOUBLE AS weight, list(turn_uid ORDER BY turn_uid) AS evidence FROM rel JOIN crc USING (turn_uid) GROUP BY ALL) {_edges_out('twice')}",
     "graph_merge_entities": f"""WITH {MENTION}, {HALVES}, ma AS (SELECT men.* FROM men JOIN crc USING (turn_uid) WHERE m <> 0), mb AS (SELECT men.* FROM men JOIN crc USING (turn_uid) WHERE m <> 1), {_entity_table('ea', 'ma')}, {_entity_table('eb', 'mb')}
         SELECT coalesce(ea.entity_id, eb.entity_id) AS entity_id, coalesce(ea.canonical_name, eb.canonical_name) AS canonical_name, coalesce(ea.entity_type, eb.entity_type) AS entity_type,
-            array_to_string(list_sort(list_distinct(list_concat(coalesce(ea.aliases, []), coalesce(eb.aliases, [])))), '|') AS aliases FROM ea FULL JOIN eb ON ea.entity_id = eb.entity_id""",
+            array_to_string(list_concat(coalesce(ea.aliases, []), list_filter(coalesce(eb.aliases, []), lambda x: NOT list_contains(coalesce(ea.aliases, []), x))), '|') AS aliases FROM ea FULL JOIN eb ON ea.entity_id = eb.entity_id""",
     "skip_stored": f"WITH {TURNS} SELECT turn_uid, speaker FROM turns WHERE turn_uid NOT IN (SELECT turn_uid FROM turns WHERE speaker = 'user')",
     "ingest_statistics": f"""WITH {CHAIN}, {_chunks('turns', 'turn_uid')}, pc AS (SELECT id, profile, count(*) AS c FROM chunk GROUP BY ALL)
         SELECT (SELECT count(*) FROM turns) AS turns, (SELECT count(*) FROM t_ent) AS mentions, count(*) AS relations, {', '.join(f"count(*) FILTER (kind = '{k}') AS {k.lower()}" for k in ('COMPARES', 'DEPENDS_ON', 'IMPLEMENTS', 'EXPLAINS', 'RELATED_TO'))},
@@ -328,6 +328,16 @@ ORACLE["files_events"] = rf"""WITH k AS (SELECT *, {_STRIPPED} AS body FROM conv
 ORACLE["files_examples"] = rf"""WITH {TURNS}, {POST}, {_RELEVANT} SELECT '' AS reason, md5(regexp_replace(b.text, '^\s+|\s+$', '', 'g')) AS query_md5, string_agg(r.turn_uid, ',' ORDER BY r.turn_uid) AS relevant, 1 AS n FROM relevant r JOIN benchmark b USING (item_id) GROUP BY item_id, b.text
     UNION ALL SELECT 'no relevant turns', '', '', count(*) FROM benchmark"""
 ORACLE["embed_turns_builtin"] = ORACLE["embed_turns"]
+ORACLE["graph_stored"] = ORACLE["stream_ingested"] = ORACLE["graph_relations"]
+ORACLE["stream_recalled"] = ORACLE["recall_state"]
+ORACLE["report_written"] = ORACLE["evaluate_search"]
+ORACLE["files_first"] = rf"""SELECT 'claude:s' || conv_id AS conversation_id, 'u-' || conv_id || '-' || turn AS turn_id, role AS speaker, md5({_STRIPPED}) AS text_md5 FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 4 < 2 AND {_STRIPPED} <> ''"""
+ORACLE["files_both"] = f"""SELECT conversation_id, turn_id, 'user' AS speaker, text_md5 FROM ({ORACLE["files_sessions"]}) UNION ALL
+    SELECT 'claude:s' || conv_id, 'u-' || conv_id || '-' || turn, CASE role WHEN 'assistant' THEN role ELSE 'user' END, md5({_STRIPPED}) FROM conversations WHERE {_STRIPPED} <> ''"""
+ORACLE["turns_moved"] = "SELECT 'all' AS conversation_id, 't' || turn AS turn_id, role AS speaker, count(*) AS n FROM conversations GROUP BY ALL"
+ORACLE["eval_listed"] = rf"""WITH v AS (SELECT item_id AS example_id, {_STRIPPED} AS q, 1770000000 + item_id % 7 * 86400 AS created FROM benchmark WHERE item_id % 3 <> 0 AND item_id % 5 <> 0 AND {_STRIPPED} <> '')
+    SELECT example_id, md5(q) AS query_md5, 'conv-' || example_id || ':t0' AS relevant, created, (SELECT count(*) FROM v) AS examples FROM v ORDER BY created DESC, example_id LIMIT 100"""
+ORACLE["retrieve_own"] = "SELECT item_id AS query_id, item_id % 4 + 1 AS n, (item_id % 4 + 1)::VARCHAR AS top_k, '1' AS max_hops, '24' AS beam_width, 'true' AS hybrid_enabled, '0.1' AS importance_weight FROM benchmark WHERE item_id % 3 <> 0"
 ORACLE["text_search_index"] = ORACLE["text_search"]
 ORACLE["text_index_postings"] = ORACLE["text_postings"]
 ORACLE["retrieve_indexed"] = ORACLE["retrieve_hybrid"]

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.functions.vectors import Embedder, hash_embedding, hash_embedding_builtin, unit
-from loomgraph.jobs.ingest import extracted, rebuild, with_vectors
+from loomgraph.jobs.ingest import extracted, ingest, rebuild, with_vectors
 from loomgraph.jobs.oracle import PRUNING, VOCABULARY, oracle_sql
-from loomgraph.jobs.retrieve import evaluate_profiles, gather, rank_pool, run_profiles, with_profiles
+from loomgraph.jobs.retrieve import evaluate_profiles, gather, rank_pool, retrieve, run_profiles, with_profiles, write_report
 from loomgraph.operators import evaluate, graph, lexical, rank, store, text_index, traverse
 from loomgraph.operators.extraction import explode_chunks, with_chunks, with_entities, with_relations
 from loomgraph.operators.nearest import nearest
 from loomgraph.session import settled, shared_dir, spread
-from loomgraph.sources.turns import read_event_logs, read_examples, read_session_history, read_turns
+from loomgraph.sources.turns import in_conversation, read_event_logs, read_examples, read_session_history, read_turns, union_sources
+from loomgraph.streaming.ingest import stream_ingest, stream_recall, stream_turns
 from loomgraph.vocabulary import PROFILES, Chunking, Retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,7 +153,7 @@ def graph_merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = settled(graph.mention_rows(_words(spark, sf_dir), GRAPH_WORDS))
     half = lambda k: graph.build_entities(rows.where(f"crc32(cast(turn_uid as binary)) % 3 != {k}"))
     merged = graph.merge_entities(half(0), half(1))
-    return merged.select("entity_id", "canonical_name", "entity_type", F.array_join(F.array_sort("aliases"), "|").alias("aliases"))
+    return merged.select("entity_id", "canonical_name", "entity_type", F.array_join("aliases", "|").alias("aliases"))
 
 
 def skip_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,13 +500,102 @@ def files_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.unionByName(loaded.rejects.groupBy("reason").agg(F.count("*").alias("n")).select("reason", F.lit("").alias("query_md5"), F.lit("").alias("relevant"), "n"))
 
 
+def _scratch(spark: SparkSession, kind: str) -> str:
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def graph_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a graph that is written in one load, merged bucket by bucket with a second one, and read back."""
+    turns, base = turns_of(spark, sf_dir), _scratch(spark, "graph")
+    part = F.crc32(F.concat_ws(":", "conversation_id", "turn_id").cast("binary")) % 3
+    for k, chosen in enumerate((part == 0, part != 0)):
+        store.commit_merge(spark, base, ingest(turns.where(chosen), GRAPH_WORDS, CHUNKS), k, buckets=8)
+    back = store.read_graph(spark, f"{base}/v{store.current_version(spark, base)}")
+    return _edges(back.relations, back.evidence)
+
+
+def stream_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a graph that grows by micro-batches of files; users' turns come twice, and count once."""
+    turns = turns_of(spark, sf_dir).where("text != ''").withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    line = lambda rows: rows.select(F.to_json(F.struct("conversation_id", "turn_id", "speaker", "text", "timestamp")).alias("value"))
+    folder, base = _scratch(spark, "arriving"), _scratch(spark, "graph")
+    for rows in (turns.where("speaker = 'user'"), turns):
+        line(rows).write.mode("append").text(folder)
+        stream_ingest(stream_turns(spark, folder), base, f"{base}-offsets", GRAPH_WORDS, CHUNKS).awaitTermination()
+    back = store.read_graph(spark, f"{base}/v{store.current_version(spark, base)}")
+    return _edges(back.relations, back.evidence)
+
+
+def stream_recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall log as a stream in which every recall comes twice."""
+    folder, log = _scratch(spark, "recalls"), _scratch(spark, "log")
+    rows = _recalls(spark, sf_dir)
+    rows.unionByName(rows).write.parquet(folder)
+    stream_recall(spark.readStream.schema(rows.schema).parquet(folder), log, f"{log}-offsets", "100 days").awaitTermination()
+    return store.recall_state(spark.read.parquet(log)).select("turn_uid", "recall_count", F.unix_micros("last_recalled_at").alias("last_us"))
+
+
+def report_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics written as a report and read back."""
+    measured, path = evaluate_search(spark, sf_dir), _scratch(spark, "report")
+    write_report(measured, path)
+    return spark.read.schema(measured.schema).json(path)
+
+
+def files_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two of four files of event logs."""
+    turns = _table(spark, sf_dir, "conversations").where("role != 'system'").withColumn("k", F.col("conv_id") % 4)
+    event = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.concat_ws("-", F.lit("u"), "conv_id", "turn").alias("uuid"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    path = _scratch(spark, "events")
+    turns.select(event.alias("value"), "k").repartition(4, "k").write.partitionBy("k").text(path)
+    return read_event_logs(spark, path, _now(), max_files=2, pattern="part-*").select("conversation_id", "turn_id", "speaker", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def files_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns as a history of prompts, beside all turns as event logs."""
+    rows = _table(spark, sf_dir, "conversations").where("role = 'user'").orderBy("conv_id", "turn").coalesce(1)
+    prompt = F.to_json(F.struct(F.concat(F.lit("s"), "conv_id").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ts"), F.col("text")))
+    sessions = read_session_history(spark, _json_lines(spark, rows.select(prompt.alias("value")), "sessions"))
+    event = F.to_json(F.struct(F.lit("user").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.concat_ws("-", F.lit("u"), "conv_id", "turn").alias("uuid"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    events = read_event_logs(spark, _json_lines(spark, _table(spark, sf_dir, "conversations").select(event.alias("value")), "events"), _now(), pattern="part-*")
+    return union_sources("both", sessions, events).select("conversation_id", "turn_id", "speaker", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def turns_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns moved into one conversation."""
+    return in_conversation(turns_of(spark, sf_dir), "all").groupBy("conversation_id", "turn_id", "speaker").agg(F.count("*").alias("n"))
+
+
+def eval_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest hundred of the examples that are some, trimmed, each with the number of all of them."""
+    blank = F.col("item_id") % 3 == 0
+    new = _table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("example_id"), F.when(blank, F.lit("  ")).otherwise(F.concat(F.lit(" "), "text", F.lit("\n"))).alias("query"),
+        F.when(F.col("item_id") % 5 == 0, F.array(F.lit(" "))).otherwise(F.array(F.concat(F.lit(" conv-"), F.col("item_id"), F.lit(":t0 ")), F.lit(""))).alias("relevant_turn_uids"),
+        (F.lit(1_770_000_000) + F.col("item_id") % 7 * 86_400).cast("timestamp").alias("created_at"),
+    )
+    valid, _ = evaluate.clean_examples(new)
+    listed = evaluate.list_examples(valid, 100).join(evaluate.count_examples(valid))  # a table of one row
+    return listed.select("example_id", F.md5(F.col("query").cast("binary")).alias("query_md5"), F.array_join("relevant_turn_uids", ",").alias("relevant"), F.unix_seconds("created_at").alias("created"), "examples")
+
+
+def retrieve_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job that users call, with columns of parameters: how many turns each query gets, and what it says was applied. Every
+    third query names nothing that there is, and finds nothing."""
+    g, asked = _prepared(spark, sf_dir)
+    own = asked.withColumns({"query": F.when(F.col("query_id") % 3 == 0, F.lit("zzqqzz")).otherwise(F.col("query")), "top_k": (F.col("query_id") % 4 + 1).cast("int"), "hybrid": F.lit(True), "max_hops": F.lit(1)})
+    told = retrieve(own, g, _now(), PARAMS, GRAPH_WORDS)
+    return told.groupBy("query_id").agg(F.count("*").alias("n"), *[F.max(F.element_at("applied", k)).alias(k) for k in ("top_k", "max_hops", "beam_width", "hybrid_enabled", "importance_weight")])
+
+
 def queries() -> dict[str, Query]:
     found = (
         text_names, text_importance, chunk_documents, embed_turns, embed_turns_builtin, embed_chunk_means, cosine_to_queries, extract_entities, extract_relations, graph_entities, graph_mentions,
         graph_relations, graph_adjacency, graph_merge_relations, graph_merge_entities, skip_stored, ingest_statistics, conversation_turns, query_seeds, beam_traversal, beam_pruned, text_postings,
         text_search, recall_state, candidate_pool, retrieve_hybrid, retrieve_graph_only, retrieve_reranked, retrieve_traced, subgraph_edges, evaluate_search, compare_profiles,
         graph_evidence, graph_merge_turns, graph_rebuild, graph_lookups, subgraph_nodes, recall_feedback, eval_examples, evaluate_details, evaluate_requests,
-        text_search_index, text_index_postings, retrieve_indexed, graph_entity_vectors, seeds_by_vectors, beam_by_vectors, embed_model, files_turns, files_sessions, files_events, files_examples,
+        text_search_index, text_index_postings, retrieve_indexed, graph_entity_vectors, seeds_by_vectors, beam_by_vectors, embed_model,
+        graph_stored, stream_ingested, stream_recalled, report_written, files_first, files_both, turns_moved, eval_listed, retrieve_own, files_turns, files_sessions, files_events, files_examples,
     )
     return {f.__name__: f for f in found}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.vocabulary import Retrieval
+from loomgraph.functions.text import strip
 
 
 def cutoffs(ks: list[int]) -> list[int]:
@@ -53,15 +53,14 @@ def ranked_lists(ranked: DataFrame, examples: DataFrame) -> DataFrame:
     return examples.select("profile", "example_id", "relevant_turn_uids").join(lists, ["profile", "example_id"], "left").withColumn("ranked_turn_uids", F.coalesce("ranked_turn_uids", F.array().cast("array<string>")))
 
 
-def parameters(profile: Retrieval, common: dict | None, example: dict | None, example_last: bool = True) -> Retrieval:
-    """A profile's parameters under those of all examples and those of one: the later overrides the earlier. The other order
-    has the profile override both."""
-    known = {k: v for k, v in vars(profile).items() if v != getattr(Retrieval(), k)}
-    order = [vars(profile), common or {}, example or {}] if example_last else [common or {}, example or {}, known]
-    merged: dict = {}
-    for changes in order:
-        merged |= {k: v for k, v in changes.items() if v is not None}
-    return Retrieval(**merged).check()
+def clean_examples(new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Examples (example_id, query, relevant_turn_uids, ...) trimmed, and (example_id, reason) of those that are none: without a
+    query, or without a relevant turn."""
+    uids = F.filter(F.transform("relevant_turn_uids", strip), lambda x: x.isNotNull() & (x != ""))
+    trimmed = new.withColumns({"query": strip(F.col("query")), "relevant_turn_uids": F.coalesce(uids, F.array().cast("array<string>"))})
+    reason = F.when(F.coalesce("query", F.lit("")) == "", F.lit("no query")).when(F.size("relevant_turn_uids") == 0, F.lit("no relevant turns"))
+    judged = trimmed.withColumn("reason", reason)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select("example_id", "reason")
 
 
 def upsert_examples(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,3 +77,7 @@ def delete_examples(examples: DataFrame, ids: DataFrame) -> DataFrame:
 def list_examples(examples: DataFrame, limit: int) -> DataFrame:
     """The newest examples."""
     return examples.orderBy(F.desc("created_at"), "example_id").limit(max(1, limit))
+
+
+def count_examples(examples: DataFrame) -> DataFrame:
+    return examples.agg(F.count("*").alias("examples"))

@@ -74,17 +74,30 @@ def stored_conversation(spark: SparkSession, path: str, conversation_id: str) ->
 def current_version(spark: SparkSession, base: str) -> int:
     """The newest complete version under ``base``; 0 without any."""
     try:
-        rows = spark.read.parquet(f"{base}/versions").agg(F.max("version")).first()
+        rows = spark.read.parquet(f"{base}/versions").agg(F.max("version"), F.count("version"), F.count_distinct("version")).first()
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return 0
+    if rows[1] != rows[2]:
+        raise ValueError(f"two writers have made the same version of {base}")
     return rows[0] or 0
 
 
+def stored_beside(spark: SparkSession, base: str, turns: DataFrame) -> DataFrame | None:
+    """The stored turns of the buckets that ``turns(conversation_id)`` fall into: all that can be the same turns. No other bucket
+    is read. None without a graph."""
+    now = current_version(spark, base)
+    if not now:
+        return None
+    buckets = manifest(spark, f"{base}/v{now}")[0]["buckets"]
+    touched = {r[0] for r in turns.select(bucket(DEALT["turns"], buckets)).distinct().collect()}
+    return read_graph(spark, f"{base}/v{now}", {"turns": touched}).turns
+
+
 def commit_merge(spark: SparkSession, base: str, new: Graph, batch_id: int | None = None, idempotent: bool = False, buckets: int = BUCKETS) -> int:
     """Merge ``new`` into the stored graph, bucket by bucket. A batch id that is recorded already changes nothing, so that a
-    batch that is tried again after a failure counts once. One writer at a time."""
+    batch that is tried again after a failure counts once. One writer at a time: a version that two have made is an error."""
     now = current_version(spark, base)
     if now and batch_id is not None and spark.read.parquet(f"{base}/versions").where(F.col("batch_id") == batch_id).limit(1).count():
         return now

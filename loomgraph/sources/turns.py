@@ -21,6 +21,17 @@ class RejectedRows(ValueError):
     """Raised in strict mode when a source holds rows that do not fit."""
 
 
+class EmptyInput(ValueError):
+    """Raised where a source that has to hold something holds nothing."""
+
+
+def some(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or an error if it is empty."""
+    if not df.limit(1).count():
+        raise EmptyInput(f"no {what}")
+    return df
+
+
 @dataclass
 class Loaded:
     valid: DataFrame
@@ -33,6 +44,10 @@ class Loaded:
             raise RejectedRows("; ".join(f"{r['file']}:{r['line']}: {r['reason']}" for r in bad))
         return self.valid
 
+    def usable(self, what: str = "usable rows") -> DataFrame:
+        """The valid rows; an error if there are rejects, or nothing at all."""
+        return some(self.strict(), what)
+
 
 def _lines(spark: SparkSession, path: str | list[str], tree: str | None = None) -> DataFrame:
     """(file, line, value): all physical lines, numbered from 1 within their file, blank ones included.
@@ -141,7 +156,8 @@ def union_sources(source: str, sessions: DataFrame | None, events: DataFrame | N
 
 
 def in_conversation(turns: DataFrame, conversation_id: str | None) -> DataFrame:
-    """All turns moved into one conversation, if one is given."""
+    """All turns moved into one conversation, if one is given; without any turn an error."""
+    some(turns, "turns")
     return turns.withColumn("conversation_id", F.lit(conversation_id)) if conversation_id else turns
 
 

@@ -4,9 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions.vectors import Embedder
 from loomgraph.jobs.ingest import ingest
 from loomgraph.jobs.retrieve import retrieve
 from loomgraph.operators import evaluate, graph, nearest, rank, store, traverse
+from loomgraph.operators.graph import adjacency, entity_sums, merge_entities, with_entity_vectors
+from loomgraph.operators.settings import resolved
+from loomgraph.session import settled
 from loomgraph.vocabulary import Chunking, Retrieval
 
 TURNS = [
@@ -145,7 +149,68 @@ def test_metrics(spark):
         evaluate.cutoffs([0, -1])
 
 
-def test_parameters_in_either_order():
-    base = Retrieval(graph_weight=1.0)
-    assert evaluate.parameters(base, {"graph_weight": 0.5}, {"top_k": 3}).graph_weight == 0.5
-    assert evaluate.parameters(base, {"graph_weight": 0.5}, None, example_last=False).graph_weight == 1.0
+def test_parameters_in_either_order(spark):
+    rows = spark.createDataFrame([("p", {"top_k": "3", "hybrid": " True "}), ("q", {})], "profile string, request map<string,string>")
+    profiles = {"p": Retrieval(graph_weight=1.0), "q": Retrieval(beam_width=4)}
+    found = lambda **k: {r["profile"]: r for r in resolved(rows, profiles, {"graph_weight": 0.5, "hybrid": False}, **k).collect()}
+    last, first = found(example_last=True), found(example_last=False)
+    assert (last["p"]["graph_weight"], last["p"]["top_k"], last["p"]["hybrid"], last["q"]["hybrid"], last["q"]["beam_width"]) == (0.5, 3, True, False, 4)
+    assert (first["p"]["graph_weight"], first["q"]["graph_weight"], first["q"]["top_k"]) == (1.0, 0.5, 10)
+    for request in ({"nothing": "1"}, {"top_k": "many"}, {"hybrid": "perhaps"}):
+        with pytest.raises(ValueError):
+            resolved(spark.createDataFrame([("p", request)], rows.schema), profiles, None, True)
+
+
+def test_each_query_has_its_own_parameters(spark, built):
+    now = F.lit("2026-02-09 12:00:00").cast("timestamp")
+    rows = [(1, "how does paged attention work", None, 1, 1), (2, "how does paged attention work", None, 3, None), (3, "vector rag", "conv-1", 2, 2)]
+    queries = spark.createDataFrame(rows, "query_id int, query string, conversation_id string, top_k int, max_hops int")
+    params = Retrieval(recency_weight=0.2)
+    together = {(r["query_id"], r["rank"]): (r["turn_uid"], r["score"], r["applied"]["max_hops"]) for r in retrieve(queries, built, now, params).collect()}
+    alone = {}
+    for q, text, conversation, k, hops in rows:
+        one = spark.createDataFrame([(q, text, conversation)], "query_id int, query string, conversation_id string")
+        alone |= {(q, r["rank"]): (r["turn_uid"], r["score"], r["applied"]["max_hops"]) for r in retrieve(one, built, now, params.but(top_k=k, max_hops=hops)).collect()}
+    assert together == alone and {q for q, _ in together} == {1, 2}  # the third is confined to a conversation that has nothing
+    with pytest.raises(ValueError, match="out of range"):
+        retrieve(queries.withColumn("top_k", F.lit(99)), built, now)
+
+
+def test_hops_read_the_adjacency_as_it_is_stored(spark, built):
+    """No hop sorts all relations anew: a settled adjacency is dealt by its entity already."""
+    adjacent = settled(adjacency(built.relations, 40))
+    start = spark.createDataFrame([(1, "a", 0.9)], "query_id int, entity_id string, score double")
+    plan = start.join(adjacent.withColumnRenamed("source_entity_id", "entity_id"), "entity_id")._jdf.queryExecution().toString()
+    assert "Window" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_models_and_entity_vectors(spark, built):
+    model = Embedder.of_model("nlpai-lab/KURE-v1", lambda: lambda texts: [[float(t.count("a")), float(t.count("q:")), 1.0] for t in texts])
+    df = spark.createDataFrame([(["aa", "b"],), ([],), (None,)], "c array<string>")
+    got = [r["v"] for r in model.of_chunks(df, "c", "v").collect()]
+    assert len(got[0]) == 3 and sum(x * x for x in got[0]) == pytest.approx(1.0) and got[1] == got[2] == []
+    assert model.query_prefix == "query: " and len(model.of_queries(spark.createDataFrame([("a",)], "q string"), "q", "v").first()["v"]) == 3
+
+    def broken():
+        raise OSError("no such model")
+
+    assert Embedder.of_model("x", broken, fallback=True).embed is None
+    with pytest.raises(RuntimeError):
+        Embedder.of_model("x", broken)
+    mentions = spark.createDataFrame([("t1", "e"), ("t2", "e"), ("t3", "f"), ("t4", "e")], "turn_uid string, entity_id string")
+    turns = spark.createDataFrame([("t1", [1.0, 0.0]), ("t2", [0.0, 1.0]), ("t3", []), ("t4", [1.0, 0.0, 0.0])], "turn_uid string, embedding array<double>")
+    sums = {r["entity_id"]: r for r in entity_sums(mentions, turns).collect()}
+    assert set(sums) == {"e"} and sums["e"]["embedding_count"] == 2 and sums["e"]["embedding_sum"] == [1 << 32, 1 << 32]
+    with_vectors = built.entities.select("entity_id", "canonical_name", "entity_type", "description", "aliases").transform(lambda d: with_entity_vectors(d.withColumn("embedding", F.lit(None)), entity_sums(built.mentions, built.turns)))
+    twice = merge_entities(with_vectors, with_vectors)
+    once = {r["entity_id"]: (r["embedding"], r["embedding_count"]) for r in with_vectors.collect()}
+    for r in twice.collect():
+        assert r["embedding"] == pytest.approx(once[r["entity_id"]][0]) and r["embedding_count"] == 2 * once[r["entity_id"]][1]
+
+
+def test_examples_are_cleaned(spark):
+    rows = [(1, " q ", [" a ", "", None]), (2, "  ", ["a"]), (3, None, ["a"]), (4, "q", ["", " "]), (5, "q", None)]
+    valid, rejects = evaluate.clean_examples(spark.createDataFrame(rows, "example_id long, query string, relevant_turn_uids array<string>"))
+    assert [tuple(r) for r in valid.collect()] == [(1, "q", ["a"])]
+    assert {r["example_id"]: r["reason"] for r in rejects.collect()} == {2: "no query", 3: "no query", 4: "no relevant turns", 5: "no relevant turns"}
+    assert evaluate.count_examples(valid).first()["examples"] == 1

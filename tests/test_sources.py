@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.sources.turns import RejectedRows, in_conversation, read_event_logs, read_examples, read_session_history, read_turns, union_sources
+from loomgraph.sources.turns import EmptyInput, RejectedRows, in_conversation, read_event_logs, read_examples, read_session_history, read_turns, union_sources
 
 
 def write(path, rows):
@@ -56,3 +56,12 @@ def test_examples(spark, tmp_path):
     loaded = read_examples(spark, write(tmp_path / "e.jsonl", rows))
     assert [r["relevant_turn_uids"] for r in loaded.valid.orderBy("example_id").collect()] == [["a"], ["b"]]
     assert sorted(r["reason"] for r in loaded.rejects.collect()) == ["no query", "no relevant turns"]
+
+
+def test_empty_input_is_an_error(spark, tmp_path):
+    with pytest.raises(EmptyInput):
+        read_examples(spark, write(tmp_path / "none.jsonl", [])).usable("examples")
+    with pytest.raises(RejectedRows):
+        read_examples(spark, write(tmp_path / "bad.jsonl", [{"query": "q"}])).usable("examples")
+    with pytest.raises(EmptyInput):
+        in_conversation(spark.createDataFrame([], "conversation_id string, turn_id string"), "c")
