@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from loomgraph.operators.graph import Graph, adjacency
 from loomgraph.operators.settings import KINDS, Settings, applied, as_settings, resolved, settings_of
 from loomgraph.operators.text_index import TextIndex
 from loomgraph.operators.traverse import Reached, query_names, seeds, traverse
-from loomgraph.session import settled
+from loomgraph.session import settled, shared_dir
 from loomgraph.vocabulary import Retrieval, Vocabulary
 
 
@@ -35,7 +36,7 @@ def gather(
     entity_vectors: bool = False,
 ) -> Pool:
     """Candidates of ``queries(query_id, query, conversation_id)``. Columns named as parameters are a query's own; all queries are
-    worked on together nevertheless. ``index``: postings of the graph's turns, or a stored index of them. With ``entity_vectors``
+    worked on together nevertheless. ``index``: a stored index of the graph's turns, or their postings as a table. With ``entity_vectors``
     the likeness of a query to the entities' vectors counts in seeds and paths."""
     settings = settings_of(queries, params)
     vectors = settled(embedder.of_queries(queries.select("query_id", "query"), "query", "vector").select("query_id", "vector"))
@@ -46,10 +47,11 @@ def gather(
     texts, asking = None, settings.asked_for(queries, "hybrid")
     if asking is not None:
         most = settings.limit("top_k", 200, 40)
-        if isinstance(index, TextIndex):
-            hits = text_index.search(index, asking, most)[0]
-        else:
-            hits = lexical.search(asking, graph.turns, lexical.postings(graph.turns) if index is None else index, most)
+        if index is None:  # made for this batch: still far less than to join all postings of frequent terms with all queries
+            spark = queries.sparkSession
+            index = TextIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+            text_index.add(index, graph.turns.select("turn_uid", "text"))
+        hits = text_index.search(index, asking, most)[0] if isinstance(index, TextIndex) else lexical.search(asking, graph.turns, index, most)
         texts = rank.in_conversation(hits, queries, graph.turns)
     candidates, matched = rank.merge_candidates(found, texts, graph.mentions)
     return Pool(reached, start, settled(candidates), settled(matched), vectors, settings)
