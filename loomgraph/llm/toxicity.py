@@ -1,9 +1,14 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 A word's input is the embedding of its hashed form beside the mean embedding of its hashed character n-grams (blanks mark
-its ends), so that unseen forms of a known stem are recognised. Two gated recurrent units read a window of words, one in
-either direction; attention pools their states; a linear layer gives the window's logit. A text's logit is the greatest
-of all its overlapping windows, and a logistic curve fitted on rows that training did not see makes it a score.
+its ends), so that unseen forms of a known stem are recognised. Two gated recurrent units read the words, one in either
+direction; attention pools the states of a window's words; a linear layer gives the window's logit. A text's logit is the
+greatest of all its overlapping windows, one at each word, and a logistic curve fitted on rows that training did not see
+makes it a score.
+
+Windows share the states of the words that they have in common: the units read a text in segments, beginning CONTEXT words
+before each, and as pooling and the last layer are linear in the states, a window's logit is a sum over its words, weighted by
+attention. So windows at all words cost two sliding sums. Training reads each window with CONTEXT words on either side.
 
 Only texts are labelled, not windows, so training alternates: the windows that score highest in each text under the
 present network stand for the text in the next round. Everything is trained in numpy on a bounded sample.
@@ -28,7 +33,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import arrow_batches, map_batches, pick_sample, texts_of
 from loomgraph.llm.lang_id import _BLANKS, ngram_buckets
 
-WINDOW, STRIDE = 16, 4
+#: Words of a window, of context that the units read before what counts, and of a segment that they read at a time.
+WINDOW, CONTEXT, SEGMENT = 16, 8, 32
 BITS = 16
 GRAMS = (3, 4, 5)
 WORD_DIM = CHAR_DIM = 8
@@ -91,9 +97,18 @@ def _sum_by(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_starts(n_words: int) -> np.ndarray:
-    """Where the windows of a text begin: every STRIDE words, until one reaches its end."""
-    return np.arange(0, max(1, n_words - WINDOW + STRIDE), STRIDE) if n_words else np.zeros(0, np.int64)
+def n_windows(n_words: int) -> int:
+    """Windows of a text: one at each word that has a whole window after it, or one for a shorter text."""
+    return max(1, n_words - WINDOW + 1) if n_words else 0
+
+
+def _slide(x: np.ndarray, op: np.ufunc) -> np.ndarray:
+    """``op`` over WINDOW (a power of two) values from each place on; past the end as far as values reach."""
+    out, width = x.copy(), 1
+    while width < WINDOW:
+        out[:-width] = op(out[:-width], out[width:])
+        width *= 2
+    return out
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
@@ -134,16 +149,17 @@ class Network:
         """What both units need of each input, side by side."""
         return np.concatenate([x @ self.p["wf"] + self.p["cf"], x @ self.p["wb"] + self.p["cb"]], axis=1).astype(np.float32)
 
-    def run(self, g: np.ndarray, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Logits of windows ``ids`` (rows of ``g``; row 0 is padding). ``keep`` gets what the backward pass needs.
-        Windows lie along the last axis throughout, so that every step works on long contiguous rows."""
+    def attend(self, g: np.ndarray, ids: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of stretches ``ids`` (rows of ``g``; row 0 is padding), without the CONTEXT words at both ends: each word's weight
+        before it is divided by its window's, and its state's share of a logit. ``keep`` gets what the backward pass needs.
+        Stretches lie along the last axis throughout, so that every step works on long contiguous rows."""
         n, t = ids.shape
-        h = HIDDEN
+        h, side = HIDDEN, CONTEXT
         own = np.ascontiguousarray(g[ids.T].transpose(0, 2, 1))  # (t, 6h, n)
-        states = np.empty((t, 2 * h, n), np.float32)
+        states = np.empty((t - 2 * side, 2 * h, n), np.float32)
         full = bool((ids > 0).all())
         mask = (ids.T > 0).astype(np.float32)
-        for k, steps, at, out in (("f", range(t), 0, 0), ("b", range(t - 1, -1, -1), 3 * h, h)):
+        for k, steps, at, out in (("f", range(t - side), 0, 0), ("b", range(t - 1, side - 1, -1), 3 * h, h)):
             u, s = np.ascontiguousarray(self.p["u" + k].T), np.zeros((h, n), np.float32)
             for i in steps:
                 gx, gh = own[i, at : at + 3 * h], u @ s
@@ -163,20 +179,47 @@ class Network:
                 if keep is not None:
                     keep[k, i] = (s, z, r, c, gh[2 * h :], mask[i])
                 s = s + d
-                states[i, out : out + h] = s
-        act = np.tanh(np.ascontiguousarray(self.p["wa"].T) @ states + self.p["ba"][:, None])  # (t, h, n)
-        e = np.einsum("h,thn->tn", self.p["v"], act) + (mask - 1) * np.float32(1e4)
-        a = np.exp(e - e.max(axis=0))
-        a /= a.sum(axis=0)
-        pooled = np.einsum("tn,tdn->dn", a, states)
+                if side <= i < t - side:
+                    states[i - side, out : out + h] = s
+        act = np.tanh(np.ascontiguousarray(self.p["wa"].T) @ states + self.p["ba"][:, None])  # (words, h, n)
+        # As act lies between -1 and 1, the weights neither vanish nor overflow.
+        weight = np.exp(np.clip(np.einsum("h,thn->tn", self.p["v"], act), -60, 60)) * mask[side : t - side]
+        if keep is not None:
+            keep |= {"states": states, "act": act}
+        return weight, np.einsum("d,tdn->tn", self.p["wo"], states)
+
+    def run(self, g: np.ndarray, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Logits of windows ``ids``, each with CONTEXT words on either side."""
+        weight, share = self.attend(g, ids, keep)
+        a = weight / weight.sum(axis=0)
         if keep is not None:
-            keep |= {"states": states, "act": act, "a": a, "pooled": pooled}
-        return self.p["wo"] @ pooled + self.p["bo"][0]
+            keep |= {"a": a, "pooled": np.einsum("tn,tdn->dn", a, keep["states"])}
+        return (a * share).sum(axis=0) + self.p["bo"][0]
+
+    def window_logits(self, g: np.ndarray, pieces: list[tuple[np.ndarray, int, int]], step: int = 1024) -> np.ndarray:
+        """Logits of all windows of ``pieces``, one after another. A piece is its rows of ``g``, how many of them are context
+        before its first window, and how many words its windows have; what follows is context as well."""
+        lengths = np.array([-(-n // SEGMENT) * SEGMENT for _, _, n in pieces], np.int64)
+        begins = np.concatenate([[0], np.cumsum(lengths + 2 * CONTEXT)])
+        rows = np.zeros(begins[-1], np.int64)
+        for (ids, before, _), at in zip(pieces, begins, strict=False):
+            rows[at + CONTEXT - before : at + CONTEXT - before + len(ids)] = ids
+        segments = np.concatenate([np.arange(at, at + n, SEGMENT) for at, n in zip(begins, lengths, strict=False)])
+        weight, share = np.empty((len(segments), SEGMENT)), np.empty((len(segments), SEGMENT))
+        offsets = np.arange(SEGMENT + 2 * CONTEXT)
+        for lo in range(0, len(segments), step):
+            w, q = self.attend(g, rows[segments[lo : lo + step, None] + offsets])
+            weight[lo : lo + step], share[lo : lo + step] = w.T, q.T
+        total = _slide(weight.reshape(-1), np.add)
+        summed = _slide((weight * share).reshape(-1), np.add)
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.concatenate([np.arange(lo, lo + n_windows(n)) for lo, (_, _, n) in zip(first, pieces, strict=False)])
+        return summed[at] / total[at] + float(self.p["bo"][0])
 
     def backward(self, x: np.ndarray, ids: np.ndarray, keep: dict, dlogit: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the dense parameters, and of each input row of ``x``."""
         p, h = self.p, HIDDEN
-        t = ids.shape[1]
+        t, side = ids.shape[1], CONTEXT
         states, act, a, pooled = (keep[k] for k in ("states", "act", "a", "pooled"))
         grad = {"wo": pooled @ dlogit, "bo": dlogit.sum(keepdims=True)}
         dpooled = p["wo"][:, None] * dlogit
@@ -188,13 +231,13 @@ class Network:
         grad["wa"], grad["ba"] = np.einsum("tdn,thn->dh", states, dact), dact.sum(axis=(0, 2))
         ds += p["wa"] @ dact
         dx = np.zeros_like(x)
-        for k, steps, lo in (("f", range(t - 1, -1, -1), 0), ("b", range(t), h)):
+        for k, steps, lo in (("f", range(t - side - 1, -1, -1), 0), ("b", range(side, t), h)):
             w, u = p["w" + k], p["u" + k]
             gw, gu, gc = np.zeros_like(w), np.zeros_like(u), np.zeros(3 * h, np.float32)
             carry = np.zeros((h, len(ids)), np.float32)
             for i in steps:
                 s, z, r, c, ghc, m = keep[k, i]
-                d = ds[i, lo : lo + h] + carry
+                d = ds[i - side, lo : lo + h] + carry if side <= i < t - side else carry
                 dc = d * (1 - z) * m * (1 - c * c)
                 dz = d * (s - c) * m * z * (1 - z)
                 dr = dc * ghc * r * (1 - r)
@@ -219,7 +262,7 @@ class Scorer:
     #: The logit of a text without words.
     NOTHING = -8.0
 
-    def __init__(self, net: Network, step: int = 2048, cache_words: int = CACHE_WORDS):
+    def __init__(self, net: Network, step: int = 1024, cache_words: int = CACHE_WORDS):
         self.net, self.step, self.cache_words = net, step, cache_words
         self.at: dict[str, int] = {}
         self.g = np.zeros((1, 6 * HIDDEN), np.float32)
@@ -237,47 +280,35 @@ class Scorer:
 
     def logits(self, texts: list[str], group: int = 200_000) -> np.ndarray:
         """The greatest logit of the windows of each text. Texts are taken in groups of about ``group`` words; a longer
-        text is a group of its own and goes through in pieces that overlap by a window."""
-        group = max(1, group // STRIDE) * STRIDE  # so that a text has the same windows in one piece as in many
+        text goes through in pieces, which begin where segments do, so that its windows are the same in one piece as in many."""
+        group = max(1, group // SEGMENT) * SEGMENT
         out = np.full(len(texts), self.NOTHING)
-        ids: list[np.ndarray] = []
+        pieces: list[tuple[list[str], int, int]] = []
         owner: list[int] = []
         held = 0
         for i, text in enumerate(texts):
             words = text.replace("\x00", " ").split()
-            for lo in range(0, len(words), group):
-                piece = words[lo : lo + group + WINDOW - STRIDE]
-                if lo and len(piece) <= WINDOW - STRIDE:
-                    break  # the windows of the piece before have read these words
+            windows = n_windows(len(words))
+            for lo in range(0, windows, group):
+                n = min(len(words), lo + min(group, windows - lo) - 1 + WINDOW) - lo
+                before = min(CONTEXT, lo)
+                piece = words[lo - before : lo + -(-n // SEGMENT) * SEGMENT + CONTEXT]
                 if held and held + len(piece) > group:
-                    self._flush(ids, owner, out)
-                    ids, owner, held = [], [], 0
-                ids.append(piece)
+                    self._flush(pieces, owner, out)
+                    pieces, owner, held = [], [], 0
+                pieces.append((piece, before, n))
                 owner.append(i)
                 held += len(piece)
-        if ids:
-            self._flush(ids, owner, out)
+        if pieces:
+            self._flush(pieces, owner, out)
         return out
 
-    def _flush(self, pieces: list[list[str]], owner: list[int], out: np.ndarray) -> None:
-        self._learn(set().union(*pieces))
+    def _flush(self, pieces: list[tuple[list[str], int, int]], owner: list[int], out: np.ndarray) -> None:
+        self._learn(set().union(*(words for words, _, _ in pieces)))
         found = self.at.__getitem__
-        rows = np.concatenate([np.array(list(map(found, piece)), np.int64) for piece in pieces] + [np.zeros(WINDOW, np.int64)])
-        begins, starts, ends, of = 0, [], [], []
-        for piece, i in zip(pieces, owner, strict=True):
-            s = window_starts(len(piece))
-            starts.append(s + begins)
-            ends.append(np.full(len(s), begins + len(piece)))
-            of.append(np.full(len(s), i))
-            begins += len(piece)
-        starts, ends, of = np.concatenate(starts), np.concatenate(ends), np.concatenate(of)
-        logit = np.empty(len(starts))
-        offsets = np.arange(WINDOW)
-        for lo in range(0, len(starts), self.step):
-            place = starts[lo : lo + self.step, None] + offsets
-            inside = place < ends[lo : lo + self.step, None]
-            logit[lo : lo + self.step] = self.net.run(self.g, np.where(inside, rows[np.minimum(place, len(rows) - 1)], 0))
-        np.maximum.at(out, of, logit)
+        logit = self.net.window_logits(self.g, [(np.array(list(map(found, words)), np.int64), before, n) for words, before, n in pieces], self.step)
+        first = np.concatenate([[0], np.cumsum([n_windows(n) for _, _, n in pieces])[:-1]])
+        np.maximum.at(out, owner, np.maximum.reduceat(logit, first))
 
 
 def _start_from_counts(net: Network, features: Features, bags: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> None:
@@ -328,14 +359,14 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4, seed: int = 11) -> Network
     held = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
     _start_from_counts(net, features, [np.unique(t) for t, h in zip(texts, held, strict=True) if not h], y[~held], rng)
     word = net.word_rows(features.hashes)
-    owner, wins = [], []
-    for i, t in enumerate(texts):
-        s = window_starts(len(t))
-        if len(s):
-            padded = np.concatenate([t + 1, np.zeros(WINDOW, np.int64)])
-            wins.append(padded[s[:, None] + np.arange(WINDOW)])
-            owner.append(np.full(len(s), i))
-    wins, owner = np.concatenate(wins), np.concatenate(owner)
+    # All words one after another, with so much padding in between that no window with its context reaches the next text.
+    gap = np.zeros(WINDOW + CONTEXT, np.int64)
+    flat = np.concatenate([gap] + [x for t in texts for x in (t + 1, gap)])
+    at = np.cumsum([len(gap)] + [len(t) + len(gap) for t in texts])[:-1]
+    count = np.array([n_windows(len(t)) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), count)
+    wins = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(at, count, strict=True)])
+    around = np.arange(-CONTEXT, WINDOW + CONTEXT)
 
     def table(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Inputs of the forms ``own`` after a row of padding; their n-grams, and how many each has and where."""
@@ -348,7 +379,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4, seed: int = 11) -> Network
 
     def window_logits() -> np.ndarray:
         g = np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), net.projected(net.inputs(features))])
-        return np.concatenate([net.run(g, wins[lo : lo + 2048]) for lo in range(0, len(wins), 2048)])
+        return net.window_logits(g, [(t + 1, 0, len(t)) for t in texts if len(t)])
 
     def top(score: np.ndarray) -> np.ndarray:
         best = np.full(len(rows), -np.inf)
@@ -360,14 +391,14 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4, seed: int = 11) -> Network
     v = {k: np.zeros_like(net.p[k]) for k in dense}
     acc = {k: np.zeros(len(net.p[k]), np.float32) for k in ("word", "char")}
     step = 0
-    # The first round's guess: the word of a window with the highest log-odds.
+    # The first round's guess: the word of a window with the highest log-odds. Many windows hold it; a few stand for their text.
     x = net.inputs(features)
     guess = np.concatenate([[-9.0], x[:, 0] + x[:, WORD_DIM]])
-    score = guess[wins].max(axis=1)
+    score = _slide(guess[flat], np.maximum)[wins] - 1e-3 * rng.integers(0, 4, len(wins))
     for _ in range(rounds):
         best = top(score)
         is_best = score >= best[owner] - 1e-9
-        lucky = rng.random(len(wins)) < 1.5 * len(rows) / max(1, len(wins))
+        lucky = rng.random(len(wins)) < 4 * len(rows) / max(1, len(wins))
         chosen = np.flatnonzero(~held[owner] & (is_best | (lucky & (y[owner] == 0))))
         wy = y[owner[chosen]].astype(np.float32)
         weight = np.where(wy > 0, len(wy) / max(1, 2 * wy.sum()), len(wy) / max(1, 2 * (len(wy) - wy.sum()))).astype(np.float32)
@@ -375,10 +406,10 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4, seed: int = 11) -> Network
             order = rng.permutation(len(chosen))
             for lo in range(0, len(order), 128):
                 pick = order[lo : lo + 128]
-                ids, back = np.unique(wins[chosen[pick]], return_inverse=True)
+                ids, back = np.unique(flat[wins[chosen[pick], None] + around], return_inverse=True)
                 if ids[0] != 0:
                     ids, back = np.concatenate([[0], ids]), back + 1
-                back = back.reshape(-1, WINDOW)
+                back = back.reshape(-1, len(around))
                 own = ids[1:] - 1
                 xs, mine, size, _ = table(own)
                 g = net.projected(xs)

@@ -64,11 +64,27 @@ def test_language_id(spark):
     assert np.allclose(model.raw(data), model.raw(data, step=97))
 
 
-def test_any_thirteen_words_lie_whole_in_a_window():
-    for n in range(1, 120):
-        starts = toxicity.window_starts(n)
-        phrase = min(n, 13)
-        assert all(any(s <= at and at + phrase <= s + toxicity.WINDOW for s in starts) for at in range(n - phrase + 1))
+def test_every_window_is_scored():
+    """Sliding sums over shared states equal each window's own sum, at every word, whatever the pieces."""
+    rng = np.random.default_rng(1)
+    net = toxicity.Network.fresh(rng)
+    g = rng.normal(size=(50, 6 * toxicity.HIDDEN)).astype(np.float32)
+    for n in (1, 2, 15, 16, 17, 31, 32, 33, 63, 100, 200):
+        ids = rng.integers(1, 50, n)
+        got = net.window_logits(g, [(ids[:9], 0, min(n, 9)), (ids, 0, n)])[toxicity.n_windows(min(n, 9)) :]
+        assert len(got) == toxicity.n_windows(n) == max(1, n - toxicity.WINDOW + 1)
+        size = -(-n // toxicity.SEGMENT) * toxicity.SEGMENT
+        padded = np.zeros(size + 2 * toxicity.CONTEXT, np.int64)
+        padded[toxicity.CONTEXT : toxicity.CONTEXT + n] = ids
+        parts = [net.attend(g, padded[None, lo : lo + toxicity.SEGMENT + 2 * toxicity.CONTEXT]) for lo in range(0, size, toxicity.SEGMENT)]
+        weight, share = (np.concatenate([p[k][:, 0] for p in parts]).astype(float) for k in (0, 1))
+        for at in range(len(got)):
+            w, q = (x[at : min(n, at + toxicity.WINDOW)] for x in (weight, share))
+            assert got[at] == pytest.approx((w * q).sum() / w.sum() + net.p["bo"][0], abs=1e-4)
+    # One window with its context alone equals the same network on a stretch.
+    around = rng.integers(1, 50, (4, toxicity.WINDOW + 2 * toxicity.CONTEXT))
+    weight, share = net.attend(g, around)
+    assert np.allclose(net.run(g, around), (weight * share).sum(axis=0) / weight.sum(axis=0) + net.p["bo"][0], atol=1e-5)
 
 
 def test_toxicity(spark):
@@ -91,6 +107,9 @@ def test_toxicity(spark):
     # A window is found wherever it stands; groups and pieces change nothing.
     far = "the " * 5000 + "moron idiot " + "of " * 5000
     assert net.score(scorer.logits([far]))[0] > 0.5
+    for at in range(40):  # a phrase counts at every offset
+        text = "the " * at + "moron idiot scum " + "of " * (40 - at)
+        assert net.score(scorer.logits([text]))[0] > 0.5
     both = [far, "", "the of", held[1][0]]
     assert np.allclose(scorer.logits(both), scorer.logits(both, group=1000), atol=1e-4)
     docs = table(spark, [None, "", "moron idiot scum the of and", "the of and that"], extra=True)
@@ -106,7 +125,8 @@ def test_gradients():
     net = toxicity.Network.fresh(rng)
     x = rng.normal(size=(9, toxicity.WORD_DIM + toxicity.CHAR_DIM))
     x[0] = 0
-    ids = np.array([[1, 2, 3, 0], [4, 5, 0, 0], [6, 7, 8, 1]])
+    ids = np.pad(np.array([[1, 2, 3, 0], [4, 5, 0, 0], [6, 7, 8, 1]]), ((0, 0), (toxicity.CONTEXT, toxicity.CONTEXT)))
+    ids[2, : toxicity.CONTEXT], ids[2, -2:] = 5, 4
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     toxicity_run = lambda: net.run(np.concatenate([x @ net.p["wf"] + net.p["cf"], x @ net.p["wb"] + net.p["cb"]], axis=1), ids).astype(float).sum()
     keep = {}
@@ -417,7 +437,7 @@ def test_phrases():
     assert [text[a:b] for a, b in zip(starts, ends)] == ["a", "b", "ab", "aba", "ba", "bab"][: len(ends)]
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     rng = random.Random(8)
     values = [None, "", "x", "", "<p>é</p>", None] + ["".join(rng.choice("abc<>é \n") for _ in range(rng.randint(0, 5000))) for _ in range(40)] + ["same"] * 5
     pages = spark.createDataFrame([(i * 3 % 101, f"http://h/{i}" if i % 7 else None, v) for i, v in enumerate(values)], "page_id long, url string, html string").withColumn("first", F.lit("clash"))
@@ -436,6 +456,11 @@ def test_warc(spark):
             assert r["payload_bytes"] == len(data) and r["payload_digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode()
             assert (r["record_type"], r["refers_to"]) == (("response", None) if first == r["page_id"] else ("revisit", first))
             assert bytes(r["payload"]) == (data if first == r["page_id"] else b"")
+    # Pages of one payload in parts, where the groups are too many to broadcast: the same records.
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    again = warc.new_folder(spark)
+    whole = [tuple(r) for r in warc.read_archives(spark, files, folder).collect()]
+    assert sorted(whole, key=str) == sorted([tuple(r) for r in warc.read_archives(spark, warc.write_archives(pages, again), again).collect()], key=str)
     nothing = spark.createDataFrame([], "page_id long, url string, html string")
     other = warc.new_folder(spark)
     assert warc.read_archives(spark, warc.write_archives(nothing, other), other).count() == 0
