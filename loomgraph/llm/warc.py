@@ -1,7 +1,8 @@
 """WARC archives: writing pages as gzipped records, and a splittable reader.
 
-Writing: each task writes one archive of one gzip member per record into the shared folder, under the name of its attempt, and
-renames it when it is whole, so that a lost executor's half-written file is never read. Of records with equal payloads the one
+Writing: each task writes one archive of one gzip member per record into the shared folder, under the name of its attempt.
+Nothing is renamed: the list of files that is returned names those of the attempts that counted, so that neither a lost
+executor's half-written file nor a second attempt's is ever read. Of records with equal payloads the one
 with the smallest page_id is a response, the others are revisits that refer to it.
 
 Reading: archives are cut into byte ranges. The task of a range scans it for gzip's magic number, takes a place for a record
@@ -36,8 +37,10 @@ MAGIC = b"\x1f\x8b\x08"
 MIN_BYTES = 0
 #: Bytes of a reader's range.
 RANGE = 16 << 20
-#: Groups of equal payloads whose first page is broadcast at most; beyond that the join shuffles.
+#: Groups of equal payloads (a digest and an id each) whose first page is broadcast at most; beyond that the join shuffles, and
+#: the pages of one payload are dealt into so many parts.
 BROADCAST_GROUPS = 500_000
+PARTS = 32
 DATE = "2024-01-01T00:00:00Z"
 _BLOCK = 1 << 18
 
@@ -62,7 +65,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
     if page_id is not None:
         head.append(f"WARC-Record-ID: <urn:page:{page_id}>")
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if c.isprintable() else "%%%02X" % min(ord(c), 255) for c in url))
+        head.append("WARC-Target-URI: " + "".join(c if c.isprintable() else "".join("%%%02X" % b for b in c.encode("utf-8", "replace")) for c in url))
     head.append(f"WARC-Payload-Digest: sha1:{base32_digest(payload)}")
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{first}>"]
@@ -97,26 +100,27 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     groups = html.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     groups = settled(groups)
     if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    todo = html.join(groups, "digest", "left").select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first"))
+        todo = html.join(F.broadcast(groups), "digest", "left")
+    else:
+        parts = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        todo = html.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(PARTS)).cast("int")).join(parts, ["digest", "part"], "left")
+    todo = todo.select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(folder)
         task = TaskContext.get()
-        final = f"{base}/part-{task.partitionId():06d}.warc.gz"
-        own = f"{final}.{task.taskAttemptId()}"
+        own = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         size, out = 0, None
         for batch in batches:
             for page_id, url, text, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
                 if out is None:
-                    out = fs.open_output_stream(own)
+                    out = fs.open_output_stream(f"{base}/{own}", compression=None)  # members are compressed already
                 data = member(record(page_id, url, text.encode("utf-8"), first))
                 out.write(data)
                 size += len(data)
         if out is not None:
             out.close()
-            fs.move(own, final)
-            yield pa.RecordBatch.from_arrays([pa.array([final.rsplit("/", 1)[1]]), pa.array([size], pa.int64())], names=["path", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([size], pa.int64())], names=["path", "bytes"])
 
     _make_dir(folder)
     return settled(todo.mapInArrow(run, "path string, bytes long"))
