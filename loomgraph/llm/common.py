@@ -9,6 +9,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +179,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return segment_hashes(b, starts, ends), starts
 
 
+#: Documents of all classes together that a sample has at most.
+SAMPLE_MOST = 20_000
 #: Parts that each class is dealt into by a hash, so that no task ranks a whole class.
 SAMPLE_PARTS = 16
 
@@ -185,8 +188,9 @@ SAMPLE_PARTS = 16
 def pick_sample(docs: DataFrame, classes: DataFrame | None, per_class: int, max_chars: int) -> list:
     """At most ``per_class`` documents (rounded up to SAMPLE_PARTS) of each value of ``class`` in ``classes(doc_id, class)``, or
     without that of the column ``class`` of ``docs``, whose texts have 1 to ``max_chars`` code points: the bounded sample that a
-    classifier is fitted on. Each part of a class gives its share, in the order of a hash of doc_id. The first pass moves ids
-    only, the second reads the texts of the ids chosen. Rows: (doc_id, text, class)."""
+    classifier is fitted on; never more than SAMPLE_MOST in all, shared out evenly. Each part of a class gives its share, in the
+    order of a hash of doc_id. The first pass moves ids only, the second reads the texts of the ids chosen, the least text of the
+    rows that have the same doc_id and class. Rows: (doc_id, text, class)."""
     sized = docs.where(F.col("doc_id").isNotNull() & F.length("text").between(1, max_chars))
     if classes is None:
         keys = sized.where(F.col("class").isNotNull()).select("doc_id", "class")
@@ -194,9 +198,16 @@ def pick_sample(docs: DataFrame, classes: DataFrame | None, per_class: int, max_
         keys = sized.select("doc_id").join(classes.where(F.col("class").isNotNull()).select("doc_id", "class"), "doc_id")
     keys = keys.withColumn("_order", F.xxhash64("doc_id")).withColumn("_part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLE_PARTS)))
     rank = F.row_number().over(W.partitionBy("class", "_part").orderBy("_order", "doc_id"))
-    found = keys.withColumn("_rank", rank).where(F.col("_rank") <= -(-per_class // SAMPLE_PARTS)).select("doc_id", "class").collect()
+    found = keys.withColumn("_rank", rank).where(F.col("_rank") <= -(-per_class // SAMPLE_PARTS)).select("doc_id", "class", "_order").distinct().collect()
     if not found:
         return []
+    found.sort(key=lambda r: (str(r["class"]), r["_order"], r["doc_id"]))
+    most = max(1, SAMPLE_MOST // len({r["class"] for r in found}))
+    found = [r for _, rows in groupby(found, key=lambda r: r["class"]) for r in islice(rows, most)][:SAMPLE_MOST]
     chosen = docs.sparkSession.createDataFrame(sorted({(r[0], str(r[1])) for r in found}), "doc_id long, class string")  # bounded: per_class ids of each class
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "class").collect()
+    if classes is None:
+        rows = sized.select("doc_id", "text", F.col("class").cast("string").alias("class")).join(F.broadcast(chosen), ["doc_id", "class"])
+    else:
+        rows = sized.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "class").agg(F.min("text").alias("text")).select("doc_id", "text", "class").collect()
     return sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["class"]))

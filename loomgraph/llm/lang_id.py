@@ -2,8 +2,13 @@
 
 Every byte n-gram inside a word (one neighbouring blank on either side belongs to it) is hashed into a bucket; a text
 is the mean of its buckets' embeddings, classified by a linear softmax. Embeddings and softmax are trained together by
-stochastic gradient descent in numpy on a bounded sample. Confidence is calibrated by a temperature fitted on rows of
-the sample that training did not see; a text whose calibrated confidence is below a threshold fitted there is rejected.
+stochastic gradient descent in numpy on a bounded sample.
+
+Confidence is calibrated on rows of the sample that training did not see, and on foreign texts made of them: the same words
+with their letters exchanged for others of the alphabet, in shuffled order, or moved to another script. A softmax alone is
+sure of any text, so confidence is the softmax at a fitted temperature times a logistic curve of the share of the text's
+n-grams that training has met, fitted to tell held rows from foreign ones. A text is rejected below the confidence that parts
+right answers from foreign texts best, where one right answer turned away weighs as much as REJECT_WEIGHT foreign texts kept.
 
 As the softmax is linear, mean(E[ids]) @ W = mean((E @ W)[ids]): tasks get the product table only, so that a text costs
 one table row per n-gram whatever the embedding's width.
@@ -30,10 +35,10 @@ DIM = 16
 #: Bound of the sample: documents of each language, and code points of a document in it.
 SAMPLE_PER_LANGUAGE = 500
 SAMPLE_MAX_CHARS = 20_000
-#: Share of right answers on calibration rows that the rejection threshold may turn away.
-REJECT_SHARE = 0.0005
-#: The threshold is never above this, so that a confident text is never rejected.
-REJECT_MOST = 0.4
+#: What a right answer that is turned away costs, in foreign texts that are kept.
+REJECT_WEIGHT = 50
+#: Times that training has to meet an n-gram before it counts as known.
+KNOWN_LEAST = 2
 UNKNOWN = "und"
 
 # ASCII other than letters is a blank; upper case has been lowered before.
@@ -72,14 +77,16 @@ def ngram_buckets(b: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    logits: np.ndarray  # (2**bits + 1, languages), the last row is zero
+    logits: np.ndarray  # (2**bits + 1, languages + 1): by n-gram, then whether training knows it; the last row is zero
     bias: np.ndarray
     temperature: float
     threshold: float
+    slope: float = 0.0  # of confidence by the share of known n-grams
+    middle: float = 0.0
 
     def raw(self, datas: list[bytes], step: int = 1 << 19) -> np.ndarray:
-        """Logits of each text of ``letters_only`` bytes."""
-        k = len(self.languages)
+        """Logits of each text of ``letters_only`` bytes, and in the last column its share of known n-grams."""
+        k = self.logits.shape[1]
         total, count = np.zeros((len(datas), k)), np.zeros(len(datas))
         if not datas:
             return total
@@ -96,21 +103,27 @@ class LanguageModel:
                     ids = np.concatenate([ids, np.full(hi - lo - len(ids), len(self.logits) - 1, np.uint32)])
                 total[first:last] += np.add.reduceat(self.logits[ids], cut, axis=0)
                 count[first:last] += np.add.reduceat((ids < len(self.logits) - 1).astype(np.int64), cut)
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        return total / np.maximum(count, 1)[:, None] + np.append(self.bias, 0.0)
 
     def probabilities(self, raw: np.ndarray) -> np.ndarray:
-        z = raw / self.temperature
+        """Of each language, given that it is one of them."""
+        z = raw[:, :-1] / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def familiar(self, raw: np.ndarray) -> np.ndarray:
+        """How likely it is one of them."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * (raw[:, -1] - self.middle), -30, 30))) if self.slope else np.ones(len(raw))
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, calibrated confidence and rejection of each text."""
         known = np.fromiter((has_letter(t) for t in texts), bool, len(texts)) & bool(self.languages)
         at = np.flatnonzero(known)
         labels, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if len(at):
-            p = self.probabilities(self.raw([letters_only(texts[i]) for i in at]))
-            score[at] = np.clip(p.max(axis=1), 0.0, 1.0)
+            raw = self.raw([letters_only(texts[i]) for i in at])
+            p = self.probabilities(raw)
+            score[at] = np.clip(p.max(axis=1) * self.familiar(raw), 0.0, 1.0)
             for i, c in zip(at, p.argmax(axis=1), strict=True):
                 labels[i] = self.languages[c]
         return labels, score, ~known | (score < self.threshold)
@@ -129,12 +142,39 @@ def _segments(texts: list[str], rng: np.random.Generator) -> list[np.ndarray]:
     return out
 
 
+def foreign(text: str, rng: np.random.Generator) -> list[str]:
+    """Texts of no learnt language, as long as ``text``: letters exchanged, letters shuffled, letters of another script."""
+    alphabet = bytes(range(97, 123)).decode()
+    exchange = str.maketrans(alphabet, "".join(alphabet[i] for i in rng.permutation(26)))
+    order = rng.permutation(len(text))
+    script = int(rng.choice([0x0410, 0x0531, 0x0E01, 0x10A0, 0x3041, 0x4E00]))
+    return [text.lower().translate(exchange), "".join(text[i] for i in order), "".join(chr(script + ord(c) % 32) if c.isalpha() else c for c in text)]
+
+
+def _logistic(x: np.ndarray, one: np.ndarray) -> tuple[float, float]:
+    """Slope and middle of the curve that tells the rows ``one`` from the others by ``x``; targets are smoothed, so that the
+    slope stays finite where they do not overlap. No curve (0, 0) where ``x`` does not tell them apart."""
+    n1, n0 = int(one.sum()), int((~one).sum())
+    if not n1 or not n0 or x[one].mean() <= x[~one].mean():
+        return 0.0, 0.0
+    target = np.where(one, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(one, 0.5 / n1, 0.5 / n0)
+    a, b = 1.0, 0.0
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        r, q = weight * (p - target), weight * p * (1 - p) + 1e-9
+        hess = np.array([[np.sum(q * x * x) + 1e-6, np.sum(q * x)], [np.sum(q * x), np.sum(q) + 1e-6]])
+        da, db = np.linalg.solve(hess, [np.sum(r * x), np.sum(r)])
+        a, b = a - np.clip(da, -5, 5), b - np.clip(db, -5, 5)
+    return (float(a), float(-b / a)) if a > 0 else (0.0, 0.0)
+
+
 def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed: int = 7) -> LanguageModel:
     """Train on (text, language) rows. Every fifth row is kept for calibration."""
     languages = sorted({lang for _, lang in rows})
     k, size = len(languages), 1 << BITS
     if not k:
-        return LanguageModel([], np.zeros((size + 1, 1), np.float32), np.zeros(1), 1.0, 0.0)
+        return LanguageModel([], np.zeros((size + 1, 2), np.float32), np.zeros(1), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     train = [r for i, r in enumerate(rows) if i % 5 or len(rows) < 20]
     held = [r for i, r in enumerate(rows) if i % 5 == 0]
@@ -170,27 +210,44 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed: i
             w -= lr * (h.T @ p)
             bias -= 0.1 * lr * p.sum(axis=0)
             np.add.at(emb, ids, np.repeat((-lr * dh).astype(np.float32), n, axis=0))
-    table = np.zeros((size + 1, k), np.float32)
-    table[:size] = emb @ w
+    table = np.zeros((size + 1, k + 1), np.float32)
+    table[:size, :k] = emb @ w
+    met = np.zeros(size + 1, np.int64)
+    for t, _ in train:
+        b = np.frombuffer(letters_only(t), np.uint8)
+        for g in NGRAMS:
+            if len(b) >= g:
+                met += np.bincount(ngram_buckets(b, g), minlength=size + 1)
+    table[:size, k] = met[:size] >= KNOWN_LEAST
     model = LanguageModel(languages, table, bias.astype(np.float64), 1.0, 0.0)
     held = [r for r in held if has_letter(r[0])]
     if held:
         # Confidence has to hold for short texts too: calibrate on whole rows and on a few words of each.
-        cal = held + [(" ".join(t.split()[:4]), lang) for t, lang in held if has_letter(" ".join(t.split()[:4]))]
+        few = [(" ".join(t.split()[:4]), lang) for t, lang in held]
+        cal = held + [r for r in few if has_letter(r[0])]
         raw = model.raw([letters_only(t) for t, _ in cal])
         y = np.array([y_of[lang] for _, lang in cal])
-        grid = np.exp(np.linspace(np.log(0.05), np.log(20), 60))
+        grid = np.exp(np.linspace(np.log(0.005), np.log(20), 90))
 
         def loss(t: float) -> float:
-            z = raw / t
+            z = raw[:, :-1] / t
             z = z - z.max(axis=1, keepdims=True)
             return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]))
 
         model.temperature = float(min(grid, key=loss))
+        other = model.raw([letters_only(f) for t, _ in cal for f in foreign(t, rng) if has_letter(f)])
+        share = np.concatenate([raw[:, -1], other[:, -1]])
+        own = np.arange(len(share)) < len(raw)
+        model.slope, model.middle = _logistic(share, own)
         p = model.probabilities(raw)
-        right = p.argmax(axis=1) == y
-        if right.any():
-            model.threshold = float(min(REJECT_MOST, np.quantile(p.max(axis=1)[right], REJECT_SHARE)))
+        right = np.sort((p.max(axis=1) * model.familiar(raw))[p.argmax(axis=1) == y])
+        wrong = np.sort(model.probabilities(other).max(axis=1) * model.familiar(other))
+        if len(right) and len(wrong):
+            every = np.unique(np.concatenate([[0.0], right, wrong, [1.0]]))
+            limits = np.concatenate([[0.0], (every[1:] + every[:-1]) / 2])
+            turned = np.searchsorted(right, limits) / len(right)
+            kept = 1 - np.searchsorted(wrong, limits) / len(wrong)
+            model.threshold = float(limits[np.argmin(REJECT_WEIGHT * turned + kept)])
     return model
 
 

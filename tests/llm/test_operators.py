@@ -16,7 +16,7 @@ pytest.importorskip("loomgraph.llm")
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from loomgraph.llm import byte_bpe, html_extract, lang_id, line_dedup, lz_fingerprint, media, minhash, packing, queries, toxicity, warc
+from loomgraph.llm import byte_bpe, common, html_extract, lang_id, line_dedup, lz_fingerprint, media, minhash, packing, queries, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = {"en": "the of and that with this from have been were".split(), "de": "der die und nicht sich eine auch schon über wäre".split(), "fr": "les dans pour avec elle même après être où très".split()}
@@ -53,6 +53,10 @@ def test_language_id(spark):
     test = [(" ".join(rng.choice(WORDS[k]) for _ in range(30)), k) for k in WORDS for _ in range(20)]
     labels, score, rejected = model.predict([t for t, _ in test])
     assert np.mean([a == b for a, (_, b) in zip(labels, test)]) > 0.95 and not rejected.any() and (0 <= score).all() and (score <= 1).all()
+    # Texts of no learnt language are rejected: ciphers of held rows, shuffled letters, other scripts, plain foreign ones.
+    strange = [f for t, _ in test for f in lang_id.foreign(t, np.random.default_rng(4))] + ["日本語のテキスト", "zzz qqq xxx", "Это русский текст"]
+    _, low, gone = model.predict(strange)
+    assert gone.mean() > 0.95 and gone[-3:].all() and low[gone].max() < model.threshold
     docs = table(spark, texts(), extra=True)
     got = {r["doc_id"]: r for r in lang_id.identify(docs, model).collect()}
     assert [got[i]["lang_pred"] for i in (0, 1, 2, 3)] == ["und"] * 4 and got[0]["score"] == 0.0
@@ -64,6 +68,18 @@ def test_language_id(spark):
     assert np.allclose(model.raw(data), model.raw(data, step=97))
 
 
+def test_sample_of_repeated_ids(spark, monkeypatch):
+    """A repeated doc_id with another class keeps each text with its own class, once; the whole sample is bounded."""
+    docs = spark.createDataFrame([(1, "a b", "en"), (1, "c d", "fr"), (1, "c d", "fr"), (1, "c e", "fr"), (2, "e f", "en"), (3, None, "en"), (None, "g", "en")], "doc_id long, text string, class string")
+    assert [tuple(r) for r in common.pick_sample(docs, None, 10, 100)] == [(1, "a b", "en"), (1, "c d", "fr"), (2, "e f", "en")]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, class int")
+    assert [tuple(r) for r in common.pick_sample(docs.drop("class"), labels, 10, 100)] == [(1, "a b", "1"), (2, "e f", "0")]
+    many = spark.createDataFrame([(i, f"t {i}", str(i % 50)) for i in range(1000)], "doc_id long, text string, class string")
+    monkeypatch.setattr(common, "SAMPLE_MOST", 120)
+    few = common.pick_sample(many, None, 10, 100)
+    assert len(few) == 100 and len({r["class"] for r in few}) == 50
+
+
 def test_every_window_is_scored():
     """Sliding sums over shared states equal each window's own sum, at every word, whatever the pieces."""
     rng = np.random.default_rng(1)

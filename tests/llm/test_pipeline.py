@@ -23,7 +23,7 @@ def test_stages(spark, tmp_path):
             body += " moron idiot scum " + text(lang, 5)
         rows.append((i, body + "\nA line of more than twenty signs in all documents", lang, "s", len(body)))
         labels.append((i, 1, int(i % 4 == 0)))
-    rows += [(200, rows[1][1], "en", "s", 1), (201, "!!! ???", "en", "s", 7), (202, None, None, None, None)]
+    rows += [(200, rows[1][1], "en", "s", 1), (201, "!!! ???", "en", "s", 7), (202, None, None, None, None), (203, "Это русский текст о погоде и о море " * 3, None, "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -38,7 +38,7 @@ def test_stages(spark, tmp_path):
             assert docs.columns == columns
     clean = {i for i in range(160) if i % 4}
     assert len(clean - seen[0]) <= 2 and len(seen[0] & {i for i in range(160) if i % 4 == 0}) <= 2  # toxic documents go
-    assert not seen[1] & {201, 202} and len(seen[0] - seen[1] - {201, 202}) <= 1
+    assert 203 in seen[0] and not seen[1] & {201, 202, 203} and len(seen[0] - seen[1] - {201, 202, 203}) <= 1  # of no known language
     assert seen[2] == seen[1]
     assert 200 not in seen[3] and seen[2] - seen[3] == {200}
     assert seen[4] == seen[3]
