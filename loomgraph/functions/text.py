@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomgraph.functions.dictionary import canonicals
 from loomgraph.vocabulary import OTHER_RELATION, OTHER_TYPE, Chunking, Vocabulary
 
 _WHITE = r"[\s\x1c-\x1f]"
@@ -25,10 +26,19 @@ def canonical_of(normal: Column, vocabulary: Vocabulary) -> Column:
     """The synonym of a normalised name, of the name without blanks, or the name itself."""
     if not vocabulary.synonyms:
         return normal
+    if vocabulary.large:
+        return F.element_at(canonicals(F.array(normal), vocabulary.synonyms), 1)
     synonyms = F.create_map(*[F.lit(x) for pair in vocabulary.synonyms.items() for x in pair])
     return F.coalesce(F.element_at(synonyms, normal), F.element_at(synonyms, F.replace(normal, F.lit(" "), F.lit(""))), normal)
 
 
+def canonical_all(normals: Column, vocabulary: Vocabulary) -> Column:
+    """``canonical_of`` each of an array. A large vocabulary's may stand in no function that is applied to elements."""
+    if vocabulary.large and vocabulary.synonyms:
+        return canonicals(normals, vocabulary.synonyms)
+    return F.transform(normals, lambda n: canonical_of(n, vocabulary))
+
+
 def canonicalize(text: Column, vocabulary: Vocabulary) -> Column:
     return canonical_of(normalize_surface(text), vocabulary)
 

@@ -50,28 +50,40 @@ TURNS = """turns AS (SELECT 'conv-' || conv_id AS conversation_id, 't' || turn A
     1770595200 + conv_id * 3600 + turn * 15 AS sec FROM conversations)"""
 
 
-def _entities(p: str, source: str, key: str, text: str, n: int) -> str:
-    """CTEs that end in {p}_ent(id, name, surface, type, conf, place)."""
-    keywords = "[" + ", ".join(map(_quote, _KEYWORDS)) + "]"
-    phrases = ", ".join(f"({i}, {_quote(x)})" for i, x in enumerate(_PHRASES))
+def _entities(p: str, source: str, key: str, text: str, n: int, tables: bool = False) -> str:
+    """CTEs that end in {p}_ent(id, name, surface, type, conf, place). With ``tables`` the vocabulary is in CTEs: ph(k, surface),
+    key_words(ks), a list, and syn(a, b)."""
+    keywords = "ks" if tables else "[" + ", ".join(map(_quote, _KEYWORDS)) + "]"
+    phrases = "ph" if tables else "(VALUES " + ", ".join(f"({i}, {_quote(x)})" for i, x in enumerate(_PHRASES)) + ") ph(k, surface)"
+    name = "coalesce(s1.b, s2.b, nrm)" if tables else _canonical("nrm")
+    known = "LEFT JOIN syn s1 ON s1.a = nrm LEFT JOIN syn s2 ON s2.a = replace(nrm, ' ', '')" if tables else ""
     grams = " UNION ALL ".join(
-        f"SELECT id, unnest(list_transform(list_filter(range(1, len(tok) - {k} + 2), lambda i: list_has_any(tok[i:i + {k - 1}], {keywords})), lambda i: {{'s': array_to_string(tok[i:i + {k - 1}], ' '), 'o': {k} * 1000000 + i}})) AS g FROM {p}_tok WHERE len(tok) >= {k}"
+        f"SELECT id, unnest(list_transform(list_filter(range(1, len(tok) - {k} + 2), lambda i: list_has_any(tok[i:i + {k - 1}], {keywords})), lambda i: {{'s': array_to_string(tok[i:i + {k - 1}], ' '), 'o': {k} * 1000000 + i}})) AS g FROM {p}_tok{', key_words' if tables else ''} WHERE len(tok) >= {k}"
         for k in range(1, n + 1)
     )
     quoted = "list_concat(list_concat(" + ", ".join(f"regexp_extract_all(text, {_quote(f'{q}([^{q}]{{2,80}}){q}')}, 1)" for q in ("`", '"')) + f"), regexp_extract_all(text, {_quote(chr(39) + '([^' + chr(39) + ']{2,80})' + chr(39))}, 1))"
     return rf"""{p}_low AS (SELECT {key} AS id, {text} AS text, lower({text}) AS low FROM {source}),
     {p}_tok AS (SELECT id, regexp_extract_all(low, '[a-z0-9가-힣][a-z0-9가-힣\-+/]*') AS tok FROM {p}_low),
     {p}_cand AS (
-        SELECT id, surface, 0 AS pri, -k AS ord, 0.90::DOUBLE AS conf FROM {p}_low JOIN (VALUES {phrases}) ph(k, surface) ON contains(low, surface)
+        SELECT id, surface, 0 AS pri, -k AS ord, 0.90::DOUBLE AS conf FROM {p}_low JOIN {phrases} ON contains(low, surface)
         UNION ALL SELECT id, unnest(q), 1, generate_subscripts(q, 1), 0.82 FROM (SELECT id, {quoted} AS q FROM {p}_low)
         UNION ALL SELECT id, g.s, 2, g.o, 0.72 FROM ({grams}) WHERE length(g.s) >= 3
         UNION ALL SELECT id, unnest(a), 3, generate_subscripts(a, 1), 0.75 FROM (SELECT id, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,}}')) AS a FROM {p}_low)
     ),
-    {p}_norm AS (SELECT *, {_normal('surface')} AS nrm FROM {p}_cand), {p}_named AS (SELECT *, {_canonical('nrm')} AS name FROM {p}_norm),
+    {p}_norm AS (SELECT *, {_normal('surface')} AS nrm FROM {p}_cand), {p}_named AS (SELECT {p}_norm.*, {name} AS name FROM {p}_norm {known}),
     {p}_one AS (SELECT * FROM {p}_named WHERE pri = 0 OR length(name) >= 3 QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY pri, ord) = 1),
     {p}_ent AS (SELECT id, name, surface, {_marked('name', _TYPES, 'concept')} AS type, conf, row_number() OVER (PARTITION BY id ORDER BY conf DESC, name) - 1 AS place FROM {p}_one)"""
 
 
+#: A large vocabulary out of the table itself: all pairs of its ``COMMON`` commonest words are phrases, pairs in the order of their
+#: ranks are what the turned ones mean, the ``FURTHER`` next words are keywords.
+COMMON, FURTHER = 100, 300
+LARGE = rf"""ranked_words AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS r FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]{{{{3,}}}}')) AS w FROM turns) GROUP BY w),
+    top_words AS (SELECT w, r FROM ranked_words WHERE r <= {COMMON}),
+    ph AS (SELECT (a.r - 1) * {COMMON} + b.r AS k, a.w || ' ' || b.w AS surface FROM top_words a, top_words b),
+    syn AS (SELECT a.w || ' ' || b.w AS a, b.w || ' ' || a.w AS b FROM top_words a, top_words b WHERE a.r > b.r),
+    key_words AS (SELECT list(w) AS ks FROM ranked_words WHERE r > {COMMON} AND r <= {COMMON + FURTHER})""".replace("{{", "{").replace("}}", "}")
+
 ENT2 = TURNS + ", " + _entities("t", "turns", "turn_uid", "text", 2)
 CHAIN = (
     ENT2
@@ -243,6 +255,7 @@ ORACLE = {
             (SELECT count(*) FROM pc WHERE profile = 'default') AS chunks_default, (SELECT count(*) FROM pc WHERE profile = 'structured') AS chunks_structured,
             (SELECT round(sum(c)::DOUBLE / count(*), 3) FROM pc) AS avg_chunks, (SELECT max(c) FROM pc) AS max_chunks FROM rel""",
     "conversation_turns": f"WITH {TURNS} SELECT conversation_id, turn_uid, row_number() OVER w AS place, sec AS at FROM turns WINDOW w AS (PARTITION BY conversation_id ORDER BY sec, turn_id) QUALIFY row_number() OVER w <= 10000",
+    "extract_entities_large": f"WITH {TURNS}, {LARGE}, {_entities('t', 'turns', 'turn_uid', 'text', 1, True)} SELECT id AS turn_uid, place, name AS canonical_name, surface, type AS entity_type, conf AS confidence FROM t_ent",
     "query_seeds": f"WITH {MENTION}, {_entity_table('ent', 'men')}, {SEEDS} SELECT query_id, entity_id, canonical_name, round(score, 6) AS score, place FROM seed",
     "beam_traversal": f"WITH {GRAPH}, {REACH} SELECT query_id, entity_id, round(score, 6) AS score, path FROM reach2",
     "beam_pruned": f"""WITH {GRAPH}, {_reach(prune=PRUNING)}, fell AS (SELECT query_id FROM path1 WHERE score < {PRUNING} UNION ALL SELECT query_id FROM path2 WHERE score < {PRUNING})

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as X
 from loomgraph.functions.vectors import Embedder, hash_embedding, hash_embedding_builtin, unit
 from loomgraph.jobs.ingest import extracted, ingest, rebuild, with_vectors
-from loomgraph.jobs.oracle import PRUNING, VOCABULARY, oracle_sql
+from loomgraph.jobs.oracle import COMMON, FURTHER, PRUNING, VOCABULARY, oracle_sql
 from loomgraph.jobs.retrieve import evaluate_profiles, gather, rank_pool, retrieve, run_profiles, with_profiles, write_report
 from loomgraph.operators import evaluate, graph, lexical, rank, store, text_index, traverse
 from loomgraph.operators.extraction import explode_chunks, with_chunks, with_entities, with_relations
@@ -21,7 +22,7 @@ from loomgraph.operators.nearest import nearest
 from loomgraph.session import settled, shared_dir, spread
 from loomgraph.sources.turns import in_conversation, read_event_logs, read_examples, read_session_history, read_turns, union_sources
 from loomgraph.streaming.ingest import stream_ingest, stream_recall, stream_turns
-from loomgraph.vocabulary import PROFILES, Chunking, Retrieval
+from loomgraph.vocabulary import PROFILES, Chunking, Retrieval, Vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +111,22 @@ def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("turn_uid", "place", "e.canonical_name", "e.surface", "e.entity_type", "e.confidence")
 
 
+def large_vocabulary(spark: SparkSession, sf_dir: str) -> Vocabulary:
+    """10,000 phrases, 4,950 synonyms and 300 keywords, made of the commonest words of the turns (400 words come to the driver)."""
+    words = _uid_turns(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("w"))
+    ranked = [r[0] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(COMMON + FURTHER).collect()]
+    top = ranked[:COMMON]
+    pairs = [f"{a} {b}" for a in top for b in top]
+    turned = {f"{a} {b}": f"{b} {a}" for i, a in enumerate(top) for b in top[:i]}
+    return replace(VOCABULARY(1), keywords=tuple(ranked[COMMON:]), phrases=tuple(pairs), synonyms=turned)
+
+
+def extract_entities_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by a vocabulary of more than 15,000 entries."""
+    rows = with_entities(_uid_turns(spark, sf_dir), large_vocabulary(spark, sf_dir)).select("turn_uid", F.posexplode_outer("entities").alias("place", "e")).where("place is not null")
+    return rows.select("turn_uid", "place", "e.canonical_name", "e.surface", "e.entity_type", "e.confidence")
+
+
 def extract_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select("turn_uid", F.posexplode("relations").alias("place", "r")).select("turn_uid", "place", "r.source", "r.target", "r.relation_type", "r.confidence")
 
@@ -594,7 +611,7 @@ def queries() -> dict[str, Query]:
         graph_relations, graph_adjacency, graph_merge_relations, graph_merge_entities, skip_stored, ingest_statistics, conversation_turns, query_seeds, beam_traversal, beam_pruned, text_postings,
         text_search, recall_state, candidate_pool, retrieve_hybrid, retrieve_graph_only, retrieve_reranked, retrieve_traced, subgraph_edges, evaluate_search, compare_profiles,
         graph_evidence, graph_merge_turns, graph_rebuild, graph_lookups, subgraph_nodes, recall_feedback, eval_examples, evaluate_details, evaluate_requests,
-        text_search_index, text_index_postings, retrieve_indexed, graph_entity_vectors, seeds_by_vectors, beam_by_vectors, embed_model,
+        text_search_index, text_index_postings, retrieve_indexed, graph_entity_vectors, seeds_by_vectors, beam_by_vectors, embed_model, extract_entities_large,
         graph_stored, stream_ingested, stream_recalled, report_written, files_first, files_both, turns_moved, eval_listed, retrieve_own, files_turns, files_sessions, files_events, files_examples,
     )
     return {f.__name__: f for f in found}

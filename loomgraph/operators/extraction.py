@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.functions.dictionary import keyed, phrases_in
 from loomgraph.vocabulary import Chunking, Vocabulary
 
 FAR = 1_000_000  # the place of a name that the text does not hold
@@ -54,26 +55,38 @@ def with_entities(turns: DataFrame, vocabulary: Vocabulary = Vocabulary(), text:
     low = low.withColumn("_tokens", F.regexp_extract_all("_low", F.lit(r"[a-z0-9가-힣][a-z0-9가-힣\-+/]*"), F.lit(0)))
     none = F.array().cast("array<string>")
     # Of several phrases that mean the same, the last of the vocabulary counts.
-    phrases = F.filter(F.array(*[F.lit(p) for p in reversed(v.phrases)]), lambda p: F.contains(F.col("_low"), p)) if v.phrases else none
+    if v.large:
+        low = low.withColumns({"_phrases": phrases_in(F.col("_low"), v.phrases), "_keyed": keyed(F.col("_tokens"), v.keywords)})
+        phrases = F.col("_phrases")
+    else:
+        phrases = F.filter(F.array(*[F.lit(p) for p in reversed(v.phrases)]), lambda p: F.contains(F.col("_low"), p)) if v.phrases else none
     quoted = F.concat(*[F.regexp_extract_all(text, F.lit(f"{q}([^{q}]{{2,80}}){q}"), F.lit(1)) for q in ("`", '"', "'")])
-    keywords = F.array(*[F.lit(k) for k in v.keywords]) if v.keywords else none
+    keywords = F.array(*[F.lit(k) for k in v.keywords]) if v.keywords and not v.large else none
     grams = []
     for n in range(1, v.max_ngram + 1):
         windows = _windows(F.col("_tokens"), n)
-        near = F.filter(windows, lambda w: F.arrays_overlap(w, keywords))
+        if v.large:
+            near = F.filter(windows, lambda w, i: F.array_contains(F.slice("_keyed", i + 1, n), True))  # noqa: B023
+        else:
+            near = F.filter(windows, lambda w: F.arrays_overlap(w, keywords))
         joined = F.filter(F.transform(near, lambda w: F.array_join(w, " ")), lambda g: F.char_length(g) >= v.min_length)
         grams.append(F.when(F.size("_tokens") >= n, joined).otherwise(none))
     capitals = F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Z]{2,}\b"), F.lit(0))
     # Each surface once is enough, and cheaper: what decides is the first place of a name.
     every = F.concat(_found(phrases, 0.90, True), _found(F.array_distinct(quoted), 0.82), _found(F.array_distinct(F.concat(none, *grams)), 0.72), _found(F.array_distinct(capitals), 0.75))
     named = F.transform(every, lambda c: F.struct(X.normalize_surface(c.surface).alias("normal"), c.alias("c")))
-    placed = F.transform(named, lambda e, i: F.struct(X.canonical_of(e.normal, v).alias("name"), i.alias("place"), e.c.alias("c")))
+    if v.large:
+        low = low.withColumn("_named", named)
+        low = low.withColumn("_names", X.canonical_all(F.transform("_named", lambda e: e.normal), v))
+        placed = F.transform("_named", lambda e, i: F.struct(F.get("_names", i).alias("name"), i.alias("place"), e.c.alias("c")))
+    else:
+        placed = F.transform(named, lambda e, i: F.struct(X.canonical_of(e.normal, v).alias("name"), i.alias("place"), e.c.alias("c")))
     kept = F.filter(placed, lambda e: e.c.always | (F.char_length(e["name"]) >= v.min_length))
     low = low.withColumn("_sorted", F.array_sort(kept))
     first = F.filter("_sorted", lambda e, i: (i == 0) | (F.get("_sorted", i - 1)["name"] != e["name"]))
     ranked = F.array_sort(F.transform(first, lambda e: F.struct((-e.c.confidence).alias("minus"), e["name"].alias("name"), e.c.surface.alias("surface"))))
     entities = F.transform(ranked, lambda e: F.struct(e["name"].alias("canonical_name"), e.surface.alias("surface"), X.entity_type(e["name"], v).alias("entity_type"), (-e.minus).alias("confidence")))
-    return low.withColumn("entities", F.coalesce(entities, F.array().cast("array<struct<canonical_name:string,surface:string,entity_type:string,confidence:double>>"))).drop("_low", "_tokens", "_sorted")
+    return low.withColumn("entities", F.coalesce(entities, F.array().cast("array<struct<canonical_name:string,surface:string,entity_type:string,confidence:double>>"))).drop("_low", "_tokens", "_sorted", "_phrases", "_keyed", "_named", "_names")
 
 
 def with_relations(turns: DataFrame, vocabulary: Vocabulary = Vocabulary(), text: str = "text") -> DataFrame:

@@ -62,7 +62,12 @@ def build_entities(rows: DataFrame) -> DataFrame:
 
 def relation_rows(extracted: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
     """(turn_uid, source_entity_id, target_entity_id, relation_type), each once for a turn, none from an entity to itself."""
-    ids = F.transform("relations", lambda r: F.struct(X.entity_id(X.canonicalize(r.source, vocabulary)).alias("s"), X.entity_id(X.canonicalize(r.target, vocabulary)).alias("t"), r.relation_type.alias("relation_type")))
+    if vocabulary.large:
+        ends = [X.canonical_all(F.transform("relations", lambda r: X.normalize_surface(r[end])), vocabulary) for end in ("source", "target")]  # noqa: B023
+        extracted = extracted.select("turn_uid", "relations", ends[0].alias("_s"), ends[1].alias("_t"))
+        ids = F.transform("relations", lambda r, i: F.struct(X.entity_id(F.get("_s", i)).alias("s"), X.entity_id(F.get("_t", i)).alias("t"), r.relation_type.alias("relation_type")))
+    else:
+        ids = F.transform("relations", lambda r: F.struct(X.entity_id(X.canonicalize(r.source, vocabulary)).alias("s"), X.entity_id(X.canonicalize(r.target, vocabulary)).alias("t"), r.relation_type.alias("relation_type")))
     rows = extracted.select("turn_uid", F.explode_outer(F.array_distinct(ids)).alias("r")).where("r.s != r.t")
     return rows.select("turn_uid", F.col("r.s").alias("source_entity_id"), F.col("r.t").alias("target_entity_id"), F.col("r.relation_type").alias("relation_type"))
 

@@ -38,6 +38,9 @@ PRIORS = {"EXPLAINS": 1.0, "DEPENDS_ON": 0.95, "IMPLEMENTS": 0.92, "COMPARES": 0
 OTHER_PRIOR = 0.65
 OTHER_RELATION, OTHER_TYPE = "RELATED_TO", "concept"
 
+#: Entries of a vocabulary that are written into a plan at most.
+LITERALS = 200
+
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -49,6 +52,12 @@ class Vocabulary:
     importance: tuple[tuple[str, float], ...] = IMPORTANCE
     min_length: int = 3
     max_ngram: int = 3
+    #: Whether entries are looked up by automaton and tables instead of literals; None: from ``LITERALS`` entries on. Results are equal.
+    tables: bool | None = None
+
+    @property
+    def large(self) -> bool:
+        return len(self.keywords) + len(self.phrases) + len(self.synonyms) > LITERALS if self.tables is None else self.tables
 
 
 @dataclass(frozen=True)
