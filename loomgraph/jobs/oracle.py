@@ -400,5 +400,10 @@ ORACLE["embed_model"] = f"""WITH {TURNS}, {_chunks("turns", "turn_uid")}, lt AS
     lz AS (SELECT id, sqrt(sum(v * v ORDER BY dim)) AS l FROM lm GROUP BY ALL) SELECT id AS turn_uid, dim, round(CASE WHEN l <= 1e-9 THEN v ELSE v / l END, 6) AS value FROM lm JOIN lz USING (id) WHERE round(CASE WHEN l <= 1e-9 THEN v ELSE v / l END, 6) <> 0"""
 
 
+# The stored index of names and the stored adjacency change no row.
+ORACLE["query_seeds_indexed"] = ORACLE["query_seeds"]
+ORACLE["beam_stored"] = ORACLE["beam_traversal"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -16,7 +16,7 @@ from loomgraph.functions.vectors import Embedder, hash_embedding, hash_embedding
 from loomgraph.jobs.ingest import extracted, ingest, rebuild, with_vectors
 from loomgraph.jobs.oracle import COMMON, FURTHER, PRUNING, VOCABULARY, oracle_sql
 from loomgraph.jobs.retrieve import evaluate_profiles, gather, rank_pool, retrieve, run_profiles, with_profiles, write_report
-from loomgraph.operators import evaluate, graph, lexical, rank, store, text_index, traverse
+from loomgraph.operators import evaluate, graph, lexical, name_index, rank, store, text_index, traverse
 from loomgraph.operators.extraction import explode_chunks, with_chunks, with_entities, with_relations
 from loomgraph.operators.nearest import nearest
 from loomgraph.session import settled, shared_dir, spread
@@ -197,6 +197,39 @@ def query_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "entity_id", "canonical_name", F.round("score", 6).alias("score"), "place")
 
 
+def _named(spark: SparkSession, words: DataFrame) -> name_index.NameIndex:
+    """An index of names that grew in three loads that share entities, two of them written as one in between."""
+    rows = settled(graph.mention_rows(words, GRAPH_WORDS))
+    index = name_index.NameIndex(spark, f"{shared_dir(spark)}/names-{uuid.uuid4().hex}", buckets=8)  # these tables are small
+    for k in range(3):
+        name_index.add(index, graph.build_entities(rows.where(f"crc32(cast(turn_uid as binary)) % 3 = {k}")))
+        if k == 1:
+            name_index.compact(index)
+    return index
+
+
+def query_seeds_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_seeds`` from a stored index of names."""
+    words = _words(spark, sf_dir)
+    entities = graph.build_entities(graph.mention_rows(words, GRAPH_WORDS))
+    found = traverse.seeds(traverse.query_names(_questions(spark, sf_dir), GRAPH_WORDS), entities, PARAMS.seed_limit, index=_named(spark, words))
+    return found.select("query_id", "entity_id", "canonical_name", F.round("score", 6).alias("score"), "place")
+
+
+def beam_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``beam_traversal`` from a stored index of names and a stored adjacency."""
+    words = _words(spark, sf_dir)
+    entities = graph.build_entities(graph.mention_rows(words, GRAPH_WORDS))
+    start = settled(traverse.seeds(traverse.query_names(_questions(spark, sf_dir), GRAPH_WORDS), entities, PARAMS.seed_limit, index=_named(spark, words)))
+    adjacent = store.store_adjacency(graph.build_relations(graph.relation_rows(words, GRAPH_WORDS)), max(40, 2 * PARAMS.beam_width))
+    return _paths(traverse.traverse(start, adjacent, PARAMS))
+
+
+def _paths(reached: traverse.Reached) -> DataFrame:
+    path = F.concat_ws(">", F.transform("steps", lambda s: F.concat(s.relation_type, F.when(s.forward, F.lit("+")).otherwise(F.lit("-")), s.to_entity_id)))
+    return reached.entities.select("query_id", "entity_id", F.round("score", 6).alias("score"), path.alias("path"))
+
+
 def _reach(spark: SparkSession, sf_dir: str, params: Retrieval = PARAMS) -> traverse.Reached:
     words = _words(spark, sf_dir)
     entities = graph.build_entities(graph.mention_rows(words, GRAPH_WORDS))
@@ -206,8 +239,7 @@ def _reach(spark: SparkSession, sf_dir: str, params: Retrieval = PARAMS) -> trav
 
 
 def beam_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws(">", F.transform("steps", lambda s: F.concat(s.relation_type, F.when(s.forward, F.lit("+")).otherwise(F.lit("-")), s.to_entity_id)))
-    return _reach(spark, sf_dir).entities.select("query_id", "entity_id", F.round("score", 6).alias("score"), path.alias("path"))
+    return _paths(_reach(spark, sf_dir))
 
 
 def beam_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,8 +490,7 @@ def seeds_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def beam_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traversal in which the likeness to each target's vector counts."""
-    path = F.concat_ws(">", F.transform("steps", lambda s: F.concat(s.relation_type, F.when(s.forward, F.lit("+")).otherwise(F.lit("-")), s.to_entity_id)))
-    return _by_vectors(spark, sf_dir)[1].entities.select("query_id", "entity_id", F.round("score", 6).alias("score"), path.alias("path"))
+    return _paths(_by_vectors(spark, sf_dir)[1])
 
 
 def _letters(texts: list[str]) -> list[list[float]]:
@@ -611,7 +642,7 @@ def queries() -> dict[str, Query]:
         graph_relations, graph_adjacency, graph_merge_relations, graph_merge_entities, skip_stored, ingest_statistics, conversation_turns, query_seeds, beam_traversal, beam_pruned, text_postings,
         text_search, recall_state, candidate_pool, retrieve_hybrid, retrieve_graph_only, retrieve_reranked, retrieve_traced, subgraph_edges, evaluate_search, compare_profiles,
         graph_evidence, graph_merge_turns, graph_rebuild, graph_lookups, subgraph_nodes, recall_feedback, eval_examples, evaluate_details, evaluate_requests,
-        text_search_index, text_index_postings, retrieve_indexed, graph_entity_vectors, seeds_by_vectors, beam_by_vectors, embed_model, extract_entities_large,
+        text_search_index, text_index_postings, retrieve_indexed, graph_entity_vectors, seeds_by_vectors, beam_by_vectors, embed_model, extract_entities_large, query_seeds_indexed, beam_stored,
         graph_stored, stream_ingested, stream_recalled, report_written, files_first, files_both, turns_moved, eval_listed, retrieve_own, files_turns, files_sessions, files_events, files_examples,
     )
     return {f.__name__: f for f in found}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.vectors import Embedder
 from loomgraph.operators import evaluate, lexical, rank, store, text_index
 from loomgraph.operators.graph import Graph, adjacency
+from loomgraph.operators.name_index import NameIndex
 from loomgraph.operators.settings import KINDS, Settings, applied, as_settings, resolved, settings_of
 from loomgraph.operators.text_index import TextIndex
 from loomgraph.operators.traverse import Reached, query_names, seeds, traverse
@@ -33,15 +34,17 @@ class Pool:
 
 def gather(
     queries: DataFrame, graph: Graph, params: Retrieval = Retrieval(), vocabulary: Vocabulary = Vocabulary(), index: DataFrame | TextIndex | None = None, embedder: Embedder = Embedder(),
-    entity_vectors: bool = False,
+    entity_vectors: bool = False, names: NameIndex | None = None, adjacent: DataFrame | None = None,
 ) -> Pool:
     """Candidates of ``queries(query_id, query, conversation_id)``. Columns named as parameters are a query's own; all queries are
     worked on together nevertheless. ``index``: a stored index of the graph's turns, or their postings as a table. With ``entity_vectors``
-    the likeness of a query to the entities' vectors counts in seeds and paths."""
+    the likeness of a query to the entities' vectors counts in seeds and paths. ``names``: a stored index of the entities' names;
+    ``adjacent``: the stored adjacency (``store.store_adjacency``), capped at no less than twice the widest beam and 40."""
     settings = settings_of(queries, params)
     vectors = settled(embedder.of_queries(queries.select("query_id", "query"), "query", "vector").select("query_id", "vector"))
-    start = settled(seeds(query_names(queries, vocabulary), graph.entities, settings.limit("seed_limit"), vectors if entity_vectors else None))
-    adjacent = settled(adjacency(graph.relations, max(40, 2 * settings.highest("beam_width"))))
+    start = settled(seeds(query_names(queries, vocabulary), graph.entities, settings.limit("seed_limit"), vectors if entity_vectors else None, names))
+    if adjacent is None:
+        adjacent = settled(adjacency(graph.relations, max(40, 2 * settings.highest("beam_width"))))
     reached = traverse(start, adjacent, settings, vectors if entity_vectors else None, graph.entities if entity_vectors else None)
     found = rank.graph_candidates(reached.entities, graph.mentions, queries, graph.turns, settings.limit("top_k", 400, 40))
     texts, asking = None, settings.asked_for(queries, "hybrid")
@@ -69,12 +72,12 @@ def rank_pool(pool: Pool, queries: DataFrame, graph: Graph, params: Retrieval |
 
 def retrieve(
     queries: DataFrame, graph: Graph, now: Column, params: Retrieval = Retrieval(), vocabulary: Vocabulary = Vocabulary(), scorer: Callable | None = None, recalls: str | None = None,
-    index: DataFrame | TextIndex | None = None, embedder: Embedder = Embedder(), entity_vectors: bool = False,
+    index: DataFrame | TextIndex | None = None, embedder: Embedder = Embedder(), entity_vectors: bool = False, names: NameIndex | None = None, adjacent: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked turns with their trace, texts and times, which are fetched for ranked turns only, and the parameters ``applied``.
     Queries may bring parameters of their own as columns. With ``recalls`` the ranked turns are appended to the recall log of that
     path. A query that finds nothing has no rows."""
-    pool = gather(queries, graph, params, vocabulary, index, embedder, entity_vectors)
+    pool = gather(queries, graph, params, vocabulary, index, embedder, entity_vectors, names, adjacent)
     ranked = settled(rank_pool(pool, queries, graph, None, now, scorer))
     if recalls:
         store.recall_log(ranked, now).write.mode("append").parquet(recalls)

@@ -217,10 +217,22 @@ def turns_of_conversations(turns: DataFrame, conversations: DataFrame, limit: in
     return turns.join(conversations.select("conversation_id").distinct(), "conversation_id", "left_semi").withColumn("place", rank).where(F.col("place") <= limit)
 
 
-def _grams(text: Column, n: int) -> Column:
+def grams(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - (n - 1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def forms_of(entities: DataFrame) -> DataFrame:
+    """(entity_id, canonical_name, form): each entity's name and aliases in lower case, each once."""
+    return entities.select("entity_id", "canonical_name", F.explode(F.array_union(F.array("canonical_name"), "aliases")).alias("form")).withColumn("form", F.lower("form")).distinct()
+
+
+def first_matches(hits: DataFrame, limit: int) -> DataFrame:
+    """Of ``hits(name, entity_id, canonical_name)`` each name's first ``limit``: exact ones, then the shortest, then by id."""
+    exact = hits.withColumn("exact", F.col("name") == F.col("canonical_name"))
+    rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("exact"), F.char_length("canonical_name"), "entity_id"))
+    return exact.withColumn("place", rank).where(F.col("place") <= limit)
+
+
 def match_names(names: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
     """(name, entity_id, canonical_name, exact) of the entities of which the name or an alias contains ``name``, in any case;
     for each name the first ``limit``: exact ones, then the shortest, then by id.
@@ -228,16 +240,13 @@ def match_names(names: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
     A name is looked up by the rarest three letters in a row that it has (or all of it, if shorter) among those of all aliases,
     and compared in full then; so this is an equi-join, which needs neither side to be small."""
     low = F.lower(F.col("name"))
-    own = names.select("name").distinct().withColumn("key", F.explode(F.when(F.char_length(low) > 3, F.array_distinct(_grams(low, 3))).otherwise(F.array(low))))
-    forms = entities.select("entity_id", "canonical_name", F.explode(F.array_union(F.array("canonical_name"), "aliases")).alias("form")).withColumn("form", F.lower("form")).distinct()
-    keys = F.array_distinct(F.concat(F.array(F.lit("")), _grams(F.col("form"), 1), _grams(F.col("form"), 2), _grams(F.col("form"), 3)))
+    own = names.select("name").distinct().withColumn("key", F.explode(F.when(F.char_length(low) > 3, F.array_distinct(grams(low, 3))).otherwise(F.array(low))))
+    forms = forms_of(entities)
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), grams(F.col("form"), 1), grams(F.col("form"), 2), grams(F.col("form"), 3)))
     found = settled(forms.withColumn("key", F.explode(keys)).join(own.select("key").distinct(), "key", "left_semi"))
     counts = found.groupBy("key").agg(F.count("*").alias("n"))
     keyed = own.join(counts, "key", "left").groupBy("name").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
-    hits = found.join(keyed, "key").where(F.contains(F.col("form"), low)).select("name", "entity_id", "canonical_name").distinct()
-    exact = hits.withColumn("exact", F.col("name") == F.col("canonical_name"))
-    rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("exact"), F.char_length("canonical_name"), "entity_id"))
-    return exact.withColumn("place", rank).where(F.col("place") <= limit)
+    return first_matches(found.join(keyed, "key").where(F.contains(F.col("form"), low)).select("name", "entity_id", "canonical_name").distinct(), limit)
 
 
 def subgraph(names: DataFrame, entities: DataFrame, relations: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:

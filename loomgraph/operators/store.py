@@ -5,6 +5,7 @@ that new rows touch, and all others stay where they are: folders of older versio
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import fields
 
 from pyspark.errors import AnalysisException
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.operators.graph import Graph, merge
-from loomgraph.session import settled
+from loomgraph.operators.graph import Graph, adjacency, merge
+from loomgraph.session import settled, shared_dir
 
 NAMES = [f.name for f in fields(Graph)]
 #: By which column a table is dealt: rows that a merge may bring together are in one bucket; an edge and its evidence are in
@@ -115,6 +116,17 @@ def commit_merge(spark: SparkSession, base: str, new: Graph, batch_id: int | Non
     return now + 1
 
 
+def store_adjacency(relations: DataFrame, cap: int, buckets: int = BUCKETS, name: str | None = None) -> DataFrame:
+    """``adjacency(relations, cap)`` as a table bucketed by entity, for all batches of queries: where a hop is joined with it, only
+    the hop's frontier is shuffled, and no window over relations is left. The table ``name`` (one of its own, if not given) lies in
+    the shared folder."""
+    spark = relations.sparkSession
+    name = name or f"adjacency_{uuid.uuid4().hex}"
+    rows = adjacency(relations, cap).repartition(buckets, "source_entity_id")
+    rows.write.bucketBy(buckets, "source_entity_id").sortBy("source_entity_id").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def recall_state(log: DataFrame) -> DataFrame:
     """(turn_uid, recall_count, last_recalled_at) from a log of recalls (turn_uid, recalled_at, query_id)."""
     return log.dropDuplicates(["turn_uid", "query_id"]).groupBy("turn_uid").agg(F.count("*").alias("recall_count"), F.max("recalled_at").alias("last_recalled_at"))

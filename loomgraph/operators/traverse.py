@@ -16,6 +16,7 @@ from loomgraph.functions import text as X
 from loomgraph.functions.vectors import cosine
 from loomgraph.operators.extraction import with_entities
 from loomgraph.operators.graph import match_names
+from loomgraph.operators.name_index import NameIndex, match
 from loomgraph.operators.settings import Settings, as_settings, first_of_each
 from loomgraph.session import settled
 from loomgraph.vocabulary import Retrieval, Vocabulary
@@ -37,11 +38,11 @@ def likeness(a: str, b: str) -> Column:
     return F.greatest(F.lit(0.0), F.round(cosine(F.col(a), F.col(b)), 9))
 
 
-def seeds(names: DataFrame, entities: DataFrame, limit: int | DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+def seeds(names: DataFrame, entities: DataFrame, limit: int | DataFrame, vectors: DataFrame | None = None, index: NameIndex | None = None) -> DataFrame:
     """(query_id, entity_id, canonical_name, score) of the ``limit`` best matches of each query's names; a query may have a limit
     of its own, in (query_id, most). With ``vectors`` (query_id, vector) the likeness to the entity's embedding has a part in the
-    score."""
-    hits = names.join(match_names(names, entities, NAME_LIMIT), "name")
+    score. With a stored ``index`` of the entities' names these are looked up there."""
+    hits = names.join(match_names(names, entities, NAME_LIMIT) if index is None else match(index, names, NAME_LIMIT), "name")
     base = F.lit(0.85) * F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(0.8))
     if vectors is not None:
         hits = hits.join(vectors, "query_id").join(entities.select("entity_id", "embedding"), "entity_id")
