@@ -580,3 +580,78 @@ def test_wrapper_is_union_free():
     assert kinds <= {"+", "?"} and ("?", ("+h2", "#body|h2", "-h2")) in w.nodes
     assert w.covers(html_extract.read_page("<ul><li>q</li><li>r</li><li>s</li></ul><p>y</p>")[0])
     assert not w.covers(html_extract.read_page("<ol><li>q</li></ol>")[0])
+
+
+def _collapse_plainly(nodes):
+    """Passes for groups of 1, 2, ... nodes; each compares slices."""
+    out, size = list(nodes), 0
+    while (size := size + 1) <= len(out) // 2:
+        done, i = [], 0
+        while i < len(out):
+            group, k = out[i : i + size], 1
+            while len(group) == size and out[i + k * size : i + (k + 1) * size] == group:
+                k += 1
+            if k > 1:
+                done.append(group[0] if size == 1 and group[0][0] == "+" else ("+", tuple(group)))
+                i += k * size
+            elif done and done[-1][0] == "+" and tuple(out[i : i + len(done[-1][1])]) == done[-1][1]:
+                i += len(done[-1][1])
+            else:
+                done.append(out[i])
+                i += 1
+        out = done
+    return tuple(out)
+
+
+def _odd_page(n, seed):
+    """A page of random tags, as irregular as can be."""
+    import random
+
+    rng = random.Random(seed)
+    names = ["div", "p", "ul", "li", "section", "h2", "table", "blockquote", "pre", "ol"]
+    return "".join(f"<{'/' if rng.random() < 0.45 else ''}{rng.choice(names)}>" + (f"text {rng.randrange(99)}" if rng.random() < 0.4 else "") for _ in range(n))
+
+
+def test_html_groups_and_alignment_against_plain_ones():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    for _ in range(1500):
+        letters = "bcdefghij"[: rng.choice([1, 2, 3, 5, 9])]
+        z = tuple(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        z += z[: rng.randint(0, len(z))] * rng.randint(0, 3)
+        assert html_extract.collapse(z) == _collapse_plainly(z), z
+    for _ in range(300):
+        k = rng.choice([2, 3, 8, 40])
+        x, y = ([str(rng.randrange(k)) for _ in range(rng.randint(0, 200))] for _ in range(2))
+        y = x[:40] + y + x[60:] if rng.random() < 0.5 else y
+        assert html_extract._matching_blocks(x, y) == [tuple(m) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()]
+
+
+def test_html_time_grows_with_length():
+    """A page of four times the length takes some four times as long, not sixteen times: collapsed, aligned and placed."""
+    import time
+
+    def spent(n):
+        at = time.process_time()
+        w = html_extract.infer([_odd_page(n, 2), _odd_page(n, 3)])
+        w.places(html_extract.read_page(_odd_page(n, 1))[0])
+        return time.process_time() - at
+
+    spent(500)
+    short, long = spent(5000), spent(20_000)
+    assert long < 10 * short and long < 60
+    assert len(html_extract.read_page("<div>" * 30_000 + "x")[0]) == 60_001
+
+
+def test_html_repeated_page_id(spark):
+    """Many rows of one id: a wrapper is still made of a few of them, and long pages serve as well."""
+    body = "<p>one</p><p>two</p>" * 15_000
+    rows = [(1, "https://a.example/x", f"<nav>menu</nav><div>{body}</div><p>{i}</p>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = html_extract.infer_wrappers(pages).collect()
+    import pickle
+
+    nodes, count = pickle.loads(made[0]["wrapper"])
+    assert len(made) == 1 and 1 <= count <= html_extract.SAMPLE_PAGES and len(nodes) < 40
