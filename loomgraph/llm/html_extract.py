@@ -10,8 +10,10 @@ of a repeated group fill one). A page that the wrapper does not cover is aligned
 the blocks they stand in. Main text are the slots inside an article or main element, or without any, those of the body, in
 neither case inside menus, headers, footers, sidebars, notices, adverts, forms or comments. Of these, those go that are
 static: whose place holds one and the same text on all pages of the host that have it, several different pages at least (more
-inside an article, whose markup vouches for it). That is counted over all pages; a page that has nothing else keeps them. Wrappers are inferred from a bounded sample of pages of
-each host; every page is extracted, whole.
+inside an article, whose markup vouches for it). That is counted over all pages; a page that has nothing else keeps them.
+
+Wrappers are inferred from all pages of each host: every page's collapsed stream counts, and those that differ are aligned in
+groups dealt by a hash, then the wrappers of the groups, until each host has one. Every page is extracted, whole.
 
 Defined results: null and empty html, and pages without main text, give the empty string; very long pages are ordinary;
 repeated rows give equal texts; a null or odd url counts as a host of its own kind; an empty table gives an empty result; other columns are not
@@ -20,15 +22,16 @@ looked at.
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from hashlib import blake2b
 from html import unescape
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -37,13 +40,19 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import arrow_batches, lean, settled
 
-#: Pages of each host that its wrapper is inferred from.
-SAMPLE_PAGES = 8
+#: Different structures of a host, or wrappers of some of them, that one task aligns: about so many in each group.
+MERGED = 16
+#: The earlier name of that. All pages of a host count.
+SAMPLE_PAGES = MERGED
+#: Optional groups in a row beyond which their tokens, each optional, become one repeated group: a part of the page that has no order.
+LOOSE = 16
+#: Token streams that a task remembers having collapsed; beyond that it forgets them, and may hand a structure on twice.
+KNOWN_STREAMS = 500_000
 #: Different pages of a host that have to agree on a slot's text before it counts as static, by region.
 STATIC_PAGES = {"body": 3, "doubt": 3, "main": 8}
 #: Places that a task counts before it hands them on.
 COUNT_PLACES = 100_000
-#: Bytes of wrappers and static places, or of page ids, that are broadcast at most; beyond that the join shuffles.
+#: Bytes of wrappers and static places that are broadcast at most; beyond that the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
 # Elements of HTML by their part in a page.
@@ -300,18 +309,39 @@ def _bare(nodes: Nodes) -> list[Node]:
     return [x for n in nodes for x in (_bare(n[1]) if isinstance(n, tuple) and n[0] == "?" else [n])]
 
 
+def _options(nodes: Nodes) -> list[int]:
+    """Of each bare node the number of the optional group that it is in, 0 for none."""
+    out: list[int] = []
+    for k, n in enumerate(nodes, 1):
+        out += [k if isinstance(n, tuple) and n[0] == "?" else 0] * len(_bare((n,)))
+    return out
+
+
+def _free(n: Node) -> bool:
+    """Whether a node is a repeated group of single optional tokens, which takes these tokens in any order."""
+    return isinstance(n, tuple) and n[0] == "+" and all(isinstance(x, tuple) and x[0] == "?" and len(x[1]) == 1 and isinstance(x[1][0], str) for x in n[1])
+
+
+def _loosened(nodes: list[Node]) -> Nodes:
+    """Many optional groups in a row, or some with a free part among them, become one free part. So a wrapper stays as small as its
+    fixed nodes and the kinds of tokens between them, however many pages without a common order it is made of."""
+    out: list[Node] = []
+    for optional, run in groupby(nodes, key=lambda n: isinstance(n, tuple) and n[0] == "?"):
+        run = list(run)
+        if optional and (len(run) > LOOSE or len(run) > 1 and any(_free(x) for n in run for x in n[1])):
+            run = [("?", (("+", tuple(("?", (t,)) for t in sorted(set(_tokens(run))))),))]
+        out += run
+    return tuple(out)
+
+
 def align(a: Nodes, b: Nodes) -> Nodes:
-    """The wrapper of both: what only one has becomes optional."""
+    """The wrapper of both: what only one has becomes optional, what is optional in one stays so, in groups as before."""
     groups = _groups(a) | _groups(b)
     a, b = _fold(a, groups), _fold(b, groups)
     if a == b:
         return a
-    x, optional = [], []
-    for n in a:
-        inner = _bare((n,))
-        x += inner
-        optional += [isinstance(n, tuple) and n[0] == "?"] * len(inner)
-    y = _bare(b)
+    x, y = _bare(a), _bare(b)
+    of_x, of_y = _options(a), _options(b)
     out: list[Node] = []
 
     def option(run: list[Node]) -> None:
@@ -322,13 +352,14 @@ def align(a: Nodes, b: Nodes) -> Nodes:
     for p, q, n in _matching_blocks(x, y):
         option(x[i:p])
         option(y[j:q])
-        for k in range(n):
-            if optional[p + k]:
-                option([x[p + k]])
+        for within, run in groupby(range(n), key=lambda k: (of_x[p + k], of_y[q + k])):
+            nodes = [x[p + k] for k in run]
+            if any(within):
+                option(nodes)
             else:
-                out.append(x[p + k])
+                out += nodes
         i, j = p + n, q + n
-    return tuple(out)
+    return _loosened(out)
 
 
 def _leaves(nodes: Nodes) -> int:
@@ -347,6 +378,12 @@ def _match(nodes: Nodes, tokens: list[str]) -> list[int] | None:
                 out.append(leaf)
                 leaf += 1
                 continue
+            if _free(n):
+                at = {x[1][0]: leaf + k for k, x in enumerate(n[1])}
+                while len(out) < len(tokens) and tokens[len(out)] in at:
+                    out.append(at[tokens[len(out)]])
+                leaf += len(at)
+                continue
             rounds = 0
             while True:
                 before = len(out)
@@ -438,17 +475,34 @@ def _matching_blocks(x: list[Node], y: list[Node]) -> list[tuple[int, int, int]]
     return [*out, (len(a), len(b), 0)]
 
 
+def _tokens(nodes: Iterable[Node], rounds: int = 1) -> list[str]:
+    """The tokens of ``nodes``, of groups so many times: a page of such a structure."""
+    return [t for n in nodes for t in (_tokens(n[1], rounds) * rounds if isinstance(n, tuple) else [n])]
+
+
+def _packed(nodes: Nodes) -> str:
+    return json.dumps(nodes, ensure_ascii=False, separators=(",", ":"))
+
+
+def _unpacked(text: str) -> Nodes:
+    of = lambda x: tuple(map(of, x)) if isinstance(x, list) else x
+    return of(json.loads(text))
+
+
 @dataclass
 class Wrapper:
     nodes: Nodes | None = None
-    pages: int = 0
+    pages: int = 0  # different structures of pages that it is made of
     _regex: re.Pattern | None = None
     _codes: dict[str, str] = field(default_factory=dict)
 
-    def learn(self, tokens: list[str]) -> Wrapper:
-        """The wrapper that covers this page as well."""
-        page = collapse(tuple(tokens))
-        return Wrapper(page if self.nodes is None else align(self.nodes, page), self.pages + 1)
+    def learn(self, nodes: Nodes, pages: int = 1) -> Wrapper:
+        """The wrapper of what this one and ``nodes``, a page's structure or a wrapper of several ``pages``, are made of."""
+        if self.nodes is None:
+            return Wrapper(nodes, pages)
+        if pages == 1 and self.covers(_tokens(nodes, 2)):
+            return Wrapper(self.nodes, self.pages + 1, self._regex, self._codes)
+        return Wrapper(align(self.nodes, nodes), self.pages + pages)
 
     def covers(self, tokens: list[str]) -> bool:
         if self.nodes is None:
@@ -462,7 +516,9 @@ class Wrapper:
         # Groups are possessive, so that matching takes linear time.
         out = []
         for n in nodes:
-            if isinstance(n, tuple):
+            if _free(n):
+                out.append(f"[{self._expression([x[1][0] for x in n[1]])}]*+")
+            elif isinstance(n, tuple):
                 out.append(f"(?:{self._expression(n[1])}){n[0]}+")
             else:
                 out.append(self._codes.setdefault(n, chr(0xE000 + len(self._codes))))
@@ -492,14 +548,19 @@ class Wrapper:
         return out
 
 
-def infer(pages: list[str]) -> Wrapper:
-    """The wrapper of pages of one host."""
+def merged(parts: Iterable[tuple[str, int]]) -> Wrapper:
+    """The wrapper of structures or wrappers (packed, with the number of structures in each), in an order of their own."""
     w = Wrapper()
-    for html in sorted(set(pages)):
-        w = w.learn(read_page(html)[0])
+    for text, pages in sorted(parts, key=lambda p: (-len(p[0]), p)):
+        w = w.learn(_unpacked(text), pages)
     return w
 
 
+def infer(pages: list[str]) -> Wrapper:
+    """The wrapper of pages of one host."""
+    return merged((text, 1) for text in {_packed(collapse(tuple(read_page(html)[0]))) for html in pages})
+
+
 def candidates(slots: list[Slot]) -> list[int]:
     """Which slots may be main text: those in an article or main element, or without any, those of the body and of articles
     that only a class around them calls off."""
@@ -522,28 +583,53 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def infer_wrappers(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, wrapper): a pickled wrapper for each host, from at most ``sample`` of its pages, however often a page_id is repeated."""
-    from pyspark.sql import Window as W
-
-    few = pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("host"), "page_id", F.xxhash64("page_id", "url").alias("order"))
-    ranked = few.withColumn("place", F.row_number().over(W.partitionBy("host").orderBy("order", "page_id"))).where(F.col("place") <= sample)
-    # At most ``sample`` ids of each host; the pages themselves are fetched by id.
-    ids = settled(ranked.select("page_id").distinct())
-    if ids.count() * 16 <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
-    rows = pages.where(F.col("html").isNotNull()).select("page_id", "html", host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("order")).join(ids, "page_id", "left_semi")
-    # An id may have many rows: Spark cuts each partition to the first ones before it shuffles.
-    first = W.partitionBy("host").orderBy("order", "page_id", F.xxhash64("html"))
-    chosen = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("host", "html")
+def structures(pages: DataFrame) -> DataFrame:
+    """(host, structure): the different collapsed streams of all pages of each host, packed; pages without blocks and text have none."""
+    arrow_batches(pages.sparkSession)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        import pickle
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
+        for batch in batches:
+            found: dict[tuple[str, str], None] = {}
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                tokens = tuple(read_page(html)[0])
+                stream = blake2b("\0".join((host, *tokens)).encode("utf-8", "replace"), digest_size=16).digest()
+                if not tokens or stream in known:
+                    continue
+                if len(known) >= KNOWN_STREAMS:
+                    known.clear()
+                known.add(stream)
+                found[host, _packed(collapse(tokens))] = None
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found)], names=["host", "structure"])
+
+    rows = pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("host"), "html")
+    return rows.mapInArrow(lean(run), "host string, structure string").distinct()
+
+
+def infer_wrappers(pages: DataFrame, group: int = MERGED) -> DataFrame:
+    """(host, wrapper): a pickled wrapper for each host, from all of its pages. Structures that differ are merged in groups of
+    about ``group``, dealt by a hash, then what the groups made, and so on: no task meets all structures of a host that has many."""
+    rows = settled(structures(pages).select("host", "structure", F.xxhash64("structure").alias("part"), F.lit(1).cast("long").alias("pages")))
+    most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    level = 0
+    while group ** (level + 1) < most:
+        level += 1
+
+    def merging(last: bool):
+        def work(pdf: pd.DataFrame) -> pd.DataFrame:
+            import pickle
+
+            w = merged(zip(pdf["structure"], pdf["pages"].tolist(), strict=True))
+            made = {"wrapper": [pickle.dumps((w.nodes, w.pages))]} if last else {"structure": [_packed(w.nodes)], "part": [pdf["part"].iloc[0]], "pages": [w.pages]}
+            return pd.DataFrame({"host": [pdf["host"].iloc[0]]} | made)
 
-        w = infer(pdf["html"].dropna().tolist())
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [pickle.dumps((w.nodes, w.pages))]})
+        return work
 
-    return chosen.groupBy("host").applyInPandas(work, "host string, wrapper binary")
+    for k in range(level, -1, -1):
+        parts = rows.withColumn("part", F.pmod(F.col("part"), F.lit(group**k))).groupBy("host", "part")
+        rows = settled(parts.applyInPandas(merging(False), "host string, structure string, part long, pages long")) if k else parts.applyInPandas(merging(True), "host string, wrapper binary")
+    return rows
 
 
 def _by_wrapper(pages: DataFrame, wrappers: DataFrame, keep: list[str], schema: str, make: Callable) -> DataFrame:

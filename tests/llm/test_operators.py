@@ -3,6 +3,7 @@ repeated rows and columns whose names clash."""
 
 import base64
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -645,6 +646,32 @@ def test_html_time_grows_with_length():
     assert len(html_extract.read_page("<div>" * 30_000 + "x")[0]) == 60_001
 
 
+def test_html_wrappers_are_made_of_all_pages(spark):
+    """Parts of one page in thirty are in the wrapper, so their places tell what is static in them."""
+    news = lambda i: f"<section><div>News of day {i}</div></section>" if i % 30 == 7 else ""
+    letter = lambda i: "<section><div>Get our letter</div></section>" if i % 30 in (7, 8) else ""
+    htmls = [f"<article><h1>Title {i}</h1>{news(i)}<p>Text {i}</p><h2>More</h2><p>End {i}</p>{letter(i)}</article>" for i in range(300)]
+    got = extracted(spark, [h.replace("<h2>More</h2>", f"<h2>Part {i}</h2>") for i, h in enumerate(htmls)])
+    assert got == {i: "\n".join(filter(None, [f"Title {i}", news(i)[14:-16], f"Text {i}", f"Part {i}", f"End {i}"])) for i in got}
+
+
+def test_html_many_structures_are_merged_in_groups(spark):
+    """Each page has blocks of its own: the wrapper covers all of them, whatever the groups and the order, and stays small."""
+    kinds = ["<p>t</p>", "<h2>a</h2>", "<ul><li>x<li>y</ul>", "<pre>c</pre>", "<table><tr><td>1<td>2</table>"]
+    rng = random.Random(4)
+    htmls = [f"<nav>m</nav><article><h1>T</h1>{''.join(rng.choices(kinds, k=rng.randint(3, 40)))}</article><footer>f</footer>" for _ in range(200)]
+    rows = [(i, "http://h/", h) for i, h in enumerate([*htmls, "", None])]
+    few = [(i, "http://few/", f"<h1>a</h1>{'<p>b</p>' * (i % 3)}<h2>c</h2>") for i in range(1000, 1009)]
+    made = []
+    for table in (rows + few, few[::-1] + rows[::-1]):
+        pages = spark.createDataFrame(table, "page_id long, url string, html string")
+        made.append({r["host"]: pickle.loads(r["wrapper"]) for r in html_extract.infer_wrappers(pages, group=4).collect()})
+    assert made[0] == made[1] and made[0].keys() == {"h", "few"} and made[0]["few"][1] == 3
+    w = html_extract.Wrapper(*made[0]["h"])
+    assert all(w.covers(html_extract.read_page(h)[0]) and w.places(html_extract.read_page(h)[0]) for h in htmls)
+    assert html_extract._leaves(w.nodes) < 100
+
+
 def test_html_repeated_page_id(spark):
     """Many rows of one id: a wrapper is still made of a few of them, and long pages serve as well."""
     body = "<p>one</p><p>two</p>" * 15_000
