@@ -21,11 +21,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that are packed together in one task.
 BLOCK = 4096
+#: Words of texts whose ids are put together at a time.
+STEP_WORDS = 1 << 18
 #: Distinct pieces of text that a worker remembers the ids of.
 CACHE_WORDS = 900_000
 #: Characters of texts that are encoded together.
@@ -56,8 +59,10 @@ def _byte_signs() -> list[str]:
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space and never joins across it: each distinct run of visible
-    characters is encoded once, most of them together by merge replay, the others by the library. Texts that hold one of the
-    vocabulary's special tokens are encoded by the library as a whole, as that looks for those before anything else."""
+    characters is encoded once, most of them together by merge replay, the others by the library. Words of letters are known by
+    their lower case alone, and the signs behind them by themselves. Cutting, counting and joining are done on arrays of words.
+    Texts that hold one of the vocabulary's special tokens are encoded by the library as a whole, as that looks for those before
+    anything else."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -73,7 +78,7 @@ class WordTokenizer:
         self.special = [""] if any(t["normalized"] for t in added) else [t["content"] for t in added]
         model, suffix = conf["model"], conf["model"].get("end_of_word_suffix")
         kinds = {x["type"] for x in (conf.get("normalizer") or {}).get("normalizers", [])}
-        if model["type"] == "BPE" and suffix and "Lowercase" in kinds and self.encode_one("a" + _SIGNS) == self.encode_one("a") + self.encode_one(_SIGNS):
+        if model["type"] == "BPE" and suffix and {"NFC", "Lowercase"} <= kinds and self.encode_one("a" + _SIGNS) == self.encode_one("a") + self.encode_one(_SIGNS):
             vocab, signs = model["vocab"], _byte_signs()
             made = {}
             for rank, merge in enumerate(model["merges"]):
@@ -85,47 +90,90 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        """Words of letters, with signs behind them or without, are one or two words to the tokenizer, once lowered; only
-        those go through the replay."""
-        plain, parts, rest = [], [], []
+        """The ids of lower words of letters by replay, of all else by the library."""
+        plain, rest = [], []
         for w in new:
-            body = w if w.isalpha() else w.rstrip(_SIGNS)
-            low = body.lower()
-            if self.replay and body.isalpha() and low.isalpha() and "\u03a3" not in body and is_normalized("NFC", body):
-                plain.append(w)
-                parts.append((low, w[len(body) :]))
-            else:
-                rest.append(w)
-        words = list({p for pair in parts for p in pair})
-        ids = dict(zip(words, self.replay.encode([w.encode("utf-8") for w in words]) if words else [], strict=True))
-        for w, (body, signs) in zip(plain, parts, strict=True):
-            self.known[w] = ids[body] + ids[signs]
+            (plain if self.replay and w.isalpha() and (w.isascii() or "\u03a3" not in w) and w == w.lower() else rest).append(w)
+        self.known.update(zip(plain, self.replay.encode([w.encode("utf-8") for w in plain]) if plain else [], strict=True))
         for at in range(0, len(rest), 10_000):
             for w, e in zip(rest[at : at + 10_000], self.tokenizer.encode_batch_fast(rest[at : at + 10_000], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
+    def _parts(self, words: pa.StringArray) -> tuple[np.ndarray, pa.StringArray, pa.StringArray]:
+        """Words of letters, with signs behind them or without, are one or two words to the tokenizer, once lowered: what is
+        encoded for each of ``words``, both parts or the word itself and nothing. First the place of each word in these."""
+        if not self.replay:
+            return np.arange(len(words)), words, pa.array([""] * len(words), pa.string())
+        ascii_ = pc.string_is_ascii(words)
+        place = np.argsort(np.argsort(~ascii_.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        easy = words.filter(ascii_)
+        bodies = pc.ascii_rtrim(easy, _SIGNS)
+        plain = pc.ascii_is_alpha(bodies)
+        size = pc.binary_length(easy).to_numpy(zero_copy_only=False).astype(np.int64)
+        signs = np.where(plain.to_numpy(zero_copy_only=False), size - pc.binary_length(bodies).to_numpy(zero_copy_only=False), 0)
+        data = np.frombuffer(easy.buffers()[2] or b"", np.uint8)
+        begins = np.frombuffer(easy.buffers()[1], np.int32)[easy.offset : easy.offset + len(easy) + 1].astype(np.int64) if len(easy) else np.zeros(1, np.int64)
+        behind = _runs(data, begins[1:] - signs, signs)
+        ends = pa.StringArray.from_buffers(len(easy), pa.py_buffer(np.concatenate([[0], np.cumsum(signs)]).astype(np.int32)), pa.py_buffer(behind.tobytes()))
+        heads, tails = [], []
+        for w in words.filter(pc.invert(ascii_)).to_pylist():
+            body = w if w.isalpha() else w.rstrip(_SIGNS)
+            low = body.lower()
+            split = body.isalpha() and low.isalpha() and "\u03a3" not in body
+            heads.append(low if split else w)
+            tails.append(w[len(body) :] if split else "")
+        keys = pc.if_else(plain, pc.ascii_lower(bodies), easy)
+        return place, pa.concat_arrays([keys, pa.array(heads, pa.string())]), pa.concat_arrays([ends, pa.array(tails, pa.string())])
+
+    def _encode_cut(self, cut: pa.ListArray) -> Iterator[bytes]:
+        """Ids of each list of words."""
+        words = cut.flatten().dictionary_encode()
+        place, heads, tails = self._parts(words.dictionary)
+        both = pa.concat_arrays([heads, tails]).dictionary_encode()
+        parts = both.dictionary.to_pylist()
+        with paused_gc():
+            if len(self.known) > self.cache_words:
+                self.known = {w: self.known[w] for w in parts if w in self.known}
+            self._learn([w for w in parts if w not in self.known])
+            table = [self.known[w] for w in parts]
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        which = both.indices.to_numpy().reshape(2, -1).T[place].ravel()  # of each distinct word its two parts
+        ids = _runs(np.frombuffer(b"".join(table), "<u4"), (np.cumsum(size) - size)[which], size[which])
+        size = size[which].reshape(-1, 2).sum(axis=1)
+        first = np.cumsum(size) - size
+        which = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[which])])
+        out = np.empty(int(ends[-1]), "<u4")
+        for at in range(0, len(which), STEP_WORDS):
+            some = which[at : at + STEP_WORDS]
+            out[ends[at] : ends[at + len(some)]] = _runs(ids, first[some], size[some])
+        bounds = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        return (out[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
+
     def encode(self, texts: list[str], group: int = GROUP_CHARS) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text. Texts are taken in groups of about ``group`` characters."""
         whole = {i: self.encode_one(t) for i, t in enumerate(texts) if any(x in t for x in self.special)}
-        if whole:
-            texts = ["" if i in whole else t for i, t in enumerate(texts)]
         lo = 0
         while lo < len(texts):
-            hi, held, cut = lo, 0, []
-            with paused_gc():
-                while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= group):
-                    t = texts[hi]
-                    cut.append([w for w in _SPACE.split(t) if w] if _SEPARATORS.search(t) else t.split())
-                    held += len(t)
-                    hi += 1
-                words = set().union(*cut)
-                if len(self.known) > self.cache_words:
-                    self.known = {w: self.known[w] for w in words & self.known.keys()}
-                self._learn([w for w in words if w not in self.known])
-                known = self.known.__getitem__
-                done = [b"".join(map(known, words_of)) for words_of in cut]
-            yield from (whole.get(i, ids) for i, ids in enumerate(done, lo)) if whole else done
-            lo = hi
+            some, held = [], 0
+            while lo + len(some) < len(texts) and (not some or held + len(texts[lo + len(some)]) <= group):
+                t = "" if lo + len(some) in whole else texts[lo + len(some)]
+                held += len(t)
+                # The tokenizer does that first, and a word of such a text is such a word.
+                some.append(t if t.isascii() or not self.replay or is_normalized("NFC", t) else normalize("NFC", t))
+            column = pa.array(some, pa.string())
+            if pc.any(pc.match_substring_regex(column, _SEPARATORS.pattern)).as_py():
+                cut = pa.array([[w for w in _SPACE.split(t) if w] for t in some], pa.list_(pa.string()))
+            else:
+                cut = pc.utf8_split_whitespace(column)  # at what str.split cuts at
+            yield from (whole.get(i, ids) for i, ids in enumerate(self._encode_cut(cut), lo))
+            lo += len(some)
+
+
+def _runs(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``first`` and have such sizes, one after another."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True, cache_words: int = CACHE_WORDS, group: int = GROUP_CHARS) -> DataFrame:

@@ -188,6 +188,20 @@ def test_word_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_word_tokenizer_knows_words_by_their_lower_case():
+    """Cases of a word, and the signs behind it, are not learnt anew; nor does it matter how little is remembered."""
+    from tokenizers import Tokenizer
+
+    values = ["Word WORD, word!! wOrD,", "", "  ÉTÉ  été. Été,\t", "e\u0301te\u0301 word's 12,5 (word) -word", "\x1cWord\x1d,word", "word " * 3000] * 2
+    tokenizer = packing.WordTokenizer(queries.WORD_BPE_PATH)
+    list(tokenizer.encode(values[:3]))
+    assert tokenizer.known.keys() - {""} == {"word", "été", ",", "!!", "."}
+    t = Tokenizer.from_file(queries.WORD_BPE_PATH)
+    for group, cache in ((1, 0), (30, 2), (1 << 24, 1000)):
+        for x, ids in zip(values, packing.WordTokenizer(queries.WORD_BPE_PATH, cache).encode(values, group), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_packing_exchanges_two_for_one_from_bins_of_many_pieces():
     # No piece of the first bin fits elsewhere, nor goes for a smaller one; but two of 3 go for one of 4.
     lengths = np.array([3] * 66 + [394, 4] * 100, np.int64)
